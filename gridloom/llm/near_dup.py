@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from gridloom.llm.components import connected_components
 from gridloom.llm.store import materialize
 
 BINS, BAND_ROWS = 120, 5
-#: Sketches of documents at similarity 0.85 agree on less than this share with a chance below 1e-6.
-SKETCH_FLOOR = 0.68
+#: Members a block: a task confirms one pair of blocks. Columns multiplied at once there.
+BLOCK_ROWS, COLUMNS = 128, 4096
 
 
 def shingle_sets(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ def fast_sketches(row: np.ndarray, value: np.ndarray, rows: int, bins: int = BIN
 
 
 def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n_shingles, a 128-bit set signature, sketch and band keys."""
+    """Per row: id, n_shingles, a 128-bit set signature and the sketch's band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,21 +99,19 @@ def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
                 for k in range(BAND_ROWS):
                     bands = mix(bands + sketch[:, k::BAND_ROWS], 50 + k)
                 bands = mix(bands + np.arange(bands.shape[1], dtype=np.uint64))
-                small = mix(sketch).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(c.first, c.rows),
                         pa.array(n, pa.int64()),
                         pa.array(low.view(np.int64)),
                         pa.array(high.view(np.int64)),
-                        lists(small.ravel(), np.arange(c.rows + 1) * small.shape[1], pa.int32()),
                         lists(bands.view(np.int64).ravel(), np.arange(c.rows + 1) * bands.shape[1], pa.int64()),
                     ],
-                    names=["id", "n", "low", "high", "sketch", "bands"],
+                    names=["id", "n", "low", "high", "bands"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n long, low long, high long, sketch array<int>, bands array<long>"
+        run, "id long, n long, low long, high long, bands array<long>"
     )
 
 
@@ -132,18 +131,57 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
     return rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, hashes array<long>")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with den * intersection >= num * union on the full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b") - common).alias("u"))
-    return both.filter(F.col("i") * den >= F.col("u") * num).select("a", "b")
-
-
-def _agreement(x: str, y: str) -> F.Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
+def _block_links(num: int, den: int):
+    """Links between two blocks of sets as a forest: (id, root) of every linked member."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if right.empty:  # a block with itself
+            right = left
+        ia, ib = left.id.to_numpy(), right.id.to_numpy()
+        sizes = [np.array([len(h) for h in x.hashes]) for x in (left, right)]
+        flat = np.concatenate([*left.hashes, *right.hashes])
+        row = np.repeat(np.arange(len(ia) + len(ib)), np.concatenate(sizes))
+        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        row, column = row[shared], column[shared]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(ia), len(ib)))
+        width = int(column[-1]) + 1 if len(column) else 0
+        for start in range(0, width, COLUMNS):
+            piece = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+            dense = np.zeros((len(ia) + len(ib), min(COLUMNS, width - start)), dtype=np.float32)
+            dense[row[piece], column[piece] - start] = 1
+            common += dense[: len(ia)] @ dense[len(ia) :].T
+        union = sizes[0][:, None] + sizes[1][None, :] - common
+        link = (den * common >= num * union) & (ia[:, None] != ib[None, :])
+        la, lb = ia.copy(), ib.copy()
+        top = np.iinfo(np.int64).max
+        while link.any():
+            na = np.minimum(la, np.where(link, lb[None, :], top).min(axis=1))
+            nb = np.minimum(lb, np.where(link, na[:, None], top).min(axis=0))
+            if (na == la).all() and (nb == lb).all():
+                break
+            la, lb = na, nb
+        ra, rb = link.any(axis=1), link.any(axis=0)
+        return pd.DataFrame({"id": np.concatenate((ia[ra], ib[rb])), "root": np.concatenate((la[ra], lb[rb]))})
+
+    return run
+
+
+def _confirmed(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, root): the links within clusters, by pairs of blocks of (cluster, id, hashes) rows."""
+    blocks = sets.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
+    rows = sets.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other)
+    rows = rows.select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "hashes",
+    )
+    return rows.groupBy("cluster", "i", "j").applyInPandas(_block_links(num, den), "id long, root long")
 
 
 def near_duplicates(
@@ -160,11 +198,11 @@ def near_duplicates(
     ``width``-word shingles; a component's least id is kept.
 
     Documents with equal sets form one class before any pairing, so a group of
-    exact copies of any size is one row from then on. Within a band each class
-    is first compared with the band's least class only. What is then still
-    apart is compared in full: members of a band outside its largest component
-    against all its members of other components, so no link is lost to the
-    shortcut and no group is expanded into all its pairs.
+    exact copies of any size is one row from then on. Classes that share a band
+    are joined to the band's least class, and what hangs together is a cluster:
+    two classes that meet in any band are in one. A cluster's full sets are
+    confirmed by pairs of blocks of bounded size, each a matrix product that
+    yields a forest of its links; pairs are never rows.
 
     Null, empty and separator-only texts: n_shingles 0, their own component,
     kept. Repeated rows give repeated output rows. A null id gets a null
@@ -178,47 +216,15 @@ def near_duplicates(
         member.select("id", "n", F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("id")).alias("cid")), "members"
     )
     distinct = member.filter("n > 0 and id = cid").select("id").distinct()
-    heads = filled.join(distinct, "id", "left_semi").dropDuplicates(["id"])
-    bands = materialize(heads.select("id", F.explode("bands").alias("band")), "bands")
+    bands = filled.join(distinct, "id", "left_semi").select("id", F.explode("bands").alias("band"))
     star = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    shared = bands.join(star, "band")
-    pairs = shared.filter("id > a").select("a", F.col("id").alias("b")).distinct()
-    floor = int(np.ceil(BINS * SKETCH_FLOOR * min(1.0, num / den / 0.85)))
-    faces = heads.select("id", "sketch")
-    likely = (
-        pairs.join(faces.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(faces.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        .filter(_agreement("sa", "sb") >= floor)
-        .select("a", "b")
-    )
-    likely = materialize(likely, "likely")
-    named = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = materialize(_confirm(likely, _full_sets(docs, named, width, id_col, text_col), num, den), "links")
-    found = materialize(connected_components(links, "a", "b"), "found")
-
-    # what is still apart within a band
-    placed = shared.select("band", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("band", "id", F.coalesce("component", "id").alias("comp"))
-    sized = placed.groupBy("band", "comp").agg(F.count("*").alias("k"))
-    main = sized.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("parts"))
-    main = main.filter("parts > 1").select("band", F.col("top.comp").alias("main"))
-    apart = materialize(placed.join(main, "band").join(faces, "id"), "apart")
-    few = apart.filter("comp <> main").select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-    all_ = apart.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), "main", F.col("sketch").alias("sb"))
-    rest = (
-        few.join(all_, "band")
-        .filter("ca <> cb and (cb = main or a < b)")
-        .filter(_agreement("sa", "sb") >= floor)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(likely, ["a", "b"], "left_anti")
+    meets = bands.join(star, "band").filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    cluster = materialize(connected_components(meets, "a", "b"), "clusters").select(
+        F.col("node").alias("id"), F.col("component").alias("cluster")
     )
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        named = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        more = materialize(_confirm(rest, _full_sets(docs, named, width, id_col, text_col), num, den), "more")
-        if not more.isEmpty():
-            found = materialize(connected_components(links.unionByName(more), "a", "b"), "found")
+    sets = _full_sets(docs, cluster.select("id"), width, id_col, text_col).join(cluster, "id")
+    links = materialize(_confirmed(sets, num, den), "links")
+    found = materialize(connected_components(links, "id", "root"), "found")
     out = member.join(found.withColumnRenamed("node", "cid"), "cid", "left")
     comp = F.coalesce("component", "cid")
     return out.select(
