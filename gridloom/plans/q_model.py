@@ -1 +1,127 @@
-"""Queries."""
+"""Features, labels, walk-forward models."""
+
+from pyspark.sql import functions as F
+
+from gridloom.functions.windows import by_asset, ratio
+from gridloom.operators import books, panel, stats
+from gridloom.plans.q_aggregates import ic_sql
+from gridloom.plans.registry import query
+from gridloom.plans.views import dense, on_panel, r
+
+_A = "over (partition by asset order by dt)"
+
+
+def _z(c):
+    return f"({c} - avg({c}) over (partition by dt)) / (stddev_samp({c}) over (partition by dt) + 1e-12)"
+
+
+_FEATURES = f"""f0 as (select dt, asset, bar_no, price, ln(lag(price, 4) {_A}) - ln(lag(price, 52) {_A}) as mom_long, ln(lag(price, 4) {_A}) - ln(lag(price, 26) {_A}) as mom_mid, ln(price) - ln(lag(price, 4) {_A}) as reversal,
+  case when count(ret) over v >= 13 then stddev_samp(ret) over v end as vol, price / case when count(price) over h >= 52 then max(price) over h end - 1 as high_ratio, lead(price, 4) {_A} / nullif(price, 0) - 1 as fwd from rets
+  window v as (partition by asset order by dt rows between 12 preceding and current row), h as (partition by asset order by dt rows between 51 preceding and current row)),
+f1 as (select dt, asset, bar_no, {', '.join(f'{_z(c)} as {c}' for c in panel.FEATURES)}, {_z('fwd')} as label from f0)"""
+
+
+@query("build_features", on_panel("w", f"{_FEATURES} select dt, asset, {', '.join(f'round({c}, 5) + 0.0 as {c}' for c in panel.FEATURES)} from f1"))
+def build_features(s, d):
+    return panel.build_features(dense(s, d)).select("dt", "asset", *(r(c, n=5) for c in panel.FEATURES))
+
+
+@query("build_labels", on_panel("w", f"{_FEATURES} select dt, asset, round(label, 5) + 0.0 as label from f1"))
+def build_labels(s, d):
+    return panel.build_labels(dense(s, d), 4).select("dt", "asset", r("label", n=5))
+
+
+_STACK = f"{_FEATURES}, sk as (select * from f1 where label is not null and " + " and ".join(f"{c} is not null" for c in panel.FEATURES) + ")"
+
+
+def stacked(s, d):
+    x = dense(s, d)
+    return panel.stack_panel(panel.build_features(x), panel.build_labels(x, 4))
+
+
+@query("stack_panel", on_panel("w", f"{_STACK} select dt, asset, round(mom_long, 5) + 0.0 as mom_long, round(label, 5) + 0.0 as label from sk"))
+def stack_panel(s, d):
+    return stacked(s, d).select("dt", "asset", r("mom_long", n=5), r("label", n=5))
+
+
+@query("walk_forward_windows", on_panel("w", "n as (select max(bar_no) as n from cal), w as (select unnest(range(150, n - 26 + 1, 26)) as lo from n) select cast((lo - 150) // 26 as int) as window_id, lo - 8 as train_end, lo as test_lo, lo + 26 as test_hi from w"))
+def walk_forward_windows(s, d):
+    w = _windows(s, d)
+    return w.select("window_id", *(F.col(c).cast("long").alias(c) for c in ("train_end", "test_lo", "test_hi")))
+
+
+def _windows(s, d):
+    return panel.walk_forward_windows(panel.calendar(dense(s, d)), 150, 26, 8)
+
+
+_XS = ["mom_mid", "reversal"]
+#: Closed form of a two-feature ridge with intercept from window moments.
+_RIDGE = f"""{_STACK}, n as (select max(bar_no) as n from cal), wn as (select cast((lo - 150) // 26 as int) as window_id, lo - 8 as train_end, lo as test_lo, lo + 26 as test_hi from (select unnest(range(150, n - 26 + 1, 26)) as lo from n)),
+mm as (select window_id, count(*) as n, avg(mom_mid) as ma, avg(reversal) as mb, avg(label) as my, count(*) * var_pop(mom_mid) + 10 as saa, count(*) * var_pop(reversal) + 10 as sbb, count(*) * covar_pop(mom_mid, reversal) as sab, count(*) * covar_pop(mom_mid, label) as say, count(*) * covar_pop(reversal, label) as sby from sk join wn on bar_no - 1 < train_end group by 1),
+be as (select *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) as ba, (sby * saa - say * sab) / (saa * sbb - sab * sab) as bb from mm),
+pr as (select w.window_id, k.dt, k.asset, my - ba * ma - bb * mb + ba * mom_mid + bb * reversal as pred, label from sk k join wn w on k.bar_no - 1 >= test_lo and k.bar_no - 1 < test_hi join be using (window_id))"""
+
+
+def predictions(s, d, alpha=10.0):
+    p = stacked(s, d).withColumn("pos", F.col("bar_no") - 1)
+    return stats.walk_forward_ridge(p, _windows(s, d), _XS, "label", alpha)
+
+
+@query("walk_forward_ridge", on_panel("w", f"{_RIDGE} select window_id, dt, asset, round(pred, 5) + 0.0 as pred from pr"))
+def walk_forward_ridge(s, d):
+    return predictions(s, d).select("window_id", "dt", "asset", r("pred", n=5))
+
+
+@query("walk_forward_ic", on_panel("w", f"{_RIDGE}, pq as (select dt, asset, round(pred, 9) as p, round(label, 9) as l from pr), {ic_sql('p', 'l', 5, 'pq')} select dt, round(ic, 5) + 0.0 as ic, n from ic"))
+def walk_forward_ic(s, d):
+    p = predictions(s, d).select("dt", "asset", F.round("pred", 9).alias("p"), F.round("label", 9).alias("l"))
+    return stats.rank_ic(p, "p", "l").select("dt", r("ic", n=5), "n")
+
+
+@query("ridge_alpha_select")
+def ridge_alpha_select(s, d):
+    """The grid value chosen per window on its own inner split."""
+    p = stacked(s, d).withColumn("pos", F.col("bar_no") - 1)
+    return stats.select_alpha(p, _windows(s, d), _XS, "label")
+
+
+@query("walk_forward_gbt")
+def walk_forward_gbt(s, d):
+    """Boosted trees on all features over the first window that has a full year of training rows, scored on its test rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    x = VectorAssembler(inputCols=list(panel.FEATURES), outputCol="x").transform(stacked(s, d).withColumn("pos", F.col("bar_no") - 1))
+    w = _windows(s, d).orderBy("window_id").first()
+    model = GBTRegressor(featuresCol="x", labelCol="label", maxDepth=3, maxIter=20, stepSize=0.05, seed=7)
+    fit = model.fit(x.filter(F.col("pos") < w.train_end))
+    test = x.filter((F.col("pos") >= w.test_lo) & (F.col("pos") < w.test_hi))
+    return fit.transform(test).select(F.lit(w.window_id).alias("window_id"), "dt", "asset", r("prediction", "pred"))
+
+
+@query("live_scores")
+def live_scores(s, d):
+    """One fit on fully labelled rows, scores and decile weights of the last date."""
+    x = dense(s, d)
+    f = panel.build_features(x).dropna(subset=_XS)
+    top = x.agg(F.max("bar_no").alias("top")).first().top
+    w = s.createDataFrame([(0, top - 4, top - 1, top)], "window_id int, train_end int, test_lo int, test_hi int")
+    p = f.join(panel.build_labels(x, 4).drop("bar_no"), ["dt", "asset"], "left").withColumn("pos", F.col("bar_no") - 1)
+    pred = stats.walk_forward_ridge(p, w, _XS, "label")
+    sc = pred.select("dt", F.lit(1).alias("bar_no"), "asset", F.round("pred", 12).alias("score"))
+    return books.decile_weights(sc, 0.1, 1).join(sc.select("asset", "score"), "asset").select("dt", "asset", r("score"), r("w"))
+
+
+@query("leak_probe", on_panel("w", f"f as (select dt, asset, round(lead(price, 4) {_A} / nullif(price, 0) - 1, 9) as fwd from dense), {ic_sql('fwd', 'fwd', 5, 'f')} select dt, round(ic, 6) + 0.0 as ic from ic"))
+def leak_probe(s, d):
+    x = dense(s, d).select("dt", "asset", F.round(ratio(F.lead("price", 4).over(by_asset()), F.col("price")) - 1, 9).alias("fwd"))
+    return stats.rank_ic(x.withColumn("leak", F.col("fwd")), "leak", "fwd").select("dt", r("ic"))
+
+
+@query("regime_probs")
+def regime_probs(s, d):
+    """P(calm) per asset and bar from a two-state Gaussian hidden Markov model refit on expanding windows, filtered only."""
+    from gridloom.operators.regime import regime_probabilities
+
+    x = dense(s, d).withColumn("ret", F.ln("price") - F.ln(F.lag("price").over(by_asset()))).filter("ret is not null")
+    return regime_probabilities(x.select("asset", "dt", "ret"), refit=52, least=104)

@@ -1 +1,80 @@
-"""Queries."""
+"""Streaming jobs drained once over the events table, and sinks written and read back."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from gridloom.plans.registry import query
+from gridloom.plans.views import table
+from gridloom.sources import sinks
+from gridloom.streaming import jobs
+
+
+def _folder(s, name):
+    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        s.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stream_daily_sum", "with d as (select cast(ts as date) as dt, event_type, round(sum(value), 4) as total, count(*) as n from events group by 1, 2) select * from d where dt + 1 <= (select max(ts) - interval 2 day from events)")
+def stream_daily_sum(s, d):
+    x = jobs.run_available(jobs.daily_sum(jobs.event_stream(s, d)), _folder(s, "daily"))
+    return x.select("dt", "event_type", F.round("total", 4).alias("total"), "n")
+
+
+@query("stream_trailing_counts")
+def stream_trailing_counts(s, d):
+    return jobs.run_available(jobs.trailing_counts(jobs.event_stream(s, d)), _folder(s, "trailing"))
+
+
+@query("stream_log_maturity", "select v.event_id as view_id, p.event_id as purchase_id, v.user_id, p.value from events v join events p on v.user_id = p.user_id and v.event_type = 'view' and p.event_type = 'purchase' and p.ts > v.ts and p.ts <= v.ts + interval 24 hour")
+def stream_log_maturity(s, d):
+    return jobs.run_available(jobs.matured(jobs.event_stream(s, d)), _folder(s, "matured"))
+
+
+@query("stream_kill_switch", "select user_id, bool_or(value <= 1.0) as tripped, count(*) as n from events group by 1")
+def stream_kill_switch(s, d):
+    stream = jobs.kill_switch(jobs.event_stream(s, d), 1.0)
+    path = _folder(s, "kill")
+
+    def keep(batch, _):
+        batch.write.mode("append").parquet(f"{path}/data")
+
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(conf)
+    s.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        s.conf.set(conf, before)
+    out = s.read.parquet(f"{path}/data")
+    return out.groupBy("user_id").agg(F.bool_or("tripped").alias("tripped"), F.sum("n").alias("n"))
+
+
+@query("write_once", "select o_orderkey, o_totalprice from orders")
+def write_once(s, d):
+    path = sinks.write_once(table(s, d, "orders").select("o_orderkey", "o_totalprice"), _folder(s, "record"), "2001-01-01")
+    return s.read.parquet(path)
+
+
+@query("log_dir_scan", "select date '1990-01-01' + cast(o_orderpriority[1:1] as int) as asof, o_orderkey as ticker, o_totalprice as weight from orders")
+def log_dir_scan(s, d):
+    """Dated weight logs written by date and scanned back; the date comes from the folder's name, as the file's is Spark's."""
+    path = _folder(s, "logs")
+    day = F.expr("date_add(date '1990-01-01', cast(substring(o_orderpriority, 1, 1) as int))")
+    table(s, d, "orders").select(day.alias("asof"), F.col("o_orderkey").alias("ticker"), F.col("o_totalprice").alias("weight")).write.partitionBy("asof").option("header", True).csv(path)
+    x = s.read.option("header", True).schema("ticker long, weight double").csv(f"{path}/*")
+    return x.select(F.to_date(F.regexp_extract("_metadata.file_path", r"asof=(\d{4}-\d\d-\d\d)", 1)).alias("asof"), "ticker", "weight")
+
+
+@query("sink_metrics", "select c_mktsegment as strategy_id, count(*) as n, round(avg(c_acctbal), 4) as mean from customer group by 1")
+def sink_metrics(s, d):
+    path = _folder(s, "metrics")
+    m = table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("strategy_id")).agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    sinks.write_metrics(m, path)
+    return s.read.schema("strategy_id string, n long, mean double").json(f"{path}/metrics")
