@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.bytetext import Chunk, chunks
+from gridloom.llm.store import small_batches
 
 MAX_LANGUAGES, DOCS_PER_LANGUAGE, SPAN = 64, 150, 3000
 BITS, LEXICON_SIZE, EPOCHS, SEQUENCE = 15, 20_000, 40, 40
@@ -274,6 +275,7 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     are ignored. The model's size is fixed by the sample's bounds, so it is sent
     to every task.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +290,7 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a language at score ``least`` or more, in their own columns, without a shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n = len(docs.columns)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bytetext import Chunk, chunks, lists, mix
 from gridloom.llm.components import connected_components
-from gridloom.llm.store import materialize
+from gridloom.llm.store import materialize, small_batches
 
 BINS, BAND_ROWS = 120, 5
 #: Members a block: a task confirms one pair of blocks. Columns multiplied at once there.
@@ -83,6 +83,7 @@ def fast_sketches(row: np.ndarray, value: np.ndarray, rows: int, bins: int = BIN
 
 def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, n_shingles, a 128-bit set signature and the sketch's band keys."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
