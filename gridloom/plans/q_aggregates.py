@@ -267,8 +267,7 @@ def graduation_hurdle(s, d):
     return stats.graduation_hurdle(grid).select("strategy_id", "trials", r("hurdle", n=8))
 
 
-@query("pbo_cscv", on_panel("w", """sr0 as (select dt, 'b' || (bar_no % 1) as x, asset as strategy_id, ret from rets where ret is not null),
-s5 as (select * from sr0 where strategy_id in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')),
+@query("pbo_cscv", on_panel("w", f"""{_STR}, s5 as (select * from st where ret is not null),
 dd as (select dt, cast(floor((row_number() over (order by dt) - 1) * 16 / count(*) over ()) as int) as block from (select distinct dt from s5)),
 bs as (select strategy_id, block, count(*) as n, sum(ret) as s, sum(ret * ret) as q from s5 join dd using (dt) group by 1, 2),
 sp as (select i as split from range(65536) t(i) where bit_count(i) = 8),
@@ -278,8 +277,7 @@ pr2 as (select split, strategy_id, max(case when side = 1 then sr end) as ins, m
 rk2 as (select *, row_number() over (partition by split order by round(ins, 12) desc, strategy_id) as best, count(*) over (partition by split order by round(oos, 12)) as rank, count(*) over (partition by split) as m from pr2)
 select count(*) as splits, round(avg(case when rank / (m + 1.0) <= 0.5 then 1.0 else 0 end), 5) as pbo, round(regr_slope(oos, ins), 5) + 0.0 as slope, round(avg(case when oos < 0 then 1.0 else 0 end), 5) as loss_prob from rk2 where best = 1"""))
 def pbo_cscv(s, d):
-    x = returns(s, d).filter(F.col("asset").isin(*(f"Brand#{i}" for i in range(1, 6)))).select("dt", F.col("asset").alias("strategy_id"), "ret")
-    return stats.pbo(x).select("splits", r("pbo", n=5), r("slope", n=5), r("loss_prob", n=5))
+    return stats.pbo(strategies(s, d)).select("splits", r("pbo", n=5), r("slope", n=5), r("loss_prob", n=5))
 
 
 @query("kelly_fraction", on_panel("w", f"{_STR} select strategy_id, round(greatest(0, coalesce(avg(ret) / nullif(var_samp(ret), 0), 0)), 5) + 0.0 as f from st group by 1"))
