@@ -29,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.curriculum_mix(_table(spark, sf_dir, "documents"))
     return mix.select(
-        "doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", F.col("taken").cast("long"),
+        "doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), F.round("target", 6).alias("target"), F.col("taken").cast("long"),
         "source", F.size("copies").cast("long").alias("copies"), F.round("position", 9).alias("position"),
     )
 
@@ -129,5 +129,44 @@ from d left join f using (payload_digest)
 """
 
 
+_MIX_SQL = """
+with z as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  md5('0:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+k as (select source, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from (select distinct source from z)),
+p as (select k.source, weight, s as source_size, 2.0::double * s as cap, 2.0::double * s / weight as ratio
+  from k join (select source, sum(size)::bigint as s from z group by source) q on k.source is not distinct from q.source),
+l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over o, 0)) / (sum(weight) over () - coalesce(sum(weight) over o, 0)) as level
+  from p window o as (order by ratio, source nulls last rows between unbounded preceding and 1 preceding)),
+f as (select arg_min(level, ratio) as fixed from l where level <= ratio),
+t as (select source, weight, source_size, least(cap, weight * fixed) as target from l, f),
+r as (select z.doc_id, z.source, size, source_size, weight, target, round(target)::bigint as goal,
+  coalesce(sum(size) over (partition by z.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from z join t on z.source is not distinct from t.source),
+w as (select *, greatest(least(size, goal - start), 0) as w1, greatest(least(size, goal - start - source_size), 0) as w2, start / nullif(target, 0) * weight as d from r)
+select doc_id, size, source_size, round(target, 6) as target, w1 + w2 as taken, source, ((w1 > 0)::int + (w2 > 0)::int)::bigint as copies,
+  case when w1 > 0 then round(case weight when 3 then (-1.5 + sqrt(2.25 + 6 * d)) / 3 when 1 then d else (3 - sqrt(9 - 4 * d)) / 2 end, 9) end as position
+from w
+"""
+
+_VECTOR_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+u as (select vec_id, e from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select a, b from l union select r.a, l.b from reach r join l on r.b = l.a),
+c as (select a, least(a, min(b)) as component_id from reach group by a),
+n as (select a, count(*) as n from l group by a)
+select v.vec_id, coalesce(n.n, 0) as n_links, coalesce(component_id, v.vec_id) as component_id, v.vec_id = coalesce(component_id, v.vec_id) as kept
+from v left join c on c.a = v.vec_id left join n on n.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.dice_sql(), "op6_chat_format": _CHAT_SQL, "op10_warc_archive": _WARC_SQL}
+    return {
+        "op1_mix_sources": _MIX_SQL,
+        "op5_license_scan": licenses.dice_sql(),
+        "op6_chat_format": _CHAT_SQL,
+        "op10_warc_archive": _WARC_SQL,
+        "op7_embedding_near_dup": _VECTOR_SQL,
+    }
