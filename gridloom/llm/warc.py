@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of payload a shard, compressed bytes a file, sampled keys, least payload that is deduplicated.
 SHARD_BYTES, ROLL_BYTES, SAMPLE_KEYS, LEAST_REVISIT = 16 << 20, 64 << 20, 20_000, 100
+#: Manifest rows (about 100 bytes each) that are broadcast to the readers.
+MAX_BROADCAST_FILES = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -89,12 +91,17 @@ def encode_record(row: dict, body: bytes) -> bytes:
 
 
 def _members(data: bytes) -> Iterator[bytes]:
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("a record's gzip member is cut off")
-        data = z.unused_data
+    """Decompressed gzip members; input is fed in pieces, so what follows a member isn't copied for each."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a record's gzip member is cut off")
+            piece = view[at : at + 16384]
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def decode_record(member: bytes) -> dict:
@@ -227,7 +234,12 @@ def read_archives(spark, folder: str) -> DataFrame:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    joined = manifest.join(found, "file", "left").select("file", "want", "content")
+    lost = manifest.join(found.select("file"), "file", "left_anti").first()
+    if lost:
+        raise ValueError(f"{lost.file} is missing")
+    # the manifest is sent to the tasks while it is small, so that contents stay where they are read
+    small = manifest.count() <= MAX_BROADCAST_FILES
+    joined = found.join(F.broadcast(manifest) if small else manifest, "file").select("file", "want", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {
@@ -236,8 +248,8 @@ def read_archives(spark, folder: str) -> DataFrame:
         }
         for batch in batches:
             for name, want, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if content is None or hashlib.sha256(content).hexdigest() != want:
-                    raise ValueError(f"{name} is missing or damaged")
+                if hashlib.sha256(content).hexdigest() != want:
+                    raise ValueError(f"{name} is damaged")
                 held: list[dict] = []
                 for member in _members(content):
                     held.append(decode_record(member))
