@@ -261,9 +261,9 @@ _RES = """rs as (select *, avg(x) over (partition by dt) as mx, avg(case when x
 select dt, asset, round(case when kx > 0 then case when x is not null and v is not null then v - mv - case when sxx > 1e-12 then sxy / sxx else 0 end * (x - mx) end else v - avg(v) over (partition by dt) end, 6) + 0.0 as w from rs"""
 
 
-@query("neutralize_pinv", on_panel("s", f"rv as (select dt, asset, round(ret, 6) as v, case when ret is not null then funding end as x from rets), {_RES}"))
+@query("neutralize_pinv", on_panel("s", f"rv as (select dt, asset, ret as v, case when ret is not null then funding end as x from rets), {_RES}"))
 def neutralize_pinv(s, d):
-    x = returns(s, d, "s").select("dt", "asset", F.round("ret", 6).alias("v"), "funding")
+    x = returns(s, d, "s").select("dt", "asset", F.col("ret").alias("v"), "funding")
     return books.residualise(x, "v", "funding").select("dt", "asset", r("v", "w"))
 
 

@@ -183,9 +183,9 @@ def ticker_catalog(s, d):
     return x.filter(F.col("exchange").isin("Brand#1", "Brand#2", "Brand#3") & F.col("start").try_cast("date").isNotNull()).select(F.upper("ticker").alias("ticker"), "kind")
 
 
-@query("factor_csv", "with m as (select last_day(cast(o_orderdate as date)) as dt, o_orderpriority as name, round(avg(o_totalprice) / 1000, 4) as a, cast(count(*) as double) as b from orders group by 1, 2) select name, dt, round(a / 100, 8) as mkt_rf, round(b / 100, 8) as smb, round((a + b) / 100, 6) as hml from m")
+@query("factor_csv", "with m as (select last_day(cast(o_orderdate as date)) as dt, o_orderpriority as name, (sum(cast(round(o_totalprice * 100) as bigint)) // (count(*) * 10)) / 10000.0::double as a, cast(count(*) as double) as b from orders group by 1, 2) select name, dt, round(a / 100, 8) as mkt_rf, round(b / 100, 8) as smb, round((a + b) / 100, 6) as hml from m")
 def factor_csv(s, d):
-    m = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.date_format("o_orderdate", "yyyyMM").alias("k")).agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("a"), F.count("*").cast("double").alias("b"))
+    m = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.date_format("o_orderdate", "yyyyMM").alias("k")).agg((F.floor(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / (F.count("*") * 10)) / F.lit(10000.0)).alias("a"), F.count("*").cast("double").alias("b"))
     body = F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "k", "a", "b", (F.col("a") + F.col("b")).cast("string")))), "\n")
     docs = m.groupBy("name").agg(F.concat(F.lit("created by\n\n ,Mkt-RF,SMB,HML\n"), body, F.lit("\n\n Annual Factors\n,Mkt-RF,SMB,HML\n1995,1,2,3\n199501,9,9,9\n")).alias("text"))
     return ps.factor_section(docs).select("name", "dt", F.round("mkt_rf", 8).alias("mkt_rf"), F.round("smb", 8).alias("smb"), F.round("hml", 6).alias("hml"))
