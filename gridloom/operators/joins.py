@@ -83,7 +83,7 @@ def events_to_bars(events: DataFrame, cal: DataFrame, date: str, lag: int = 0) -
     """Last bar at or before each event date, plus ``lag`` bars; events outside the calendar are dropped."""
     e = events.withColumn("_side", F.lit(1)).withColumn("dt", F.col(date)).withColumn("bar_no", F.lit(None).cast("int"))
     c = cal.select("dt", F.col("bar_no").cast("int").alias("bar_no"), F.lit(0).alias("_side"))
-    # one calendar row per date reaches every event of its year-month bucket's future by carrying forward per bucket
+    # the one global window runs over distinct dates; events then join on their date
     dates = e.select("dt").distinct().withColumn("_side", F.lit(1)).withColumn("bar_no", F.lit(None).cast("int"))
     w = W.orderBy("dt", "_side").rowsBetween(W.unboundedPreceding, 0)
     found = dates.unionByName(c).withColumn("bar_no", last_known(F.col("bar_no"), w)).filter("_side = 1").select("dt", "bar_no")

@@ -167,9 +167,6 @@ def filer_ids(s, d):
     return table(s, d, "orders").select(F.col("o_custkey").alias("entity")).distinct()
 
 
-_MKT = "mr as (select dt, avg(ret) as ret from rets group by dt having avg(ret) is not null)"
-
-
 def strategies(s, d, kind="w"):
     """Three return series: the market, the high-funding and the low-funding half."""
     x = returns(s, d, kind).filter("ret is not null")

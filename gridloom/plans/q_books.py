@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.windows import by_asset, by_date, gated, ratio, simple_return, trailing, zscore
+from gridloom.functions.windows import by_asset, by_date, gated, ratio, trailing, zscore
 from gridloom.operators import books, panel, pnl, signals, stats
 from gridloom.plans.registry import query
 from gridloom.plans.views import dense, on_panel, r, returns, table
@@ -212,9 +212,6 @@ def cohort_quantiles(s, d):
     return x.select("cohort", "n", r("lo", n=5), r("hi", n=5)).distinct()
 
 
-_LAST = "cast((select max(l_shipdate) from lineitem) as date)"
-
-
 @query("sue_book", f"""with {_SUE}, v as (select 'S' || lpad(cast(l_suppkey as varchar), 5, '0') as ticker, stddev_samp(l_discount) as vol from lineitem group by 1),
 b as (select ticker, arg_max(sue, {{'a': ann_date, 'k': o_orderkey}}) as sue from sue where ann_date <= date '1999-06-30' group by ticker),
 i as (select ticker, sue, sign(sue) / vol as x from b join v using (ticker) where abs(sue) > 1.5 and vol > 0)
@@ -367,9 +364,6 @@ def engine_backtest(s, d):
     return out.select("dt", r("gross"), r("cost"))
 
 
-_WEEK = "w0 as (select dt, asset, price, w from wt join dense using (dt, asset) where wt.bar_no = 101)"
-
-
 @query("target_shares", on_panel("w", f"{_MOM}, {_DECILE}, w0 as (select wt.asset, wt.w, price from wt join dense d on d.dt = wt.dt and d.asset = wt.asset where wt.bar_no = 101) select asset, cast(round_even(w * 1000000 / nullif(price, 0), 0) as bigint) as shares from w0"))
 def target_shares(s, d):
     return _targets(s, d, 101).select("asset", "shares")

@@ -1,6 +1,5 @@
 """Time-axis and cross-section windows over panels."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import windows as fw

@@ -281,5 +281,5 @@ def test_readers(spark, tmp_path):
 def test_regimes_separate_calm_from_wild():
     rng = np.random.default_rng(1)
     x = np.concatenate((rng.normal(0, 0.01, 300), rng.normal(0, 0.05, 200)))
-    mu, var, a, pi = fit_two_states(x)
+    _, var, a, _ = fit_two_states(x)
     assert np.sqrt(var[0]) == pytest.approx(0.01, rel=0.2) and np.sqrt(var[1]) == pytest.approx(0.05, rel=0.2) and a[0, 0] > 0.95
