@@ -11,7 +11,6 @@ is DataFrame expressions in one pass over the texts, without a shuffle of text.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
