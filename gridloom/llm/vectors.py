@@ -1,27 +1,29 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products, one kept per group.
-
-Every vector joins its ``PROBES`` nearest cells and is compared with all members
-of each. A pair at cosine 0.95 shares one of 8 cells in all of 4,000 trials on
-each of 128, 512 and 1,024 cells of 64-dimensional vectors without clusters, the
-least favourable case, so recall is well above 0.999. A pair that meets in
-several cells counts in the first of them. Cells are cut into blocks of bounded
-size; a block pair is one matrix product in double precision, which yields each
-member's number of links and a spanning forest of the links, never the pairs.
+"""Embedding near-duplicates: spherical k-means cells, exact bounds between them, blocked cosine products, one kept per group.
+
+Every vector is owned by the cell of its nearest centroid; cells are cut into
+blocks of bounded size, packed as one row each. Unit vectors at cosine t are at
+distance r = sqrt(2 - 2t) at most. Two blocks are skipped only if their least
+projections on the line between their centroids lie more than r apart, so no
+link is missed, whatever the vectors. Vectors without clusters allow little to
+be skipped: the products then grow with the square of the number of vectors. A
+block pair is one matrix product in single precision with a margin, confirmed in
+double precision, which yields each member's number of links and a spanning
+forest of the links, never the pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from gridloom.llm.components import connected_components
 from gridloom.llm.store import materialize
 
-#: Bounds of the centroids' fit and number: sampled vectors, vectors a cell, cells. Cells a vector joins, rows a block.
-SAMPLE, CELL_ROWS, MAX_CELLS, PROBES, BLOCK_ROWS, ITERATIONS = 20_000, 100, 2048, 8, 512, 6
+#: Bounds of the centroids' fit and number: sampled vectors, vectors a cell, cells. Rows and bytes of a block, rows of a product.
+SAMPLE, CELL_ROWS, MAX_CELLS, BLOCK_ROWS, BLOCK_BYTES, TILE_ROWS, ITERATIONS = 20_000, 4096, 2048, 8192, 1 << 22, 2048, 6
 
 
 def usable(vector: Column) -> Column:
@@ -54,85 +56,119 @@ def spherical_kmeans(sample: np.ndarray, k: int, seed: int = 0, iterations: int
     return centroid
 
 
-def _cells(classes: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(cell, cells, id, copies, vector): each class in its nearest cells."""
-    shared = classes.sparkSession.sparkContext.broadcast(centroids)
+def _owned(classes: DataFrame, shared, kind: str) -> DataFrame:
+    """(cell, id, copies, v): each class in the cell of its nearest centroid, its vector as bytes."""
 
     def run(batches):
-        c = shared.value
-        probes = min(PROBES, len(c))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                v = part.column(2)
-                near = _unit(v.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)) @ c.T
-                cells = np.sort(np.argpartition(-near, probes - 1, axis=1)[:, :probes].astype(np.int32), axis=1)
-                bounds = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * probes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(bounds, pa.array(cells.ravel())), *part.columns], names=["cells", "id", "copies", "vector"]
-                )
-
-    rows = classes.select("id", "copies", "vector").mapInArrow(run, "cells array<int>, id long, copies long, vector array<double>")
-    return rows.select(F.explode("cells").alias("cell"), "cells", "id", "copies", "vector")
-
-
-def _block_links(cosine: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = int(pdf.cell.iloc[0])
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        alone = right.empty  # a block with itself
-        if alone:
-            right = left
-        ia, ib = left.id.to_numpy(), right.id.to_numpy()
-        a, b = _unit(np.stack(left.vector.to_numpy())), _unit(np.stack(right.vector.to_numpy()))
-        link = (a @ b.T >= cosine) & (ia[:, None] != ib[None, :])
-        ra, rb = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
-        if len(ra) == 0:
-            return pd.DataFrame({"id": [], "n": [], "root": []}, dtype=np.int64)
-        left, right, link = left.iloc[ra], right.iloc[rb], link[np.ix_(ra, rb)]
-        # a pair counts in the first cell that both have joined
-        known = np.unique(np.concatenate([*left.cells, *right.cells]))
-        known = known[known < cell]
-        if len(known):
-            has = [np.stack([np.isin(known, x) for x in side.cells]).astype(np.float32) for side in (left, right)]
-            first = link & (has[0] @ has[1].T == 0)
-        else:
-            first = link
-        la, lb = ia[ra].copy(), ib[rb].copy()
-        out = [pd.DataFrame({"id": ia[ra], "n": first @ right.copies.to_numpy()})]
-        if not alone:
-            out.append(pd.DataFrame({"id": ib[rb], "n": first.T @ left.copies.to_numpy()}))
-        top = np.iinfo(np.int64).max
-        while True:
-            na = np.minimum(la, np.where(link, lb[None, :], top).min(axis=1))
-            nb = np.minimum(lb, np.where(link, na[:, None], top).min(axis=0))
-            if (na == la).all() and (nb == lb).all():
-                break
-            la, lb = na, nb
-        for frame, root in zip(out, (la, lb), strict=False):
-            frame["root"] = root
-        return pd.concat(out)
+                v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                cell = (_unit(v) @ shared.value.T).argmax(axis=1).astype(np.int32)
+                data = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column(0), part.column(1), data], names=["cell", "id", "copies", "v"])
+
+    return classes.select("id", "copies", "vector").mapInArrow(run, "cell int, id long, copies long, v binary")
+
+
+def _pack(shared, kind: str):
+    """One row per block; ``least`` holds, per centroid, the least projection of a member towards its own and away from that one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c, cell = shared.value, table["cell"][0].as_py()
+        data = b"".join(table["v"].to_pylist())
+        near = _unit(np.frombuffer(data, kind).reshape(table.num_rows, -1)) @ c.T
+        gap = np.sqrt(np.square(c[cell] - c).sum(axis=1))
+        apart = gap > 1e-6
+        least = np.full(len(c), -4.0)  # less than any: never skipped
+        least[apart] = (near[:, cell, None] - near[:, apart]).min(axis=0) / gap[apart]
+        row = {"block": table["block"][0].as_py(), "cell": cell, "least": least, "ids": table["id"].to_numpy(), "copies": table["copies"].to_numpy()}
+        return pa.table({k: pa.array([x]) for k, x in row.items()} | {"v": pa.array([data], pa.binary())}).cast(_PACKED)
 
     return run
 
 
-def _links(classes: DataFrame, count: int, cosine: float) -> DataFrame:
+_PACKED = pa.schema({
+    "block": pa.int64(), "cell": pa.int32(), "least": pa.list_(pa.float64()), "ids": pa.list_(pa.int64()), "copies": pa.list_(pa.int64()), "v": pa.binary()
+})
+
+
+def _block_links(shared, kind: str, cosine: float):
+    reach = np.sqrt(max(2 - 2 * cosine, 0)) + 1e-9
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = []
+        for k in np.argsort(table["side"].to_numpy()):
+            ids, copies = (table[x][int(k)].values.to_numpy() for x in ("ids", "copies"))
+            sides.append((table["cell"][int(k)].as_py(), ids, copies, _unit(np.frombuffer(table["v"][int(k)].as_py(), kind).reshape(len(ids), -1))))
+        alone = len(sides) == 1  # a block with itself
+        (cell, ia, wa, a), (other, ib, wb, b) = sides[0], sides[-1]
+        if cell != other:  # members too far from the other side along the line between the centroids
+            line = shared.value[cell] - shared.value[other]
+            line = line / max(np.sqrt(line @ line), 1e-300)
+            pa_, pb = a @ line, b @ line
+            ua, ub = pa_ <= pb.max() + reach, pb >= pa_.min() - reach
+            ia, wa, a, ib, wb, b = ia[ua], wa[ua], a[ua], ib[ub], wb[ub], b[ub]
+        na, nb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+        edges = [np.zeros((0, 2), np.int64)]
+        low = np.float32(cosine - 1e-6 - 2.5e-7 * a.shape[1])
+        b32 = b.astype(np.float32).T
+        for at in range(0, len(ia), TILE_ROWS):
+            hit = a[at : at + TILE_ROWS].astype(np.float32) @ b32 >= low
+            ra, rb = np.flatnonzero(hit.any(axis=1)) + at, np.flatnonzero(hit.any(axis=0))
+            if len(ra) == 0:
+                continue
+            link = (a[ra] @ b[rb].T >= cosine) & (ia[ra][:, None] != ib[rb][None, :])
+            ua, ub = link.any(axis=1), link.any(axis=0)
+            ra, rb, link = ra[ua], rb[ub], link[np.ix_(ua, ub)]
+            if len(ra) == 0:
+                continue
+            na[ra] += link @ wb[rb]
+            nb[rb] += link.T @ wa[ra]
+            la, lb, top = ia[ra], ib[rb], np.iinfo(np.int64).max
+            while True:
+                ma = np.minimum(la, np.where(link, lb[None, :], top).min(axis=1))
+                mb = np.minimum(lb, np.where(link, ma[:, None], top).min(axis=0))
+                if (ma == la).all() and (mb == lb).all():
+                    break
+                la, lb = ma, mb
+            edges += [np.stack((ia[ra], la), axis=1), np.stack((ib[rb], lb), axis=1)]
+        edge = np.unique(np.concatenate(edges), axis=0)
+        count = [(ia, na)] if alone else [(ia, na), (ib, nb)]
+        i, n = (np.concatenate(x) for x in zip(*((i[n > 0], n[n > 0]) for i, n in count), strict=True))
+        none = np.zeros(len(edge), np.int64)
+        out = {"id": (i, edge[:, 0]), "n": (n, none), "root": (i, edge[:, 1])}
+        return pa.table({k: pa.array(np.concatenate(x), pa.int64()) for k, x in out.items()})
+
+    return run
+
+
+def _links(classes: DataFrame, count: int, dim: int, cosine: float, kind: str) -> DataFrame:
     """(id, n, root): links of classes of one dimension, by block pair."""
     stride = max(1, -(-count // SAMPLE))
     sample = classes.filter(F.pmod(F.xxhash64("id"), F.lit(stride)) == 0).select("vector").toPandas()
     if sample.empty:
         sample = classes.select("vector").limit(1).toPandas()
     unit = _unit(np.stack([np.asarray(v) for v in sample.vector]))
-    centroids = spherical_kmeans(unit, int(np.clip(-(-count // CELL_ROWS), 1, MAX_CELLS)))
-    rows = materialize(_cells(classes, centroids), "cells")
-    size = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
-    rows = rows.join(size, "cell").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(
-        "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "cells", "id", "copies", "vector",
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (dim * np.dtype(kind).itemsize)))
+    centroids = spherical_kmeans(unit, int(np.clip(-(-count // min(CELL_ROWS, most)), 1, MAX_CELLS)))
+    shared = classes.sparkSession.sparkContext.broadcast(centroids)
+    rows = materialize(_owned(classes, shared, kind), "cells")
+    size = rows.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("long").alias("blocks"))
+    rows = rows.join(F.broadcast(size), "cell").withColumn("block", F.col("cell").cast("long") * (1 << 31) + F.pmod(F.xxhash64("id"), "blocks"))
+    packed = rows.select("cell", "block", "id", "copies", "v").groupBy("block").applyInArrow(
+        _pack(shared, kind), "block long, cell int, least array<double>, ids array<long>, copies array<long>, v binary"
     )
-    return rows.groupBy("cell", "i", "j").applyInPandas(_block_links(cosine), "id long, n long, root long")
+    packed = materialize(packed, "blocks")
+    one = packed.select(F.col("block").alias("i"), F.col("cell").alias("ci"), F.col("least").alias("li"))
+    two = packed.select(F.col("block").alias("j"), F.col("cell").alias("cj"), F.col("least").alias("lj"))
+    reach = float(np.sqrt(max(2 - 2 * cosine, 0))) + 1e-9
+    met = (F.col("i") <= F.col("j")) & (F.get("li", F.col("cj")) + F.get("lj", F.col("ci")) <= reach)
+    pairs = materialize(one.join(F.broadcast(two), met).select("i", "j"), "pairs")
+    packed = packed.drop("least")
+    left = packed.join(F.broadcast(pairs), packed.block == pairs.i).withColumn("side", F.lit(0))
+    right = packed.join(F.broadcast(pairs.filter("i < j")), F.col("block") == F.col("j")).withColumn("side", F.lit(1))
+    return left.unionByName(right).drop("block").groupBy("i", "j").applyInArrow(_block_links(shared, kind, cosine), "id long, n long, root long")
 
 
 def vector_duplicates(
@@ -153,9 +189,11 @@ def vector_duplicates(
         F.min_by(F.struct("id", "vector"), "id").alias("first"), F.count("*").alias("copies")
     )
     classes = materialize(classes.select("key", "first.id", "copies", "first.vector"), "classes")
+    known = vectors.schema[vector_col].dataType
+    kind = "f4" if isinstance(known, ArrayType) and isinstance(known.elementType, FloatType) else "f8"
     found = None
     for dim in classes.groupBy(F.size("vector").alias("d")).count().filter("count > 1").collect():
-        part = _links(classes.filter(F.size("vector") == dim.d), dim["count"], cosine)
+        part = _links(classes.filter(F.size("vector") == dim.d), dim["count"], dim.d, cosine, kind)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "id long, n long, root long")

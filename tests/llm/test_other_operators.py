@@ -82,6 +82,24 @@ def test_vectors_match_brute_force(spark):
     assert vectors.vector_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_miss_nothing_in_a_hot_cluster(spark):
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=(1, 64)) + rng.normal(size=(1200, 64)) * 0.2121
+    far = rng.normal(size=(800, 64))
+    all_ = np.concatenate([hot, far, far[:9] + rng.normal(size=(9, 64)) * 0.1]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(all_)], "vec_id long, embedding array<float>")
+    old, vectors.CELL_ROWS = vectors.CELL_ROWS, 20  # a hundred cells, of which the cluster draws over half
+    try:
+        got = {r.vec_id: r.n_links for r in vectors.vector_duplicates(df).collect()}
+        wide = {r.vec_id: r.n_links for r in vectors.vector_duplicates(df.withColumn("embedding", F.col("embedding").cast("array<double>"))).collect()}
+    finally:
+        vectors.CELL_ROWS = old
+    v = all_.astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = dict(enumerate((v @ v.T >= 0.95).sum(axis=1) - 1))
+    assert sum(want.values()) > 100_000 and got == want and wide == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 100)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
