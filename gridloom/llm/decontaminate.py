@@ -94,8 +94,8 @@ def canonical_words(c: Chunk, lower: Chunk) -> tuple[np.ndarray, np.ndarray, np.
     return row, canonical, np.where(kind > 0, word, np.uint64(0)), word
 
 
-def _window_rows(texts: DataFrame, wanted=None) -> DataFrame:
-    """(id, window, pos, n_windows, slots) for all windows, or those whose hash is in the sorted ``wanted``."""
+def _window_rows(texts: DataFrame, document: bool, wanted=None) -> DataFrame:
+    """(id, window, pos, n_windows, slots) for all windows of documents or items, or those whose hash is in the sorted ``wanted``."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def _window_rows(texts: DataFrame, wanted=None) -> DataFrame:
                 # each window as it is; word for word, for texts whose case hides the names; and on the document
                 # side with a plain first word, which a passage pasted into a sentence has capitalised
                 slotted = at[sum((slot[at + k] != 0).astype(np.int64) for k in range(WIDTH)) > 0]
-                opening = at[slot[at] != 0] if known is not None else at[:0]
+                opening = at[slot[at] != 0] if document else at[:0]
                 at = np.concatenate((at, slotted, opening))
                 kind = np.repeat([0, 1, 2], [len(at) - len(slotted) - len(opening), len(slotted), len(opening)])
                 window = np.zeros(len(at), dtype=np.uint64)
@@ -161,7 +161,7 @@ def contaminated_documents(
     are judged together. Rows with a null id are left out, other columns ignored.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("t"))
-    items = materialize(_window_rows(items.filter("id is not null").distinct()), "bench")
+    items = materialize(_window_rows(items.filter("id is not null").distinct(), document=False), "bench")
     bench = items.select(
         F.col("id").alias("item_id"), "window", F.col("pos").alias("item_pos"),
         F.col("n_windows").alias("item_windows"), F.col("slots").alias("item_slots"),
@@ -174,7 +174,7 @@ def contaminated_documents(
         if len(found) == 0:
             wanted = spark.sparkContext.broadcast(np.array([0], dtype=np.int64))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    hits = _window_rows(texts.filter("id is not null"), wanted).drop("n_windows").join(bench, "window")
+    hits = _window_rows(texts.filter("id is not null"), document=True, wanted=wanted).drop("n_windows").join(bench, "window")
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     slot_pairs = F.filter(
         F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"] != 0

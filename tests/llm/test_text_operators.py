@@ -187,6 +187,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_documents(empty(spark), bench).count() == 0
 
 
+def test_decontamination_is_the_same_without_broadcast(spark):
+    item = "Tom has 3 apples and Ann has 17 kg of pears but Tom wants 3 more than Ann today"
+    docs = [(1, f"We know that {item}".replace(" 3 ", " 5 "), "en", "a", 0), (2, item, "en", "a", 0), (3, "The house was so " + item[4:], "en", "a", 0), (4, "nothing of it is here at all", "en", "a", 0)]
+    docs, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, item), (2, "Paris is so far from the sea")], "item_id long, text string")
+    docs = docs.unionByName(spark.createDataFrame([(5, "We think that Paris is so far from the sea", "en", "a", 0)], SCHEMA))
+    with_broadcast = sorted(decontaminate.contaminated_documents(docs, bench, threshold=1.0).collect())
+    old, decontaminate.MAX_BROADCAST_WINDOWS = decontaminate.MAX_BROADCAST_WINDOWS, 0
+    try:
+        assert sorted(decontaminate.contaminated_documents(docs, bench, threshold=1.0).collect()) == with_broadcast
+    finally:
+        decontaminate.MAX_BROADCAST_WINDOWS = old
+    assert {(1, 1), (5, 2)} <= {(r.doc_id, r.item_id) for r in with_broadcast}
+
+
 def test_every_verbatim_benchmark_passage_is_found(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
