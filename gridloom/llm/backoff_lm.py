@@ -2,8 +2,10 @@
 
 States are the contexts seen in training and a root. A context's arcs are the
 bigrams it starts, weighted log10((c(uw) - D) / c(u)); its failure arc leads to
-the root and weighs log10 of the discounted mass of contexts of its frequency
-(powers of two). The root has an arc for every word, weighted by the additive
+the root. With ``normalised`` it weighs log10 of the context's own discounted
+mass over the root's mass of the words that the context has no arc for, so that
+each state's probabilities add up to 1; without, log10 of the discounted mass of
+all contexts of its frequency (powers of two). The root has an arc for every word, weighted by the additive
 unigram estimate. A text is read left to right: the state is the last word, a
 missing arc takes the failure arc first, and the weights add up. A word that
 training doesn't hold leads to the root, without a failure weight.
@@ -12,7 +14,9 @@ The model is as large as the corpus and is never gathered in one place. Texts
 are cut into blocks. A block asks for the counts of its distinct words and
 bigrams, one packed request per hash range; a range's task adds up the requests
 of all blocks and answers each; the block's task reads its text again with the
-answers. What moves is the texts once, compressed, and a few bytes per distinct
+answers. ``normalised`` sends a second round of requests by context: the distinct
+continuations a block owns and the sum of their words' counts, as integers, added
+up and answered in the same way. What moves is the texts once, compressed, and a few bytes per distinct
 key of a block.
 """
 
@@ -36,8 +40,10 @@ _END, _BEGIN = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 
 def _pack(values: np.ndarray) -> bytes:
     """Byte planes of integers, compressed: zero planes vanish."""
+    if len(values) == 0:
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
@@ -204,7 +210,7 @@ def _read_answers(answers: list[dict], kind: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(total).astype(np.float64), np.concatenate(owned)
 
 
-def _walk(tokens: int, vocabulary: int, sequences: int):
+def _walk(tokens: int, vocabulary: int, sequences: int, bits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers, out = right.to_pylist(), []
         for r in left.to_pylist():
@@ -229,6 +235,27 @@ def _walk(tokens: int, vocabulary: int, sequences: int):
             new = np.bincount(first[owned], minlength=CLASSES)
             mass = np.bincount(level[t.learn & (state > 0)], minlength=CLASSES)
             none = [None] * (docs - 1)
+            # per context that fails here or owns bigrams: its key, its owned bigrams and the sum of their words' counts
+            context, place = np.unique(t.context, return_inverse=True)
+            begun, ahead = np.zeros((2, len(pairs)), np.int64)
+            begun[t.at[1]], ahead[t.at[1]] = place, c
+            grown = np.bincount(begun[owned], minlength=len(context))
+            use = (grown > 0) | (np.bincount(place[fails], minlength=len(context)) > 0)
+            seen = np.zeros(len(context), np.int64)
+            seen[place] = state
+            covered = np.zeros(len(context), np.int64)
+            np.add.at(covered, begun[owned], ahead[owned])
+            renumber = np.cumsum(use) - 1
+            which, times = np.unique(t.doc[fails] * len(context) + renumber[place[fails]], return_counts=True)
+            cut = np.searchsorted(context[use] >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+            asked = [
+                {"range": int(s), "n": int(cut[s + 1] - cut[s])}
+                | {"keys": _pack(np.diff(context[use][cut[s] : cut[s + 1]], prepend=np.uint64(0)))}
+                | {k: _pack(x[use][cut[s] : cut[s + 1]]) for k, x in (("grown", grown), ("covered", covered))}
+                for s in np.flatnonzero(np.diff(cut))
+            ]
+            failing = {"docs": docs, "n": len(which), "doc": _pack(which // len(context)), "at": _pack(which % len(context)), "times": _pack(times),
+                       "seen": _pack(seen[use]), "contexts": int(use.sum())}
             out.append(pa.table({
                 "doc_id": pa.array(r["ids"], pa.int64()),
                 "train": pa.array(r["train"], pa.bool_()),
@@ -239,24 +266,72 @@ def _walk(tokens: int, vocabulary: int, sequences: int):
                 "failed": pa.array(list(failed), pa.list_(pa.int64())),
                 "new": pa.array([list(new), *none], pa.list_(pa.int64())),
                 "mass": pa.array([list(mass), *none], pa.list_(pa.int64())),
+                "block": pa.array([r["block"]] * docs, pa.int64()),
+                "place": pa.array(np.arange(docs), pa.int32()),
+                "asked": pa.array([asked, *none], _ASKED),
+                "failing": pa.array([failing, *none], _FAILING),
             }))
         return pa.concat_tables(out) if out else None
 
     return run
 
 
+_ASKED = pa.list_(pa.struct({"range": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "grown": pa.binary(), "covered": pa.binary()}))
+_FAILING = pa.struct({"docs": pa.int64(), "n": pa.int64(), "doc": pa.binary(), "at": pa.binary(), "times": pa.binary(), "seen": pa.binary(), "contexts": pa.int64()})
 _WALKED = (
     "doc_id long, train boolean, n_tokens long, n_known long, base_score double, walked double, "
-    "failed array<long>, new array<long>, mass array<long>"
+    "failed array<long>, new array<long>, mass array<long>, block long, place int, "
+    "asked array<struct<range:int,n:long,keys:binary,grown:binary,covered:binary>>, "
+    "failing struct<docs:long,n:long,doc:binary,at:binary,times:binary,seen:binary,contexts:long>"
 )
 
 
-def score_documents(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _context_answers(table: pa.Table) -> pa.Table:
+    """(block, range, n, grown, covered): per request its contexts' distinct continuations and the sum of their words' counts."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    keys = np.concatenate([np.cumsum(_unpack(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    out = {k: [r[k] for r in rows] for k in ("block", "range", "n")}
+    for name in ("grown", "covered"):
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, np.concatenate([_unpack(r[name], r["n"], np.int64) for r in rows]))
+        total, out[name], at = total[inverse], [], 0
+        for r in rows:
+            out[name].append(_pack(total[at : at + r["n"]]))
+            at += r["n"]
+    return pa.table({k: pa.array(x, t) for (k, x), t in zip(out.items(), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+
+
+def _failures(tokens: int, vocabulary: int):
+    """(block, place, failure): per document the sum of its failure weights."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(right.to_pylist(), key=lambda r: r["range"])
+        blocks, places, sums = [], [], []
+        for r in left.to_pylist():
+            f = r["failing"]
+            grown, covered = (np.concatenate([np.zeros(0, np.int64), *(_unpack(a[k], a["n"], np.int64) for a in rows)]) for k in ("grown", "covered"))
+            root = (covered + 0.1 * grown) / (tokens + 0.1 * (vocabulary + 1))
+            weight = np.log10(np.maximum(DISCOUNT * grown, 1e-300) / np.maximum(_unpack(f["seen"], f["contexts"], np.int64), 1) / (1 - root))
+            doc, at, times = (_unpack(f[k], f["n"], np.int64) for k in ("doc", "at", "times"))
+            sums.append(np.bincount(doc, weights=weight[at] * times, minlength=f["docs"]))
+            blocks.append(np.full(f["docs"], r["block"]))
+            places.append(np.arange(f["docs"], dtype=np.int32))
+        kinds = (pa.int64(), pa.int32(), pa.float64())
+        columns = [np.concatenate(x) if x else [] for x in (blocks, places, sums)]
+        return pa.table({k: pa.array(x, t) for k, x, t in zip(("block", "place", "failure"), columns, kinds, strict=True)})
+
+    return run
+
+
+def score_documents(
+    docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", normalised: bool = False
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` marks the rows to learn from (:func:`training_part` of the id by
-    default); score is the automaton's log10 probability, base_score that of the
-    root alone. Null and empty texts are the end token alone. Repeated rows give
+    default); score is the sum of the automaton's weights, with ``normalised`` a
+    log10 probability, base_score that of the root alone. Null and empty texts are the end token alone. Repeated rows give
     repeated rows and count as often. With nothing to learn from, both scores
     are those of the uniform root. Other columns are ignored.
     """
@@ -269,9 +344,20 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_col: str =
     sequences = stats.filter("z.train").count()
     vocabulary = answers.filter("kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     walked = blocks.groupBy("block").cogroup(answers.drop("distinct").groupBy("block")).applyInArrow(
-        _walk(tokens, vocabulary, sequences), _WALKED
+        _walk(tokens, vocabulary, sequences, bits), _WALKED
     )
     walked = materialize(walked, "walked")
+    if normalised:
+        held = walked.filter("failing is not null")
+        asked = held.select("block", F.explode("asked").alias("a")).select("block", "a.*")
+        told = asked.groupBy("range").applyInArrow(_context_answers, "block long, range int, n long, grown binary, covered binary")
+        failures = held.select("block", "failing").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+            _failures(tokens, vocabulary), "block long, place int, failure double"
+        )
+        return walked.join(failures, ["block", "place"]).select(
+            "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+            F.lit(tokens).cast("long").alias("train_tokens"), "base_score", (F.col("walked") + F.col("failure")).alias("score"),
+        )
     sums = [F.coalesce(F.sum(F.col(c)[i]), F.lit(0)).alias(f"{c}{i}") for c in ("new", "mass") for i in range(CLASSES)]
     level = walked.filter("new is not null").agg(*sums).first()
     weight = []

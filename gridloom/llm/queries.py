@@ -76,7 +76,7 @@ def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score_documents(_table(spark, sf_dir, "documents"))
+    return backoff_lm.score_documents(_table(spark, sf_dir, "documents"), normalised=True)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,48 @@ def test_language_model_matches_brute_force(spark, docs, rows):
     assert backoff_lm.score_documents(empty(spark)).count() == 0
 
 
+def test_language_model_states_sum_to_one(spark):
+    train = ["a b a c", "a b b d", "c a d", "b", "e e e a"]
+    vocabulary = ["a", "b", "c", "d", "e", "\0end"]
+    probe = [f"{u} {w}".strip() for u in ["", *vocabulary[:-1]] for w in [*vocabulary[:-1], "unseen"]]
+    heads = ["", *vocabulary[:-1]]
+    rows = [(k, t) for k, t in enumerate([*train, *heads, *probe])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old, backoff_lm.BLOCK_BYTES = backoff_lm.BLOCK_BYTES, 8
+    try:
+        got = backoff_lm.score_documents(df.repartition(3), train=F.col("doc_id") < len(train), normalised=True).collect()
+    finally:
+        backoff_lm.BLOCK_BYTES = old
+    assert len(got) == len(rows)
+    score = {rows[r.doc_id][1]: r.score for r in got if r.doc_id >= len(train)}
+    end = {}  # log10 P(end | state): the document of the state alone against the path to the state
+    count, pair = collections.Counter(), collections.Counter()
+    for t in train:
+        s = [*t.split(), "\0end"]
+        count.update(s)
+        pair.update(zip(["\0begin", *s[:-1]], s, strict=True))
+    n, v = sum(count.values()), len(count)
+    count["\0begin"] = len(train)
+    root = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(u, w):
+        if not count[u]:
+            return root(w)
+        arcs = [x for x in vocabulary if pair[u, x]]
+        if w in arcs:
+            return (pair[u, w] - backoff_lm.DISCOUNT) / count[u]
+        return backoff_lm.DISCOUNT * len(arcs) / count[u] * root(w) / (1 - sum(map(root, arcs)))
+
+    for u in ["\0begin", *vocabulary[:-1]]:
+        assert sum(p(u, w) for w in [*vocabulary, "unseen"]) == pytest.approx(1)
+        path = 0.0 if u == "\0begin" else math.log10(p("\0begin", u))
+        end[u] = score["" if u == "\0begin" else u] - path
+        seen = [score[f"{u} {w}" if u != "\0begin" else w] - path for w in [*vocabulary[:-1], "unseen"]]
+        ends = [math.log10(p(w, "\0end")) for w in [*vocabulary[:-1], "unseen"]]
+        assert 10 ** end[u] + sum(10 ** (a - b) for a, b in zip(seen, ends, strict=True)) == pytest.approx(1)
+    assert backoff_lm.score_documents(empty(spark), normalised=True).count() == 0
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(1)
     score, trans, start = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
