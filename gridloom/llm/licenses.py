@@ -1,11 +1,16 @@
-"""Licence scan: normalised passages against licence templates by Dice coefficient over word bigrams.
-
-Passages are a text's lines, its paragraphs of several lines, and the whole
-text. Only passages that can reach the threshold are compared: their number of
-bigrams must lie within the bounds that the coefficient sets for a template,
-and they must hold one of the template's anchor words, a set of words such that
-too few of the template's bigrams avoid them all. Both tests are exact. All work
-is DataFrame expressions in one pass over the texts, without a shuffle of text.
+"""Licence scan: passages of normalised text against licence templates by Dice coefficient over word bigrams.
+
+A passage may lie anywhere: it is a run of words whose first and last bigram are
+the template's, cut where stretches of template bigrams begin and end (growing a
+passage by a template bigram, or shrinking it by another one, never lowers its
+coefficient, so no cut elsewhere does better). Passages over several stretches
+have at most the bigrams that the coefficient allows for the template's size.
+
+Two exact tests prune before any passage is made: a text must hold one of the
+template's anchor words, a set of words that too few of its bigrams avoid, and
+in all as many of the template's bigrams as the smallest match shares. Integers
+decide, so a coefficient of exactly the threshold counts. All work is DataFrame
+expressions in one pass over the texts, without a shuffle of text.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+#: Least coefficient, as a fraction.
+NUM, DEN = 4, 5
 
 # fixed values: licence notices and texts
 TEMPLATES = {
@@ -81,15 +87,14 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def size_bounds(size: int, threshold: float) -> tuple[int, int]:
-    """Least and greatest number of bigrams with which a passage can reach the threshold."""
-    least = int(-(-size * threshold // (2 - threshold)))
-    return least, int(size * (2 - threshold) // threshold)
+def size_bounds(size: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
+    """Least and greatest number of bigrams with which a passage can reach the threshold; it shares the least at least."""
+    return -(-size * num // (2 * den - num)), size * (2 * den - num) // num
 
 
-def anchor_words(bigrams: list[str], threshold: float) -> list[str]:
+def anchor_words(bigrams: list[str], num: int = NUM, den: int = DEN) -> list[str]:
     """Words such that fewer bigrams than any match must share avoid them all, rare letters first."""
-    need = size_bounds(len(bigrams), threshold)[0]
+    need = size_bounds(len(bigrams), num, den)[0]
     left, anchors = set(bigrams), []
     while len(left) >= max(need, 1):
         words = sorted({w for b in left for w in b.split(" ")})
@@ -99,106 +104,126 @@ def anchor_words(bigrams: list[str], threshold: float) -> list[str]:
     return sorted(anchors)
 
 
-def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.array_distinct(pairs)
+def _bigrams(text: Column) -> Column:
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
+    rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), rest, lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _best_passage(grams: Column, t: Column, num: int, den: int) -> Column:
+    """struct(dice, shared, minus_start, words) of the best passage of a text for template ``t``, null below the threshold."""
+
+    def stretches(on: Column) -> Column:
+        there = lambda i: F.coalesce(F.get(on, i), F.lit(False))
+        places = F.sequence(F.lit(0), F.size(on) - 1)
+        first = F.filter(places, lambda i: there(i) & ~there(i - 1))
+        last = F.filter(places, lambda i: there(i) & ~there(i + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def passages(found: Column) -> Column:
+        def from_here(one: Column, k: Column) -> Column:
+            near = F.slice(found, k + 1, t["high"])  # further stretches lie beyond the greatest size
+            fits = F.filter(near, lambda x: (x["a"] == one["a"]) | (x["b"] - one["a"] < t["high"]))
+            fits = F.filter(fits, lambda x: x["b"] - one["a"] + 1 >= t["low"])
+            return F.transform(fits, lambda x: score(one["a"], x["b"] - one["a"] + 1))
 
+        return F.flatten(F.transform(found, from_here))
 
-def passages(text: Column) -> Column:
-    """Lines, paragraphs of several lines, and a whole text of several paragraphs."""
-    lines = F.split(text, "\n")
-    paragraphs = F.filter(F.split(text, r"\n[\x20\x09\x0B-\x0D]*\n"), lambda p: F.contains(F.trim(p, F.lit("\n")), F.lit("\n")))
-    whole = F.when(F.size(F.split(text, r"\n[\x20\x09\x0B-\x0D]*\n")) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.concat(lines, paragraphs, whole)
+    def score(start: Column, n: Column) -> Column:
+        piece = F.slice(grams, start + 1, n)
+        both = F.struct(F.size(F.array_intersect(piece, t["grams"])).alias("s"), (F.size(F.array_distinct(piece)) + t["n"]).alias("d"))
+        return _let(both, lambda x: F.when(
+            2 * den * x["s"] >= num * x["d"],
+            F.struct((2.0 * x["s"] / x["d"]).alias("dice"), x["s"].alias("shared"), (-start).alias("minus_start"), (n + 1).alias("words")),
+        ))
+
+    on = F.transform(grams, lambda g: F.array_contains(t["grams"], g))
+    best = _let(stretches(on), lambda found: F.array_max(passages(found)))
+    return F.when(F.size(F.array_intersect(grams, t["grams"])) >= t["low"], best)
 
 
 def license_matches(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
-    threshold: float = THRESHOLD,
+    num: int = NUM,
+    den: int = DEN,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, licenses (array of struct(license, dice), best first), best_license, n_passages.
-
-    A template counts once with its best passage; n_passages is the number of
-    passages that reached the threshold with some template. Null and empty
-    texts: no licence, n_passages 0. Repeated rows give repeated rows; other
-    columns are ignored.
+    """One row per document: doc_id, licenses (array of struct(license, dice, shared, start, words), best first), best_license.
+
+    A template counts once, with its passage of greatest coefficient (then most
+    shared bigrams, then first); start is its first word among the text's words,
+    from 0. Licences are ranked by shared bigrams, so a whole notice comes before
+    the line it begins with; then by coefficient and name. Null and empty texts
+    and texts of one word: no licence. Repeated rows give repeated rows; other
+    columns are ignored. Templates of fewer than two words match nothing.
     """
     templates = TEMPLATES if templates is None else templates
     known = [(name, template_bigrams(text)) for name, text in sorted(templates.items())]
     known = [(name, bigrams) for name, bigrams in known if bigrams]
-    anchors = sorted({a for _, bigrams in known for a in anchor_words(bigrams, threshold)})
+    anchors = sorted({a for _, bigrams in known for a in anchor_words(bigrams, num, den)})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    any_anchor = r"(?i)(?<![A-Za-z0-9])(" + "|".join(anchors) + r")(?![A-Za-z0-9])"
-    empty = F.array().cast("array<string>")
-    likely = F.when(F.rlike(text, F.lit(any_anchor)), F.filter(passages(text), lambda p: F.rlike(p, F.lit(any_anchor)))).otherwise(empty)
-
-    def words(p: Column) -> Column:
-        lower = F.translate(p, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
+    likely = F.rlike(text, F.lit(r"(?i)(?<![A-Za-z0-9])(" + "|".join(anchors) + r")(?![A-Za-z0-9])")) if known else F.lit(False)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(likely, _bigrams(text)).alias("_grams"))
 
-    sets = F.transform(likely, lambda p: _bigrams(words(p)))
+    def literal(name: str, bigrams: list[str]) -> Column:
+        low, high = size_bounds(len(bigrams), num, den)
+        values = {"license": name, "n": len(bigrams), "low": low, "high": high, "grams": bigrams}
+        return F.struct(*(F.lit(v).alias(k) for k, v in values.items()))
 
-    def dice(grams: Column, template: list[str]) -> Column:
-        low, high = size_bounds(len(template), threshold)
-        shared = F.size(F.array_intersect(grams, F.array(*map(F.lit, template))))
-        value = 2.0 * shared / (F.size(grams) + len(template))
-        return F.when(F.size(grams).between(low, high) & (value >= threshold), value)
+    def match(t: Column) -> Column:
+        return _let(_best_passage(F.col("_grams"), t, num, den), lambda b: F.when(b.isNotNull(), F.struct(
+            (-b["shared"]).alias("minus"), (-b["dice"]).alias("lost"), t["license"].alias("license"), (-b["minus_start"]).alias("start"), b["words"].alias("words"),
+        )))
 
-    def scores(grams: Column) -> Column:
-        return F.array(*(dice(grams, bigrams) for _, bigrams in known))
+    if not known:
+        return rows.select("doc_id", F.lit(None).cast(_FOUND).alias("licenses"), F.lit(None).cast("string").alias("best_license"))
+    # the size test is _best_passage's condition, so most texts go through no lambda over places
+    found = F.filter(F.transform(F.array(*(literal(*x) for x in known)), match), lambda m: m.isNotNull())
+    ranked = F.transform(F.sort_array(F.when(F.size("_grams") > 0, found)), lambda m: F.struct(
+        m["license"].alias("license"), (-m["lost"]).alias("dice"), (-m["minus"]).alias("shared"), m["start"].alias("start"), m["words"].alias("words"),
+    ))
+    rows = rows.select("doc_id", F.coalesce(ranked, F.array().cast(_FOUND)).alias("licenses"))
+    return rows.withColumn("best_license", F.get("licenses", F.lit(0))["license"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), sets.alias("_sets")).withColumn(
-        "_scores", F.transform("_sets", scores)
-    )
-
-    def greatest(k: int) -> Column:
-        return F.array_max(F.transform("_scores", lambda s: s[k]))
 
-    best = [F.struct((-greatest(k)).alias("minus"), F.lit(name).alias("license")) for k, (name, _) in enumerate(known)]
-    ranked = F.sort_array(F.filter(F.array(*best), lambda b: b["minus"].isNotNull()))
-    rows = rows.withColumn(
-        "licenses", F.transform(ranked, lambda b: F.struct(b["license"].alias("license"), (-b["minus"]).alias("dice")))
-    )
-    n = F.size(F.filter("_scores", lambda s: F.exists(s, lambda v: v.isNotNull())))
-    return rows.select("doc_id", "licenses", F.get("licenses", F.lit(0))["license"].alias("best_license"), n.alias("n_passages"))
+_FOUND = "array<struct<license:string,dice:double,shared:int,start:int,words:int>>"
 
 
-def dice_sql(table: str = "documents", threshold: float = THRESHOLD) -> str:
-    """The same result as DuckDB SQL: doc_id, best_license, best_dice, n_licenses, n_passages."""
+def dice_sql(table: str = "documents", num: int = NUM, den: int = DEN) -> str:
+    """The same result as DuckDB SQL: doc_id, best_license, best_dice, n_licenses, start, words."""
     values = ", ".join(
-        f"('{name}', {len(b)}, {list(b)})" for name, b in ((n, template_bigrams(t)) for n, t in sorted(TEMPLATES.items()))
+        f"('{name}', {len(b)}, {size_bounds(len(b), num, den)[0]}, {size_bounds(len(b), num, den)[1]}, {b})"
+        for name, b in ((n, template_bigrams(t)) for n, t in sorted(TEMPLATES.items()))
     )
-    space = r"\n[\x20\x09\x0B-\x0D]*\n"
     return f"""
-with templates(license, n, grams) as (values {values}),
-texts as (select row_number() over () as r, doc_id, coalesce(text, '') as text from {table}),
-pieces as (
-  select r, unnest(string_split(text, chr(10))) as p from texts
-  union all
-  select r, p from (select r, unnest(string_split_regex(text, '{space}')) as p from texts)
-  where contains(trim(p, chr(10)), chr(10))
-  union all
-  select r, text from texts where len(string_split_regex(text, '{space}')) > 1
-),
-numbered as (select row_number() over () as k, r, regexp_extract_all(translate(p,
-  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from pieces),
-sets as (select k, r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g
-  from numbered where len(w) > 1),
-scored as (select k, r, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + n) as dice
-  from sets, templates where len(g) between n * {threshold} / (2 - {threshold}) and n * (2 - {threshold}) / {threshold}),
-good as (select * from scored where dice >= {threshold}),
-best as (select r, license, max(dice) as dice from good group by all),
-top as (select r, first(license order by dice desc, license) as best_license, max(dice) as best_dice,
-  count(*) as n_licenses from best group by r),
-hit as (select r, count(distinct k) as n_passages from good group by r)
-select doc_id, best_license, round(best_dice, 9) as best_dice, coalesce(n_licenses, 0) as n_licenses,
-  coalesce(n_passages, 0) as n_passages
-from texts left join top using (r) left join hit using (r)
+with templates(license, n, low, high, grams) as (values {values}),
+known as (select license, low, unnest(grams) as gram from templates),
+texts as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from {table}),
+sets as (select r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as g from texts where len(w) > 1),
+placed as (select r, unnest(g) as gram, unnest(range(0, len(g))) as pos from sets),
+hits as (select r, license, pos, pos - row_number() over (partition by r, license order by pos) as island
+  from placed join known using (gram)),
+enough as (select r, license from (select distinct r, license, low, gram from placed join known using (gram))
+  group by r, license, low having count(*) >= low),
+stretches as (select r, license, min(pos) as a, max(pos) as b from hits semi join enough using (r, license) group by r, license, island),
+runs as (select x.r, x.license, x.a, y.b - x.a + 1 as len, t.n, t.grams
+  from stretches x join stretches y on x.r = y.r and x.license = y.license and y.a >= x.a join templates t on t.license = x.license
+  where (x.a = y.a or y.b - x.a < t.high) and y.b - x.a + 1 >= t.low),
+scored as (select r, license, a, len, n, len(list_intersect(list_distinct(g[a + 1 : a + len]), grams)) as s,
+  len(list_distinct(g[a + 1 : a + len])) as d from runs join sets using (r)),
+good as (select *, 2.0::double * s / (d + n) as dice from scored where {2 * den} * s >= {num} * (d + n)),
+best as (select * from good qualify row_number() over (partition by r, license order by dice desc, s desc, a, len desc) = 1),
+top as (select *, count(*) over (partition by r) as n_licenses from best
+  qualify row_number() over (partition by r order by s desc, dice desc, license) = 1)
+select doc_id, license as best_license, round(dice, 9) as best_dice, coalesce(n_licenses, 0) as n_licenses, a as start, len + 1 as words
+from texts left join top using (r)
 """

@@ -48,10 +48,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.license_matches(_table(spark, sf_dir, "documents"))
-    return found.select(
-        "doc_id", "best_license", F.round(F.get("licenses", F.lit(0))["dice"], 9).alias("best_dice"),
-        F.size("licenses").cast("long").alias("n_licenses"), F.col("n_passages").cast("long").alias("n_passages"),
+    best = F.get("licenses", F.lit(0))
+    return licenses.license_matches(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "best_license", F.round(best["dice"], 9).alias("best_dice"), F.size("licenses").cast("long").alias("n_licenses"),
+        best["start"].cast("long").alias("start"), best["words"].cast("long").alias("words"),
     )
 
 

@@ -1,6 +1,7 @@
 """Mixing, line templates, near duplicates, decontamination, licences, scoring and language identification."""
 
 import collections
+import fractions
 import itertools
 import math
 import re
@@ -209,27 +210,71 @@ def test_every_verbatim_benchmark_passage_is_found(spark):
     assert {r.doc_id for r in decontaminate.contaminated_documents(docs, bench).collect()} == want
 
 
+def license_score(text, template):
+    """Greatest Dice coefficient of the runs that begin and end with stretches of template bigrams, as a fraction or None."""
+    grams = lambda t: list(itertools.pairwise(re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))))
+    have, want = grams(text), set(grams(template))
+    on = [g in want for g in have]
+    first = [i for i, x in enumerate(on) if x and not (i and on[i - 1])]
+    last = [i for i, x in enumerate(on) if x and not (i + 1 < len(on) and on[i + 1])]
+    most = fractions.Fraction(3, 2) * len(want)  # a set this many times larger has 0.8 at best
+    best = None
+    for a, end in zip(first, last, strict=True):
+        for b in last:
+            if b >= a and (b == end or b - a + 1 <= most):
+                piece = set(have[a : b + 1])
+                value = fractions.Fraction(2 * len(piece & want), len(piece) + len(want))
+                if value >= fractions.Fraction(4, 5) and (best is None or value > best):
+                    best = value
+    return best
+
+
 def test_licenses_match_sql_and_brute_force(spark, docs):
-    notice = licenses.TEMPLATES["Apache-2.0-notice"].replace(" (the", "\n(the").replace(" See the", "\nSee the")
-    extra = [(9101, f"Title of a page\n\n{notice}\n\nmore text\nlast", "en", "l", 1), (9102, licenses.TEMPLATES["MIT"].upper(), "en", "l", 1),
-             (9103, "released under an MIT license", "en", "l", 1), (9104, "LICENSED UNDER THE APACHE LICENSE, version 2.0", "en", "l", 1)]
-    both = docs.unionByName(spark.createDataFrame(extra, SCHEMA)).withColumn("licenses", F.lit(0))
-    got = licenses.license_matches(both).selectExpr("doc_id", "best_license", "round(get(licenses, 0).dice, 9) as d", "size(licenses) as n", "n_passages").collect()
+    t, rng = licenses.TEMPLATES, np.random.default_rng(5)
+    notice = t["Apache-2.0-notice"].replace(" (the", "\n(the").replace(" See the", "\nSee the")
+    mit = t["MIT"].replace("conditions: The", "conditions:\n\nThe").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    around = "many other words of a page " * 60
+    texts = {
+        9101: f"Title of a page\n\n{notice}\n\nmore text\nlast", 9102: t["MIT"].upper(), 9103: "released under an MIT license",
+        9104: "LICENSED UNDER THE APACHE LICENSE, version 2.0", 9105: f"{around}\n\n{mit}\n\n{around}", 9106: f"{around}{t['GPL-3.0-notice']} {around}",
+        9107: "Acme. All rights reserved.", 9108: "Licensed under CC BY-NC", 9109: "all rights", 9110: "All rights reserved. " * 500,
+        9111: "we say licensed under CC BY-NC and more", 9112: (mit + "\n") * 4, 9113: "rights reserved all rights",
+    }
+    for k in range(40):  # notices with words changed, near and below the threshold
+        w = t["MIT" if k % 2 else "Apache-2.0-notice"].split()
+        for at in rng.choice(len(w), int(rng.integers(0, len(w) // 4)), replace=False):
+            w[at] = rng.choice(["software", "of the", "other", ""])
+        texts[9200 + k] = "a b " + " ".join(w) + " c the d"
+    extra = [(k, v, "en", "l", 1) for k, v in texts.items()]
+    both = docs.unionByName(spark.createDataFrame(extra, SCHEMA)).withColumns({"licenses": F.lit(0), "_grams": F.lit(1)})
+    rows = licenses.license_matches(both).collect()
     con = duckdb.connect()
     con.register("documents", both.drop("licenses").toPandas())
     want = con.sql(licenses.dice_sql()).fetchall()
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    best = {r.doc_id: r.best_license for r in got}
+    got = [(r.doc_id, r.best_license, round(b.dice, 9) if b else None, len(r.licenses), b.start if b else None, b.words if b else None)
+           for r in rows for b in [r.licenses[0] if r.licenses else None]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    full = {r.doc_id: r.text for r in both.collect()}
+    for r in rows:
+        score = {name: license_score(full[r.doc_id], text) for name, text in t.items()}
+        assert {x.license: x.dice for x in r.licenses} == {k: float(v) for k, v in score.items() if v is not None}, r
+    best = {r.doc_id: r.best_license for r in rows}
     assert best[9101] == "Apache-2.0-notice" and best[9102] == "MIT" and best[9104] == "Apache-2.0-line" and best[9001] is None
-    assert licenses.license_matches(empty(spark)).count() == 0
+    assert best[9105] == "MIT" and best[9106] == "GPL-3.0-notice" and best[9107] == "all-rights-reserved" and best[9112] == "MIT"
+    dice = {r.doc_id: r.licenses[0].dice for r in rows if r.licenses}
+    assert best[9108] == best[9111] == "CC-BY-NC-4.0-line" and dice[9108] == dice[9111] == 0.8 and best[9103] is None and best[9109] is None
+    assert licenses.license_matches(empty(spark)).count() == 0 and licenses.license_matches(docs, {"x": "word"}).filter("best_license is not null").count() == 0
 
 
-def test_license_anchors_lose_nothing():
+def test_license_bounds_and_anchors_lose_nothing():
+    for size in range(1, 200):
+        can = [a for a in range(1, 400) if 2 * min(a, size) * 5 >= 4 * (a + size)]
+        assert licenses.size_bounds(size) == (can[0], can[-1])
     for text in licenses.TEMPLATES.values():
         grams = licenses.template_bigrams(text)
-        anchors = set(licenses.anchor_words(grams, 0.8))
+        anchors = set(licenses.anchor_words(grams))
         free = [g for g in grams if not anchors & set(g.split(" "))]
-        assert len(free) < max(licenses.size_bounds(len(grams), 0.8)[0], 1)
+        assert len(free) < max(licenses.size_bounds(len(grams))[0], 1)
 
 
 def test_language_model_matches_brute_force(spark, docs, rows):
