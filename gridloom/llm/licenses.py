@@ -144,7 +144,7 @@ def _best_passage(grams: Column, t: Column, num: int, den: int) -> Column:
         ))
 
     on = F.transform(grams, lambda g: F.array_contains(t["grams"], g))
-    best = _let(stretches(on), lambda found: F.array_max(passages(found)))
+    best = _let(_let(on, stretches), lambda found: F.array_max(passages(found)))
     return F.when(F.size(F.array_intersect(grams, t["grams"])) >= t["low"], best)
 
 
