@@ -116,8 +116,11 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _best_passage(grams: Column, t: Column, num: int, den: int) -> Column:
-    """struct(dice, shared, minus_start, words) of the best passage of a text for template ``t``, null below the threshold."""
+def _best_passage(grams: Column, here: Column, t: Column, num: int, den: int) -> Column:
+    """struct(dice, shared, minus_start, words) of the best passage of a text for template ``t``, null below the threshold.
+
+    ``here`` are the text's distinct bigrams that some template holds.
+    """
 
     def stretches(on: Column) -> Column:
         there = lambda i: F.coalesce(F.get(on, i), F.lit(False))
@@ -145,7 +148,7 @@ def _best_passage(grams: Column, t: Column, num: int, den: int) -> Column:
 
     on = F.transform(grams, lambda g: F.array_contains(t["grams"], g))
     best = _let(_let(on, stretches), lambda found: F.array_max(passages(found)))
-    return F.when(F.size(F.array_intersect(grams, t["grams"])) >= t["low"], best)
+    return F.when(F.size(F.array_intersect(here, t["grams"])) >= t["low"], best)
 
 
 def license_matches(
@@ -173,13 +176,16 @@ def license_matches(
     likely = F.rlike(text, F.lit(r"(?i)(?<![A-Za-z0-9])(" + "|".join(anchors) + r")(?![A-Za-z0-9])")) if known else F.lit(False)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(likely, _bigrams(text)).alias("_grams"))
 
+    every = sorted({b for _, bigrams in known for b in bigrams})
+    rows = rows.withColumn("_here", F.array_intersect("_grams", F.lit(every) if every else F.array().cast("array<string>")))
+
     def literal(name: str, bigrams: list[str]) -> Column:
         low, high = size_bounds(len(bigrams), num, den)
         values = {"license": name, "n": len(bigrams), "low": low, "high": high, "grams": bigrams}
         return F.struct(*(F.lit(v).alias(k) for k, v in values.items()))
 
     def match(t: Column) -> Column:
-        return _let(_best_passage(F.col("_grams"), t, num, den), lambda b: F.when(b.isNotNull(), F.struct(
+        return _let(_best_passage(F.col("_grams"), F.col("_here"), t, num, den), lambda b: F.when(b.isNotNull(), F.struct(
             (-b["shared"]).alias("minus"), (-b["dice"]).alias("lost"), t["license"].alias("license"), (-b["minus_start"]).alias("start"), b["words"].alias("words"),
         )))
 
@@ -187,7 +193,7 @@ def license_matches(
         return rows.select("doc_id", F.lit(None).cast(_FOUND).alias("licenses"), F.lit(None).cast("string").alias("best_license"))
     # the size test is _best_passage's condition, so most texts go through no lambda over places
     found = F.filter(F.transform(F.array(*(literal(*x) for x in known)), match), lambda m: m.isNotNull())
-    ranked = F.transform(F.sort_array(F.when(F.size("_grams") > 0, found)), lambda m: F.struct(
+    ranked = F.transform(F.sort_array(F.when(F.size("_here") > 0, found)), lambda m: F.struct(
         m["license"].alias("license"), (-m["lost"]).alias("dice"), (-m["minus"]).alias("shared"), m["start"].alias("start"), m["words"].alias("words"),
     ))
     rows = rows.select("doc_id", F.coalesce(ranked, F.array().cast(_FOUND)).alias("licenses"))
