@@ -94,27 +94,95 @@ def test_mix_positions_follow_the_schedule(spark):
     assert early / sum(c.words for c in order) == pytest.approx(0.25, abs=0.02)  # the integral of 2t up to one half
 
 
+def lost_lines(rows, min_docs=3):
+    """{(id, text): lines to drop}, from the template tree's definition."""
+    lines = []  # (id, order of the text, line, tokens)
+    for i, text in {(i, t) for i, t, *_ in rows if t}:
+        for k, line in enumerate(text.split("\n")):
+            tokens = tuple("#" if re.search("[0-9]", w) else w for w in words(line))
+            if len(tokens) >= 3:
+                lines.append((i, text, k, tokens))
+    leaves = collections.defaultdict(list)
+    for one in lines:
+        t = one[3]
+        rest, n = t[1:], len(t)
+        blocks = 4 if n < 15 else 3
+        part = [tuple(w for p, w in enumerate(rest) if p * blocks // (n - 1) == b) for b in range(blocks)]
+        leaves["whole", t].append(one)
+        if n >= 15:
+            for b in range(3):
+                leaves["one", n, t[0], b, part[b]].append(one)
+        elif n >= 6:
+            for b in itertools.combinations(range(4), 2):
+                leaves["two", n, t[0], b, part[b[0]], part[b[1]]].append(one)
+    lost = collections.defaultdict(set)
+    for key, members in leaves.items():
+        head = min(members, key=lambda m: (m[0], m[2]))[3]
+        members = [m for m in members if 3 * sum(x == y for x, y in zip(m[3], head, strict=True)) >= 2 * len(head)]
+        ids = {m[0] for m in members}
+        if len(ids) >= (2 if key[0] == "whole" and len(key[1]) >= 50 else min_docs):
+            for i, text, k, _ in members:
+                if i > min(ids):
+                    lost[i, text].add(k)
+    return lost
+
+
+def check_lines(df, rows):
+    want = lost_lines(rows)
+    got = line_templates.drop_recurring_lines(df).collect()
+    assert len(got) == len(rows)
+    expected = []
+    for i, text, *_ in rows:
+        gone = want.get((i, text), set())
+        parts = [] if text is None else text.split("\n")
+        kept = "\n".join(x for k, x in enumerate(parts) if k not in gone) if text is not None else None
+        expected.append((i, kept, len(parts), len(gone)))
+    assert sorted(expected, key=str) == sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str)
+    return {r.doc_id: r.text for r in got}
+
+
 def test_line_templates(spark):
     long = " ".join(f"word{chr(97 + i)}" for i in range(30))
     changed = long.replace("wordz", "other").replace("wordy", "fields")
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(52))
     rows = [
         (1, f"All rights reserved.\nfirst page body text\n{long}", "en", "a", 0),
         (2, f"All rights reserved.\nsecond page body text\n{changed}", "en", "a", 0),
         (3, f"All rights reserved.\nOf it.\n{long}\nOrder 77 shipped today", "en", "a", 0),
         (4, "Of it.\nOrder 12 shipped today", "en", "a", 0), (5, "Of it.\nOrder 5 shipped today\n\nend", "en", "a", 0),
         (6, None, "en", "a", 0), (7, "", "en", "a", 0), (8, "own line one two", "en", "a", 0), (8, "own line one two", "en", "a", 0),
+        (9, "told two times only\ntold two times only", "en", "a", 0), (10, "told two times only", "en", "a", 0),
+        (11, f"a\n{passage}", "en", "a", 0), (12, f"{passage}\nb", "en", "a", 0),
     ]
+    names = ["ann", "bob", "cid", "dora"]
+    for k, x in enumerate(names):
+        y = names[k - 1]
+        rows.append((20 + k, f"user {x} logged in from host {y} today ok\nsession opened for user {x} on the remote host called {y} at noon today ok\nown {x}", "en", "a", 0))
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"lines": F.lit(1), "leaf": F.lit(2)})
-    got = {(r.doc_id, r.text): r for r in line_templates.drop_recurring_lines(df).collect()}
-    text = {k[0]: k[1] for k in got}
+    text = check_lines(df, rows)
     assert text[1] == rows[0][1]  # the first keeps everything
     assert text[2] == "second page body text" and text[3] == "Of it.\nOrder 77 shipped today"
     assert text[4] == "Of it." and text[5] == "Of it.\n\nend"  # a number is a field; short lines stay
     assert text[6] is None and text[7] == "" and text[8] == "own line one two"
-    assert {r.n_dropped for r in got.values() if r.doc_id in (6, 7, 8)} == {0}
+    assert text[10] == "told two times only" and text[12] == "b"  # two documents are enough for a long line only
+    assert text[20].count("\n") == 2 and [text[20 + k] for k in (1, 2, 3)] == ["own bob", "own cid", "own dora"]
     assert line_templates.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_line_templates_match_brute_force(spark, docs, rows):
+    rng = np.random.default_rng(8)
+    extra = []
+    for k in range(60):  # lines of a few frames with words exchanged, within and beyond the similarity
+        made = []
+        for frame in (7, 12, 15, 21):
+            w = [f"f{chr(97 + frame)}{chr(97 + i)}" for i in range(frame)]
+            for at in rng.choice(frame, int(rng.integers(0, frame // 2 + 1)), replace=False):
+                w[at] = f"x{chr(97 + int(rng.integers(26)))}"
+            made.append(" ".join(w))
+        extra.append((30000 + k, "\n".join(made), "en", "t", 1))
+    check_lines(docs.unionByName(spark.createDataFrame(extra, SCHEMA)), [*rows, *extra])
+
+
 def shingles(text, width):
     w = words(text)
     return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
