@@ -20,14 +20,14 @@ def join_to_one(rows: DataFrame, ones: DataFrame, key: str, weight: str, spread:
     """
     total = ones.agg(F.sum(weight)).first()[0] or 0
     rest = [c for c in ones.columns if c not in (key, weight)]
-    held = F.struct(*rest) if rest else F.struct(F.lit(True).alias("_"))
+    held = F.struct(key, *rest)
     hot = F.col(weight) * MAX_HOT > total
-    near = ones.filter(hot).select(F.col(key).alias("_hot_key"), held.alias("_hot"))
-    far = ones.filter(~hot).select(F.col(key).alias("_far_key"), held.alias("_far"), F.lit(False).alias("_far_hot"))
-    found = rows.join(F.broadcast(near), F.col(key) == F.col("_hot_key"), "left")
-    found = found.withColumn("_is_hot", F.col("_hot_key").isNotNull())
-    found = found.withColumn("_deal", F.when(F.col("_is_hot"), F.xxhash64(*spread)).otherwise(F.col(key)))
-    found = found.join(far, (F.col("_deal") == F.col("_far_key")) & (F.col("_is_hot") == F.col("_far_hot")), "left")
-    found = found.filter(F.col("_is_hot") | F.col("_far_key").isNotNull())
-    one = F.coalesce("_hot", "_far")
-    return found.select(*(F.col(c) for c in rows.columns), *(one[c].alias(c) for c in rest))
+    near = ones.filter(hot).select(F.col(key).alias("_near"), held.alias("_hot"))
+    far = ones.filter(~hot).select(F.col(key).alias("_far"), held.alias("_cold"))
+    found = rows.join(F.broadcast(near), F.col(key) == F.col("_near"), "left")
+    # a hot row's deal may by chance be some key: what it meets there is ignored
+    deal = F.when(F.col("_hot").isNotNull(), F.xxhash64(*spread)).otherwise(F.col(key)).alias("_deal")
+    found = found.select(deal, "_hot", *(c for c in rows.columns if c != key))
+    found = found.join(far.hint("merge"), F.col("_deal") == F.col("_far"), "left").withColumn("_one", F.coalesce("_hot", "_cold"))
+    found = found.filter("_one is not null")
+    return found.select(*(F.col("_one")[c].alias(c) if c == key else F.col(c) for c in rows.columns), *(F.col("_one")[c].alias(c) for c in rest))
