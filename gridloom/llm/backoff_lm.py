@@ -1,23 +1,24 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-States are the contexts seen in training and a root. A context's arcs are the
-bigrams it starts, weighted log10((c(uw) - D) / c(u)); its failure arc leads to
-the root. With ``normalised`` it weighs log10 of the context's own discounted
-mass over the root's mass of the words that the context has no arc for, so that
-each state's probabilities add up to 1; without, log10 of the discounted mass of
-all contexts of its frequency (powers of two). The root has an arc for every word, weighted by the additive
-unigram estimate. A text is read left to right: the state is the last word, a
-missing arc takes the failure arc first, and the weights add up. A word that
-training doesn't hold leads to the root, without a failure weight.
+States are the contexts of up to ``ORDER`` - 1 words that training holds, and a
+root. A state's arcs are the n-grams that begin with its context; its failure
+arc leads to the context without its first word. Smoothing is by a Dirichlet
+prior at each order (MacKay and Peto, 1995): with u the context and u' the
+shorter one, P(w|u) = (c(uw) + m P(w|u')) / (c(u) + m). An arc weighs log10 of
+that; a failure arc log10 of m / (c(u) + m), which is what P(w|u) / P(w|u') comes
+to where uw wasn't seen. So the probabilities of each state add up to 1. The
+root has an arc for every word, weighted by the additive unigram estimate. A
+text is read left to right: the state is the longest known context, failure arcs
+are taken until there is an arc, and the weights add up.
 
 The model is as large as the corpus and is never gathered in one place. Texts
-are cut into blocks. A block asks for the counts of its distinct words and
-bigrams, one packed request per hash range; a range's task adds up the requests
-of all blocks and answers each; the block's task reads its text again with the
-answers. ``normalised`` sends a second round of requests by context: the distinct
-continuations a block owns and the sum of their words' counts, as integers, added
-up and answered in the same way. What moves is the texts once, compressed, and a few bytes per distinct
-key of a block.
+are cut into blocks. A block asks for the counts of its distinct n-grams, one
+packed request per order and hash range; a range's task adds up the requests of
+all blocks and answers each; the block's task reads its text again with the
+answers. What moves is the texts once, compressed, and a few bytes per distinct
+n-gram of a block. Words have 64-bit keys, longer n-grams ``SPARE_BITS`` more bits
+than the corpus needs to count its bytes: about one n-gram in 2**SPARE_BITS
+shares its key, whatever the size.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 from gridloom.llm.bytetext import Chunk, chunks, mix
 from gridloom.llm.store import materialize, small_batches
 
-#: Bytes of text a block, blocks a hash range, discount of a seen bigram, frequency classes of contexts.
-BLOCK_BYTES, BLOCKS_PER_RANGE, DISCOUNT, CLASSES = 4 << 20, 2, 0.75, 48
+ORDER = 3
+#: Prior mass m of the orders from 2 on; spare bits of n-gram keys.
+PRIOR, SPARE_BITS = (4.0, 4.0), 20
+#: Bytes of text a block, blocks a hash range.
+BLOCK_BYTES, BLOCKS_PER_RANGE = 4 << 20, 2
 _END, _BEGIN = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 
 
@@ -105,9 +109,9 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
 
 
 class _Read:
-    """A block's tokens: per token its document, word key, context key and bigram key."""
+    """A block's tokens: per token its document, and per order the block's sorted distinct n-gram keys and each token's among them."""
 
-    def __init__(self, train: np.ndarray, bounds: np.ndarray, size: int, data: bytes) -> None:
+    def __init__(self, train: np.ndarray, bounds: np.ndarray, size: int, data: bytes, width: int) -> None:
         raw = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
         words, rows = [], []
         first = 0
@@ -119,38 +123,45 @@ class _Read:
             first = last
         docs = len(bounds) - 1
         word, row = np.concatenate(words), np.concatenate(rows)
-        count = np.bincount(row, minlength=docs)
-        ends = np.cumsum(count + 1) - 1
-        self.doc = np.repeat(np.arange(docs), count + 1)
-        self.word = np.empty(len(self.doc), np.uint64)
+        self.n_tokens = np.bincount(row, minlength=docs) + 1
+        ends = np.cumsum(self.n_tokens) - 1
+        self.doc = np.repeat(np.arange(docs), self.n_tokens)
+        #: place of each token in its text, from 0
+        self.place = np.arange(len(self.doc)) - np.repeat(ends - self.n_tokens + 1, self.n_tokens)
+        token = np.empty(len(self.doc), np.uint64)
         is_end = np.zeros(len(self.doc), bool)
         is_end[ends] = True
-        self.word[is_end], self.word[~is_end] = _END, word
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[np.concatenate(([0], ends[:-1] + 1))] = _BEGIN
-        pair = mix(self.word + mix(self.context, 9), 10)
+        token[is_end], token[~is_end] = _END, word
         self.learn = np.asarray(train, bool)[self.doc]
-        self.n_tokens = count + 1
-        #: sorted distinct keys, position of each token's key, training count in this block
+        #: per order: sorted distinct keys, index of each token's key (-1: the n-gram would begin before the text), training count here
         self.keys, self.at, self.local = [], [], []
-        for k in (self.word, pair):
-            distinct, inverse = np.unique(k, return_inverse=True)
+        gram = token
+        for k in range(ORDER):
+            if k:  # the n-gram is the one ending before, and this word; a text is preceded by one begin mark
+                before = np.concatenate((token[:1], gram[:-1]))
+                before = np.where(self.place == 0, _BEGIN, before) if k == 1 else before
+                gram = mix(token + mix(before, 9 + k), 20 + k)
+            use = self.place >= k - 1
+            key = gram[use] >> np.uint64(0 if k == 0 else 64 - width)
+            distinct, inverse = np.unique(key, return_inverse=True)
+            at = np.full(len(gram), -1)
+            at[use] = inverse
             self.keys.append(distinct)
-            self.at.append(inverse)
-            self.local.append(np.bincount(inverse[self.learn], minlength=len(distinct)).astype(np.uint32))
+            self.at.append(at)
+            self.local.append(np.bincount(inverse[self.learn[use]], minlength=len(distinct)).astype(np.uint32))
 
 
-def _requests(blocks: DataFrame, bits: int) -> DataFrame:
-    """(kind, range, block, n, keys, counts): kind 0 words, 1 bigrams."""
+def _requests(blocks: DataFrame, bits: int, width: int) -> DataFrame:
+    """(kind, range, block, n, keys, counts): kind is the order less one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                t = _Read(r["train"], np.array(r["bounds"]), r["size"], r["data"])
+                t = _Read(r["train"], np.array(r["bounds"]), r["size"], r["data"], width)
                 out: list[tuple] = []
                 for kind, (keys, local) in enumerate(zip(t.keys, t.local, strict=True)):
-                    cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+                    shift = np.uint64((width if kind else 64) - bits)
+                    cut = np.searchsorted(keys >> shift, np.arange(2**bits + 1, dtype=np.uint64))
                     for s in np.flatnonzero(np.diff(cut)):
                         part = keys[cut[s] : cut[s + 1]]
                         out.append((kind, s, r["block"], len(part), _pack(np.diff(part, prepend=np.uint64(0))), _pack(local[cut[s] : cut[s + 1]])))
@@ -164,210 +175,92 @@ def _requests(blocks: DataFrame, bits: int) -> DataFrame:
     return blocks.mapInArrow(run, "kind int, range int, block long, n long, keys binary, counts binary")
 
 
-def _answers(requests: DataFrame) -> DataFrame:
-    """(kind, range, block, n, totals, owned): per request its keys' training totals and which it owns.
-
-    A key is owned by one of the blocks that hold it in training, so owned keys
-    count distinct ones.
-    """
+def _answers(requests: DataFrame, tasks: int) -> DataFrame:
+    """(kind, range, block, n, totals, distinct): per request its keys' training totals; the range's keys seen in training, in one of its rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys = np.concatenate([np.cumsum(_unpack(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
-        counts = np.concatenate([_unpack(r["counts"], r["n"], np.uint32) for r in rows])
+        n = table["n"].to_numpy()
+        sides = {}
+        for name, kind in (("keys", np.uint64), ("counts", np.uint32)):
+            sides[name] = [_unpack(x.as_py(), int(k), kind) for x, k in zip(table[name], n, strict=True)]
+        keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k in sides["keys"]])
+        counts = np.concatenate(sides["counts"])
         distinct, inverse = np.unique(keys, return_inverse=True)
+        del keys, sides
         total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.uint64)
-        held = np.flatnonzero(counts)[::-1]
-        owner = np.full(len(distinct), -1)
-        owner[inverse[held]] = held
-        owned = owner[inverse] == np.arange(len(keys))
-        at, out = 0, {"totals": [], "owned": [], "distinct": []}
-        for r in rows:
-            piece = slice(at, at + r["n"])
-            out["totals"].append(_pack(total[inverse[piece]]))
-            out["owned"].append(pa.compress(np.packbits(owned[piece]).tobytes(), codec="zstd", asbytes=True))
-            out["distinct"].append(int(owned[piece].sum()))
-            at += r["n"]
-        table = pa.table({k: pa.array([r[k] for r in rows], t) for k, t in (("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("n", pa.int64()))})
-        return (
-            table.append_column("totals", pa.array(out["totals"], pa.binary()))
-            .append_column("owned", pa.array(out["owned"], pa.binary()))
-            .append_column("distinct", pa.array(out["distinct"], pa.int64()))
-        )
-
-    return requests.groupBy("kind", "range").applyInArrow(
-        run, "kind int, range int, block long, n long, totals binary, owned binary, distinct long"
+        ends = np.cumsum(n)
+        totals = [_pack(total[inverse[b - k : b]]) for b, k in zip(ends, n, strict=True)]
+        seen = np.zeros(len(n), np.int64)
+        seen[0] = (total > 0).sum()
+        kept = table.select(["kind", "range", "block", "n"])
+        return kept.append_column("totals", pa.array(totals, pa.binary())).append_column("distinct", pa.array(seen))
+
+    return requests.repartition(tasks, "kind", "range").groupBy("kind", "range").applyInArrow(
+        run, "kind int, range int, block long, n long, totals binary, distinct long"
     )
 
 
-def _read_answers(answers: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = sorted((r for r in answers if r["kind"] == kind), key=lambda r: r["range"])
-    total = [_unpack(r["totals"], r["n"], np.uint64) for r in rows]
-    owned = []
-    for r in rows:
-        bits = np.frombuffer(pa.decompress(r["owned"], -(-r["n"] // 8), codec="zstd", asbytes=True), np.uint8)
-        owned.append(np.unpackbits(bits)[: r["n"]].astype(bool))
-    return np.concatenate(total).astype(np.float64), np.concatenate(owned)
-
-
-def _walk(tokens: int, vocabulary: int, sequences: int, bits: int):
+def _walk(tokens: int, vocabulary: int, sequences: int, width: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers, out = right.to_pylist(), []
         for r in left.to_pylist():
-            t = _Read(r["train"], np.array(r["bounds"]), r["size"], r["data"])
-            words, _ = _read_answers(answers, 0)
-            pairs, owned = _read_answers(answers, 1)
+            t = _Read(r["train"], np.array(r["bounds"]), r["size"], r["data"], width)
+            count = []
+            for kind in range(ORDER):
+                rows = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["range"])
+                total = np.concatenate([np.zeros(0, np.uint64), *(_unpack(a["totals"], a["n"], np.uint64) for a in rows)])
+                at = t.at[kind]
+                count.append(np.where(at >= 0, total[np.maximum(at, 0)] if len(total) else 0, 0).astype(np.float64))
             docs = len(t.n_tokens)
+            root = np.log10((count[0] + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+            # shortest context first: what a token weighs from the state of each order
+            weight = root
+            for kind in range(1, ORDER):
+                state = np.concatenate(([0.0], count[kind - 1][:-1]))  # the n-gram that ends before the token
+                state = np.where(t.place == kind - 1, sequences, state) if kind == 1 else np.where(t.place >= kind - 1, state, 0)
+                prior = PRIOR[kind - 1]
+                arc = np.log10((count[kind] + prior * 10.0**weight) / (state + prior))
+                failure = np.log10(prior / (state + prior)) + weight
+                weight = np.where(state == 0, weight, np.where(count[kind] > 0, arc, failure))
             per = lambda x: np.bincount(t.doc, weights=x, minlength=docs)  # noqa: B023, E731
-            c = words[t.at[0]]
-            root = np.log10((c + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
-            # the state before each token is the token before it
-            state = np.empty(len(c))
-            state[1:] = c[:-1]
-            state[t.context == _BEGIN] = sequences
-            arc = pairs[t.at[1]]
-            has_arc, fails = arc > 0, (arc == 0) & (state > 0)
-            level = np.where(state > 0, np.frexp(np.maximum(state, 1))[1] - 1, 0)
-            weight = np.where(has_arc, np.log10(np.maximum(arc - DISCOUNT, 1e-9) / np.maximum(state, 1)), root)
-            failed = np.bincount(t.doc[fails] * CLASSES + level[fails], minlength=docs * CLASSES).reshape(docs, CLASSES)
-            first = np.zeros(len(pairs), np.int64)
-            first[t.at[1]] = level
-            new = np.bincount(first[owned], minlength=CLASSES)
-            mass = np.bincount(level[t.learn & (state > 0)], minlength=CLASSES)
-            none = [None] * (docs - 1)
-            # per context that fails here or owns bigrams: its key, its owned bigrams and the sum of their words' counts
-            context, place = np.unique(t.context, return_inverse=True)
-            begun, ahead = np.zeros((2, len(pairs)), np.int64)
-            begun[t.at[1]], ahead[t.at[1]] = place, c
-            grown = np.bincount(begun[owned], minlength=len(context))
-            use = (grown > 0) | (np.bincount(place[fails], minlength=len(context)) > 0)
-            seen = np.zeros(len(context), np.int64)
-            seen[place] = state
-            covered = np.zeros(len(context), np.int64)
-            np.add.at(covered, begun[owned], ahead[owned])
-            renumber = np.cumsum(use) - 1
-            which, times = np.unique(t.doc[fails] * len(context) + renumber[place[fails]], return_counts=True)
-            cut = np.searchsorted(context[use] >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
-            asked = [
-                {"range": int(s), "n": int(cut[s + 1] - cut[s])}
-                | {"keys": _pack(np.diff(context[use][cut[s] : cut[s + 1]], prepend=np.uint64(0)))}
-                | {k: _pack(x[use][cut[s] : cut[s + 1]]) for k, x in (("grown", grown), ("covered", covered))}
-                for s in np.flatnonzero(np.diff(cut))
-            ]
-            failing = {"docs": docs, "n": len(which), "doc": _pack(which // len(context)), "at": _pack(which % len(context)), "times": _pack(times),
-                       "seen": _pack(seen[use]), "contexts": int(use.sum())}
             out.append(pa.table({
                 "doc_id": pa.array(r["ids"], pa.int64()),
                 "train": pa.array(r["train"], pa.bool_()),
                 "n_tokens": pa.array(t.n_tokens, pa.int64()),
-                "n_known": pa.array(per(c > 0).astype(np.int64)),
+                "n_known": pa.array(per(count[0] > 0).astype(np.int64)),
                 "base_score": pa.array(per(root)),
-                "walked": pa.array(per(weight)),
-                "failed": pa.array(list(failed), pa.list_(pa.int64())),
-                "new": pa.array([list(new), *none], pa.list_(pa.int64())),
-                "mass": pa.array([list(mass), *none], pa.list_(pa.int64())),
-                "block": pa.array([r["block"]] * docs, pa.int64()),
-                "place": pa.array(np.arange(docs), pa.int32()),
-                "asked": pa.array([asked, *none], _ASKED),
-                "failing": pa.array([failing, *none], _FAILING),
+                "score": pa.array(per(weight)),
             }))
         return pa.concat_tables(out) if out else None
 
     return run
 
 
-_ASKED = pa.list_(pa.struct({"range": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "grown": pa.binary(), "covered": pa.binary()}))
-_FAILING = pa.struct({"docs": pa.int64(), "n": pa.int64(), "doc": pa.binary(), "at": pa.binary(), "times": pa.binary(), "seen": pa.binary(), "contexts": pa.int64()})
-_WALKED = (
-    "doc_id long, train boolean, n_tokens long, n_known long, base_score double, walked double, "
-    "failed array<long>, new array<long>, mass array<long>, block long, place int, "
-    "asked array<struct<range:int,n:long,keys:binary,grown:binary,covered:binary>>, "
-    "failing struct<docs:long,n:long,doc:binary,at:binary,times:binary,seen:binary,contexts:long>"
-)
-
-
-def _context_answers(table: pa.Table) -> pa.Table:
-    """(block, range, n, grown, covered): per request its contexts' distinct continuations and the sum of their words' counts."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    keys = np.concatenate([np.cumsum(_unpack(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    out = {k: [r[k] for r in rows] for k in ("block", "range", "n")}
-    for name in ("grown", "covered"):
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, inverse, np.concatenate([_unpack(r[name], r["n"], np.int64) for r in rows]))
-        total, out[name], at = total[inverse], [], 0
-        for r in rows:
-            out[name].append(_pack(total[at : at + r["n"]]))
-            at += r["n"]
-    return pa.table({k: pa.array(x, t) for (k, x), t in zip(out.items(), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
-
-
-def _failures(tokens: int, vocabulary: int):
-    """(block, place, failure): per document the sum of its failure weights."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = sorted(right.to_pylist(), key=lambda r: r["range"])
-        blocks, places, sums = [], [], []
-        for r in left.to_pylist():
-            f = r["failing"]
-            grown, covered = (np.concatenate([np.zeros(0, np.int64), *(_unpack(a[k], a["n"], np.int64) for a in rows)]) for k in ("grown", "covered"))
-            root = (covered + 0.1 * grown) / (tokens + 0.1 * (vocabulary + 1))
-            weight = np.log10(np.maximum(DISCOUNT * grown, 1e-300) / np.maximum(_unpack(f["seen"], f["contexts"], np.int64), 1) / (1 - root))
-            doc, at, times = (_unpack(f[k], f["n"], np.int64) for k in ("doc", "at", "times"))
-            sums.append(np.bincount(doc, weights=weight[at] * times, minlength=f["docs"]))
-            blocks.append(np.full(f["docs"], r["block"]))
-            places.append(np.arange(f["docs"], dtype=np.int32))
-        kinds = (pa.int64(), pa.int32(), pa.float64())
-        columns = [np.concatenate(x) if x else [] for x in (blocks, places, sums)]
-        return pa.table({k: pa.array(x, t) for k, x, t in zip(("block", "place", "failure"), columns, kinds, strict=True)})
-
-    return run
-
-
-def score_documents(
-    docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", normalised: bool = False
-) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` marks the rows to learn from (:func:`training_part` of the id by
-    default); score is the sum of the automaton's weights, with ``normalised`` a
-    log10 probability, base_score that of the root alone. Null and empty texts are the end token alone. Repeated rows give
-    repeated rows and count as often. With nothing to learn from, both scores
-    are those of the uniform root. Other columns are ignored.
+    default); score is the sum of the automaton's weights, the log10 probability
+    of the text, base_score that of the root alone. Null and empty texts are the
+    end token alone. Repeated rows give repeated rows and count as often. With
+    nothing to learn from, both scores are those of the uniform root. Other
+    columns are ignored.
     """
     learn = training_part(F.col(id_col)) if train is None else train
     blocks = materialize(text_blocks(docs, id_col, text_col, learn), "blocks")
-    n_blocks, tokens = blocks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    n_blocks, tokens, size = blocks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    sequences = blocks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
     bits = max(4, int(np.ceil(np.log2(max(1, n_blocks / BLOCKS_PER_RANGE)))))
-    answers = materialize(_answers(_requests(blocks, bits)), "answers")
-    stats = blocks.select(F.explode(F.arrays_zip("train", F.slice("bounds", 1, F.size("train")))).alias("z"))
-    sequences = stats.filter("z.train").count()
+    width = min(64, int(np.ceil(np.log2(size + 2 * n_blocks + 2))) + SPARE_BITS)
+    answers = materialize(_answers(_requests(blocks, bits, width), ORDER * 2**bits), "answers")
     vocabulary = answers.filter("kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    walked = blocks.groupBy("block").cogroup(answers.drop("distinct").groupBy("block")).applyInArrow(
-        _walk(tokens, vocabulary, sequences, bits), _WALKED
-    )
-    walked = materialize(walked, "walked")
-    if normalised:
-        held = walked.filter("failing is not null")
-        asked = held.select("block", F.explode("asked").alias("a")).select("block", "a.*")
-        told = asked.groupBy("range").applyInArrow(_context_answers, "block long, range int, n long, grown binary, covered binary")
-        failures = held.select("block", "failing").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-            _failures(tokens, vocabulary), "block long, place int, failure double"
-        )
-        return walked.join(failures, ["block", "place"]).select(
-            "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
-            F.lit(tokens).cast("long").alias("train_tokens"), "base_score", (F.col("walked") + F.col("failure")).alias("score"),
-        )
-    sums = [F.coalesce(F.sum(F.col(c)[i]), F.lit(0)).alias(f"{c}{i}") for c in ("new", "mass") for i in range(CLASSES)]
-    level = walked.filter("new is not null").agg(*sums).first()
-    weight = []
-    for i in range(CLASSES):
-        new, mass = level[f"new{i}"], level[f"mass{i}"]
-        weight.append(float(np.log10(np.clip(DISCOUNT * new / mass, 1e-6, 1))) if mass and new else 0.0)
-    failure = F.aggregate(
-        F.zip_with("failed", F.array(*map(F.lit, weight)), lambda n, w: n * w), F.lit(0.0), lambda s, x: s + x
+    tasks = max(1, n_blocks)
+    scored = blocks.repartition(tasks, "block").groupBy("block").cogroup(
+        answers.drop("distinct").repartition(tasks, "block").groupBy("block")
+    ).applyInArrow(
+        _walk(tokens, vocabulary, sequences, width),
+        "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double",
     )
-    return walked.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
-        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", (F.col("walked") + failure).alias("score"),
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -345,76 +345,70 @@ def test_license_bounds_and_anchors_lose_nothing():
         assert len(free) < max(licenses.size_bounds(len(grams))[0], 1)
 
 
+class Ngrams:
+    """Dirichlet-smoothed n-grams by their definition, over tuples of words."""
+
+    def __init__(self, texts):
+        self.count, self.context = collections.Counter(), collections.Counter()
+        for t in texts:
+            s = ["\0begin", *words(t), "\0end"]
+            for i in range(1, len(s)):
+                for k in range(min(i, 2) + 1):
+                    self.count[tuple(s[i - k : i + 1])] += 1
+                    self.context[tuple(s[i - k : i])] += 1
+        self.vocabulary = [g[0] for g in self.count if len(g) == 1]
+
+    def p(self, context, word):
+        if not context:
+            return (self.count[word,] + 0.1) / (self.context[()] + 0.1 * (len(self.vocabulary) + 1))
+        shorter = self.p(context[1:], word)
+        n = self.context[context]
+        return (self.count[*context, word] + 4 * shorter) / (n + 4) if n else shorter
+
+    def score(self, text):
+        s = ["\0begin", *words(text), "\0end"]
+        return sum(math.log10(self.p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(1, len(s)))
+
+
 def test_language_model_matches_brute_force(spark, docs, rows):
-    got = backoff_lm.score_documents(docs.withColumns({"train": F.lit(0), "block": F.lit(1)})).collect()
-    count, pair, held = collections.Counter(), collections.Counter(), {}
-    for i, text, _ in rows:
-        held[i] = zlib.crc32(str(i).encode()) % 10 == 0
-        if not held[i]:
-            s = [*words(text), "\0end"]
-            count.update(s)
-            pair.update(zip(["\0begin", *s[:-1]], s, strict=True))
-    n, v = sum(count.values()), len(count)
-    count["\0begin"] = count["\0end"]
-    new, mass = collections.Counter(), collections.Counter()
-    for (u, _), c in pair.items():
-        new[count[u].bit_length()] += 1
-        mass[count[u].bit_length()] += c
-    fail = {b: math.log10(min(1, max(1e-6, backoff_lm.DISCOUNT * new[b] / mass[b]))) for b in new}
+    old, backoff_lm.BLOCK_BYTES = backoff_lm.BLOCK_BYTES, 100_000  # several blocks and hash ranges
+    try:
+        got = backoff_lm.score_documents(docs.withColumns({"train": F.lit(0), "block": F.lit(1)})).collect()
+    finally:
+        backoff_lm.BLOCK_BYTES = old
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in rows}
+    model = Ngrams(t for i, t, _ in rows if not held[i])
     text_of = {i: t for i, t, _ in rows}
     assert len(got) == len(rows)
     for r in got:
         s = [*words(text_of[r.doc_id]), "\0end"]
-        root = {w: math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s}
-        score = 0.0
-        for u, w in zip(["\0begin", *s[:-1]], s, strict=True):
-            c = pair[u, w]
-            score += math.log10((c - backoff_lm.DISCOUNT) / count[u]) if c else root[w] + (fail[count[u].bit_length()] if count[u] else 0)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(s), sum(count[w] > 0 for w in s), n)
-        assert r.base_score == pytest.approx(sum(root[w] for w in s)) and r.score == pytest.approx(score)
+        known = sum(model.count[w,] > 0 for w in s)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(s), known, model.context[()])
+        assert r.base_score == pytest.approx(sum(math.log10(model.p((), w)) for w in s)) and r.score == pytest.approx(model.score(text_of[r.doc_id]))
     assert backoff_lm.score_documents(empty(spark)).count() == 0
 
 
 def test_language_model_states_sum_to_one(spark):
-    train = ["a b a c", "a b b d", "c a d", "b", "e e e a"]
-    vocabulary = ["a", "b", "c", "d", "e", "\0end"]
-    probe = [f"{u} {w}".strip() for u in ["", *vocabulary[:-1]] for w in [*vocabulary[:-1], "unseen"]]
-    heads = ["", *vocabulary[:-1]]
-    rows = [(k, t) for k, t in enumerate([*train, *heads, *probe])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    old, backoff_lm.BLOCK_BYTES = backoff_lm.BLOCK_BYTES, 8
-    try:
-        got = backoff_lm.score_documents(df.repartition(3), train=F.col("doc_id") < len(train), normalised=True).collect()
-    finally:
-        backoff_lm.BLOCK_BYTES = old
-    assert len(got) == len(rows)
-    score = {rows[r.doc_id][1]: r.score for r in got if r.doc_id >= len(train)}
-    end = {}  # log10 P(end | state): the document of the state alone against the path to the state
-    count, pair = collections.Counter(), collections.Counter()
-    for t in train:
-        s = [*t.split(), "\0end"]
-        count.update(s)
-        pair.update(zip(["\0begin", *s[:-1]], s, strict=True))
-    n, v = sum(count.values()), len(count)
-    count["\0begin"] = len(train)
-    root = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
-
-    def p(u, w):
-        if not count[u]:
-            return root(w)
-        arcs = [x for x in vocabulary if pair[u, x]]
-        if w in arcs:
-            return (pair[u, w] - backoff_lm.DISCOUNT) / count[u]
-        return backoff_lm.DISCOUNT * len(arcs) / count[u] * root(w) / (1 - sum(map(root, arcs)))
-
-    for u in ["\0begin", *vocabulary[:-1]]:
-        assert sum(p(u, w) for w in [*vocabulary, "unseen"]) == pytest.approx(1)
-        path = 0.0 if u == "\0begin" else math.log10(p("\0begin", u))
-        end[u] = score["" if u == "\0begin" else u] - path
-        seen = [score[f"{u} {w}" if u != "\0begin" else w] - path for w in [*vocabulary[:-1], "unseen"]]
-        ends = [math.log10(p(w, "\0end")) for w in [*vocabulary[:-1], "unseen"]]
-        assert 10 ** end[u] + sum(10 ** (a - b) for a, b in zip(seen, ends, strict=True)) == pytest.approx(1)
-    assert backoff_lm.score_documents(empty(spark), normalised=True).count() == 0
+    train = ["a b a c", "a b b d", "c a d", "b", "e e e a", "u1 a u1 a u1 a u1 a u2 b u2 c u2 d u2 e"]
+    model = Ngrams(train)
+    for context in model.context:
+        assert sum(model.p(context, w) for w in [*model.vocabulary, "unseen"]) == pytest.approx(1)
+    # the operator's own probabilities: what a text's score gains by each next word from a state, the end included
+    known = sorted(w for w in model.vocabulary if w != "\0end")
+    heads = ["a", "a b", "u1", "u1 a", "x", "e e", "c zz"]
+    texts = [f"{h} {w}".strip() for h in heads for w in ["", *known, "unseen"]]
+    df = spark.createDataFrame(list(enumerate([*train, *texts])), "doc_id long, text string")
+    score = {r.doc_id - len(train): r.score for r in backoff_lm.score_documents(df.repartition(3), train=F.col("doc_id") < len(train)).collect()}
+    for k, text in enumerate(texts):
+        assert score[k] == pytest.approx(model.score(text))
+    n = len(known) + 2
+    for h, head in enumerate(heads):
+        s = ["\0begin", *head.split()]
+        path = sum(math.log10(model.p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(1, len(s)))
+        total = 10 ** (score[h * n] - path)
+        for k, w in enumerate([*known, "unseen"], 1):
+            total += 10 ** (score[h * n + k] - path - math.log10(model.p((s[-1], w), "\0end")))
+        assert total == pytest.approx(1)
 
 
 def test_forward_backward_matches_enumeration():
