@@ -1,11 +1,11 @@
 """Reply trees to conversations: paths by iterative self-joins, best branch, one reversible template.
 
 A message names its parent; a leaf and its ancestors are a branch. Ancestors are
-enumerated by pointer doubling: each round joins the branch rows found so far to
-the messages' 2**k-th ancestors, so the number of joins is the logarithm of the
-depth and the rows made are those of the branches. All work is DataFrame
-expressions; joins are keyed by message, ranking keeps the best per
-conversation before its shuffle.
+found by pointer doubling: each round joins every message's 2**k-th ancestor to
+that one's own, with the scores in between summed, so the number of joins is the
+logarithm of the depth and a round's rows are at most the messages. The same
+tables lay out the chosen branches. All work is DataFrame expressions, on ids
+until the branches are chosen.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from gridloom.llm.store import materialize
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
-MAX_DOUBLINGS = 40
 
 
 def escape(text: Column) -> Column:
@@ -33,53 +32,80 @@ def chain_replies(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -
     """A tree table of linear conversations: each row answers the one before it by turn.
 
     node and parent number the rows of a conversation from 0. Equal or null
-    turns keep an order by role and text, null turns first.
+    turns keep an order by role and by the text's MD5, null turns first.
     """
-    at = W.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), "role", "text")
+    tie = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("_turn"), "role", "text", tie.alias("_tie"))
+    at = W.partitionBy("conv_id").orderBy(F.col("_turn").asc_nulls_first(), "role", "_tie")
     node = (F.row_number().over(at) - 1).cast("long")
-    return turns.select(F.col(conv).alias("conv_id"), node.alias("node"), "role", "text").withColumn(
-        "parent", F.when(F.col("node") > 0, F.col("node") - 1)
-    )
+    return rows.select("conv_id", node.alias("node"), "role", "text").withColumn("parent", F.when(F.col("node") > 0, F.col("node") - 1))
+
+
+def _same(conv: str, node: str, other_conv: str, other_node: str) -> Column:
+    return F.col(conv).eqNullSafe(F.col(other_conv)) & (F.col(node) == F.col(other_node))
+
+
+class Reach:
+    """Pointer doubling over a tree's messages: ``steps[k]`` takes (jc, jn) to its 2**k-th ancestor ``far``.
+
+    ``whole`` holds the messages that reach a root: conv_id, node, whether it is
+    a leaf among them, and the summed score of its branch.
+    """
+
+    def __init__(self, tree: DataFrame) -> None:
+        score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in tree.columns else F.lit(1.0)
+        rows = tree.select("conv_id", "node", F.struct("parent").alias("p"), score.alias("s")).filter("node is not null")
+        nodes = rows.groupBy("conv_id", "node").agg(F.min("p")["parent"].alias("parent"), F.min("s").alias("score"))
+        known = nodes.select(F.col("conv_id").alias("kc"), F.col("node").alias("kn"))
+        nodes = nodes.join(known, _same("conv_id", "parent", "kc", "kn"), "left")
+        now = materialize(nodes.select("conv_id", "node", F.col("kn").alias("to"), "score"), "reach")
+        most = now.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+        self.parents = now
+        self.steps = []
+        while not now.filter("to is not null").isEmpty() and 2 ** len(self.steps) <= most:
+            far = now.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), F.col("to").alias("far"), F.col("score").alias("more"))
+            self.steps.append(far.filter("far is not null").drop("more"))
+            now = now.join(far, _same("conv_id", "to", "jc", "jn"), "left")
+            now = materialize(now.select("conv_id", "node", F.col("far").alias("to"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), "reach")
+        # whoever still has an ancestor, further up than the conversation has messages, is on a cycle or below one
+        inner = self.parents.filter("to is not null").select(F.col("conv_id").alias("kc"), F.col("to").alias("kn"), F.lit(False).alias("leaf")).distinct()
+        whole = now.filter("to is null").join(inner, _same("conv_id", "node", "kc", "kn"), "left")
+        self.whole = whole.select("conv_id", "node", "score", F.coalesce("leaf", F.lit(True)).alias("leaf"))
+
+    def paths(self, leaves: DataFrame) -> DataFrame:
+        """(conv_id, leaf, node, up): every message from the given (conv_id, leaf) rows up to the root."""
+        paths = leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+        for k, step in enumerate(self.steps):
+            further = paths.join(step, _same("conv_id", "node", "jc", "jn"))
+            further = further.select("conv_id", "leaf", F.col("far").alias("node"), (F.col("up") + 2**k).alias("up"))
+            paths = materialize(paths.unionByName(further), "paths")
+        return paths
 
 
 def branches(tree: DataFrame) -> DataFrame:
     """(conv_id, leaf, node, up): every message of every root-to-leaf path, ``up`` steps above its leaf.
 
-    A parent that doesn't exist makes its message a root. Messages on a cycle
-    have no leaf below them and belong to no branch. Repeated (conv_id, node)
-    rows must be resolved before.
+    A parent that doesn't exist makes its message a root. Messages on a cycle and
+    below one reach no root: they belong to no branch. Rows without a node are
+    left out. Of repeated (conv_id, node) rows the least parent, none before
+    any, and the least score count.
     """
-    nodes = tree.select("conv_id", "node", "parent")
-    known = nodes.select(F.col("conv_id").alias("kc"), F.col("node").alias("kn"))
-    jump = nodes.join(known, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("parent") == F.col("kn")))
-    jump = materialize(jump.select("conv_id", "node", F.col("parent").alias("to")), "jump")
-    inner = jump.select(F.col("conv_id").alias("kc"), F.col("to").alias("kn")).distinct()
-    paths = nodes.join(inner, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("node") == F.col("kn")), "left_anti")
-    paths = paths.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k in range(MAX_DOUBLINGS):
-        step = jump.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), "to")
-        further = paths.join(step, F.col("conv_id").eqNullSafe(F.col("jc")) & (F.col("node") == F.col("jn")))
-        further = further.select("conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
-        paths = materialize(paths.unionByName(further), "paths")
-        twice = jump.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), F.col("to").alias("far"))
-        jump = jump.join(twice, F.col("conv_id").eqNullSafe(F.col("jc")) & (F.col("to") == F.col("jn")))
-        jump = materialize(jump.select("conv_id", "node", F.col("far").alias("to")), "jump")
-        if jump.isEmpty():
-            return paths
-    raise ValueError("a reply chain is a cycle or longer than 2**40")
-
-
-def best_branches(paths: DataFrame, tree: DataFrame, top: int = 1) -> DataFrame:
+    reach = Reach(tree)
+    return reach.paths(reach.whole.filter("leaf").select("conv_id", F.col("node").alias("leaf")))
+
+
+def _best(reach: Reach, top: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "node"))
+    best = reach.whole.filter("leaf").withColumn("branch_rank", rank).filter(F.col("branch_rank") <= top)
+    return best.select("conv_id", F.col("node").alias("leaf"), "branch_rank", F.col("score").alias("branch_score"))
+
+
+def best_branches(tree: DataFrame, top: int = 1) -> DataFrame:
     """The ``top`` leaves per conversation by summed score (a ``score`` column; none counts 1 a message).
 
     Equal scores go to the smaller leaf. Returns (conv_id, leaf, branch_rank, branch_score).
     """
-    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in tree.columns else F.lit(1.0)
-    value = tree.select(F.col("conv_id").alias("vc"), F.col("node").alias("vn"), score.alias("v"))
-    joined = paths.join(value, F.col("conv_id").eqNullSafe(F.col("vc")) & (F.col("node") == F.col("vn")))
-    scored = joined.groupBy("conv_id", "leaf").agg(F.sum("v").alias("branch_score"))
-    rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("branch_score"), "leaf"))
-    return scored.withColumn("branch_rank", rank).filter(F.col("branch_rank") <= top)
+    return _best(Reach(tree), top)
 
 
 def format_branches(tree: DataFrame, top: int = 1) -> DataFrame:
@@ -88,23 +114,38 @@ def format_branches(tree: DataFrame, top: int = 1) -> DataFrame:
     ``tree``: conv_id, node, parent, role, text and optionally score. A turn is
     written ``<|turn|>role<|body|>text<|end|>`` with role and text escaped.
     loss_mask lists the assistant bodies as (start, length) in code points of
-    the formatted string. Null roles and texts count as empty.
+    the formatted string. Null roles and texts count as empty; of repeated
+    (conv_id, node) rows the least role and text is said. A conversation without
+    a branch (all on cycles) has no row.
+
+    The branches are found and ranked on ids alone; only the chosen ones are
+    laid out, and texts are shuffled once, by conversation.
     """
-    paths = branches(tree)
-    chosen = best_branches(paths, tree, top)
-    said = tree.select(
-        F.col("conv_id").alias("tc"), F.col("node").alias("tn"),
-        F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"),
-    )
-    keep = chosen.select(F.col("conv_id").alias("cc"), F.col("leaf").alias("cl"), "branch_rank", "branch_score")
-    rows = paths.join(keep, F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("leaf") == F.col("cl")))
-    rows = rows.join(said, F.col("conv_id").eqNullSafe(F.col("tc")) & (F.col("node") == F.col("tn")))
-    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
-    turn = F.struct(
-        (-F.col("up")).alias("at"), F.concat(head, "body", F.lit(END)).alias("piece"),
-        F.length(head).alias("skip"), F.length("body").alias("len"), (F.col("role") == "assistant").alias("loss"),
+    reach = Reach(tree)
+    chosen = materialize(_best(reach, top), "chosen")
+    paths = reach.paths(chosen).select(F.col("conv_id").alias("pc"), F.col("leaf").alias("pl"), "node", "up")
+    chosen = chosen.join(paths, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("leaf") == F.col("pl")))
+    said = F.struct("node", F.lit(1).alias("side"), F.lit(0).cast("long").alias("up"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    asked = F.struct("node", F.lit(0).alias("side"), "up", F.lit("").alias("role"), F.lit("").alias("text"))
+    texts = tree.groupBy(F.col("conv_id").alias("tc")).agg(F.collect_list(said).alias("said"))
+    wanted = chosen.groupBy("conv_id", "branch_rank", "branch_score").agg(F.collect_list(asked).alias("asked"))
+    both = wanted.join(texts, F.col("conv_id").eqNullSafe(F.col("tc"))).select(
+        "conv_id", "branch_rank", "branch_score", F.sort_array(F.concat("asked", "said")).alias("rows")
     )
-    one = rows.groupBy("conv_id", "branch_rank", "branch_score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # a wanted message is followed by what it says
+    before = lambda i: F.get("rows", i - 1)
+    found = F.transform("rows", lambda x, i: F.when((x["side"] == 1) & (before(i)["side"] == 0) & (before(i)["node"] == x["node"]), F.struct(
+        (-before(i)["up"]).alias("at"), x["role"].alias("role"), x["text"].alias("text")
+    )))
+    one = both.withColumn("_turns", F.sort_array(F.filter(found, lambda t: t.isNotNull())))
+
+    def written(t: Column) -> Column:
+        head, body = F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)), escape(t["text"])
+        return F.struct(
+            F.concat(head, body, F.lit(END)).alias("piece"), F.length(head).alias("skip"), F.length(body).alias("len"), (t["role"] == "assistant").alias("loss")
+        )
+
+    one = one.withColumn("turns", F.transform("_turns", written))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     mask = F.aggregate(
         "turns",

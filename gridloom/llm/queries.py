@@ -58,7 +58,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    extra = spark.sql(f"select * from values (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}') as t(conv_id, turn, role, text)")
     done = chat_trees.format_branches(chat_trees.chain_replies(turns.unionByName(extra)))
     done = done.withColumn("turns", chat_trees.parse_turns(F.col("formatted"))).withColumn(
         "loss", chat_trees.loss_text(F.col("formatted"), F.col("loss_mask"))
@@ -111,9 +111,9 @@ marked as (
   from rows
 )
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, md5(text))) as turns_sha256,
   coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, md5(text)), '')) as loss_sha256,
   sum(length(piece))::bigint as formatted_chars
 from marked group by conv_id
 """

@@ -34,18 +34,21 @@ def test_reply_trees(spark):
         (1, 4, 3, "assistant", None, None), (1, 5, 3, "assistant", "best", 0.5), (2, 0, None, "user", "alone", None), (3, 0, 7, None, "no parent", 1.0),
         (4, 0, 1, "user", "cycle", 1.0), (4, 1, 0, "user", "cycle", 1.0),
     ]
-    tree = spark.createDataFrame([r for r in rows if r[0] != 4], TREE).withColumn("leaf", F.lit(9))
-    got = {(r.conv_id, r.branch_rank): r for r in ct.format_branches(tree.drop("leaf"), top=2).collect()}
+    # a cycle with a leaf and a chain below it, beside a good branch; and rows told again
+    rows += [(4, 2, 0, "user", "below", 1.0), (4, 3, 2, "user", "leaf", 1.0), (4, 9, None, "user", "fine", 0.0), (5, 0, None, "user", "b", 1.0), (5, 0, 3, "user", "a", 2.0)]
+    rows += [(5, 1, 0, "assistant", "said", 1.0)] * 2 + [(5, None, 0, "user", "no node", 9.0), (None, 0, None, "user", "null", 1.0), (None, 1, 0, "user", "conv", 1.0)]
+    tree = spark.createDataFrame(rows, TREE).withColumns({"leaf": F.lit(9), "far": F.lit(8), "up": F.lit(7)})
+    got = {(r.conv_id, r.branch_rank): r for r in ct.format_branches(tree, top=2).collect()}
     text = lambda k: ct.BODY in got[k].formatted and [p.split(ct.BODY)[1] for p in got[k].formatted.split(ct.END)[:-1]]
     assert text((1, 1)) == ["q", "good", "next", "best"] and text((1, 2)) == ["q", "good", "next", ""]
-    assert text((2, 1)) == ["alone"] and text((3, 1)) == ["no parent"] and len(got) == 4
-    assert ct.branches(spark.createDataFrame([], TREE)).count() == 0
-    with pytest.raises(ValueError):
-        old, ct.MAX_DOUBLINGS = ct.MAX_DOUBLINGS, 3
-        try:
-            ct.branches(spark.createDataFrame([r for r in rows if r[0] == 4], TREE))
-        finally:
-            ct.MAX_DOUBLINGS = old
+    assert got[1, 1].branch_score == pytest.approx(2.6)
+    assert text((2, 1)) == ["alone"] and text((3, 1)) == ["no parent"] and text((4, 1)) == ["fine"]
+    assert text((5, 1)) == ["a", "said"] and text((None, 1)) == ["null", "conv"] and len(got) == 7
+    paths = {(r.conv_id, r.leaf, r.node, r.up) for r in ct.branches(tree).collect()}
+    assert {p for p in paths if p[0] == 4} == {(4, 9, 9, 0)} and (1, 5, 0, 3) in paths and len(paths) == 2 + 4 + 4 + 1 + 1 + 1 + 2 + 2
+    assert {(r.conv_id, r.leaf) for r in ct.best_branches(tree).collect()} == {(1, 5), (2, 0), (3, 0), (4, 9), (5, 1), (None, 1)}
+    assert ct.branches(spark.createDataFrame([], TREE)).count() == 0 and ct.format_branches(spark.createDataFrame([], TREE)).count() == 0
+    assert ct.format_branches(spark.createDataFrame(rows[8:10], TREE)).count() == 0
 
 
 def test_long_chain_needs_few_joins(spark):
