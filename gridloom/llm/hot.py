@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 MAX_HOT = 10_000
 
 
-def join_to_one(rows: DataFrame, ones: DataFrame, key: str, weight: str, spread: list[Column]) -> DataFrame:
-    """Inner join of ``rows`` to ``ones``, which has one row per key and in ``weight`` how many rows share it.
+def join_to_one(rows: DataFrame, ones: DataFrame, key: str, weight: str, spread: Column, outer: bool = False) -> DataFrame:
+    """Join of ``rows`` to ``ones``, which has one row per key and in ``weight`` how many rows share it.
+
+    An inner join, or with ``outer`` a left one, without a null key's rows
+    becoming hot. ``spread`` is a value of the key's type that differs from row
+    to row.
 
     A key that holds more than 1 / ``MAX_HOT`` of the weight is joined where its
     rows lie; there are fewer than ``MAX_HOT`` of these, whatever the data. Its
@@ -25,9 +29,14 @@ def join_to_one(rows: DataFrame, ones: DataFrame, key: str, weight: str, spread:
     near = ones.filter(hot).select(F.col(key).alias("_near"), held.alias("_hot"))
     far = ones.filter(~hot).select(F.col(key).alias("_far"), held.alias("_cold"))
     found = rows.join(F.broadcast(near), F.col(key) == F.col("_near"), "left")
-    # a hot row's deal may by chance be some key: what it meets there is ignored
-    deal = F.when(F.col("_hot").isNotNull(), F.xxhash64(*spread)).otherwise(F.col(key)).alias("_deal")
-    found = found.select(deal, "_hot", *(c for c in rows.columns if c != key))
-    found = found.join(far.hint("merge"), F.col("_deal") == F.col("_far"), "left").withColumn("_one", F.coalesce("_hot", "_cold"))
-    found = found.filter("_one is not null")
-    return found.select(*(F.col("_one")[c].alias(c) if c == key else F.col(c) for c in rows.columns), *(F.col("_one")[c].alias(c) for c in rest))
+    # a spread row's deal may by chance be some key: what it meets there is ignored
+    spread_out = F.col("_hot").isNotNull() | F.col(key).isNull()
+    deal = F.when(spread_out, spread).otherwise(F.col(key)).alias("_deal")
+    found = found.select(deal, "_hot", F.col(key).isNull().alias("_none"), *(c for c in rows.columns if c != key))
+    found = found.join(far.hint("merge"), F.col("_deal") == F.col("_far"), "left")
+    found = found.withColumn("_one", F.when(~F.col("_none"), F.coalesce("_hot", "_cold")))
+    if not outer:
+        found = found.filter("_one is not null")
+    # a row without its one keeps its key, which is then the deal
+    own = F.when(~F.col("_none"), F.coalesce(F.col("_one")[key], F.col("_deal"))).alias(key)
+    return found.select(*(own if c == key else F.col(c) for c in rows.columns), *(F.col("_one")[c].alias(c) for c in rest))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bytetext import Chunk, chunks, lists, mix
 from gridloom.llm.components import connected_components
+from gridloom.llm.hot import join_to_one
 from gridloom.llm.store import materialize, small_batches
 
 BINS, BAND_ROWS = 120, 5
@@ -81,6 +82,16 @@ def fast_sketches(row: np.ndarray, value: np.ndarray, rows: int, bins: int = BIN
     return sketch.reshape(rows, bins)
 
 
+def _signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of each row's set signature; 0 for an empty set."""
+    full = np.flatnonzero(np.diff(bounds))
+    low, high = np.zeros((2, len(bounds) - 1), np.uint64)
+    if len(h):
+        low[full] = np.add.reduceat(mix(h, 7), bounds[full])
+        high[full] = np.bitwise_xor.reduceat(mix(h, 8), bounds[full])
+    return low.view(np.int64), high.view(np.int64)
+
+
 def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, n_shingles, a 128-bit set signature and the sketch's band keys."""
     small_batches(docs.sparkSession)
@@ -90,11 +101,7 @@ def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
             for c in chunks(batch.column(1)):
                 row, h, bounds = shingle_sets(c, width)
                 n = np.diff(bounds)
-                low, high = np.zeros(c.rows, np.uint64), np.zeros(c.rows, np.uint64)
-                if len(h):
-                    full = np.flatnonzero(n)
-                    low[full] = np.add.reduceat(mix(h, 7), bounds[full])
-                    high[full] = np.bitwise_xor.reduceat(mix(h, 8), bounds[full])
+                low, high = _signatures(h, bounds)
                 sketch = fast_sketches(row, h, c.rows)
                 bands = np.zeros((c.rows, BINS // BAND_ROWS), dtype=np.uint64)
                 for k in range(BAND_ROWS):
@@ -104,8 +111,8 @@ def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
                     [
                         batch.column(0).slice(c.first, c.rows),
                         pa.array(n, pa.int64()),
-                        pa.array(low.view(np.int64)),
-                        pa.array(high.view(np.int64)),
+                        pa.array(low),
+                        pa.array(high),
                         lists(bands.view(np.int64).ravel(), np.arange(c.rows + 1) * bands.shape[1], pa.int64()),
                     ],
                     names=["id", "n", "low", "high", "bands"],
@@ -116,20 +123,24 @@ def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
     )
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, hashes) of the documents named in ``ids``: the whole sorted shingle set."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, low, high, hashes): the whole sorted shingle sets of the (id, low, high) rows of ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 _, h, bounds = shingle_sets(c, width)
+                low, high = _signatures(h, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.first, c.rows), lists(h.view(np.int64), bounds, pa.int64())],
-                    names=["id", "hashes"],
+                    [batch.column(0).slice(c.first, c.rows), pa.array(low), pa.array(high), lists(h.view(np.int64), bounds, pa.int64())],
+                    names=["id", "low", "high", "hashes"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, hashes array<long>")
+    rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").distinct()
+    sets = rows.mapInArrow(run, "id long, low long, high long, hashes array<long>")
+    # texts that differ may have one set
+    return sets.join(wanted, ["id", "low", "high"], "left_semi").dropDuplicates(["id", "low", "high"])
 
 
 def _block_links(num: int, den: int):
@@ -172,10 +183,42 @@ def _block_links(num: int, den: int):
     return run
 
 
+def _split_by_prefix(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, part): the clusters of ``sets`` cut where no link can be.
+
+    With its shingles in order of how many of the cluster's sets hold them, a
+    set's prefix is all but the ``t * n`` - 1 most frequent ones; two sets that
+    link share a shingle of their prefixes. Sets that only have a frequent frame
+    in common share none, however many bands they meet in. A part is what hangs
+    together by prefix shingles; sets without a shared one are in no part.
+    """
+    tokens = sets.select("cluster", "id", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
+    tokens = tokens.withColumn("key", F.xxhash64("cluster", "token"))
+    frequent = tokens.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").withColumn("times", F.col("held"))
+    shared = join_to_one(tokens.select("key", "id", "n"), materialize(frequent, "frequent"), "key", "held", F.xxhash64("id", "key"))
+    per = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("order"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("order"))
+    edge = per.filter(prefix > 0).select("id", F.explode(F.slice("order", 1, prefix.cast("int"))).alias("at")).select("id", "at.key")
+    edge = materialize(edge, "prefixes")
+    least = edge.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    links = join_to_one(edge, materialize(least, "least"), "key", "m", F.xxhash64("id", "key")).select("id", "first").distinct()
+    parts = connected_components(links, "id", "first")
+    return parts.select(F.col("node").alias("id"), F.col("component").alias("part"))
+
+
 def _confirmed(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, root): the links within clusters, by pairs of blocks of (cluster, id, hashes) rows."""
-    blocks = sets.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
-    rows = sets.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    count = materialize(sets.groupBy("cluster").agg(F.count("*").alias("m")), "sizes")
+    large = count.filter(F.col("m") > BLOCK_ROWS)
+    if not large.isEmpty():
+        wide = materialize(join_to_one(sets, large, "cluster", "m", F.xxhash64("id")), "large")
+        parts = _split_by_prefix(wide, num, den)
+        parts = wide.drop("cluster").join(parts.withColumnRenamed("part", "cluster"), "id")
+        sets = sets.join(large, "cluster", "left_anti").select("cluster", "id", "hashes").unionByName(parts)
+        sets = materialize(sets.select("cluster", "id", "hashes"), "parts")
+        count = materialize(sets.groupBy("cluster").agg(F.count("*").alias("m")), "sizes")
+    blocks = count.filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("long"))
+    rows = join_to_one(sets.select("cluster", "id", "hashes"), blocks, "cluster", "m", F.xxhash64("id")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
     rows = rows.select(
@@ -201,32 +244,39 @@ def near_duplicates(
     Documents with equal sets form one class before any pairing, so a group of
     exact copies of any size is one row from then on. Classes that share a band
     are joined to the band's least class, and what hangs together is a cluster:
-    two classes that meet in any band are in one. A cluster's full sets are
-    confirmed by pairs of blocks of bounded size, each a matrix product that
-    yields a forest of its links; pairs are never rows.
+    two classes that meet in any band are in one. Clusters of more than a block
+    are cut by prefixes of their sets, so that texts with a common frame don't
+    all meet. Full sets are confirmed by pairs of blocks of bounded size, each a
+    matrix product that yields a forest of its links; pairs are never rows.
 
     Null, empty and separator-only texts: n_shingles 0, their own component,
-    kept. Repeated rows give repeated output rows. A null id gets a null
-    component and kept null. Other columns are ignored.
+    kept. Repeated rows give repeated output rows; rows of one id with different
+    texts are one document, linked to what any of them links to. A null id gets
+    a null component and kept null. Other columns are ignored.
     """
     sketches = materialize(sketch_rows(docs, width, id_col, text_col), "sketches")
-    filled = sketches.filter("n > 0 and id is not null")
-    classes = filled.groupBy("low", "high").agg(F.min("id").alias("cid"))
-    member = sketches.select("id", "n", "low", "high").join(classes, ["low", "high"], "left")
-    member = materialize(
-        member.select("id", "n", F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("id")).alias("cid")), "members"
-    )
-    distinct = member.filter("n > 0 and id = cid").select("id").distinct()
-    bands = filled.join(distinct, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    star = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    meets = bands.join(star, "band").filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    filled = sketches.filter("n > 0 and id is not null").withColumn("sig", F.struct("low", "high"))
+    classes = filled.groupBy("sig").agg(F.min("id").alias("cid"), F.count("*").alias("m"))
+    copies = materialize(classes.filter("m > 1"), "copies")
+    rows = sketches.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.struct("low", "high")).alias("sig"))
+    spread = F.struct(F.xxhash64("id").alias("low"), F.xxhash64("id", F.lit(1)).alias("high"))
+    member = join_to_one(rows, copies, "sig", "m", spread, outer=True)
+    member = materialize(member.select("id", "n", "sig", F.coalesce("cid", "id").alias("cid")), "members")
+    first = member.filter("sig is not null and id = cid").select("id", "sig.low", "sig.high").distinct()
+    bands = filled.join(first, ["id", "low", "high"], "left_semi").dropDuplicates(["id", "low", "high"]).select("id", F.explode("bands").alias("band"))
+    star = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1")
+    meets = join_to_one(bands, materialize(star, "star"), "band", "m", F.xxhash64("id")).filter("id > a").select("a", F.col("id").alias("b")).distinct()
     cluster = materialize(connected_components(meets, "a", "b"), "clusters").select(
         F.col("node").alias("id"), F.col("component").alias("cluster")
     )
-    sets = _full_sets(docs, cluster.select("id"), width, id_col, text_col).join(cluster, "id")
-    links = materialize(_confirmed(sets, num, den), "links")
+    sets = _full_sets(docs, first.join(cluster, "id", "left_semi"), width, id_col, text_col).drop("low", "high")
+    sets = materialize(sets.join(cluster, "id"), "sets")
+    several = member.filter("sig is not null").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a < b").select("id")
+    several = member.filter("sig is not null").join(several, "id", "left_semi").select("id", F.col("cid").alias("root"))
+    links = materialize(_confirmed(sets, num, den).unionByName(several), "links")
     found = materialize(connected_components(links, "id", "root"), "found")
-    out = member.join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    held = member.groupBy("cid").agg(F.count("*").alias("m")).join(found, F.col("cid") == F.col("node")).select("cid", "m", "component")
+    out = join_to_one(member, materialize(held, "held"), "cid", "m", F.xxhash64("id"), outer=True)
     comp = F.coalesce("component", "cid")
     return out.select(
         F.col("id").alias("doc_id"),

@@ -216,6 +216,10 @@ def test_near_duplicates_match_brute_force(spark, docs, rows, width, num):
         for at in rng.choice(len(w), int(rng.integers(0, 9)), replace=False):
             w[at] = f"new{k}x{at}"
         group.append((20000 + k, " ".join(w), "en", "g", 1))
+    frame = [f"frame{k}" for k in range(100)]
+    for k in range(300):  # a common frame and own words: in one cluster by their bands, none a duplicate but the last
+        own = [f"own{k if k < 299 else 0}x{j}" for j in range(50)]
+        group.append((40000 + k, " ".join(frame + own + [f"end{k}"]), "en", "f", 1))
     extra = spark.createDataFrame(group, SCHEMA)
     got = near_dup.near_duplicates(docs.unionByName(extra).withColumn("component_id", F.lit(5)), width, num, 100).collect()
     sets = {i: shingles(t, width) for i, t, *_ in [*rows, *group]}
@@ -226,6 +230,15 @@ def test_near_duplicates_match_brute_force(spark, docs, rows, width, num):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (3, a + " x"), (7, b + " y"), (9, b), (None, a), (2, None)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id, r.kept) for r in got.collect()} == {
+        (5, 3, False), (3, 3, True), (7, 3, False), (9, 3, False), (None, None, None), (2, 2, True)
+    }
+
+
 def test_fast_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
