@@ -5,10 +5,12 @@ neighbouring words. Forward-backward gives every word's language distribution,
 so code-switched text is labelled by word; a text's language is the one with the
 highest mean probability over its words, and that mean is its score.
 
-The model is fitted on a bounded sample: at most ``MAX_LANGUAGES`` languages,
-``DOCS_PER_LANGUAGE`` documents each, ``SPAN`` characters of each. Training
-sequences splice spans of different languages, so transitions are learned.
-Prediction runs over all words of all texts.
+The model is fitted on a bounded sample of every labelled language: at most
+``DOCS_PER_LANGUAGE`` documents each and about ``SAMPLE_DOCS`` in all (3 of each at
+least), ``SPAN`` characters of each. Training sequences splice spans of different
+languages, so transitions are learned. Prediction runs over all words of all
+texts. Forward-backward is a scan over segments of ``SEGMENT`` words, all texts'
+segments at once, so a long text takes few steps.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.bytetext import Chunk, chunks
 from gridloom.llm.store import small_batches
 
-MAX_LANGUAGES, DOCS_PER_LANGUAGE, SPAN = 64, 150, 3000
+DOCS_PER_LANGUAGE, SAMPLE_DOCS, SPAN, SEGMENT = 150, 9600, 3000, 128
 BITS, LEXICON_SIZE, EPOCHS, SEQUENCE = 15, 20_000, 40, 40
 CHUNK = 2 << 20
 UNDETERMINED = "und"
@@ -114,18 +116,26 @@ def forward_backward(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Per-word marginals of rows of words laid end to end, and on demand summed transition expectations.
 
-    All rows step together, longest first; each step is normalised.
+    Rows are cut into segments. A segment of a row of several has a matrix, the
+    product of its words' steps; these carry each row's state from segment to
+    segment, forwards and backwards. Then all segments step together, longest
+    first; each step is normalised.
     """
     k = score.shape[1]
     e = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
     a = np.exp(m.transition)
-    order = np.argsort(-count, kind="stable")
-    begin = (np.cumsum(count) - count)[order]
-    length = count[order]
+    pieces = -(-count // SEGMENT)
+    row = np.repeat(np.arange(len(count)), pieces)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = (np.cumsum(count) - count)[row] + nth * SEGMENT
+    size = np.minimum(count[row] - nth * SEGMENT, SEGMENT)
+    into, after = _segment_states(e, a, np.exp(m.start), pieces, nth, first, size)
+    order = np.argsort(-size, kind="stable")
+    begin, length = first[order], size[order]
     steps = int(length[0]) if len(length) else 0
     alive = np.searchsorted(-length, -np.arange(steps), side="left")
     alpha, beta = np.zeros_like(e), np.zeros_like(e)
-    now = np.tile(np.exp(m.start), (len(length), 1)).astype(e.dtype)
+    now, last = into[order], after[order]
     for t in range(steps):
         n = alive[t]
         at = begin[:n] + t
@@ -133,12 +143,12 @@ def forward_backward(
         now /= now.sum(axis=1, keepdims=True)
         alpha[at] = now
     expected = np.zeros((k, k))
-    back = np.ones((len(length), k), dtype=e.dtype)
+    back = last
     for t in range(steps - 1, -1, -1):
         n = alive[t]
         at = begin[:n] + t
         more = alive[t + 1] if t + 1 < steps else 0
-        b = np.ones((n, k), dtype=e.dtype)
+        b = last[:n].copy()
         if more:
             ahead = e[at[:more] + 1] * back[:more]
             ahead /= ahead.sum(axis=1, keepdims=True)
@@ -158,17 +168,48 @@ def forward_backward(
     return gamma, expected
 
 
+def _segment_states(
+    e: np.ndarray, a: np.ndarray, start: np.ndarray, pieces: np.ndarray, nth: np.ndarray, first: np.ndarray, size: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per segment: the state before its first word, and what follows its last word weighs from each language."""
+    k = e.shape[1]
+    into = np.tile(start, (len(first), 1)).astype(e.dtype)
+    after = np.ones((len(first), k), dtype=e.dtype)
+    several = np.flatnonzero(np.repeat(pieces, pieces) > 1)
+    if len(several) == 0:
+        return into, after
+    whole = np.zeros((len(several), k, k), dtype=e.dtype)
+    whole[:, np.arange(k), np.arange(k)] = e[first[several]]
+    for t in range(1, int(size[several].max())):
+        use = np.flatnonzero(size[several] > t)
+        step = (whole[use] @ a) * e[first[several][use] + t][:, None, :]
+        whole[use] = step / step.max(axis=(1, 2), keepdims=True)
+    matrix = np.zeros((len(first), k, k), dtype=e.dtype)
+    matrix[several] = whole
+    head = np.cumsum(pieces) - pieces
+    for j in range(1, int(pieces.max())):
+        here = head[pieces > j] + j
+        now = np.einsum("ij,ijk->ik", into[here - 1], matrix[here - 1]) @ a
+        into[here] = now / now.sum(axis=1, keepdims=True)
+    for j in range(int(pieces.max()) - 1, 0, -1):
+        here = head[pieces > j] + j
+        now = np.einsum("ijk,ik->ij", matrix[here], after[here]) @ a.T
+        after[here - 1] = now / now.sum(axis=1, keepdims=True)
+    return into, after
+
+
 def training_sample(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
     """(lang, text) spans of the bounded sample, the same on every run: documents in hash order of their id."""
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     base = base.filter("lang is not null and text is not null and id is not null").filter(F.rlike("text", F.lit(r"\p{L}")))
-    langs = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    langs = base.select("lang").distinct().count()
+    most = max(3, min(DOCS_PER_LANGUAGE, SAMPLE_DOCS // max(langs, 1)))
     h = F.xxhash64("id")
     begin = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - SPAN, F.lit(1)))
     span = base.select("lang", h.alias("h"), "id", F.substring("text", (begin + 1).cast("int"), F.lit(SPAN)).alias("text"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "text"))
-    chosen = span.withColumn("r", rank).filter(F.col("r") <= DOCS_PER_LANGUAGE)
-    rows = chosen.join(F.broadcast(langs), "lang", "left_semi").toPandas()
+    chosen = span.withColumn("r", rank).filter(F.col("r") <= most)
+    rows = chosen.toPandas()
     return rows.sort_values(["lang", "h", "id", "text"])[["lang", "text"]].reset_index(drop=True)
 
 

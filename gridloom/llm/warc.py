@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives: range-sorted, rolled by compressed size, committed by manifest.
 
 Records are ordered by key; key ranges (shards) come from a sample chosen by a
-hash of the key, so the same table gives the same files on any cluster. A shard
+hash of the key and grow in number with the table, and each is one task, so the
+same table gives the same files on any cluster. A shard
 is written as gzip members, one record each, to a temporary name that holds the
 task attempt, and renamed when complete: a lost executor leaves temporary files
 only, and a repeated task writes the same bytes. Readers open what the manifest
@@ -26,10 +27,15 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bytes of payload a shard, compressed bytes a file, sampled keys, least payload that is deduplicated.
-SHARD_BYTES, ROLL_BYTES, SAMPLE_KEYS, LEAST_REVISIT = 16 << 20, 64 << 20, 20_000, 100
+from gridloom.llm.store import materialize
+
+#: Least and greatest bytes of payload a shard, shards before the least grows, files a shard's size allows for, sampled keys a shard.
+SHARD_BYTES, MAX_SHARD_BYTES, SHARDS, FILES, KEYS_A_SHARD = 32 << 20, 1 << 30, 10_000, 8, 64
+#: Least payload that is deduplicated.
+LEAST_REVISIT = 100
 #: Manifest rows (about 100 bytes each) that are broadcast to the readers.
 MAX_BROADCAST_FILES = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -128,38 +134,67 @@ def decode_record(member: bytes) -> dict:
     }
 
 
-def _shard_bounds(plan: DataFrame) -> np.ndarray:
-    """Upper keys of all shards but the last: even cuts of a hash sample of at most about ``SAMPLE_KEYS`` keys."""
-    count, size = plan.filter("page_id is not null").agg(F.count("*"), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
-    shards = min(-(-size // SHARD_BYTES), SAMPLE_KEYS // 4)
-    if shards < 2:
-        return np.zeros(0, np.int64)
-    stride = max(1, -(-count // SAMPLE_KEYS))
-    keys = plan.filter("page_id is not null").select("page_id").filter(F.pmod(F.xxhash64("page_id"), F.lit(stride)) == 0)
-    keys = np.sort(keys.toPandas().page_id.to_numpy(np.int64))
-    if len(keys) < 2:
-        return np.zeros(0, np.int64)
-    return np.unique(keys[np.arange(1, shards) * len(keys) // shards])
+def _shard_size(size: int) -> int:
+    return int(np.clip(size // SHARDS, SHARD_BYTES, MAX_SHARD_BYTES))
+
 
+def _shard_bounds(plan: DataFrame, size: int, shard_bytes: int) -> np.ndarray:
+    """Least keys of all shards but the first: 8 bytes to the driver for each ``shard_bytes`` of payload.
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    Cuts are even in bytes over a hash sample of about ``KEYS_A_SHARD`` keys a
+    shard, whose running payload tells the shard that a key falls in.
+    """
+    known = plan.filter("page_id is not null")
+    shards = -(-size // shard_bytes)
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    stride = max(1, known.count() // (shards * KEYS_A_SHARD))
+    keys = known.filter(F.pmod(F.xxhash64("page_id"), F.lit(stride)) == 0).groupBy("page_id").agg(F.sum("payload_bytes").alias("bytes"))
+    # running bytes in key order: within range partitions, plus those of the partitions before
+    keys = keys.repartitionByRange(max(1, shards // 64), "page_id").withColumn("part", F.spark_partition_id())
+    keys = materialize(keys, "keys")
+    before = F.coalesce(F.sum("all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    of_part = keys.groupBy("part").agg(F.sum("bytes").alias("all")).withColumn("before", before)
+    total = keys.agg(F.sum("bytes")).first()[0] or 1
+    run = F.coalesce(F.sum("bytes").over(W.partitionBy("part").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = keys.withColumn("run", run).join(of_part.select("part", "before"), "part")
+    shard = F.floor((F.col("run") + F.col("before")) * shards / total)
+    lows = placed.groupBy(shard.alias("shard")).agg(F.min("page_id").alias("low")).filter("shard > 0").select("low")
+    return np.sort(lows.toPandas().low.to_numpy(np.int64))
+
+
+def write_archives(
+    pages: DataFrame,
+    folder: str,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    shard_bytes: int | None = None,
+    roll_bytes: int | None = None,
+) -> DataFrame:
     """Write ``pages`` as WARC files below ``folder``; returns the manifest (file, shard, records, bytes, first, last, sha256).
 
+    A shard holds about ``shard_bytes`` of payload and is one task; without it,
+    the payload's 10,000th part, 32 MB to 1 GB. A file is closed before it would
+    exceed ``roll_bytes`` compressed (one record at least), an eighth of
+    a shard by default.
+
     Null html is an empty payload, a null url becomes ``urn:page:<id>``, null
     ids come first. Repeated rows are records of their own; with equal ids and
     payloads both have the same type. An empty table gives an empty manifest.
     Other columns are not archived.
     """
-    from gridloom.llm.store import materialize
-
     spark = pages.sparkSession
     plan = materialize(record_plan(pages, id_col, html_col), "plan")
-    shared = spark.sparkContext.broadcast(_shard_bounds(plan))
+    size = plan.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
+    shard_bytes = shard_bytes or _shard_size(size)
+    roll_bytes = max(1, shard_bytes // FILES) if roll_bytes is None else roll_bytes
+    shared = spark.sparkContext.broadcast(_shard_bounds(plan, size, shard_bytes))
 
     @F.pandas_udf("int")
     def shard_of(key: pd.Series) -> pd.Series:
         low = key.fillna(np.iinfo(np.int64).min).astype(np.int64)
-        return pd.Series(np.searchsorted(shared.value, low.to_numpy(), side="left").astype(np.int32))
+        return pd.Series(np.searchsorted(shared.value, low.to_numpy(), side="right").astype(np.int32))
 
     # decisions and payloads meet in key order, so payloads are shuffled once
     decided = plan.distinct().withColumns({"url": F.lit(None).cast("string"), "html": F.lit(None).cast("string"), "_side": F.lit(0)})
@@ -171,8 +206,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         F.col(url_col).cast("string").alias("url"), html.alias("html"), F.lit(1).alias("_side"),
     )
     both = decided.unionByName(bodies).withColumn("shard", shard_of("page_id"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(shared.value) + 1)
-    both = both.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "_side", "url")
+    both = both.repartitionById(len(shared.value) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "payload_digest", "_side", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
@@ -199,7 +233,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 if (decision["page_id"], decision["payload_digest"]) != (row["page_id"], row["payload_digest"]):
                     raise ValueError("a payload lacks its decision")
                 record = encode_record(decision | {"url": row["url"]}, row["html"].encode())
-                if out and (out["shard"] != row["shard"] or out["bytes"] + len(record) > ROLL_BYTES):
+                if out and (out["shard"] != row["shard"] or out["bytes"] + len(record) > roll_bytes):
                     seq = out["seq"] + 1 if out["shard"] == row["shard"] else 0
                     close()
                 if not out:

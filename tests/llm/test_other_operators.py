@@ -1,5 +1,7 @@
 """Chat trees, vectors, archives, shared helpers and the pipeline."""
 
+import collections
+import itertools
 import random
 
 import numpy as np
@@ -137,6 +139,18 @@ def test_archives_of_nothing_and_rolling(spark):
     folder = fresh_path(spark, "warc-test")
     assert warc.write_archives(spark.createDataFrame([], PAGES), folder).count() == 0
     assert warc.read_archives(spark, folder).count() == 0
+    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(None, None, "no id"), (None, None, "no id")], PAGES))
+    found = []
+    for table in (pages, pages.repartition(7), pages.orderBy("html")):
+        folder = fresh_path(spark, "warc-test")
+        files = warc.write_archives(table, folder, shard_bytes=60_000, roll_bytes=5_000).collect()
+        found.append(sorted((r.file, r.records, r.bytes, r.sha256) for r in files))
+        assert warc.read_archives(spark, folder).count() == pages.count()
+    assert found[0] == found[1] == found[2]  # the same bytes, however the table is cut
+    shards = collections.Counter(r.shard for r in files)
+    assert len(shards) > 2 and max(shards.values()) > 2 and all(r.bytes <= 5_000 or r.records == 1 for r in files)
+    spans = sorted((r.file, r.first, r.last) for r in files if r.first is not None)
+    assert all(a[2] <= b[1] for a, b in itertools.pairwise(spans))  # in key order throughout
 
 
 def test_chunks_cover_any_text():

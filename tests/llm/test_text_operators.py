@@ -446,6 +446,28 @@ def test_forward_backward_matches_enumeration():
     assert pairs == pytest.approx(want_pairs)
 
 
+def test_forward_backward_of_long_rows_is_the_same_by_segments():
+    rng = np.random.default_rng(2)
+    count = np.array([700, 3, 0, 16, 17, 255, 1])
+    m = language_crf.Model(["a", "b", "c"], None, None, None, rng.normal(size=(3, 3)), rng.normal(size=3))
+    score = rng.normal(size=(count.sum(), 3)) * 3
+    whole, language_crf.SEGMENT = language_crf.SEGMENT, 10_000
+    try:
+        want, want_pairs = language_crf.forward_backward(score, count, m, transitions=True)
+        language_crf.SEGMENT = 16
+        got, pairs = language_crf.forward_backward(score, count, m, transitions=True)
+        single, _ = language_crf.forward_backward(score.astype(np.float32), count, m)
+    finally:
+        language_crf.SEGMENT = whole
+    assert got == pytest.approx(want) and pairs == pytest.approx(want_pairs) and single == pytest.approx(want, abs=1e-4)
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(k, f"wort{k % 70} mit{k % 70} sprache{k % 70}", f"l{k % 70}", "s", 1) for k in range(210)]
+    sample = language_crf.training_sample(spark.createDataFrame(rows, SCHEMA))
+    assert sample.lang.nunique() == 70
+
+
 def test_language_identification(spark, docs):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = language_crf.fit(language_crf.training_sample(docs.filter(~held)))
