@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.bytetext import Chunk, chunks, lists, mix, rows_of
@@ -107,15 +108,20 @@ def _window_rows(texts: DataFrame, document: bool, wanted=None) -> DataFrame:
                 if last <= 0:
                     continue
                 at = np.flatnonzero(row[:last] == row[WIDTH - 1 :])
-                plain = sum((slot[at + k] == 0).astype(np.int64) for k in range(WIDTH))
-                at = at[plain >= MIN_PLAIN]
+                plain = sum((slot[at + k] == 0).astype(np.int64) for k in range(WIDTH)) >= MIN_PLAIN
+                # windows of nothing but names and numbers count word for word, in items that have no others
+                bare = at[~plain]
+                at = at[plain]
                 count = np.bincount(row[at], minlength=c.rows)
+                if not document:
+                    bare = bare[count[row[bare]] == 0]
+                    count = count + np.bincount(row[bare], minlength=c.rows)
                 # each window as it is; word for word, for texts whose case hides the names; and on the document
                 # side with a plain first word, which a passage pasted into a sentence has capitalised
                 slotted = at[sum((slot[at + k] != 0).astype(np.int64) for k in range(WIDTH)) > 0]
                 opening = at[slot[at] != 0] if document else at[:0]
-                at = np.concatenate((at, slotted, opening))
-                kind = np.repeat([0, 1, 2], [len(at) - len(slotted) - len(opening), len(slotted), len(opening)])
+                kind = np.repeat([0, 1, 2], [len(at), len(slotted) + len(bare), len(opening)])
+                at = np.concatenate((at, slotted, bare, opening))
                 window = np.zeros(len(at), dtype=np.uint64)
                 for k in range(WIDTH):
                     verbatim = (kind == 1) | (kind == 2) & (k == 0)
@@ -157,7 +163,8 @@ def contaminated_documents(
 
     ``reworded`` is true when some slot differs between document and item.
     Null, empty and short texts (under five words) match nothing, on both
-    sides. Repeated rows are one document of that id; several texts under one id
+    sides. An item whose windows all hold fewer than two plain words is matched
+    word for word. Repeated rows are one document of that id; several texts under one id
     are judged together. Rows with a null id are left out, other columns ignored.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("t"))
@@ -174,7 +181,18 @@ def contaminated_documents(
         if len(found) == 0:
             wanted = spark.sparkContext.broadcast(np.array([0], dtype=np.int64))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    hits = _window_rows(texts.filter("id is not null"), document=True, wanted=wanted).drop("n_windows").join(bench, "window")
+    found = _window_rows(texts.filter("id is not null"), document=True, wanted=wanted).drop("n_windows")
+    if wanted is None:
+        found = found.join(distinct, "window", "left_semi")
+    found = materialize(found, "found")
+    # a pair that reaches the threshold shares one of any k windows of the item if it may miss k - 1: ask by the rarest ones
+    held = bench.select("window", "item_id").distinct().groupBy("window").agg(F.count("*").alias("held"))
+    places = bench.join(held, "window").groupBy("item_id", "item_pos").agg(F.max("held").alias("held"), F.max("item_windows").alias("n"))
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy("held", "item_pos"))
+    rare = places.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    asked = bench.join(rare.select("item_id", "item_pos"), ["item_id", "item_pos"]).select("window", "item_id").distinct()
+    pairs = found.select("id", "window").distinct().join(asked, "window").select("id", "item_id").distinct()
+    hits = found.join(pairs, "id").join(bench, ["item_id", "window"])
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     slot_pairs = F.filter(
         F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"] != 0

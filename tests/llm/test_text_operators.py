@@ -283,6 +283,99 @@ def test_decontamination_is_the_same_without_broadcast(spark):
     assert {(1, 1), (5, 2)} <= {(r.doc_id, r.item_id) for r in with_broadcast}
 
 
+def typed_words(text):
+    """[(placeholder or word, word behind a placeholder or None, word)] of a text, from the definition."""
+    out, opening, number = [], True, False
+    for line in (text or "").split("\n"):
+        opening = True
+        for raw in re.findall(r"[^\x20\x09-\x0D]+", line):
+            word = raw.strip("!\"#$&'()*,-./:;<=>?@[\\]^_`{|}~")
+            if word:
+                digit = bool(re.search("[0-9]", word))
+                kind = "#" if digit else "unit" if number and word.lower() in decontaminate.UNITS else None
+                if kind is None and len(word.encode()) > 1 and re.match("[A-Z][^A-Z]", word) and not opening:
+                    kind = "Name"
+                out.append((f"<{kind}>" if kind else word.lower(), word.lower() if kind else None, word.lower()))
+                number = digit
+            opening = raw[-1] in ".!?:"
+    return out
+
+
+def typed_windows(text, document):
+    """({position: [(words, slots)]}, number of windows)."""
+    w = typed_words(text)
+    spans = [w[i : i + 5] for i in range(len(w) - 4)]
+    good = [i for i, x in enumerate(spans) if sum(t[1] is None for t in x) >= 2]
+    forms = collections.defaultdict(list)
+    none = (None,) * 5
+    for i, x in enumerate(spans):
+        template, slots, plain = zip(*x, strict=True)
+        if i in good:
+            forms[i].append((template, slots))
+            if any(slots):
+                forms[i].append((plain, none))
+            if document and slots[0]:
+                forms[i].append((plain[:1] + template[1:], (None, *slots[1:])))
+        elif document or not good:
+            forms[i].append((plain, none))
+    return forms, len(good) if good or document else len(spans)
+
+
+def leaked(docs, items, threshold):
+    found = {}
+    items = {k: typed_windows(t, False) for k, t in items.items()}
+    for d, text in docs.items():
+        at = collections.defaultdict(list)
+        for p, forms in typed_windows(text, True)[0].items():
+            for words_, slots in forms:
+                at[words_].append((p, slots))
+        for k, (forms, n) in items.items():
+            shifts = collections.defaultdict(list)
+            for q, variants in forms.items():
+                for words_, slots in variants:
+                    for p, other in at.get(words_, []):
+                        shifts[p - q].append((q, {(a, b) for a, b in zip(slots, other, strict=True) if a}))
+            places, changed = set(), False
+            for hits in shifts.values():
+                pairs = set().union(*(h[1] for h in hits))
+                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    places |= {h[0] for h in hits}
+                    changed |= any(a != b for a, b in pairs)
+            if n and len(places) >= threshold * n - 1e-9:
+                found[d, k] = (len(places), n, changed)
+    return found
+
+
+def test_decontamination_matches_brute_force(spark, docs, rows):
+    rng = np.random.default_rng(4)
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    frame = "which of the following is true when {} has {} kg of {} and {} has {} more than {} on day {} of the year"
+    names, things = ["Tom", "Ann", "Bob", "Eve", "Zed"], ["pears", "nuts", "corn"]
+    for k in range(12):  # items with a common stock question
+        a, b = rng.choice(names, 2, replace=False)
+        bench[9000 + k] = frame.format(a, k, things[k % 3], b, k + 3, a, k % 5) + f" asks word{k} and other{k}"
+    bench[9100] = "Ann Bob 12 Tom 7 Zed Eve 99 Ann"  # no window with two plain words
+    texts = {i: t for i, t, _ in rows if i < 9000}
+    for k in range(80):
+        t = bench[9000 + k % 12]
+        for _ in range(int(rng.integers(0, 4))):
+            old, new = rng.choice(names, 2, replace=False)
+            t = t.replace(old, new, int(rng.integers(1, 4)))
+        w = t.split()
+        for at in rng.choice(len(w), int(rng.integers(0, 3)), replace=False):
+            w[at] = rng.choice(["5", "that", "Max", "kg"])
+        texts[50000 + k] = "We ask: " + " ".join(w) + ". It ends."
+    texts |= {50100: "so Ann Bob 12 Tom 7 Zed Eve 99 Ann it was", 50101: "so Ann Bob 13 Tom 7 Zed Eve 99 Ann it was"}
+    for i, (k, t) in enumerate(sorted(bench.items())[:6]):
+        texts[50200 + i] = f"before it {t} after it"
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    items = spark.createDataFrame(sorted(bench.items()), "item_id long, text string")
+    want = leaked(texts, bench, 0.8)
+    got = decontaminate.contaminated_documents(df, items).collect()
+    assert {(r.doc_id, r.item_id): (r.matched_windows, r.item_windows, r.reworded) for r in got} == want and len(got) == len(want)
+    assert (50100, 9100) in want and (50101, 9100) not in want and any(v[2] for v in want.values())
+
+
 def test_every_verbatim_benchmark_passage_is_found(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
