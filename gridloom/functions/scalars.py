@@ -50,7 +50,7 @@ def normalize_name(c: Column) -> Column:
 
 def clean_entity_name(c: Column) -> Column:
     """Drop a trailing (CIK n), then a trailing (TICKER)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\(CIK \d+\)\s*$", ""), r"\s*\([A-Z0-9, .\-]+\)\s*$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\(CIK\s*\d+\)\s*$", ""), r"\s*\([A-Z0-9, .\-]+\)\s*$", ""))
 
 
 def classify_reason(c: Column) -> Column:
@@ -80,6 +80,13 @@ def classify_death(name: Column, forms: Column, listed: Column) -> Column:
     )
 
 
+def death_flags(forms: Column, listed: Column) -> dict[str, Column]:
+    """Whether the entity files as a closed-end fund or business development company, as the latter, and has no ticker left."""
+    n2 = F.exists(forms, lambda f: F.startswith(F.upper(f), F.lit("N-2")))
+    yearly = F.exists(forms, lambda f: F.upper(f).isin("10-K", "10-K405"))
+    return {"is_cef_or_bdc": n2, "is_bdc": n2 & yearly, "fully_delisted": ~listed}
+
+
 def nav_event(outcome: Column) -> Column:
     """True for outcomes that pay net asset value, else unknown."""
     return F.when(outcome.isin("term_liquidation", "liquidation_or_merger", "open_ending_or_conversion"), True)

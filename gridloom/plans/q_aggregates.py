@@ -375,9 +375,9 @@ _LQ = "lq as (select asset, dt, dollar_volume, row_number() over (partition by a
 @query("liquidity_rank", on_panel("s", f"{_LQ} select asset, rank, case when rank <= 10 then 'top' when rank <= 30 then 'mid' else 'tail' end as bucket from lk where rank <= 60"))
 def liquidity_rank(s, d):
     p = view(s, d, "s").withColumn("k", F.row_number().over(W.partitionBy("asset").orderBy(F.desc("dt")))).filter("k <= 90")
-    a = p.groupBy("asset").agg(F.avg("dollar_volume").alias("adv")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("adv"), "asset")))
+    a = p.groupBy("asset").agg(F.avg("dollar_volume").alias("adv")).orderBy(F.desc("adv"), "asset").limit(60).withColumn("rank", F.row_number().over(W.orderBy(F.desc("adv"), "asset")))
     b = F.when(F.col("rank") <= 10, "top").when(F.col("rank") <= 30, "mid").otherwise("tail")
-    return a.filter("rank <= 60").select("asset", F.col("rank").cast("long").alias("rank"), b.alias("bucket"))
+    return a.select("asset", F.col("rank").cast("long").alias("rank"), b.alias("bucket"))
 
 
 _CC = f"{_PAIRS}, a as (select *, spot / nullif(lag(spot) {_A}, 0) - 1 - (perp / nullif(lag(perp) {_A}, 0) - 1) + coalesce(funding, 0) as g, coalesce(lag(live) {_A}, false) as held from pr), b as (select *, held and not coalesce(lag(held) {_A}, false) as st, case when held then coalesce(g, 0) - 0.0002 - case when held and not coalesce(lag(held) {_A}, false) then 0.002 else 0 end else 0 end as net from a)"

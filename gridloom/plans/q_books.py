@@ -530,8 +530,10 @@ select dt, asset, round(price * coalesce(product(m), 1), 4) + 0.0 as price from
 def drift_scenario(s, d):
     x = dense(s, d)
     hit = F.when((F.col("bar_no") % 60 == 1) & F.col("price").isNotNull(), F.col("bar_no"))
-    hits = F.collect_list(hit).over(by_asset().rowsBetween(W.unboundedPreceding, -1))
-    ramp = F.aggregate(hits, F.lit(0.0), lambda a, b: a + F.least(F.col("bar_no") - b, F.lit(10)) / 10.0)
+    # a hit's ramp grows for ten bars and then stays: hits of the last ten bars by their bars since, earlier ones in full
+    old, new = by_asset().rowsBetween(W.unboundedPreceding, -11), by_asset().rowsBetween(-10, -1)
+    recent = F.coalesce(F.count(hit).over(new) * F.col("bar_no") - F.sum(hit).over(new), F.lit(0))
+    ramp = F.coalesce(F.count(hit).over(old), F.lit(0)) + recent / 10.0
     return x.select("dt", "asset", r(F.col("price") * F.pow(F.lit(1.02), ramp), "price", 4))
 
 

@@ -321,9 +321,9 @@ def hml_loading_asof(s, d):
     return joins.asof(g, x, "loading").select("dt", "asset", r("loading", n=3))
 
 
-@query("member_gate", on_panel("w", f"{_IV}, sc as (select dt, asset, price from panel) select dt, p.asset, price from sc p where exists (select 1 from iv where 'Brand#' || (1 + iv.asset % 25) = p.asset and p.dt >= valid_from and p.dt < valid_to and iv.asset < 60)"))
+@query("member_gate", on_panel("w", f"{_IV}, sc as (select dt, asset, price from panel) select dt, p.asset, price from sc p where exists (select 1 from iv where 'Brand#' || (1 + iv.asset % 25) = p.asset and p.dt >= valid_from and (valid_to is null or p.dt < valid_to))"))
 def member_gate(s, d):
-    iv = intervals(s, d).filter("asset < 60 and valid_to is not null").withColumn("asset", F.concat(F.lit("Brand#"), (1 + F.col("asset") % 25).cast("string")))
+    iv = intervals(s, d).withColumn("asset", F.concat(F.lit("Brand#"), (1 + F.col("asset") % 25).cast("string")))
     p = view(s, d).select("dt", "asset", "price")
     return p.join(joins.interval_members(p.select("dt"), iv), ["dt", "asset"], "left_semi")
 

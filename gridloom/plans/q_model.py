@@ -54,12 +54,33 @@ def _windows(s, d):
     return panel.walk_forward_windows(panel.calendar(dense(s, d)), 150, 26, 8)
 
 
-_XS = ["mom_mid", "reversal"]
-#: Closed form of a two-feature ridge with intercept from window moments.
-_RIDGE = f"""{_STACK}, n as (select max(bar_no) as n from cal), wn as (select cast((lo - 150) // 26 as int) as window_id, lo - 8 as train_end, lo as test_lo, lo + 26 as test_hi from (select unnest(range(150, n - 26 + 1, 26)) as lo from n)),
-mm as (select window_id, count(*) as n, avg(mom_mid) as ma, avg(reversal) as mb, avg(label) as my, count(*) * var_pop(mom_mid) + 10 as saa, count(*) * var_pop(reversal) + 10 as sbb, count(*) * covar_pop(mom_mid, reversal) as sab, count(*) * covar_pop(mom_mid, label) as say, count(*) * covar_pop(reversal, label) as sby from sk join wn on bar_no - 1 < train_end group by 1),
-be as (select *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) as ba, (sby * saa - say * sab) / (saa * sbb - sab * sab) as bb from mm),
-pr as (select w.window_id, k.dt, k.asset, my - ba * ma - bb * mb + ba * mom_mid + bb * reversal as pred, label from sk k join wn w on k.bar_no - 1 >= test_lo and k.bar_no - 1 < test_hi join be using (window_id))"""
+_XS = list(panel.FEATURES)
+
+
+def _ridge_sql(alpha):
+    """Ridge with an unpenalised intercept on all features: window moments, then Gaussian elimination, one step a table."""
+    k = len(_XS)
+    at = [(i, j) for i in range(k) for j in range(i, k)]
+    cell = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    moments = [f"count(*) * covar_pop({_XS[i]}, {_XS[j]}){f' + {alpha}' if i == j else ''} as {cell(i, j)}" for i, j in at]
+    moments += [f"count(*) * covar_pop({x}, label) as b{i}" for i, x in enumerate(_XS)] + [f"avg({x}) as m{i}" for i, x in enumerate(_XS)]
+    tables = [f"e0 as (select window_id, avg(label) as my, {', '.join(moments)} from sk join wn on bar_no - 1 < train_end group by 1)"]
+    for p in range(k - 1):
+        factor = lambda i: f"{cell(p, i)} / {cell(p, p)}"  # noqa: B023, E731
+        new = [f"{cell(i, j)} - {factor(i)} * {cell(p, j)} as {cell(i, j)}" for i, j in at if i > p]
+        new += [f"b{i} - {factor(i)} * b{p} as b{i}" for i in range(p + 1, k)]
+        tables.append(f"e{p + 1} as (select * replace ({', '.join(new)}) from e{p})")
+    last = f"e{k - 1}"
+    for p in reversed(range(k)):
+        rest = "".join(f" - {cell(p, j)} * w{j}" for j in range(p + 1, k))
+        tables.append(f"s{p} as (select *, (b{p}{rest}) / {cell(p, p)} as w{p} from {last})")
+        last = f"s{p}"
+    fit = "my" + "".join(f" + w{i} * (k.{x} - m{i})" for i, x in enumerate(_XS))
+    return f"{', '.join(tables)}, pr as (select w.window_id, k.dt, k.asset, {fit} as pred, label from sk k join wn w on k.bar_no - 1 >= test_lo and k.bar_no - 1 < test_hi join s0 using (window_id))"
+
+
+_WN = "n as (select max(bar_no) as n from cal), wn as (select cast((lo - 150) // 26 as int) as window_id, lo - 8 as train_end, lo as test_lo, lo + 26 as test_hi from (select unnest(range(150, n - 26 + 1, 26)) as lo from n))"
+_RIDGE = f"{_STACK}, {_WN}, {_ridge_sql(10)}"
 
 
 def predictions(s, d, alpha=10.0):

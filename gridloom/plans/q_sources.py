@@ -76,13 +76,10 @@ def tsv_trans(s, d):
     return ps.parse_transactions(li.select(_line(li, "l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", price, F.upper(F.date_format("l_shipdate", "dd-MMM-yyyy"))).alias("line")))
 
 
-@query("kline_csv", "select event_type as asset, cast(ts as date) as dt, arg_max(value, {'t': epoch_ms(ts), 'v': event_id}) as close, round(sum(value), 4) as quote_volume from (select *, count(*) over (partition by event_type, epoch_ms(ts)) as c from events) where c = 1 group by 1, 2")
+@query("kline_csv", "select event_type as asset, cast(ts as date) as dt, arg_max(value, {'t': epoch_ms(ts), 'v': value}) as close, round(sum(value), 4) as quote_volume from events group by 1, 2")
 def kline_csv(s, d):
-    from pyspark.sql import Window as W
-
     e = table(s, d, "events")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    e = e.withColumn("c", F.count("*").over(W.partitionBy("event_type", ms))).filter("c = 1")
     t = F.when(F.col("event_id") % 2 == 0, ms * 1000).otherwise(ms)
     lines = e.select(F.col("event_type").alias("asset"), _line(e, t, F.lit("1"), F.lit("1"), F.lit("1"), "value", F.lit("1"), F.lit("1"), "value", sep=",").alias("line"))
     heads = e.select(F.col("event_type").alias("asset"), F.lit("open_time,open,high,low,close,volume,close_time,quote_volume").alias("line")).distinct()

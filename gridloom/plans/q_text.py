@@ -42,7 +42,7 @@ def normalize_name(s, d):
 
 @query("clean_entity_name", "select p_partkey, p_name as name from part")
 def clean_entity_name(s, d):
-    raw = F.concat("p_name", F.lit("  ("), F.upper(F.translate("p_brand", "#", "")), F.lit(")  (CIK "), F.lpad(F.col("p_partkey").cast("string"), 10, "0"), F.lit(")"))
+    raw = F.concat("p_name", F.lit("  ("), F.upper(F.translate("p_brand", "#", "")), F.when(F.col("p_partkey") % 2 == 0, ")  (CIK ").otherwise(")  (CIK   "), F.lpad(F.col("p_partkey").cast("string"), 10, "0"), F.lit(")"))
     return table(s, d, "part").select("p_partkey", sc.clean_entity_name(raw).alias("name"))
 
 
@@ -67,12 +67,13 @@ _FORMS = "case o_orderpriority when '1-URGENT' then 'N-2' when '2-HIGH' then 'N-
 
 @query("classify_death", f"""with f as (select o_custkey, list({_FORMS}) as forms from orders group by 1), x as (select c_custkey, c_acctbal > 8000 as listed, case when c_nationkey < 3 then 'target-term 2030' else c_mktsegment end as name, coalesce(forms, []) as forms from customer left join f on o_custkey = c_custkey),
 o as (select c_custkey, case when not list_contains(forms, 'N-2') then 'not_a_closed_end_fund' when listed then 'security_redemption_fund_alive' when name like 'target-term%' then 'term_liquidation' when list_contains(forms, 'N-8F') then 'liquidation_or_merger' when list_contains(forms, 'N-CSR') then 'open_ending_or_conversion' else 'delisted_unknown' end as outcome from x)
-select *, case when outcome in ('term_liquidation', 'liquidation_or_merger', 'open_ending_or_conversion') then true end as nav_event from o""")
+select o.*, list_contains(forms, 'N-2') as is_cef_or_bdc, list_contains(forms, 'N-2') and list_contains(forms, '10-K') as is_bdc, not listed as fully_delisted, case when outcome in ('term_liquidation', 'liquidation_or_merger', 'open_ending_or_conversion') then true end as nav_event from o join x using (c_custkey)""")
 def classify_death(s, d):
     f = table(s, d, "orders").groupBy("o_custkey").agg(F.collect_set(F.expr(_FORMS)).alias("forms"))
     c = table(s, d, "customer").join(f, F.col("o_custkey") == F.col("c_custkey"), "left")
     c = c.withColumn("forms", F.coalesce("forms", F.array().cast("array<string>"))).withColumn("name", F.when(F.col("c_nationkey") < 3, "target-term 2030").otherwise(F.col("c_mktsegment")))
-    return c.select("c_custkey", sc.classify_death(F.col("name"), F.col("forms"), F.col("c_acctbal") > 8000).alias("outcome")).withColumn("nav_event", sc.nav_event(F.col("outcome")))
+    flags = sc.death_flags(F.col("forms"), F.col("c_acctbal") > 8000)
+    return c.select("c_custkey", *(v.alias(k) for k, v in flags.items()), sc.classify_death(F.col("name"), F.col("forms"), F.col("c_acctbal") > 8000).alias("outcome")).withColumn("nav_event", sc.nav_event(F.col("outcome")))
 
 
 @query("role_tag", "select c_custkey, case when c_acctbal > 8000 then 'officer' when c_mktsegment = 'BUILDING' then 'director' when c_nationkey < 5 then 'tenpct' else 'insider' end as role from customer")

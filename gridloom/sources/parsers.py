@@ -92,12 +92,12 @@ def parse_transactions(lines: DataFrame) -> DataFrame:
 
 
 def parse_klines(lines: DataFrame) -> DataFrame:
-    """Daily close and quote volume per asset from positional CSV bars; header lines leave, microsecond epochs are scaled."""
+    """Daily close and quote volume per asset from positional CSV bars; header lines leave, microsecond epochs are scaled. Of bars at one time the greater close is the later."""
     d = lines.filter(~F.rlike(F.lower("line"), F.lit("^open[_ ]time"))).withColumn("_c", F.split("line", ","))
     t = F.col("_c")[0].try_cast("bigint")
     ms = F.when(t >= 10**14, F.expr("try_cast(_c[0] as bigint) div 1000")).otherwise(t)
     d = d.select("asset", ms.alias("ms"), F.get("_c", F.lit(4)).try_cast("double").alias("close"), F.get("_c", F.lit(7)).try_cast("double").alias("qv")).filter("ms is not null")
-    return d.groupBy("asset", F.timestamp_millis("ms").cast("date").alias("dt")).agg(F.max_by("close", "ms").alias("close"), F.sum("qv").alias("quote_volume"))
+    return d.groupBy("asset", F.timestamp_millis("ms").cast("date").alias("dt")).agg(F.max_by("close", F.struct("ms", "close")).alias("close"), F.sum("qv").alias("quote_volume"))
 
 
 def concept_rows(docs: DataFrame, unit: str = "USD") -> DataFrame:

@@ -1,6 +1,7 @@
 """Known answers, look-ahead, gaps and refusals."""
 
 import datetime as dt
+import itertools
 from statistics import NormalDist
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars
 from gridloom.functions.windows import by_asset, gated, simple_return, trailing, zscore_or_zero
 from gridloom.operators import books, joins, panel, pnl, quality, signals, stats
-from gridloom.operators.regime import fit_two_states
+from gridloom.operators.regime import Regimes, fit_two_states
 from gridloom.sources import parsers, sinks
 
 DAY0 = dt.date(2020, 1, 1)
@@ -281,5 +282,37 @@ def test_readers(spark, tmp_path):
 def test_regimes_separate_calm_from_wild():
     rng = np.random.default_rng(1)
     x = np.concatenate((rng.normal(0, 0.01, 300), rng.normal(0, 0.05, 200)))
-    _, var, a, _ = fit_two_states(x)
-    assert np.sqrt(var[0]) == pytest.approx(0.01, rel=0.2) and np.sqrt(var[1]) == pytest.approx(0.05, rel=0.2) and a[0, 0] > 0.95
+    short = np.concatenate((rng.normal(0, 0.05, 250), rng.normal(0, 0.01, 150), np.full(100, 9.0)))
+    model, sound = fit_two_states(np.stack((x, short, np.ones(500), np.append(1.0, np.zeros(499)))), np.array([500, 400, 500, 500]))
+    for k in (0, 1):
+        assert np.sqrt(model.var[k]) == pytest.approx([0.01, 0.05], rel=0.2) and model.stay[k].min() > 0.95
+    assert sound.tolist() == [True, True, False, False]  # one that doesn't vary, one bad print
+    alone, _ = fit_two_states(short[None, :400])
+    assert alone.var[0] == pytest.approx(model.var[1])
+    post = model.filter(np.stack((x, short, x, x)))[1]
+    assert post[0, :300].mean() > 0.95 and post[0, 300:].mean() < 0.1
+
+
+def test_regime_filter_and_fit_match_enumeration():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=8)
+    m = Regimes(np.array([[0.1, -0.2]]), np.array([[0.5, 2.0]]), np.array([[0.8, 0.7]]), np.array([0.4]))
+    density = np.exp(m.densities(x[None]))[:, 0]
+    step = np.array([[0.8, 0.2], [0.3, 0.7]])
+    _, post, gain = m.filter(x[None])
+    for t in range(8):
+        total = np.zeros(2)
+        for path in itertools.product((0, 1), repeat=t + 1):
+            p = (0.4, 0.6)[path[0]] * np.prod([density[s, k] for k, s in enumerate(path)]) * np.prod([step[a, b] for a, b in itertools.pairwise(path)])
+            total[path[-1]] += p
+        assert post[0, t] == pytest.approx(total[0] / total.sum()) and gain[0, : t + 1].sum() == pytest.approx(np.log(total.sum()))
+    # no small change of a fitted parameter raises the likelihood
+    y = np.concatenate((rng.normal(0, 0.5, 200), rng.normal(0.2, 2, 150)))[None]
+    best, _ = fit_two_states(y)
+    top = best.filter(y)[2].sum()
+    for name in ("mean", "var", "stay"):
+        for state, by in itertools.product((0, 1), (0.97, 1.03)):
+            other = {k: getattr(best, k).copy() for k in ("mean", "var", "stay", "first")}
+            other[name][0, state] *= by
+            if name != "stay" or other[name][0, state] < 1:
+                assert Regimes(**other).filter(y)[2].sum() <= top + 1e-6
