@@ -112,15 +112,17 @@ def trailing_window(rows: DataFrame, grid: DataFrame, date: str, days: int) -> D
 def nearest(events: DataFrame, features: DataFrame, n: int) -> DataFrame:
     """The ``n`` other assets nearest to an event's asset by (size, mom) on its bar; ties by name.
 
-    The candidates of an event are the assets of one date, so the join is keyed by bar.
+    Neighbours depend on bar and asset alone: they are found once per distinct
+    pair that an event names, among the assets of its bar, then joined to the events.
     """
     own = features.select("bar_no", F.col("asset").alias("ea"), F.col("size").alias("es"), F.col("mom").alias("em"))
-    e = events.select("event_id", "bar_no", F.col("asset").alias("ea")).join(own, ["bar_no", "ea"])
-    c = e.join(features, "bar_no").filter("asset <> ea")
+    named = events.select("event_id", "bar_no", F.col("asset").alias("ea"))
+    c = named.select("bar_no", "ea").distinct().join(own, ["bar_no", "ea"]).join(features, "bar_no").filter("asset <> ea")
     far = F.sqrt(F.pow(F.col("size") - F.col("es"), 2) + F.pow(F.col("mom") - F.col("em"), 2))
     c = c.withColumn("distance", F.round(far, 9)).filter("distance is not null")
-    k = F.row_number().over(W.partitionBy("event_id").orderBy("distance", "asset"))
-    return c.withColumn("k", k).filter(F.col("k") <= n).select("event_id", "bar_no", F.col("ea").alias("event_asset"), "asset", "distance", "k")
+    k = F.row_number().over(W.partitionBy("bar_no", "ea").orderBy("distance", "asset"))
+    near = c.withColumn("k", k).filter(F.col("k") <= n)
+    return named.join(near, ["bar_no", "ea"]).select("event_id", "bar_no", F.col("ea").alias("event_asset"), "asset", "distance", "k")
 
 
 def name_match(names: DataFrame, book: DataFrame) -> DataFrame:

@@ -168,13 +168,29 @@ def sharpe_stderr(sr: Column, n: Column) -> Column:
     return F.sqrt((1 + sr * sr / 2) / F.nullif(n, F.lit(0)))
 
 
-def gram_moments(panel: DataFrame, windows: DataFrame, xs: list[str], y: str) -> DataFrame:
-    """Additive training moments per window of rows with bar position below train_end: one shuffle, no row copies kept."""
+def gram_moments(panel: DataFrame, windows: DataFrame, xs: list[str], y: str) -> list[dict]:
+    """Training moments per window, of all rows with bar position below its train_end, as one small record each.
+
+    Each row is summed once, into the first window that trains on it; expanding
+    windows add up those of the windows before, a record per window.
+    """
     k = len(xs)
+    ends = windows.select("window_id", "train_end").orderBy("train_end", "window_id").collect()
+    if not ends:
+        return []
     sums = [F.count("*").alias("n"), F.sum(y).alias("y")]
     sums += [F.sum(x).alias(f"x{i}") for i, x in enumerate(xs)] + [F.sum(F.col(x) * F.col(y)).alias(f"xy{i}") for i, x in enumerate(xs)]
     sums += [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"xx{i}_{j}") for i in range(k) for j in range(i, k)]
-    return panel.join(F.broadcast(windows), F.col("pos") < F.col("train_end")).groupBy("window_id").agg(*sums)
+    step = F.size(F.filter(F.lit([w.train_end for w in ends]), lambda e: e <= F.col("pos")))
+    rows = panel.filter(F.col("pos") < ends[-1].train_end).groupBy(step.alias("step")).agg(*sums).collect()
+    found, total = [], {}
+    per = {r["step"]: r.asDict() for r in rows}
+    for i, w in enumerate(ends):
+        for name, value in per.get(i, {}).items():
+            total[name] = total.get(name, 0) + value
+        if total.get("n"):
+            found.append(total | {"window_id": w.window_id})
+    return found
 
 
 def solve_ridge(row: dict, k: int, alpha: float) -> tuple[float, list[float]]:
@@ -197,28 +213,41 @@ def walk_forward_ridge(panel: DataFrame, windows: DataFrame, xs: list[str], y: s
     ``panel``: pos (0-based bar), dt, asset, features, label. Only one row of
     moments per window reaches the driver; coefficients go back as a small table.
     """
-    rows = gram_moments(panel.dropna(subset=[*xs, y]), windows, xs, y).collect()
-    fits = [(r["window_id"], *solve_ridge(r.asDict(), len(xs), alpha)) for r in rows]
-    coef = panel.sparkSession.createDataFrame(fits, "window_id int, intercept double, beta array<double>")
+    return ridge_paths(panel, windows, xs, y, (alpha,)).drop("alpha")
+
+
+def ridge_paths(panel: DataFrame, windows: DataFrame, xs: list[str], y: str, alphas: tuple[float, ...]) -> DataFrame:
+    """As :func:`walk_forward_ridge` for several penalties (column alpha) from the same moments."""
+    windows = panel.sparkSession.createDataFrame(windows.collect(), windows.schema)  # a row per window
+    rows = gram_moments(panel.dropna(subset=[*xs, y]), windows, xs, y)
+    fits = [(r["window_id"], a, *solve_ridge(r, len(xs), a)) for r in rows for a in alphas]
+    coef = panel.sparkSession.createDataFrame(fits, "window_id int, alpha double, intercept double, beta array<double>")
+    # windows and penalties: a few rows each, whatever the panel's size
     test = windows.join(coef, "window_id")
     joined = panel.join(F.broadcast(test), (F.col("pos") >= F.col("test_lo")) & (F.col("pos") < F.col("test_hi")))
     fit = F.col("intercept")
     for i, x in enumerate(xs):
         fit = fit + F.col(x) * F.col("beta")[i]
-    return joined.select("window_id", "dt", "asset", "pos", fit.alias("pred"), F.col(y).alias("label"))
+    return joined.select("window_id", "alpha", "dt", "asset", "pos", fit.alias("pred"), F.col(y).alias("label"))
 
 
-def select_alpha(panel: DataFrame, windows: DataFrame, xs: list[str], y: str, grid: tuple[float, ...] = (1.0, 10.0, 100.0, 1000.0), fallback: float = 100.0, least: int = 5) -> DataFrame:
-    """(window_id, alpha): the grid value with the greatest mean rank IC on the last fifth of a window's training bars; the first best wins.
+def select_alpha(
+    panel: DataFrame, windows: DataFrame, inner: DataFrame, xs: list[str], y: str,
+    grid: tuple[float, ...] = (1.0, 10.0, 100.0, 1000.0), fallback: float = 100.0, least: int = 5,
+) -> DataFrame:
+    """(window_id, alpha): the penalty with the greatest mean rank IC over a window's inner walk-forward; the first best wins.
 
-    Windows without a usable inner split get ``fallback``.
+    ``inner`` are expanding windows of their own; those whose tests end within a
+    window's training bars are its inner walk-forward. As they all train from
+    bar 0, each is fitted and scored once for all windows. Windows without an
+    inner one get ``fallback``.
     """
-    inner = windows.select("window_id", (F.col("train_end") * 4 / 5).cast("int").alias("train_end"), (F.col("train_end") * 4 / 5).cast("int").alias("test_lo"), F.col("train_end").alias("test_hi"))
-    score = None
-    for order, alpha in enumerate(grid):
-        p = walk_forward_ridge(panel, inner, xs, y, alpha)
-        ic = rank_ic(p, "pred", "label", least, ("window_id", "dt")).groupBy("window_id").agg(F.avg("ic").alias("ic"))
-        ic = ic.select("window_id", F.lit(alpha).alias("alpha"), F.lit(order).alias("o"), F.round("ic", 12).alias("ic"))
-        score = ic if score is None else score.unionByName(ic)
-    best = score.groupBy("window_id").agg(F.max_by("alpha", F.struct("ic", -F.col("o"))).alias("alpha"))
+    inner = panel.sparkSession.createDataFrame(inner.collect(), inner.schema)
+    p = ridge_paths(panel, inner, xs, y, grid)
+    ic = rank_ic(p, "pred", "label", least, ("window_id", "alpha", "dt")).groupBy("window_id", "alpha").agg(F.sum("ic").alias("s"), F.count("ic").alias("k"))
+    ic = ic.join(inner.select("window_id", F.col("test_hi").alias("last")), "window_id").drop("window_id")
+    # a row per window and penalty on both sides
+    met = windows.select("window_id", "train_end").join(ic, F.col("last") <= F.col("train_end"))
+    score = met.groupBy("window_id", "alpha").agg(F.round(F.sum("s") / F.sum("k"), 12).alias("ic")).filter("ic is not null")
+    best = score.groupBy("window_id").agg(F.max_by("alpha", F.struct("ic", -F.col("alpha"))).alias("alpha"))
     return windows.select("window_id").join(best, "window_id", "left").withColumn("alpha", F.coalesce("alpha", F.lit(fallback)))

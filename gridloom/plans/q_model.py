@@ -1,12 +1,13 @@
 """Features, labels, walk-forward models."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.windows import by_asset, ratio
 from gridloom.operators import books, panel, stats
 from gridloom.plans.q_aggregates import ic_sql
 from gridloom.plans.registry import query
-from gridloom.plans.views import dense, on_panel, r
+from gridloom.plans.views import dense, on_panel, r, sectors
 
 _A = "over (partition by asset order by dt)"
 
@@ -101,9 +102,10 @@ def walk_forward_ic(s, d):
 
 @query("ridge_alpha_select")
 def ridge_alpha_select(s, d):
-    """The grid value chosen per window on its own inner split."""
+    """The grid value chosen per window by an inner expanding walk-forward within its training bars."""
     p = stacked(s, d).withColumn("pos", F.col("bar_no") - 1)
-    return stats.select_alpha(p, _windows(s, d), _XS, "label")
+    inner = panel.walk_forward_windows(panel.calendar(dense(s, d)), 78, 26, 8)
+    return stats.select_alpha(p, _windows(s, d), inner, _XS, "label")
 
 
 @query("walk_forward_gbt")
@@ -125,13 +127,14 @@ def walk_forward_gbt(s, d):
 
 @query("live_scores")
 def live_scores(s, d):
-    """One fit on fully labelled rows, scores and decile weights of the last date."""
-    x = dense(s, d)
+    """One fit on fully labelled rows; scores of the last date, less their sector's mean, and decile weights."""
+    x = dense(s, d, "s")
     f = panel.build_features(x).dropna(subset=_XS)
     top = x.agg(F.max("bar_no").alias("top")).first().top
     w = s.createDataFrame([(0, top - 4, top - 1, top)], "window_id int, train_end int, test_lo int, test_hi int")
     p = f.join(panel.build_labels(x, 4).drop("bar_no"), ["dt", "asset"], "left").withColumn("pos", F.col("bar_no") - 1)
     pred = stats.walk_forward_ridge(p, w, _XS, "label")
+    pred = pred.join(sectors(s, d), "asset").withColumn("pred", F.col("pred") - F.avg("pred").over(W.partitionBy("dt", "sector")))
     sc = pred.select("dt", F.lit(1).alias("bar_no"), "asset", F.round("pred", 12).alias("score"))
     return books.decile_weights(sc, 0.1, 1).join(sc.select("asset", "score"), "asset").select("dt", "asset", r("score"), r("w"))
 

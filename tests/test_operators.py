@@ -316,3 +316,31 @@ def test_regime_filter_and_fit_match_enumeration():
             other[name][0, state] *= by
             if name != "stay" or other[name][0, state] < 1:
                 assert Regimes(**other).filter(y)[2].sum() <= top + 1e-6
+
+
+def test_alpha_selection_matches_numpy(spark):
+    rng = np.random.default_rng(6)
+    bars, names = 120, 8
+    x = rng.normal(size=(bars, names, 2))
+    y = 0.3 * x[..., 0] - 0.1 * x[..., 1] + rng.normal(size=(bars, names))
+    rows = [(t, f"a{k}", *map(float, x[t, k]), float(y[t, k])) for t in range(bars) for k in range(names)]
+    panel_ = spark.createDataFrame(rows, "pos int, asset string, u double, v double, label double").withColumn("dt", F.date_add(F.lit(DAY0), F.col("pos")))
+    frame_ = lambda w: spark.createDataFrame(w, "window_id int, train_end int, test_lo int, test_hi int")
+    outer = [(k, e, e, e + 10) for k, e in enumerate((20, 60, 80, 110))]
+    inner = [(k, lo - 3, lo, lo + 15) for k, lo in enumerate(range(30, 106, 15))]
+    grid = (1.0, 30.0, 1000.0)
+    got = {r.window_id: r.alpha for r in stats.select_alpha(panel_, frame_(outer), frame_(inner), ["u", "v"], "label", grid).collect()}
+    rank = lambda v: np.argsort(np.argsort(v))
+    want = {}
+    for k, end, *_ in outer:
+        score = []
+        for alpha in grid:
+            ics = []
+            for _, stop, lo, hi in inner:
+                if hi <= end:
+                    a, b = x[:stop].reshape(-1, 2), y[:stop].ravel()
+                    beta = np.linalg.solve((a - a.mean(0)).T @ (a - a.mean(0)) + alpha * np.eye(2), (a - a.mean(0)).T @ (b - b.mean()))
+                    ics += [np.corrcoef(rank(x[t] @ beta), rank(y[t]))[0, 1] for t in range(lo, hi)]
+            score.append(round(np.mean(ics), 12) if ics else None)
+        want[k] = grid[int(np.argmax(score))] if score[0] is not None else 100.0
+    assert got == want and want[0] == 100.0
