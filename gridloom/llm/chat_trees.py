@@ -2,8 +2,9 @@
 
 A message names its parent; a leaf and its ancestors are a branch. Ancestors are
 found by pointer doubling: each round joins every message's 2**k-th ancestor to
-that one's own, with the scores in between summed, so the number of joins is the
-logarithm of the depth and a round's rows are at most the messages. The same
+that one's own, with the scores in between summed, until it has reached the root;
+so the number of joins is the logarithm of the depth and a round's rows are the
+messages that lie deeper than the steps taken. The same
 tables lay out the chosen branches. All work is DataFrame expressions, on ids
 until the branches are chosen.
 """
@@ -60,16 +61,24 @@ class Reach:
         nodes = nodes.join(known, _same("conv_id", "parent", "kc", "kn"), "left")
         now = materialize(nodes.select("conv_id", "node", F.col("kn").alias("to"), "score"), "reach")
         most = now.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-        self.parents = now
+        self.parents, done = now, []
         self.steps = []
         while not now.filter("to is not null").isEmpty() and 2 ** len(self.steps) <= most:
-            far = now.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), F.col("to").alias("far"), F.col("score").alias("more"))
-            self.steps.append(far.filter("far is not null").drop("more"))
-            now = now.join(far, _same("conv_id", "to", "jc", "jn"), "left")
-            now = materialize(now.select("conv_id", "node", F.col("far").alias("to"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), "reach")
+            far = now
+            for part in done:
+                far = far.unionByName(part)
+            far = far.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), F.col("to").alias("far"), F.col("score").alias("more"))
+            done.append(now.filter("to is null"))
+            going = now.filter("to is not null")
+            self.steps.append(going.select(F.col("conv_id").alias("jc"), F.col("node").alias("jn"), F.col("to").alias("far")))
+            going = going.join(far, _same("conv_id", "to", "jc", "jn"))
+            now = materialize(going.select("conv_id", "node", F.col("far").alias("to"), (F.col("score") + F.col("more")).alias("score")), "reach")
         # whoever still has an ancestor, further up than the conversation has messages, is on a cycle or below one
         inner = self.parents.filter("to is not null").select(F.col("conv_id").alias("kc"), F.col("to").alias("kn"), F.lit(False).alias("leaf")).distinct()
-        whole = now.filter("to is null").join(inner, _same("conv_id", "node", "kc", "kn"), "left")
+        whole = now.filter("to is null")
+        for part in done:
+            whole = whole.unionByName(part)
+        whole = whole.join(inner, _same("conv_id", "node", "kc", "kn"), "left")
         self.whole = whole.select("conv_id", "node", "score", F.coalesce("leaf", F.lit(True)).alias("leaf"))
 
     def paths(self, leaves: DataFrame) -> DataFrame:
