@@ -137,6 +137,12 @@ def cap_gross(weights: DataFrame, most: float) -> DataFrame:
     return weights.withColumn("w", F.when(g > most, F.col("w") * most / g).otherwise(F.col("w")))
 
 
+def latest_book(weights: DataFrame, back: int = 0) -> DataFrame:
+    """Weights of the latest rebalance (bar_no), or of the one ``back`` rebalances before it."""
+    bar = weights.select("bar_no").distinct().orderBy(F.desc("bar_no")).offset(back).limit(1)  # one row
+    return weights.join(F.broadcast(bar), "bar_no", "left_semi")
+
+
 def cap_turnover(now: DataFrame, target: DataFrame, most: float) -> DataFrame:
     """Move from current to target weights by at most ``most`` in total."""
     j = now.select("asset", F.col("w").alias("w0")).join(target.select("asset", F.col("w").alias("w1")), "asset", "full")

@@ -47,16 +47,22 @@ def pit_value(asofs: DataFrame, facts: DataFrame) -> DataFrame:
 def interval_members(dates: DataFrame, intervals: DataFrame) -> DataFrame:
     """(dt, asset) with valid_from <= dt < valid_to; a null valid_to is open.
 
-    Interval starts and ends become +1/-1 events, so membership is a running
-    sum per asset over the merged calendar and no range join is needed.
+    Interval ends become positions on the calendar of distinct dates, and each
+    interval is expanded over the positions that it covers: the work is that of
+    the members found, not of dates times assets.
     """
-    cal = intervals.select("asset").distinct().crossJoin(dates.select("dt").distinct())
-    ends = intervals.select("asset", F.col("valid_from").alias("dt"), F.lit(1).alias("d")).unionByName(
-        intervals.filter("valid_to is not null").select("asset", F.col("valid_to").alias("dt"), F.lit(-1).alias("d"))
-    )
-    rows = cal.withColumn("d", F.lit(0)).withColumn("g", F.lit(1)).unionByName(ends.withColumn("g", F.lit(0)))
-    w = W.partitionBy("asset").orderBy("dt", "g").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("open", F.sum("d").over(w)).filter("g = 1 and open > 0").select("dt", "asset")
+    cal = dates.select("dt").distinct().withColumn("g", F.lit(1))
+    ends = intervals.select(F.col("valid_from").alias("dt")).unionByName(intervals.select(F.col("valid_to").alias("dt"))).distinct()
+    # the one global window runs over distinct dates; an end comes before the calendar's own row of its date
+    points = cal.unionByName(ends.filter("dt is not null").withColumn("g", F.lit(0)))
+    before = F.sum("g").over(W.orderBy("dt", "g").rowsBetween(W.unboundedPreceding, 0))
+    points = points.withColumn("pos", before.cast("int"))
+    at = points.filter("g = 0").select("dt", "pos")
+    i = intervals.select("asset", "valid_from", "valid_to").join(at.select(F.col("dt").alias("valid_from"), F.col("pos").alias("lo")), "valid_from")
+    i = i.join(at.select(F.col("dt").alias("valid_to"), F.col("pos").alias("hi")), "valid_to", "left").crossJoin(cal.agg(F.count("*").cast("int").alias("top")))
+    i = i.withColumn("hi", F.when(F.col("valid_to").isNull(), F.col("top")).otherwise(F.col("hi"))).filter("lo < hi")
+    i = i.select("asset", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos")).distinct()
+    return i.join(points.filter("g = 1").select("dt", (F.col("pos") - 1).alias("pos")), "pos").select("dt", "asset")
 
 
 def membership_intervals(today: DataFrame, changes: DataFrame, start: Column) -> DataFrame:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.functions.windows import average_rank, ratio
 
@@ -69,16 +67,47 @@ def psr_z(benchmark: Column | float = 0.0) -> Column:
     return F.when((F.col("n") >= 30) & (spread > 0), (F.col("sr") - b) * F.sqrt(F.col("n") - 1) / F.sqrt(spread))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    phi = NormalDist().cdf
-    return z.map(lambda v: None if v is None or v != v else phi(v)).astype("float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(lambda v: inv(v) if v is not None and 0 < v < 1 else None).astype("float64")
+def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+# Coefficients of Hart's rational approximation of the normal tail (relative error 1e-14)
+_TAIL_ABOVE = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_TAIL_BELOW = (
+    8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+)
+# Coefficients of Acklam's rational approximation of the normal quantile (relative error 1e-9 before refinement)
+_MID_ABOVE = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+_MID_BELOW = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+_END_ABOVE = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_END_BELOW = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+
+
+def normal_cdf(z: str | Column) -> Column:
+    """P(Z <= z) of the standard normal, to 1e-14; null or not a number gives null."""
+    z = (F.col(z) if isinstance(z, str) else z).cast("double")
+    x = F.least(F.abs(z), F.lit(38.0))
+    e = F.exp(-x * x / 2)
+    far = x + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        far = x + k / far
+    tail = F.when(x < 7.07, e * _horner(x, _TAIL_ABOVE) / _horner(x, _TAIL_BELOW)).otherwise(e / far / float(np.sqrt(2 * np.pi)))
+    return F.when(z.isNull() | F.isnan(z), F.lit(None)).when(z > 0, 1 - tail).otherwise(tail)
+
+
+def normal_quantile(p: str | Column) -> Column:
+    """The z with P(Z <= z) = p; null outside (0, 1). One Newton step refines a rational start on the lower half."""
+    p = F.col(p) if isinstance(p, str) else p
+    low = F.least(p, 1 - p)
+    q = low - 0.5
+    r = F.sqrt(-2 * F.ln(low))
+    z = F.when(low < 0.02425, _horner(r, _END_ABOVE) / _horner(r, _END_BELOW)).otherwise(_horner(q * q, _MID_ABOVE) * q / _horner(q * q, _MID_BELOW))
+    z = F.when((p > 0) & (p < 1), z)
+    z = F.transform(F.array(z), lambda v: v - (normal_cdf(v) - low) * float(np.sqrt(2 * np.pi)) * F.exp(v * v / 2))[0]
+    return F.when(p > 0.5, -z).otherwise(z)
 
 
 def expected_max_sharpe(variance: float, trials: int) -> float:
@@ -99,17 +128,17 @@ def deflated_sharpe(returns: DataFrame, trials: int, variance: float) -> DataFra
 
 def graduation_hurdle(grid: DataFrame, target: float = 0.95, rounds: int = 60) -> DataFrame:
     """Annual Sharpe at which DSR meets ``target`` for each (n, trials, skew, kurt, variance, periods), by fixed point."""
+    z, gamma = NormalDist().inv_cdf(target), 0.5772156649015329
+    one = F.col("trials").cast("double")
+    best = (1 - gamma) * normal_quantile(1 - 1 / one) + gamma * normal_quantile(1 - 1 / (one * float(np.e)))
+    g = grid.withColumn("_base", F.when(one >= 2, F.sqrt("variance") * best).when(one.isNotNull(), 0.0))
 
-    @F.pandas_udf("double")
-    def solve(n: pd.Series, trials: pd.Series, skew: pd.Series, kurt: pd.Series, variance: pd.Series, periods: pd.Series) -> pd.Series:
-        z = NormalDist().inv_cdf(target)
-        base = np.array([expected_max_sharpe(v, int(t)) for v, t in zip(variance, trials, strict=True)])
-        sr = base.copy()
-        for _ in range(rounds):
-            sr = base + z * np.sqrt(np.maximum(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12) / (n - 1))
-        return pd.Series(sr * np.sqrt(periods))
+    def step(sr: Column, _: Column) -> Column:
+        spread = F.greatest(1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr, F.lit(1e-12))
+        return F.col("_base") + z * F.sqrt(spread / F.nullif(F.col("n") - 1, F.lit(0)))
 
-    return grid.withColumn("hurdle", solve("n", "trials", "skew", "kurt", "variance", "periods"))
+    sr = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("_base"), step)
+    return g.withColumn("hurdle", sr * F.sqrt("periods")).drop("_base")
 
 
 def pbo(returns: DataFrame, blocks: int = 16) -> DataFrame:
@@ -124,15 +153,19 @@ def pbo(returns: DataFrame, blocks: int = 16) -> DataFrame:
     dates = d.select("dt").distinct()
     n = F.count("*").over(W.partitionBy())
     dates = dates.withColumn("block", F.floor((F.row_number().over(W.orderBy("dt")) - 1) * blocks / n).cast("int"))
-    s = d.join(dates, "dt").groupBy("strategy_id", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    splits = returns.sparkSession.range(1 << blocks).filter(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"))
-    side = F.getbit("split", "block")
-    j = splits.crossJoin(F.broadcast(s)).groupBy("split", "strategy_id", side.alias("side")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    j = j.withColumn("sr", F.when(var > 1e-18, F.col("s") / F.col("n") / F.sqrt(var)).otherwise(0.0))
-    pair = j.groupBy("split", "strategy_id").agg(
-        F.max(F.when(F.col("side") == 1, F.col("sr"))).alias("ins"), F.max(F.when(F.col("side") == 0, F.col("sr"))).alias("oos")
-    )
+    at = lambda b, c: F.coalesce(F.sum(F.when(F.col("block") == b, c)), F.lit(0.0))
+    parts = {"n": F.lit(1.0), "s": F.col("ret"), "q": F.col("ret") * F.col("ret")}
+    s = d.join(dates, "dt").groupBy("strategy_id").agg(*(at(b, c).alias(f"{k}{b}") for k, c in parts.items() for b in range(blocks)))
+    # a row per strategy meets each split once; both halves are summed in that row
+    splits = F.filter(F.sequence(F.lit(0), F.lit((1 << blocks) - 1)), lambda v: F.bit_count(v) == blocks // 2)
+    j = s.withColumn("split", F.explode(splits))
+
+    def sharpe_of(side: int) -> Column:
+        n, total, square = (sum((F.when(F.getbit("split", F.lit(b)) == side, F.col(f"{k}{b}")).otherwise(0.0) for b in range(blocks)), F.lit(0.0)) for k in parts)
+        var = (square - total * total / F.nullif(n, F.lit(0.0))) / F.nullif(n - 1, F.lit(0.0))
+        return F.when(n > 0, F.when(var > 1e-18, total / n / F.sqrt(var)).otherwise(0.0))
+
+    pair = j.select("split", "strategy_id", sharpe_of(1).alias("ins"), sharpe_of(0).alias("oos"))
     w = W.partitionBy("split")
     pair = pair.withColumn("best", F.row_number().over(w.orderBy(F.round("ins", 12).desc(), "strategy_id")))
     pair = pair.withColumn("rank", F.count("*").over(w.orderBy(F.round("oos", 12)))).withColumn("m", F.count("*").over(w))

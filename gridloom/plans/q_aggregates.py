@@ -1,5 +1,7 @@
 """Aggregations, set operations, statistics and censuses."""
 
+from statistics import NormalDist
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,9 +88,9 @@ def sample_cov(s, d):
     return stats.sample_covariance(returns(s, d).select("dt", "asset", "ret"), 0.2).select("a", "b", r("cov", n=5))
 
 
-@query("predicted_vol", on_panel("w", f"{_MOM}, {_DECILE}, {_COV}, b0 as (select asset, w from wt where bar_no = 101), fc as (select a, b, cov from cv union all select b, a, cov from cv where a <> b) select round(sqrt(sum(x.w * cov * y.w) * 52), 5) + 0.0 as vol from fc join b0 x on x.asset = a join b0 y on y.asset = b"))
+@query("predicted_vol", on_panel("w", f"{_MOM}, {_DECILE}, {_COV}, b0 as (select asset, w from wt where bar_no = (select max(bar_no) from wt)), fc as (select a, b, cov from cv union all select b, a, cov from cv where a <> b) select round(sqrt(sum(x.w * cov * y.w) * 52), 5) + 0.0 as vol from fc join b0 x on x.asset = a join b0 y on y.asset = b"))
 def predicted_vol(s, d):
-    w = books.decile_weights(momentum_scores(s, d), 0.1, 4).filter("bar_no = 101")
+    w = books.latest_book(books.decile_weights(momentum_scores(s, d), 0.1, 4))
     return stats.predicted_volatility(w, stats.sample_covariance(returns(s, d).select("dt", "asset", "ret"), 0.2), 52).select(r("vol", n=5))
 
 
@@ -250,16 +252,29 @@ def dsr(s, d):
     return stats.deflated_sharpe(strategies(s, d), 20, 0.002).select("strategy_id", r("dsr_z", n=5))
 
 
-@query("dsr_probability")
+def _cdf_sql(z):
+    """The normal distribution as its series z^(2k+1) / (2k+1)!!, of positive terms, at up to 8 deviations."""
+    t = f"list_sum(list_transform(range(200), lambda k: exp((2 * k + 1) * ln(greatest(least(abs({z}), 8), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5))))"
+    return f"case when {z} is not null then 0.5 + sign({z}) * exp(-pow(least(abs({z}), 8), 2) / 2) / sqrt(2) * {t} end"
+
+
+_DSR_SQL = f"dz as (select strategy_id, {_psr_sql(0.0)} as z0, {_psr_sql(stats.expected_max_sharpe(0.002, 20))} as z1 from mo)"
+
+
+@query("dsr_probability", on_panel("w", f"{_STR}, {_MO}, {_DSR_SQL} select strategy_id, round({_cdf_sql('z0')}, 8) + 0.0 as psr, round({_cdf_sql('z1')}, 8) + 0.0 as dsr from dz"))
 def dsr_probability(s, d):
-    """psr and dsr through the normal distribution, which SQL lacks."""
     return stats.deflated_sharpe(strategies(s, d), 20, 0.002).select("strategy_id", r("psr", n=8), r("dsr", n=8))
 
 
-@query("graduation_hurdle")
+_TRIALS = (1, 5, 20, 100)
+_HURDLE = f"""tb as (select * from (values {', '.join(f'({t}, {stats.expected_max_sharpe(0.002, t)!r}::double)' for t in _TRIALS)}) v(trials, base)),
+hs as (select strategy_id, trials, list_reduce([base] || list_transform(range(60), lambda i: base), lambda x, y: y + {NormalDist().inv_cdf(0.95)!r}::double * sqrt(greatest(1 - skew * x + (kurt - 1) / 4 * x * x, 1e-12) / (n - 1))) as sr from mo, tb)"""
+
+
+@query("graduation_hurdle", on_panel("w", f"{_STR}, {_MO}, {_HURDLE} select strategy_id, trials, round(sr * sqrt(52), 8) as hurdle from hs"))
 def graduation_hurdle(s, d):
     """Hurdles for the measured length and shape of each strategy over a grid of trial counts."""
-    grid = stats.moments(strategies(s, d)).withColumn("trials", F.explode(F.array(*(F.lit(t) for t in (1, 5, 20, 100)))))
+    grid = stats.moments(strategies(s, d)).withColumn("trials", F.explode(F.array(*map(F.lit, _TRIALS))))
     grid = grid.withColumns({"variance": F.lit(0.002), "periods": F.lit(52)})
     return stats.graduation_hurdle(grid).select("strategy_id", "trials", r("hurdle", n=8))
 

@@ -25,6 +25,8 @@ wt as (select o.dt, o.bar_no, o.asset, case when n >= {least} then case when hi
 
 
 _DECILE = _decile_sql(0.1, 4)
+_LAST = "(select max(bar_no) from wt)"
+_PREV = f"(select max(bar_no) from wt where bar_no < {_LAST})"
 _HELD = """h as (select d.dt, d.asset, d.bar_no, d.ret, last_value(t.w ignore nulls) over (partition by d.asset order by d.dt) as w from rets d left join wt t on t.dt = d.dt and t.asset = d.asset),
 l as (select *, coalesce(lag(w) over (partition by asset order by dt), 0) as lw from h),
 e as (select *, coalesce(abs(lw - lag(lw) over (partition by asset order by dt)), 0) as tr from l)"""
@@ -321,12 +323,13 @@ def cap_gross(s, d):
     return books.cap_gross(dense(s, d, "s").select("dt", "asset", F.col("funding").alias("w")), 1.0).select("dt", "asset", r("w"))
 
 
-@query("cap_turnover", on_panel("w", """a as (select asset, funding as w from dense where bar_no = 50 and funding is not null), b as (select asset, funding as w from dense where bar_no = 51 and funding is not null),
+@query("cap_turnover", on_panel("w", """a as (select asset, funding as w from dense where bar_no = (select max(bar_no) - 1 from cal) and funding is not null), b as (select asset, funding as w from dense where bar_no = (select max(bar_no) from cal) and funding is not null),
 j as (select asset, coalesce(a.w, 0) as w0, coalesce(b.w, 0) as w1 from a full join b using (asset)), t as (select sum(abs(w1 - w0)) as t from j)
 select asset, round(w0 + (w1 - w0) * case when t > 0.1 then 0.1 / t else 1 end, 6) + 0.0 as w from j, t"""))
 def cap_turnover(s, d):
-    x = dense(s, d).filter("funding is not null").withColumn("w", F.col("funding"))
-    return books.cap_turnover(x.filter("bar_no = 50"), x.filter("bar_no = 51"), 0.1).select("asset", r("w"))
+    x = dense(s, d).withColumn("w", F.col("funding"))
+    now, target = (books.latest_book(x, back).filter("w is not null") for back in (1, 0))
+    return books.cap_turnover(now, target, 0.1).select("asset", r("w"))
 
 
 @query("drawdown_scale", on_panel("w", f"""{_NET}, eqt as (select dt, exp(sum(ln(1 + greatest(net, -0.999999))) over (order by dt)) as eq from bt), dd as (select dt, eq / greatest(max(eq) over (order by dt), 0) - 1 as dd from eqt)
@@ -364,40 +367,40 @@ def engine_backtest(s, d):
     return out.select("dt", r("gross"), r("cost"))
 
 
-@query("target_shares", on_panel("w", f"{_MOM}, {_DECILE}, w0 as (select wt.asset, wt.w, price from wt join dense d on d.dt = wt.dt and d.asset = wt.asset where wt.bar_no = 101) select asset, cast(round_even(w * 1000000 / nullif(price, 0), 0) as bigint) as shares from w0"))
+@query("target_shares", on_panel("w", f"{_MOM}, {_DECILE}, w0 as (select wt.asset, wt.w, price from wt join dense d on d.dt = wt.dt and d.asset = wt.asset where wt.bar_no = {_LAST}) select asset, cast(round_even(w * 1000000 / nullif(price, 0), 0) as bigint) as shares from w0"))
 def target_shares(s, d):
-    return _targets(s, d, 101).select("asset", "shares")
+    return _targets(s, d).select("asset", "shares")
 
 
-def _targets(s, d, bar):
-    w = books.decile_weights(momentum_scores(s, d), 0.1, 4).filter(F.col("bar_no") == bar)
+def _targets(s, d, back=0):
+    w = books.latest_book(books.decile_weights(momentum_scores(s, d), 0.1, 4), back)
     return books.target_shares(w.join(dense(s, d).select("dt", "asset", "price"), ["dt", "asset"]), 1_000_000)
 
 
-_SH = """sh as (select wt.bar_no, wt.asset, price, cast(round_even(wt.w * 1000000 / nullif(price, 0), 0) as bigint) as shares from wt join dense d on d.dt = wt.dt and d.asset = wt.asset where wt.bar_no in (101, 105)),
-od as (select asset, coalesce(b.shares, 0) - coalesce(a.shares, 0) as delta, b.price from (select * from sh where bar_no = 101) a full join (select * from sh where bar_no = 105) b using (asset))"""
+_SH = f"""sh as (select wt.bar_no, wt.asset, price, cast(round_even(wt.w * 1000000 / nullif(price, 0), 0) as bigint) as shares from wt join dense d on d.dt = wt.dt and d.asset = wt.asset where wt.bar_no in ({_LAST}, {_PREV})),
+od as (select asset, coalesce(b.shares, 0) - coalesce(a.shares, 0) as delta, b.price from (select * from sh where bar_no = {_PREV}) a full join (select * from sh where bar_no = {_LAST}) b using (asset))"""
 
 
 @query("orders_delta", on_panel("w", f"{_MOM}, {_DECILE}, {_SH} select asset, delta from od where delta <> 0"))
 def orders_delta(s, d):
-    return books.orders_delta(_targets(s, d, 101), _targets(s, d, 105))
+    return books.orders_delta(_targets(s, d, 1), _targets(s, d))
 
 
 @query("execution_plan", on_panel("w", f"{_MOM}, {_DECILE}, {_SH} select asset, delta, case when delta > 0 then 'buy' else 'sell' end as side, round(abs(delta) * price, 2) + 0.0 as notional from od where delta <> 0 and price is not null"))
 def execution_plan(s, d):
-    o = books.orders_delta(_targets(s, d, 101), _targets(s, d, 105)).join(_targets(s, d, 105).select("asset", "price"), "asset")
+    o = books.orders_delta(_targets(s, d, 1), _targets(s, d)).join(_targets(s, d).select("asset", "price"), "asset")
     return o.filter("price is not null").select("asset", "delta", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side"), r(F.abs("delta") * F.col("price"), "notional", 2))
 
 
 @query("turnover_cost", on_panel("w", f"{_MOM}, {_DECILE}, {_SH} select count(*) as orders, round(sum(abs(delta) * price), 2) + 0.0 as traded, round(sum(abs(delta) * price) * 10 / 10000, 4) + 0.0 as cost from od where delta <> 0 and price is not null"))
 def turnover_cost(s, d):
-    x = execution_plan(s, d).join(_targets(s, d, 105).select("asset", "price"), "asset").withColumn("v", F.abs("delta") * F.col("price"))
+    x = execution_plan(s, d).join(_targets(s, d).select("asset", "price"), "asset").withColumn("v", F.abs("delta") * F.col("price"))
     return x.agg(F.count("*").alias("orders"), r(F.sum("v"), "traded", 2), r(F.sum("v") * 10 / 10000, "cost", 4))
 
 
-@query("orders_truncated", on_panel("w", f"{_MOM}, {_DECILE}, w0 as (select wt.asset, least(greatest(wt.w, -0.05), 0.05) as w, price from wt join dense d on d.dt = wt.dt and d.asset = wt.asset where wt.bar_no = 101 and price > 0) select asset, cast(trunc(w * 1000000 / price) as bigint) as shares from w0"))
+@query("orders_truncated", on_panel("w", f"{_MOM}, {_DECILE}, w0 as (select wt.asset, least(greatest(wt.w, -0.05), 0.05) as w, price from wt join dense d on d.dt = wt.dt and d.asset = wt.asset where wt.bar_no = {_LAST} and price > 0) select asset, cast(trunc(w * 1000000 / price) as bigint) as shares from w0"))
 def orders_truncated(s, d):
-    w = books.decile_weights(momentum_scores(s, d), 0.1, 4).filter("bar_no = 101").join(dense(s, d).select("dt", "asset", "price"), ["dt", "asset"]).filter("price > 0")
+    w = books.latest_book(books.decile_weights(momentum_scores(s, d), 0.1, 4)).join(dense(s, d).select("dt", "asset", "price"), ["dt", "asset"]).filter("price > 0")
     return w.select("asset", (books.cap_position(F.col("w"), 0.05) * 1_000_000 / F.col("price")).cast("long").alias("shares"))
 
 
@@ -537,12 +540,13 @@ def drift_scenario(s, d):
     return x.select("dt", "asset", r(F.col("price") * F.pow(F.lit(1.02), ramp), "price", 4))
 
 
-@query("shuffle_placebo")
+@query("shuffle_placebo", on_panel("w", """x as (select dt, asset, ret from rets where ret is not null), a as (select dt, asset, row_number() over (partition by dt order by asset) as k from x),
+b as (select dt, ret, row_number() over (partition by dt order by md5(asset || '|' || strftime(dt, '%Y-%m-%d') || '|7')) as k from x) select dt, asset, round(ret, 6) + 0.0 as ret from a join b using (dt, k)"""))
 def shuffle_placebo(s, d):
     """Values dealt anew among a date's assets by hash order: the same multiset on every run."""
     x = returns(s, d).filter("ret is not null").select("dt", "asset", "ret")
     a = x.withColumn("k", F.row_number().over(by_date().orderBy("asset"))).select("dt", "asset", "k")
-    b = x.withColumn("k", F.row_number().over(by_date().orderBy(F.xxhash64("asset", "dt", F.lit(7))))).select("dt", "k", "ret")
+    b = x.withColumn("k", F.row_number().over(by_date().orderBy(F.md5(F.concat_ws("|", "asset", F.date_format("dt", "yyyy-MM-dd"), F.lit("7")))))).select("dt", "k", "ret")
     return a.join(b, ["dt", "k"]).select("dt", "asset", r("ret"))
 
 
@@ -553,9 +557,9 @@ def drop_top3(s, d):
     return w.join(top, "asset", "left_anti").select("asset")
 
 
-@query("diff_weights", on_panel("w", f"{_MOM}, {_DECILE} select asset, round(b.w - a.w, 6) + 0.0 as dw from (select asset, w from wt where bar_no = 101) a join (select asset, w from wt where bar_no = 105) b using (asset) order by round(abs(b.w - a.w), 9) desc, asset limit 10"))
+@query("diff_weights", on_panel("w", f"{_MOM}, {_DECILE} select asset, round(b.w - a.w, 6) + 0.0 as dw from (select asset, w from wt where bar_no = {_PREV}) a join (select asset, w from wt where bar_no = {_LAST}) b using (asset) order by round(abs(b.w - a.w), 9) desc, asset limit 10"))
 def diff_weights(s, d):
     w = books.decile_weights(momentum_scores(s, d), 0.1, 4)
-    a, b = w.filter("bar_no = 101").select("asset", F.col("w").alias("w0")), w.filter("bar_no = 105").select("asset", "w")
+    a, b = books.latest_book(w, 1).select("asset", F.col("w").alias("w0")), books.latest_book(w).select("asset", "w")
     x = a.join(b, "asset").withColumn("dw", F.col("w") - F.col("w0"))
     return x.orderBy(F.round(F.abs("dw"), 9).desc(), "asset").limit(10).select("asset", r("dw"))

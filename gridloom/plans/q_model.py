@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from gridloom.functions.windows import by_asset, ratio
 from gridloom.operators import books, panel, stats
 from gridloom.plans.q_aggregates import ic_sql
+from gridloom.plans.q_books import _decile_sql
 from gridloom.plans.registry import query
-from gridloom.plans.views import dense, on_panel, r, sectors
+from gridloom.plans.views import dense, on_panel, r
 
 _A = "over (partition by asset order by dt)"
 
@@ -58,14 +59,14 @@ def _windows(s, d):
 _XS = list(panel.FEATURES)
 
 
-def _ridge_sql(alpha):
+def _ridge_sql(alpha, windows="wn", by="window_id", test="sk"):
     """Ridge with an unpenalised intercept on all features: window moments, then Gaussian elimination, one step a table."""
     k = len(_XS)
     at = [(i, j) for i in range(k) for j in range(i, k)]
     cell = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
     moments = [f"count(*) * covar_pop({_XS[i]}, {_XS[j]}){f' + {alpha}' if i == j else ''} as {cell(i, j)}" for i, j in at]
     moments += [f"count(*) * covar_pop({x}, label) as b{i}" for i, x in enumerate(_XS)] + [f"avg({x}) as m{i}" for i, x in enumerate(_XS)]
-    tables = [f"e0 as (select window_id, avg(label) as my, {', '.join(moments)} from sk join wn on bar_no - 1 < train_end group by 1)"]
+    tables = [f"e0 as (select {by}, avg(label) as my, {', '.join(moments)} from sk join {windows} on bar_no - 1 < train_end group by {by})"]
     for p in range(k - 1):
         factor = lambda i: f"{cell(p, i)} / {cell(p, p)}"  # noqa: B023, E731
         new = [f"{cell(i, j)} - {factor(i)} * {cell(p, j)} as {cell(i, j)}" for i, j in at if i > p]
@@ -77,7 +78,7 @@ def _ridge_sql(alpha):
         tables.append(f"s{p} as (select *, (b{p}{rest}) / {cell(p, p)} as w{p} from {last})")
         last = f"s{p}"
     fit = "my" + "".join(f" + w{i} * (k.{x} - m{i})" for i, x in enumerate(_XS))
-    return f"{', '.join(tables)}, pr as (select w.window_id, k.dt, k.asset, {fit} as pred, label from sk k join wn w on k.bar_no - 1 >= test_lo and k.bar_no - 1 < test_hi join s0 using (window_id))"
+    return f"{', '.join(tables)}, pr as (select {by}, k.dt, k.asset, {fit} as pred, label from {test} k join {windows} w on k.bar_no - 1 >= test_lo and k.bar_no - 1 < test_hi join s0 using ({by}))"
 
 
 _WN = "n as (select max(bar_no) as n from cal), wn as (select cast((lo - 150) // 26 as int) as window_id, lo - 8 as train_end, lo as test_lo, lo + 26 as test_hi from (select unnest(range(150, n - 26 + 1, 26)) as lo from n))"
@@ -100,7 +101,13 @@ def walk_forward_ic(s, d):
     return stats.rank_ic(p, "p", "l").select("dt", r("ic", n=5), "n")
 
 
-@query("ridge_alpha_select")
+_ALPHAS = f"""{_STACK}, {_WN}, wi as (select cast((lo - 78) // 26 as int) as window_id, lo - 8 as train_end, lo as test_lo, lo + 26 as test_hi, alpha from (select unnest(range(78, n - 26 + 1, 26)) as lo from n), (select unnest([1.0, 10.0, 100.0, 1000.0]::double[]) as alpha)),
+{_ridge_sql("alpha", "wi", "window_id, alpha")}, {ic_sql('pred', 'label', 5, 'pr', 'window_id, alpha, dt')},
+gd as (select w.window_id, wi.alpha, round(avg(ic), 12) as score from ic join wi using (window_id, alpha) join wn w on wi.test_hi <= w.train_end group by 1, 2),
+ch as (select window_id, alpha, row_number() over (partition by window_id order by score desc, alpha) as k from gd where score is not null)"""
+
+
+@query("ridge_alpha_select", on_panel("w", f"{_ALPHAS} select window_id, coalesce(alpha, 100.0::double) as alpha from wn left join (from ch where k = 1) using (window_id)"))
 def ridge_alpha_select(s, d):
     """The grid value chosen per window by an inner expanding walk-forward within its training bars."""
     p = stacked(s, d).withColumn("pos", F.col("bar_no") - 1)
@@ -125,17 +132,22 @@ def walk_forward_gbt(s, d):
     return out
 
 
-@query("live_scores")
+_LIVE = f"""{_STACK}, ft as (select * from f1 where {' and '.join(f'{c} is not null' for c in panel.FEATURES)}),
+wn as (select 0 as window_id, max(bar_no) - 4 as train_end, max(bar_no) - 1 as test_lo, max(bar_no) as test_hi from ft), {_ridge_sql(10, test="ft")},
+sc as (select dt, 1 as bar_no, asset, round(pred - avg(pred) over (partition by dt, substr(asset, 1, 7)), 9) as score from pr), {_decile_sql(0.1, 1)}"""
+
+
+@query("live_scores", on_panel("w", f"{_LIVE} select dt, asset, round(score, 6) + 0.0 as score, round(w, 6) + 0.0 as w from wt join sc using (dt, asset)"))
 def live_scores(s, d):
-    """One fit on fully labelled rows; scores of the last date, less their sector's mean, and decile weights."""
-    x = dense(s, d, "s")
+    """One fit on fully labelled rows; scores of the last date with features, less the mean of their sector (a brand's manufacturer), and decile weights."""
+    x = dense(s, d)
     f = panel.build_features(x).dropna(subset=_XS)
-    top = x.agg(F.max("bar_no").alias("top")).first().top
+    top = f.agg(F.max("bar_no").alias("top")).first().top or 0
     w = s.createDataFrame([(0, top - 4, top - 1, top)], "window_id int, train_end int, test_lo int, test_hi int")
     p = f.join(panel.build_labels(x, 4).drop("bar_no"), ["dt", "asset"], "left").withColumn("pos", F.col("bar_no") - 1)
     pred = stats.walk_forward_ridge(p, w, _XS, "label")
-    pred = pred.join(sectors(s, d), "asset").withColumn("pred", F.col("pred") - F.avg("pred").over(W.partitionBy("dt", "sector")))
-    sc = pred.select("dt", F.lit(1).alias("bar_no"), "asset", F.round("pred", 12).alias("score"))
+    pred = pred.withColumn("pred", F.col("pred") - F.avg("pred").over(W.partitionBy("dt", F.substring("asset", 1, 7))))
+    sc = pred.select("dt", F.lit(1).alias("bar_no"), "asset", F.round("pred", 9).alias("score"))
     return books.decile_weights(sc, 0.1, 1).join(sc.select("asset", "score"), "asset").select("dt", "asset", r("score"), r("w"))
 
 

@@ -344,3 +344,46 @@ def test_alpha_selection_matches_numpy(spark):
             score.append(round(np.mean(ics), 12) if ics else None)
         want[k] = grid[int(np.argmax(score))] if score[0] is not None else 100.0
     assert got == want and want[0] == 100.0
+
+
+def test_normal_distribution_in_columns(spark):
+    normal = NormalDist()
+    z = [-37.0, -9.0, -7.08, -7.0, -3.2, -1.0, -1e-9, 0.0, 0.5, 2.0, 6.9, 7.2, 40.0]
+    rows = spark.createDataFrame([(float(v),) for v in z] + [(None,), (float("nan"),)], "z double").select("z", stats.normal_cdf("z").alias("p")).collect()
+    for r in rows:
+        if r.z is None or r.z != r.z:
+            assert r.p is None
+        else:
+            assert abs(r.p - normal.cdf(r.z)) < 1e-13
+    p = [1e-300, 1e-12, 0.001, 0.0242, 0.0243, 0.3, 0.5, 0.7, 0.98, 1 - 1e-9]
+    for r in spark.createDataFrame([(v,) for v in p], "p double").select("p", stats.normal_quantile("p").alias("z")).collect():
+        assert abs(r.z - normal.inv_cdf(r.p)) < 1e-7 * max(1, abs(r.z))
+    bad = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (2.0,), (None,)], "p double").select(stats.normal_quantile("p").alias("z")).collect()
+    assert [r.z for r in bad] == [None] * 5
+
+
+def test_hurdle_is_a_fixed_point(spark):
+    grid = spark.createDataFrame([(250, 20, -0.4, 5.0, 0.002, 52), (250, 1, 0.0, 3.0, 0.002, 52), (1, 5, 0.0, 3.0, 0.002, 52)], "n int, trials int, skew double, kurt double, variance double, periods int")
+    a, b, c = stats.graduation_hurdle(grid).select("hurdle", "n").orderBy(F.desc("n"), F.desc("trials")).collect()
+    z = NormalDist().inv_cdf(0.95)
+    for row, trials, skew, kurt in ((a, 20, -0.4, 5.0), (b, 1, 0.0, 3.0)):
+        sr = row.hurdle / 52**0.5
+        assert abs((sr - stats.expected_max_sharpe(0.002, trials)) * 249**0.5 / (1 - skew * sr + (kurt - 1) / 4 * sr * sr) ** 0.5 - z) < 1e-6
+    assert c.hurdle is None  # one observation has no hurdle
+
+
+def test_interval_members_with_overlaps_open_ends_and_dates_between(spark):
+    rng = np.random.default_rng(5)
+    start = dt.date(2020, 1, 1)
+    at = lambda k: start + dt.timedelta(days=int(k))
+    cal = sorted({at(k) for k in rng.integers(0, 200, 60)})
+    iv = [(f"a{rng.integers(6)}", at(lo), None if rng.random() < 0.2 else at(lo + rng.integers(-3, 50))) for lo in rng.integers(-20, 210, 40)]
+    got = joins.interval_members(spark.createDataFrame([(c,) for c in cal], "dt date"), spark.createDataFrame(iv, "asset string, valid_from date, valid_to date"))
+    want = sorted({(c, a) for c in cal for a, lo, hi in iv if lo <= c and (hi is None or c < hi)})
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_latest_book(spark):
+    w = spark.createDataFrame([(1, "a", 0.1), (5, "a", 0.2), (9, "b", 0.3), (9, "a", 0.4)], "bar_no int, asset string, w double")
+    book = lambda back: sorted((r.asset, r.w) for r in books.latest_book(w, back).collect())
+    assert book(0) == [("a", 0.4), ("b", 0.3)] and book(1) == [("a", 0.2)] and book(3) == []
