@@ -153,19 +153,16 @@ def pbo(returns: DataFrame, blocks: int = 16) -> DataFrame:
     dates = d.select("dt").distinct()
     n = F.count("*").over(W.partitionBy())
     dates = dates.withColumn("block", F.floor((F.row_number().over(W.orderBy("dt")) - 1) * blocks / n).cast("int"))
-    at = lambda b, c: F.coalesce(F.sum(F.when(F.col("block") == b, c)), F.lit(0.0))
-    parts = {"n": F.lit(1.0), "s": F.col("ret"), "q": F.col("ret") * F.col("ret")}
-    s = d.join(dates, "dt").groupBy("strategy_id").agg(*(at(b, c).alias(f"{k}{b}") for k, c in parts.items() for b in range(blocks)))
-    # a row per strategy meets each split once; both halves are summed in that row
-    splits = F.filter(F.sequence(F.lit(0), F.lit((1 << blocks) - 1)), lambda v: F.bit_count(v) == blocks // 2)
-    j = s.withColumn("split", F.explode(splits))
-
-    def sharpe_of(side: int) -> Column:
-        n, total, square = (sum((F.when(F.getbit("split", F.lit(b)) == side, F.col(f"{k}{b}")).otherwise(0.0) for b in range(blocks)), F.lit(0.0)) for k in parts)
-        var = (square - total * total / F.nullif(n, F.lit(0.0))) / F.nullif(n - 1, F.lit(0.0))
-        return F.when(n > 0, F.when(var > 1e-18, total / n / F.sqrt(var)).otherwise(0.0))
-
-    pair = j.select("split", "strategy_id", sharpe_of(1).alias("ins"), sharpe_of(0).alias("oos"))
+    s = d.join(dates, "dt").groupBy("strategy_id", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    splits = returns.sparkSession.range(1 << blocks).filter(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"))
+    side = F.getbit("split", "block")
+    # the splits depend on the blocks alone: 65,536 numbers at most before the filter, at 16 blocks
+    j = s.crossJoin(F.broadcast(splits)).groupBy("split", "strategy_id", side.alias("side")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
+    j = j.withColumn("sr", F.when(var > 1e-18, F.col("s") / F.col("n") / F.sqrt(var)).otherwise(0.0))
+    pair = j.groupBy("split", "strategy_id").agg(
+        F.max(F.when(F.col("side") == 1, F.col("sr"))).alias("ins"), F.max(F.when(F.col("side") == 0, F.col("sr"))).alias("oos")
+    )
     w = W.partitionBy("split")
     pair = pair.withColumn("best", F.row_number().over(w.orderBy(F.round("ins", 12).desc(), "strategy_id")))
     pair = pair.withColumn("rank", F.count("*").over(w.orderBy(F.round("oos", 12)))).withColumn("m", F.count("*").over(w))
