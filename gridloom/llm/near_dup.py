@@ -26,6 +26,8 @@ from gridloom.llm.store import materialize, small_batches
 BINS, BAND_ROWS = 120, 5
 #: Members a block: a task confirms one pair of blocks. Columns multiplied at once there.
 BLOCK_ROWS, COLUMNS = 128, 4096
+#: Sets of a large cluster that tell its frequent shingles, and members that share one copy of their list.
+PROBE_SETS, LIST_ROWS = 32, 1024
 
 
 def shingle_sets(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,22 +185,41 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _split_by_prefix(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, part): the clusters of ``sets`` cut where no link can be.
+def _frequent(wide: DataFrame) -> DataFrame:
+    """(cluster, salts, frequent): the shingles that many sets of a large cluster hold, the most frequent last.
 
-    With its shingles in order of how many of the cluster's sets hold them, a
-    set's prefix is all but the ``t * n`` - 1 most frequent ones; two sets that
-    link share a shingle of their prefixes. Sets that only have a frequent frame
-    in common share none, however many bands they meet in. A part is what hangs
-    together by prefix shingles; sets without a shared one are in no part.
+    Counted over about ``PROBE_SETS`` sets a cluster and kept from an eighth of
+    these on, so a list is at most eight mean sets long. It only orders shingles:
+    another list costs or saves work and changes no result.
     """
-    tokens = sets.select("cluster", "id", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
-    tokens = tokens.withColumn("key", F.xxhash64("cluster", "token"))
-    frequent = tokens.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").withColumn("times", F.col("held"))
-    shared = join_to_one(tokens.select("key", "id", "n"), materialize(frequent, "frequent"), "key", "held", F.xxhash64("id", "key"))
-    per = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("order"))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("order"))
-    edge = per.filter(prefix > 0).select("id", F.explode(F.slice("order", 1, prefix.cast("int"))).alias("at")).select("id", "at.key")
+    probe = wide.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("size") / PROBE_SETS)) == 0)
+    probe = probe.select("cluster", "salts", "size", F.explode("hashes").alias("token"))
+    held = probe.groupBy("cluster", "salts", "size", "token").agg(F.count("*").alias("times"))
+    held = held.filter(F.col("times") * 8 >= F.least(F.lit(PROBE_SETS), "size"))
+    order = F.sort_array(F.collect_list(F.struct("times", "token")))
+    return held.groupBy("cluster", "salts").agg(order["token"].alias("frequent"))
+
+
+def _split_by_prefix(wide: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, part): the clusters of ``wide`` cut where no link can be.
+
+    With the shingles in any one order, a set's prefix is all but its last
+    ``t * n`` - 1; two sets that link share a shingle of their prefixes. The order
+    puts the cluster's frequent shingles last, so sets that only have a frame in
+    common share none, however many bands they meet in. A part is what hangs
+    together by prefix shingles; sets without a shared one are in no part. Only
+    prefixes become rows.
+    """
+    lists = materialize(_frequent(wide), "frequent")
+    dealt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    lists = lists.select("cluster", dealt.alias("salt"), "frequent")
+    rows = wide.withColumn("salt", F.pmod(F.xxhash64("id"), "salts"))
+    rows = rows.join(lists.hint("merge"), ["cluster", "salt"], "left")
+    frequent = F.coalesce("frequent", F.array().cast("array<long>"))
+    order = F.concat(F.array_except("hashes", frequent), F.array_intersect(frequent, F.col("hashes")))
+    n = F.size("hashes")
+    prefix = F.slice(order, 1, (n - F.ceil(n * num / den) + 1).cast("int"))
+    edge = rows.select("cluster", "id", F.explode(prefix).alias("token")).select("id", F.xxhash64("cluster", "token").alias("key"))
     edge = materialize(edge, "prefixes")
     least = edge.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
     links = join_to_one(edge, materialize(least, "least"), "key", "m", F.xxhash64("id", "key")).select("id", "first").distinct()
@@ -206,17 +227,32 @@ def _split_by_prefix(sets: DataFrame, num: int, den: int) -> DataFrame:
     return parts.select(F.col("node").alias("id"), F.col("component").alias("part"))
 
 
+def _cut(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cluster, id, hashes): ``sets`` with the clusters of more than a block cut as long as that makes them smaller.
+
+    A cluster of several frames falls apart into them, and a frame's texts by
+    their own shingles in the next round.
+    """
+    before = None
+    while True:
+        count = materialize(sets.groupBy("cluster").agg(F.count("*").alias("m")), "sizes")
+        large = count.filter(F.col("m") > BLOCK_ROWS)
+        # what is left to pair in large clusters; each round costs a pass over their sets
+        pairs = large.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0] or 0
+        if pairs == 0 or (before is not None and pairs > 0.5 * before):
+            return sets
+        before = pairs
+        known = large.select("cluster", "m", F.col("m").alias("size"), F.ceil(F.col("m") / LIST_ROWS).cast("long").alias("salts"))
+        wide = materialize(join_to_one(sets, known, "cluster", "m", F.xxhash64("id")), "large")
+        parts = wide.select("id", "hashes").join(_split_by_prefix(wide, num, den).withColumnRenamed("part", "cluster"), "id")
+        small = sets.join(large, "cluster", "left_anti").select("cluster", "id", "hashes")
+        sets = materialize(small.unionByName(parts.select("cluster", "id", "hashes")), "parts")
+
+
 def _confirmed(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, root): the links within clusters, by pairs of blocks of (cluster, id, hashes) rows."""
+    sets = _cut(sets.select("cluster", "id", "hashes"), num, den)
     count = materialize(sets.groupBy("cluster").agg(F.count("*").alias("m")), "sizes")
-    large = count.filter(F.col("m") > BLOCK_ROWS)
-    if not large.isEmpty():
-        wide = materialize(join_to_one(sets, large, "cluster", "m", F.xxhash64("id")), "large")
-        parts = _split_by_prefix(wide, num, den)
-        parts = wide.drop("cluster").join(parts.withColumnRenamed("part", "cluster"), "id")
-        sets = sets.join(large, "cluster", "left_anti").select("cluster", "id", "hashes").unionByName(parts)
-        sets = materialize(sets.select("cluster", "id", "hashes"), "parts")
-        count = materialize(sets.groupBy("cluster").agg(F.count("*").alias("m")), "sizes")
     blocks = count.filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("long"))
     rows = join_to_one(sets.select("cluster", "id", "hashes"), blocks, "cluster", "m", F.xxhash64("id")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))

@@ -230,6 +230,24 @@ def test_near_duplicates_match_brute_force(spark, docs, rows, width, num):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_large_clusters_are_cut_to_what_may_link(spark):
+    rng = np.random.default_rng(5)
+    sets = []
+    for k in range(600):  # one cluster of two frames, whose texts share no more than their frame
+        frame = np.arange(100) * 7919 + 10**9 * (k % 2)
+        sets.append((1, k, np.sort(np.concatenate((frame, rng.integers(2**40, 2**60, 50)))).tolist()))
+    for k in range(200):  # near copies stay together
+        sets.append((2, 1000 + k, np.sort(np.concatenate((np.arange(150) + 10**12, rng.integers(2**40, 2**60, 5)))).tolist()))
+    twin = sets[0][2][:-1]
+    df = spark.createDataFrame([*sets, (1, 700, twin), (3, 2000, [1, 2]), (3, 2001, [1, 2, 3])], "cluster long, id long, hashes array<long>")
+    got = near_dup._cut(df, 85, 100).collect()
+    assert all(sorted(r.hashes) == r.hashes for r in got)
+    groups = {}
+    for r in got:
+        groups.setdefault(r.cluster, set()).add(r.id)
+    assert sorted(groups.values(), key=min) == [{0, 700}, set(range(1000, 1200)), {2000, 2001}]
+
+
 def test_near_duplicates_of_one_id_with_two_texts(spark):
     a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
     rows = [(5, a), (5, b), (3, a + " x"), (7, b + " y"), (9, b), (None, a), (2, None)]
