@@ -11,13 +11,16 @@ from gridloom.llm import (
     backoff_lm,
     chat_trees,
     decontaminate,
+    fingerprints,
     language_crf,
     licenses,
     line_templates,
     mixing,
     near_dup,
+    phrases,
     vectors,
     warc,
+    whitening,
 )
 from gridloom.llm.store import fresh_path
 
@@ -92,11 +95,24 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("payload", "url")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_line_templates, op3_minhash_near_dup, op4_benchmark_decontamination, op5_license_scan,
         op6_chat_format, op7_embedding_near_dup, op8_lm_score, op9_language_id, op10_warc_archive,
+        op11_phrase_collocations, op12_embedding_whitening, op13_document_fingerprints,
     )
 }
 
@@ -169,4 +185,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": _CHAT_SQL,
         "op10_warc_archive": _WARC_SQL,
         "op7_embedding_near_dup": _VECTOR_SQL,
+        "op11_phrase_collocations": phrases.collocation_sql(),
+        "op13_document_fingerprints": fingerprints.fingerprint_sql(),
     }
