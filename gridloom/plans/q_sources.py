@@ -117,15 +117,31 @@ def name_lookup_txt(s, d):
     return ps.name_lookup(p.select(F.when(F.col("p_size") > 3, good).otherwise(F.col("p_name")).alias("line")))
 
 
-@query("form4_xml", "select l_orderkey as doc_id, 'S' || l_suppkey as ticker, 'Owner ' || l_partkey as owner, l_returnflag as code, l_quantity as shares, l_extendedprice as price, cast(l_shipdate as date) as traded from lineitem where l_linestatus = 'F'")
+@query("form4_xml", """with t as (select *, row_number() over w as txn, first_value(l_suppkey) over w as supp, first_value(l_partkey) over w as part
+  from lineitem window w as (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_shipdate, l_returnflag))
+select l_orderkey as doc_id, cast(txn as int) as txn, lpad(cast(supp as varchar), 10, '0') as issuer_id, 'S' || supp as ticker, 'Owner ' || part as owner, part % 2 = 0 as is_officer, part % 3 = 0 as is_director, false as is_tenpct,
+  l_returnflag as code, l_quantity as shares, case when l_discount > 0.02 then l_extendedprice end as price, case when l_tax > 0.01 then l_linestatus end as acq_disp, cast(l_shipdate as date) as traded
+from t where l_orderkey % 7 <> 0""")
 def form4_xml(s, d):
+    """Documents of an order's lines: prices and codes missing from some, two owners, a cut document for every seventh order."""
     li = table(s, d, "lineitem")
     tag = lambda n, *v: F.concat(F.lit(f"<{n}>"), *v, F.lit(f"</{n}>"))
-    val = lambda c: tag("value", F.col(c).cast("string"))
-    txn = tag("nonDerivativeTransaction", tag("transactionDate", tag("value", F.date_format("l_shipdate", "yyyy-MM-dd"))), tag("transactionCoding", tag("transactionCode", F.col("l_returnflag"))), tag("transactionAmounts", tag("transactionShares", val("l_quantity")), tag("transactionPricePerShare", val("l_extendedprice"))))
-    body = F.concat(tag("issuer", tag("issuerTradingSymbol", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))), tag("reportingOwner", tag("reportingOwnerId", tag("rptOwnerName", F.concat(F.lit("Owner "), F.col("l_partkey").cast("string"))))), tag("nonDerivativeTable", txn))
-    xml = F.when(F.col("l_linestatus") == "F", tag("ownershipDocument", body)).otherwise(F.concat(F.lit("<ownershipDocument>"), body))
-    return ps.ownership_xml(li.select(F.col("l_orderkey").alias("doc_id"), xml.alias("xml")))
+    val = lambda n, c: tag(n, tag("value", c.cast("string")))
+    price = F.when(F.col("l_discount") > 0.02, val("transactionPricePerShare", F.col("l_extendedprice"))).otherwise("<transactionPricePerShare><footnoteId id='F1'/></transactionPricePerShare>")
+    side = F.when(F.col("l_tax") > 0.01, val("transactionAcquiredDisposedCode", F.col("l_linestatus"))).otherwise("")
+    txn = tag(
+        "nonDerivativeTransaction", val("transactionDate", F.date_format("l_shipdate", "yyyy-MM-dd")), tag("transactionCoding", tag("transactionCode", F.col("l_returnflag"))),
+        tag("transactionAmounts", val("transactionShares", F.col("l_quantity")), price, side),
+    )
+    lines = li.select("l_orderkey", F.struct("l_linenumber", "l_suppkey", "l_partkey", txn.alias("x")).alias("r")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    supp, part = F.col("r")[0]["l_suppkey"].cast("string"), F.col("r")[0]["l_partkey"]
+    flag = lambda n, k: tag(n, F.when(part % k == 0, "true").otherwise("0"))
+    owner = tag("reportingOwner", tag("reportingOwnerId", tag("rptOwnerName", F.lit("Owner "), part.cast("string"))), tag("reportingOwnerRelationship", flag("isOfficer", 2), flag("isDirector", 3)))
+    other = F.lit("<reportingOwner><reportingOwnerId><rptOwnerName>Other</rptOwnerName></reportingOwnerId></reportingOwner>")
+    issuer = tag("issuer", tag("issuerCik", F.lpad(supp, 10, "0")), tag("issuerTradingSymbol", F.lit("S"), supp))
+    rows = tag("nonDerivativeTable", F.array_join(F.transform("r", lambda x: x["x"]), ""))
+    xml = F.concat(F.lit("<ownershipDocument>"), issuer, owner, other, rows, F.when(F.col("l_orderkey") % 7 == 0, "").otherwise("</ownershipDocument>"))
+    return ps.ownership_xml(lines.select(F.col("l_orderkey").alias("doc_id"), xml.alias("xml")))
 
 
 @query("accession_list", "select o_custkey as entity, cast(o_orderkey as varchar) as accession, cast(o_orderdate as date) as filed from orders where o_orderstatus = 'F'")
@@ -138,13 +154,13 @@ def accession_list(s, d):
     return ps.accession_list(docs)
 
 
-@query("delist_hits_json", "select lpad(cast(c_custkey as varchar), 10, '0') as id, c_mktsegment || ' Fund' as name, date '2020-01-01' + cast(c_custkey % 900 as int) as filed from customer")
+@query("delist_hits_json", "select cast(c_custkey as varchar) as id, c_mktsegment || ' Fund' as name, date '2020-01-01' + cast(c_custkey % 900 as int) as filed from customer where c_nationkey not in (3, 4)")
 def delist_hits_json(s, d):
     c = table(s, d, "customer")
     cik = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
     name = F.concat("c_mktsegment", F.lit(" Fund  (ABC)  (CIK "), cik, F.lit(")"))
-    hit = F.struct(F.array(cik, F.lit("x")).alias("ciks"), F.array(name).alias("display_names"), F.date_format(F.expr("date_add(date '2020-01-01', cast(c_custkey % 900 as int))"), "yyyy-MM-dd").alias("file_date"))
-    return ps.delist_hits(c.select(F.to_json(F.struct(F.struct(F.array(hit).alias("hits")).alias("hits"))).alias("json")))
+    hit = F.struct(F.when(F.col("c_nationkey") != 3, F.array(cik, F.lit("x"))).otherwise(F.array()).alias("ciks"), F.when(F.col("c_nationkey") != 4, F.array(name)).alias("display_names"), F.date_format(F.expr("date_add(date '2020-01-01', cast(c_custkey % 900 as int))"), "yyyy-MM-dd").alias("file_date"))
+    return ps.delist_hits(c.select(F.to_json(F.struct(F.struct(F.array(F.struct(hit.alias("_source"))).alias("hits")).alias("hits"))).alias("json")))
 
 
 @query("fund_snapshot", "select c_custkey, round(abs(c_acctbal) * 10 * c_nationkey, 4) + 0.0 as dollar_adv, c_nationkey as nav_lag_days from customer where c_mktsegment <> 'BUILDING'")

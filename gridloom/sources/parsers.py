@@ -123,16 +123,43 @@ def name_lookup(lines: DataFrame) -> DataFrame:
     return d.withColumn("name", normalize_name(F.col("n"))).filter("name <> ''").groupBy("name").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
+_VALUE = "struct<value:string>"
+_OWNERSHIP = f"""
+  issuer struct<issuerCik:string,issuerTradingSymbol:string>,
+  reportingOwner array<struct<reportingOwnerId:struct<rptOwnerName:string>,
+    reportingOwnerRelationship:struct<isOfficer:string,isDirector:string,isTenPercentOwner:string>>>,
+  nonDerivativeTable struct<nonDerivativeTransaction:array<struct<
+    transactionDate:{_VALUE},transactionCoding:struct<transactionCode:string>,
+    transactionAmounts:struct<transactionShares:{_VALUE},transactionPricePerShare:{_VALUE},transactionAcquiredDisposedCode:{_VALUE}>>>>
+"""
+
+
 def ownership_xml(docs: DataFrame) -> DataFrame:
-    """One row per non-derivative transaction of ownership documents (doc_id, xml): first owner; malformed documents give none."""
-    one = lambda p: F.expr(f"xpath_string(xml, '{p}/text()')")
-    good = docs.filter(F.rlike("xml", F.lit(r"(?s)^\s*(<\?xml.*?\?>)?\s*<ownershipDocument>.*</ownershipDocument>\s*$")))
-    n = F.expr("size(xpath(xml, '/ownershipDocument/nonDerivativeTable/nonDerivativeTransaction/transactionCoding/transactionCode/text()'))")
-    cols = {"code": "transactionCoding/transactionCode", "shares": "transactionAmounts/transactionShares/value", "price": "transactionAmounts/transactionPricePerShare/value", "traded": "transactionDate/value"}
-    base = "/ownershipDocument/nonDerivativeTable/nonDerivativeTransaction"
-    parts = F.arrays_zip(*(F.expr(f"xpath(xml, '{base}/{p}/text()')").alias(k) for k, p in cols.items()))
-    d = good.filter(n > 0).select("doc_id", one("/ownershipDocument/issuer/issuerTradingSymbol").alias("ticker"), one("/ownershipDocument/reportingOwner[1]/reportingOwnerId/rptOwnerName").alias("owner"), F.explode(parts).alias("t"))
-    return d.select("doc_id", "ticker", "owner", F.col("t.code").alias("code"), _num(F.col("t.shares")).alias("shares"), _num(F.col("t.price")).alias("price"), F.to_date("t.traded").alias("traded"))
+    """One row per non-derivative transaction element of ownership documents (doc_id, xml), in document order by ``txn``.
+
+    doc_id, txn (from 1), issuer_id, ticker, owner, is_officer, is_director,
+    is_tenpct (of the first owner; false if missing), code, shares, price,
+    acq_disp, traded. An element that a transaction lacks is null in its row and
+    no other; so is a number or date that doesn't parse. Namespaces are ignored.
+    Null, malformed and cut documents, and those without the table, give no rows.
+    """
+    closed = F.rlike("xml", F.lit(r"</([^\s:>]+:)?ownershipDocument\s*>\s*$"))
+    d = docs.filter(closed).select("doc_id", F.from_xml(F.ltrim("xml"), _OWNERSHIP, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("d"))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    owner = F.get("d.reportingOwner", F.lit(0))
+    flag = lambda n: F.coalesce(F.lower(F.trim(owner["reportingOwnerRelationship"][n])).isin("1", "true"), F.lit(False))
+    d = d.select(
+        "doc_id", text(F.col("d.issuer.issuerCik")).alias("issuer_id"), text(F.col("d.issuer.issuerTradingSymbol")).alias("ticker"),
+        text(owner["reportingOwnerId"]["rptOwnerName"]).alias("owner"), flag("isOfficer").alias("is_officer"), flag("isDirector").alias("is_director"),
+        flag("isTenPercentOwner").alias("is_tenpct"), F.posexplode("d.nonDerivativeTable.nonDerivativeTransaction").alias("txn", "t"),
+    )
+    amount = lambda n: F.col(f"t.transactionAmounts.{n}.value")
+    return d.select(
+        "doc_id", (F.col("txn") + 1).alias("txn"), "issuer_id", "ticker", "owner", "is_officer", "is_director", "is_tenpct",
+        text(F.col("t.transactionCoding.transactionCode")).alias("code"), _num(amount("transactionShares")).alias("shares"),
+        _num(amount("transactionPricePerShare")).alias("price"), text(amount("transactionAcquiredDisposedCode")).alias("acq_disp"),
+        F.trim("t.transactionDate.value").try_cast("date").alias("traded"),
+    )
 
 
 def accession_list(docs: DataFrame) -> DataFrame:
@@ -143,11 +170,13 @@ def accession_list(docs: DataFrame) -> DataFrame:
 
 
 def delist_hits(docs: DataFrame) -> DataFrame:
-    """(id, name, filed) of search hits, the first of each list."""
+    """(id, name, filed) of search hits, the first of each list: ids as plain numbers, hits without an id or a name skipped."""
     from gridloom.functions.scalars import clean_entity_name
 
-    d = docs.select(F.explode(F.from_json("json", "struct<hits:struct<hits:array<struct<ciks:array<string>,display_names:array<string>,file_date:string>>>>")["hits"]["hits"]).alias("h"))
-    return d.select(F.get("h.ciks", F.lit(0)).alias("id"), clean_entity_name(F.get("h.display_names", F.lit(0))).alias("name"), F.to_date("h.file_date").alias("filed"))
+    shape = "struct<hits:struct<hits:array<struct<_source:struct<ciks:array<string>,display_names:array<string>,file_date:string>>>>>"
+    d = docs.select(F.explode(F.from_json("json", shape)["hits"]["hits"]).alias("x")).select(F.col("x._source").alias("h")).filter("size(h.ciks) > 0 and size(h.display_names) > 0")
+    number = F.get("h.ciks", F.lit(0)).try_cast("bigint").cast("string")
+    return d.select(number.alias("id"), clean_entity_name(F.get("h.display_names", F.lit(0))).alias("name"), F.col("h.file_date").try_cast("date").alias("filed"))
 
 
 def factor_section(docs: DataFrame) -> DataFrame:
