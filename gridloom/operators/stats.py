@@ -173,23 +173,6 @@ def pbo(returns: DataFrame, blocks: int = 16) -> DataFrame:
     )
 
 
-def sample_covariance(returns: DataFrame, shrink: float = 0.0) -> DataFrame:
-    """(a, b, cov) for a <= b: pairwise-complete sample covariances, off-diagonals times 1 - shrink."""
-    x = returns.filter("ret is not null").select("dt", F.col("asset").alias("a"), F.col("ret").alias("ra"))
-    y = x.select("dt", F.col("a").alias("b"), F.col("ra").alias("rb"))
-    c = x.join(y, "dt").filter("a <= b").groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
-    return c.withColumn("cov", F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("cov") * (1 - shrink)))
-
-
-def predicted_volatility(weights: DataFrame, cov: DataFrame, periods: int) -> DataFrame:
-    """sqrt(w' S w * periods) of one book."""
-    full = cov.unionByName(cov.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
-    wa = weights.select(F.col("asset").alias("a"), F.col("w").alias("wa"))
-    wb = weights.select(F.col("asset").alias("b"), F.col("w").alias("wb"))
-    q = full.join(wa, "a").join(wb, "b").agg(F.sum(F.col("wa") * F.col("cov") * F.col("wb")).alias("v"))
-    return q.select(F.sqrt(F.col("v") * periods).alias("vol"))
-
-
 def kelly(mean: Column, variance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(ratio(mean, variance), F.lit(0.0)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.windows import by_asset, by_date, gated, ratio, trailing
-from gridloom.operators import books, panel, pnl, signals, stats
+from gridloom.operators import books, panel, pnl, risk, signals, stats
 from gridloom.plans.q_books import _BT, _CARRY, _DECILE, _DISC, _MOM, _TXN_M, carry_rows, carry_scores, discount_scores, momentum_scores, month_grid
 from gridloom.plans.q_books import _BW, _PAIRS, _A, _with_beta
 from gridloom.plans.registry import query
@@ -85,13 +85,13 @@ _COV = "cv as (select x.asset as a, y.asset as b, covar_samp(x.ret, y.ret) * cas
 
 @query("sample_cov", on_panel("w", f"{_COV} select a, b, round(cov, 5) + 0.0 as cov from cv"))
 def sample_cov(s, d):
-    return stats.sample_covariance(returns(s, d).select("dt", "asset", "ret"), 0.2).select("a", "b", r("cov", n=5))
+    return risk.sample_covariance(returns(s, d).select("dt", "asset", "ret"), 0.2).select("a", "b", r("cov", n=5))
 
 
 @query("predicted_vol", on_panel("w", f"{_MOM}, {_DECILE}, {_COV}, b0 as (select asset, w from wt where bar_no = (select max(bar_no) from wt)), fc as (select a, b, cov from cv union all select b, a, cov from cv where a <> b) select round(sqrt(sum(x.w * cov * y.w) * 52), 5) + 0.0 as vol from fc join b0 x on x.asset = a join b0 y on y.asset = b"))
 def predicted_vol(s, d):
     w = books.latest_book(books.decile_weights(momentum_scores(s, d), 0.1, 4))
-    return stats.predicted_volatility(w, stats.sample_covariance(returns(s, d).select("dt", "asset", "ret"), 0.2), 52).select(r("vol", n=5))
+    return risk.book_volatility(w, returns(s, d).select("dt", "asset", "ret"), 52, 0.2).select(r("vol", n=5))
 
 
 @query("net_exposure", on_panel("w", f"{_MOM}, {_DECILE} select wt.dt, round(sum(w), 6) + 0.0 as net, round(sum(w * funding), 6) + 0.0 as funding_load, round(sum(w * ln(dollar_volume)), 5) + 0.0 as size_load from wt join dense d on d.dt = wt.dt and d.asset = wt.asset group by wt.dt"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.windows import by_asset, by_date, gated, ratio, trailing, zscore
-from gridloom.operators import books, panel, pnl, signals, stats
+from gridloom.operators import books, panel, pnl, risk, signals, stats
 from gridloom.plans.registry import query
 from gridloom.plans.views import dense, on_panel, r, returns, table
 
@@ -263,7 +263,28 @@ select dt, asset, round(case when kx > 0 then case when x is not null and v is n
 @query("neutralize_pinv", on_panel("s", f"rv as (select dt, asset, ret as v, case when ret is not null then funding end as x from rets), {_RES}"))
 def neutralize_pinv(s, d):
     x = returns(s, d, "s").select("dt", "asset", F.col("ret").alias("v"), "funding")
-    return books.residualise(x, "v", "funding").select("dt", "asset", r("v", "w"))
+    return risk.neutralise(x, "v", ["funding"], fill=False).select("dt", "asset", r("v", "w"))
+
+
+def _residual_sql(loadings: list[str], start: str) -> str:
+    """Views that take one loading after the other out of v and out of the loadings after it, per date; what is left of a dependent one is skipped."""
+    views, last = [], start
+    for k, x in enumerate(loadings):
+        rest = ["v", *loadings[k + 1 :]]
+        slope = lambda c: f"case when sum({x} * {x}) over p > 1e-9 * sum({x}_0 * {x}_0) over p then sum({c} * {x}) over p / sum({x} * {x}) over p else 0 end"  # noqa: B023, E731
+        views.append(f"n{k} as (select dt, asset, {', '.join(f'{c} - {slope(c)} * {x} as {c}' for c in rest)}{''.join(f', {c}_0' for c in loadings[k + 1:])} from {last} window p as (partition by dt))")
+        last = f"n{k}"
+    return ", ".join(views)
+
+
+@query("neutralize_pinv_k5", on_panel("s", f"""x as (select dt, asset, coalesce(ret, 0) as v, 1.0::double as o, coalesce(funding, 0) * 20 as a, coalesce(ln(dollar_volume) - 10, 0) as b, coalesce(funding, 0) * 7 as c, coalesce(nav / nullif(price, 0), 0) as e from rets),
+z as (select *, o as o_0, a as a_0, b as b_0, c as c_0, e as e_0 from x), {_residual_sql(list("oabce"), "z")} select dt, asset, round(v, 6) + 0.0 as w from n4"""))
+def neutralize_pinv_k5(s, d):
+    """Returns made neutral to dollars, funding (twice, so that the loadings are collinear), size and value."""
+    x = returns(s, d, "s").select(
+        "dt", "asset", F.col("ret").alias("v"), (F.col("funding") * 20).alias("a"), (F.ln("dollar_volume") - 10).alias("b"), (F.col("funding") * 7).alias("c"), ratio(F.col("nav"), F.col("price")).alias("e")
+    )
+    return risk.neutralise(x, "v", ["a", "b", "c", "e"]).select("dt", "asset", r("v", "w"))
 
 
 @query("value_neutral", on_panel("m", f"""z as (select dt, asset, (q - avg(q) over (partition by dt)) / (stddev_samp(q) over (partition by dt) + 1e-12) as v, ln(dollar_volume) as l from (select *, nav / nullif(price, 0) as q from dense)),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import windows as fw
 from gridloom.functions.windows import by_asset, by_date, gated, last_known, ratio, trailing
-from gridloom.operators import books, panel, pnl
+from gridloom.operators import books, panel, pnl, risk
 from gridloom.plans.registry import query
 from gridloom.plans.views import dense, on_panel, r, returns
 
@@ -83,20 +83,33 @@ c as (select dt, asset, count(y) over f as n, covar_pop(y, a) over f as ya, cova
 select dt, asset, round((ya * bb - yb * ab) / nullif(aa * bb - ab * ab, 0), 4) + 0.0 as beta_mkt, round((yb * aa - ya * ab) / nullif(aa * bb - ab * ab, 0), 4) + 0.0 as beta_funding from c where n >= 13"""))
 def rolling_factor_betas(s, d):
     x = returns(s, d).withColumns({"f1": F.avg("ret").over(by_date()), "f2": F.avg("funding").over(by_date())})
-    return factor_betas_2(x, "ret", "f1", "f2", 26, 13).select("dt", "asset", r("beta_1", "beta_mkt", 4), r("beta_2", "beta_funding", 4))
-
-
-def factor_betas_2(df, y, f1, f2, bars, least):
-    """Two-factor rolling regression with intercept on the asset's own complete rows, in closed form."""
-    ok = F.col(y).isNotNull() & F.col(f1).isNotNull() & F.col(f2).isNotNull()
-    x = df.withColumns({"_y": F.when(ok, F.col(y)), "_a": F.when(ok, F.col(f1)), "_b": F.when(ok, F.col(f2))})
-    w = trailing(bars)
-    x = x.withColumns({
-        "_n": F.count("_y").over(w), "_ya": F.covar_pop("_y", "_a").over(w), "_yb": F.covar_pop("_y", "_b").over(w),
-        "_ab": F.covar_pop("_a", "_b").over(w), "_aa": F.var_pop("_a").over(w), "_bb": F.var_pop("_b").over(w),
-    }).filter(F.col("_n") >= least)
-    det = F.nullif(F.col("_aa") * F.col("_bb") - F.col("_ab") * F.col("_ab"), F.lit(0.0))
-    return x.withColumns({"beta_1": (F.col("_ya") * F.col("_bb") - F.col("_yb") * F.col("_ab")) / det, "beta_2": (F.col("_yb") * F.col("_aa") - F.col("_ya") * F.col("_ab")) / det})
+    b = risk.rolling_factor_betas(x, "ret", ["f1", "f2"], 26, 13)
+    return b.select("dt", "asset", r(F.col("betas")[0], "beta_mkt", 4), r(F.col("betas")[1], "beta_funding", 4))
+
+
+def _cramer(names: str, y: str) -> list[str]:
+    """Slopes of y on three factors from the population covariances ``<x><z>``, by determinants."""
+    at = lambda p, q: min(p, q) + max(p, q)
+    rows = [[at(p, q) for q in names] for p in names]
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    swap = lambda k: [[at(p, y) if q == k else v for q, v in enumerate(r)] for p, r in zip(names, rows, strict=True)]
+    return [f"{det(swap(k))} / {det(rows)}" for k in range(3)]
+
+
+_PAIRS3 = ", ".join(f"covar_pop({p}, {q}) over f as {p}{q}" for k, p in enumerate("abcz") for q in "abcz"[k:] if p + q != "zz")
+_K3 = ", ".join(f"round({e}, 4) + 0.0 as beta_{n}" for e, n in zip(_cramer("abc", "z"), ("mkt", "funding", "volume"), strict=True))
+
+
+@query("rolling_factor_betas_k3", on_panel("w", f"""g as (select dt, asset, ret as z0, avg(ret) over p as a0, avg(funding) over p * 20 as b0, avg(volume) over p / 100 - 2 as c0 from rets window p as (partition by dt)),
+v as (select dt, asset, case when ok then z0 end as z, case when ok then a0 end as a, case when ok then b0 end as b, case when ok then c0 end as c
+  from (select *, z0 is not null and a0 is not null and b0 is not null and c0 is not null as ok from g)),
+c as (select dt, asset, count(z) over f as n, {_PAIRS3} from v window f as (partition by asset order by dt rows between 39 preceding and current row))
+select dt, asset, {_K3} from c where n >= 20"""))
+def rolling_factor_betas_k3(s, d):
+    """Betas to the market, to funding and to volume, jointly."""
+    x = returns(s, d).withColumns({"f1": F.avg("ret").over(by_date()), "f2": F.avg("funding").over(by_date()) * 20, "f3": F.avg("volume").over(by_date()) / 100 - 2})
+    b = risk.rolling_factor_betas(x, "ret", ["f1", "f2", "f3"], 40, 20)
+    return b.select("dt", "asset", *(r(F.col("betas")[k], f"beta_{n}", 4) for k, n in enumerate(("mkt", "funding", "volume"))))
 
 
 @query("rolling_adv", on_panel("s", f"""x as (select dt, asset, case when dollar_volume > 0 then dollar_volume end as v from dense),
