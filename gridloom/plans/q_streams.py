@@ -12,9 +12,11 @@ from gridloom.streaming import jobs
 
 
 def _folder(s, name):
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset and executors run in this machine."""
     base = s.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         s.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -26,7 +28,8 @@ def stream_daily_sum(s, d):
     return x.select("dt", "event_type", F.round("total", 4).alias("total"), "n")
 
 
-@query("stream_trailing_counts")
+@query("stream_trailing_counts", """with w as (select distinct cast(ts as date) + i as dt, event_type, user_id, event_id from events, (select unnest(generate_series(1, 7))::int as i) where user_id is not null)
+select dt, event_type, count(distinct user_id) as users, count(*) as n from w where dt <= (select max(ts) - interval 2 day from events) group by 1, 2""")
 def stream_trailing_counts(s, d):
     return jobs.run_available(jobs.trailing_counts(jobs.event_stream(s, d)), _folder(s, "trailing"))
 
@@ -36,22 +39,32 @@ def stream_log_maturity(s, d):
     return jobs.run_available(jobs.matured(jobs.event_stream(s, d)), _folder(s, "matured"))
 
 
-@query("stream_kill_switch", "select user_id, bool_or(value <= 1.0) as tripped, count(*) as n from events group by 1")
+@query("stream_kill_switch", """with e as (select user_id, ts, event_id, 1000 + sum(case when event_type in ('error', 'click') then -value else value * 0.7 end) over w as equity from events
+  where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 2 day from events) window w as (partition by user_id order by ts, event_id)),
+p as (select *, equity / greatest(1000, max(equity) over (partition by user_id order by ts, event_id)) - 1 as dd from e)
+select user_id, count(*) as n, round(arg_max(equity, (ts, event_id)), 4) as equity, round(least(min(dd), 0), 6) as worst, bool_or(dd <= -0.3) as tripped, min(case when dd <= -0.3 then ts end) as tripped_at from p group by 1""")
 def stream_kill_switch(s, d):
+    """A book per user, losing on errors and clicks; stopped for good 30 % below its peak."""
+    e = jobs.event_stream(s, d)
+    pnl = F.when(F.col("event_type").isin("error", "click"), -F.col("value")).otherwise(F.col("value") * 0.7)
+    stream = jobs.drawdown_switch(e.select(F.col("user_id").alias("book"), "ts", F.col("event_id").alias("id"), pnl.alias("pnl")), 1000.0, -0.3)
+    x = jobs.run_available(stream, _folder(s, "drawdown"))
+    last = x.groupBy("book").agg(F.max_by(F.struct("n", "equity", "worst", "tripped", "tripped_at"), "n").alias("r")).select("book", "r.*")
+    return last.select(F.col("book").alias("user_id"), "n", F.round("equity", 4).alias("equity"), F.round("worst", 6).alias("worst"), "tripped", F.col("tripped_at").cast("timestamp_ntz").alias("tripped_at"))
+
+
+@query("stream_value_switch", "select user_id, bool_or(value <= 1.0) as tripped, count(*) as n from events group by 1")
+def stream_value_switch(s, d):
+    """The plain switch: a single value at the limit trips it."""
     stream = jobs.kill_switch(jobs.event_stream(s, d), 1.0)
     path = _folder(s, "kill")
 
     def keep(batch, _):
         batch.write.mode("append").parquet(f"{path}/data")
 
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(conf)
-    s.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        s.conf.set(conf, before)
+    jobs.with_rocksdb(s)
+    q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
     out = s.read.parquet(f"{path}/data")
     return out.groupBy("user_id").agg(F.bool_or("tripped").alias("tripped"), F.sum("n").alias("n"))
 

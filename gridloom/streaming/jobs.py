@@ -34,9 +34,15 @@ def daily_sum(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def trailing_counts(events: DataFrame, span: str = "7 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Approximate distinct users per type in sliding windows."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", span, step), "event_type").agg(F.approx_count_distinct("user_id").alias("users"))
-    return w.select(F.col("window.end").cast("date").alias("dt"), "event_type", "users")
+    """Distinct users per type in sliding windows, exact: users are windowed first and counted by window then.
+
+    State holds a row per window, type and user, spread by user; a hot type's
+    users are never one value. A window leaves the state once the watermark
+    passes its end.
+    """
+    each = events.withWatermark("ts", late).filter("user_id is not null").groupBy(F.window("ts", span, step), "event_type", "user_id").agg(F.count("*").alias("n"))
+    w = each.groupBy("window", "event_type").agg(F.count("*").alias("users"), F.sum("n").alias("n"))
+    return w.select(F.col("window.end").cast("date").alias("dt"), "event_type", "users", "n")
 
 
 def matured(events: DataFrame, hours: int = 24) -> DataFrame:
@@ -73,9 +79,84 @@ def kill_switch(events: DataFrame, floor: float) -> DataFrame:
     )
 
 
+_STEP = "us long, id long, pnl double"
+_BOOK = "n long, equity double, peak double, worst double, tripped_us long"
+SETTLED = "book long, n long, equity double, worst double, tripped boolean, tripped_at timestamp"
+
+
+class _Drawdown(StatefulProcessor):
+    """Rows wait until the watermark passes the end of their interval and are then added up in order of time."""
+
+    def __init__(self, base: float, limit: float, every_us: int) -> None:
+        self._base, self._limit, self._every = base, limit, every_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", _STEP)
+        self._book = handle.getValueState("book", _BOOK)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        ends = set()
+        for pdf in rows:
+            self._waiting.appendList(list(zip(pdf.us.tolist(), pdf.id.tolist(), pdf.pnl.tolist(), strict=True)))
+            ends |= set(((pdf.us // self._every + 1) * self._every // 1000).tolist())
+        for end in ends:
+            self._handle.registerTimer(int(end))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = [tuple(r) for r in self._waiting.get()]
+        due = sorted(r for r in waiting if r[0] < until)
+        if not due:
+            return
+        rest = [r for r in waiting if r[0] >= until]
+        if rest:
+            self._waiting.put(rest)
+        else:
+            self._waiting.clear()
+        n, equity, peak, worst, tripped = self._book.get() if self._book.exists() else (0, self._base, self._base, 0.0, -1)
+        for us, _, pnl in due:
+            n, equity = n + 1, equity + pnl
+            peak = max(peak, equity)
+            drawdown = equity / peak - 1
+            worst = min(worst, drawdown)
+            if tripped < 0 and drawdown <= self._limit:
+                tripped = us
+        self._book.update((n, equity, peak, worst, tripped))
+        at = pd.Timestamp(tripped, unit="us") if tripped >= 0 else pd.NaT
+        yield pd.DataFrame({"book": [key[0]], "n": [n], "equity": [equity], "worst": [worst], "tripped": [tripped >= 0], "tripped_at": [at]})
+
+    def close(self) -> None:
+        pass
+
+
+def drawdown_switch(pnl: DataFrame, base: float, limit: float, every: str = "1 day", late: str = "2 days") -> DataFrame:
+    """A book's settled state after each interval: n, equity, worst drawdown, and whether and when the drawdown first reached ``limit``.
+
+    ``pnl`` streams (book, ts, id, pnl). Equity starts at ``base``; drawdown is
+    equity over its running peak less one; once tripped a book stays so. Rows
+    count in the order of (ts, id), whatever order they arrive in: an interval
+    is settled when the watermark, ``late`` behind the newest row, passes its
+    end. Rows that come after that are late and dropped, as by Spark's other
+    event-time operators; rows without a book, time or amount leave. State holds
+    the open intervals' rows and five numbers a book.
+    """
+    micros = pnl.sparkSession.sql(f"select cast(interval {every} as interval day to second) as i").select(F.expr("cast(extract(day from i) * 86400 + extract(hour from i) * 3600 + extract(minute from i) * 60 + extract(second from i) as long) * 1000000")).first()[0]
+    rows = pnl.filter("book is not null and ts is not null and pnl is not null").withWatermark("ts", late)
+    rows = rows.select("book", "ts", F.unix_micros("ts").alias("us"), F.col("id").cast("long").alias("id"), F.col("pnl").cast("double").alias("pnl"))
+    return rows.groupBy("book").transformWithStateInPandas(_Drawdown(base, limit, micros), outputStructType=SETTLED, outputMode="Append", timeMode="EventTime")
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """Keep state on the executors' disks, as custom state requires and large state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Drain the source once with a checkpoint, and read what was written."""
     spark = stream.sparkSession
+    with_rocksdb(spark)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/data").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
