@@ -2,10 +2,16 @@
 
 Numbers, units after numbers, and names (capitalised words inside a sentence)
 become typed placeholders; five-word windows of the result are hash-joined to
-the benchmark's. Within one alignment of a document and an item, the words
-behind the placeholders must correspond one to one: "Ann has 3 ... Ann" matches
-"Tom has 7 ... Tom", not "Tom has 7 ... Bob". A document is contaminated when
-windows of consistent alignments cover ``threshold`` of an item's windows.
+the benchmark's. Between a document and an item, the words behind the
+placeholders must correspond one to one: "Ann has 3 ... Ann" matches
+"Tom has 7 ... Tom", not "Tom has 7 ... Bob". Where they don't, pairs of words are
+taken in the order of the item's windows that hold them, most first (then equal
+words first, then as they come in item and document), each if neither of its
+words is taken; a window counts if all its pairs are. This is done twice, once
+with the pairs of all word-for-word windows taken before the others, and the
+better counts: a passage with one number changed loses that number's windows
+only. A document is contaminated when the windows that count cover
+``threshold`` of an item's windows.
 """
 
 from __future__ import annotations
@@ -150,6 +156,63 @@ def _window_rows(texts: DataFrame, document: bool, wanted=None) -> DataFrame:
     return texts.select("id", "t", F.lower("t").alias("l")).mapInArrow(run, "id long, window long, pos long, n_windows long, slots array<long>")
 
 
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("matched_windows", pa.int64()), ("item_windows", pa.int64()), ("reworded", pa.bool_())])
+
+
+def consistent_windows(windows: list[tuple[int, int, list[int], list[int]]]) -> dict[int, bool]:
+    """The item positions of windows whose pairs of slot words are all taken, and whether each only matches reworded.
+
+    ``windows`` are (item position, document position, item slots, document slots), 0 where there is no slot.
+    """
+    held: dict[tuple[int, int], set[int]] = {}
+    first: dict[tuple[int, int], tuple[int, int]] = {}
+    each = []
+    for q, p, mine, other in windows:
+        own = {(a, b): (q + k, p + k) for k, (a, b) in reversed(list(enumerate(zip(mine, other, strict=True)))) if a}
+        for x, at in own.items():
+            held.setdefault(x, set()).add(q)
+            first[x] = min(first.get(x, at), at)
+        each.append((q, own))
+    order = sorted(held, key=lambda x: (-len(held[x]), x[0] != x[1], first[x]))
+    verbatim = {q for q, own in each if own and all(a == b for a, b in own)}
+
+    def cover(taken: set[tuple[int, int]], windows: list) -> dict[int, bool]:
+        left, right = {a for a, _ in taken}, {b for _, b in taken}
+        for x in order:
+            if x[0] not in left and x[1] not in right:
+                left.add(x[0])
+                right.add(x[1])
+                taken.add(x)
+        places: dict[int, bool] = {}
+        for q, own in windows:
+            if taken.issuperset(own):
+                places[q] = places.get(q, True) and any(a != b for a, b in own)
+        return places
+
+    fixed = {x for _, own in each if all(a == b for a, b in own) for x in own}
+    # without them fixed, what is known to be word for word must agree with the rest like any other window
+    ways = cover(fixed, each), cover(set(), [(q, own) for q, own in each if own or q not in verbatim])
+    return max(ways, key=len)
+
+
+def _covered(threshold: float):
+    """Rows of a document and an item with all their windows to those that are contaminated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                places = consistent_windows([(w["item_pos"], w["pos"], w["item_slots"], w["slots"]) for w in r["windows"]])
+                if len(places) >= threshold * r["item_windows"] - 1e-9:
+                    rows.append({
+                        "doc_id": r["id"], "item_id": r["item_id"], "coverage": len(places) / r["item_windows"], "matched_windows": len(places),
+                        "item_windows": r["item_windows"], "reworded": any(places.values()),
+                    })
+            yield from pa.Table.from_pylist(rows, schema=_FOUND).to_batches()
+
+    return run
+
+
 def contaminated_documents(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -161,7 +224,7 @@ def contaminated_documents(
 ) -> DataFrame:
     """(doc_id, item_id, coverage, matched_windows, item_windows, reworded), one row per contaminated pair.
 
-    ``reworded`` is true when some slot differs between document and item.
+    ``reworded`` is true when a window counts that matches with other words behind its placeholders only.
     Null, empty and short texts (under five words) match nothing, on both
     sides. An item whose windows all hold fewer than two plain words is matched
     word for word. Repeated rows are one document of that id; several texts under one id
@@ -193,29 +256,13 @@ def contaminated_documents(
     asked = bench.join(rare.select("item_id", "item_pos"), ["item_id", "item_pos"]).select("window", "item_id").distinct()
     pairs = found.select("id", "window").distinct().join(asked, "window").select("id", "item_id").distinct()
     hits = found.join(pairs, "id").join(bench, ["item_id", "window"])
-    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
-    slot_pairs = F.filter(
-        F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"] != 0
-    )
-    aligned = hits.groupBy("id", "item_id", "shift").agg(
-        F.collect_set("item_pos").alias("at"),
-        F.max("item_windows").alias("item_windows"),
-        F.array_distinct(F.flatten(F.collect_set(slot_pairs))).alias("pairs"),
-    )
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")) & (
-        F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs")
-    )
-    changed = F.exists("pairs", lambda p: p["i"] != p["d"])
-    good = aligned.filter(one_to_one).withColumn("changed", changed)
-    per = good.groupBy("id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched_windows"),
-        F.max("item_windows").alias("item_windows"),
-        F.max("changed").alias("reworded"),
-    )
-    coverage = F.col("matched_windows") / F.col("item_windows")
-    return per.withColumn("coverage", coverage).filter(F.col("coverage") >= threshold).select(
-        F.col("id").alias("doc_id"), "item_id", "coverage", "matched_windows", "item_windows", "reworded"
+    # windows of equal slots count once; a pair whose windows can't reach the threshold, consistent or not, leaves here
+    hits = hits.groupBy("id", "item_id", "item_windows", "item_pos", "item_slots", "slots").agg(F.min("pos").alias("pos"))
+    per = hits.groupBy("id", "item_id", "item_windows").agg(
+        F.collect_list(F.struct("item_pos", "pos", "item_slots", "slots")).alias("windows"), F.count_distinct("item_pos").alias("places")
     )
+    per = per.filter(F.col("places") >= threshold * F.col("item_windows") - 1e-9).drop("places")
+    return per.mapInArrow(_covered(threshold), "doc_id long, item_id long, coverage double, matched_windows long, item_windows long, reworded boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
