@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.bytetext import Chunk, chunks, lists, mix
@@ -323,8 +324,15 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, all columns unchanged."""
-    marked = near_duplicates(docs, **options)
-    lost = marked.filter("not kept").select(F.col("doc_id").alias("_gl_lost")).distinct()
-    key = docs[options.get("id_col", "doc_id")]
-    return docs.join(lost, key == F.col("_gl_lost"), "left_anti")
+    """One row of each id that :func:`near_duplicates` keeps, all columns unchanged; rows with a null id all stay.
+
+    Of several rows of an id that of the least hash of its text stays. Only ids
+    with several rows are dealt out to choose from.
+    """
+    key = options.get("id_col", "doc_id")
+    marked = near_duplicates(docs, **options).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("_gl_lost"), F.count("*").alias("_gl_n"))
+    marked = materialize(marked.filter("_gl_lost or _gl_n > 1").withColumnRenamed("doc_id", "_gl_id"), "marked")
+    rest = docs.join(marked.select("_gl_id"), docs[key].cast("long") == F.col("_gl_id"), "left_anti")
+    several = docs.join(marked.filter("not _gl_lost").select("_gl_id"), docs[key].cast("long") == F.col("_gl_id"))
+    nth = F.row_number().over(W.partitionBy("_gl_id").orderBy(F.xxhash64(docs[options.get("text_col", "text")])))
+    return rest.unionByName(several.withColumn("_gl_nth", nth).filter("_gl_nth = 1").drop("_gl_id", "_gl_nth"))

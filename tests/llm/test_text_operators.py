@@ -348,19 +348,29 @@ def leaked(docs, items, threshold):
             for words_, slots in forms:
                 at[words_].append((p, slots))
         for k, (forms, n) in items.items():
-            shifts = collections.defaultdict(list)
+            hits = []
             for q, variants in forms.items():
                 for words_, slots in variants:
                     for p, other in at.get(words_, []):
-                        shifts[p - q].append((q, {(a, b) for a, b in zip(slots, other, strict=True) if a}))
-            places, changed = set(), False
-            for hits in shifts.values():
-                pairs = set().union(*(h[1] for h in hits))
-                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
-                    places |= {h[0] for h in hits}
-                    changed |= any(a != b for a, b in pairs)
+                        hits.append((q, p, {(a, b): (q + j, p + j) for j, (a, b) in reversed(list(enumerate(zip(slots, other, strict=True)))) if a}))
+            support, order = collections.defaultdict(set), {}
+            for q, _, pairs in hits:
+                for x, place in pairs.items():
+                    support[x].add(q)
+                    order[x] = min(order.get(x, place), place)
+            same = {q for q, _, pairs in hits if pairs and all(a == b for a, b in pairs)}
+            ways = []
+            for fixed in (True, False):
+                taken = sorted({x for _, _, pairs in hits for x in pairs if fixed and all(a == b for a, b in pairs)})
+                for x in sorted(support, key=lambda x: (-len(support[x]), x[0] != x[1], order[x])):
+                    if all(x[0] != a and x[1] != b for a, b in taken):
+                        taken.append(x)
+                use = [h for h in hits if fixed or h[2] or h[0] not in same]
+                ways.append([(q, any(a != b for a, b in pairs)) for q, _, pairs in use if all(x in taken for x in pairs)])
+            good = max(ways, key=lambda g: len({q for q, _ in g}))
+            places = {q for q, _ in good}
             if n and len(places) >= threshold * n - 1e-9:
-                found[d, k] = (len(places), n, changed)
+                found[d, k] = (len(places), n, any(all(c for q2, c in good if q2 == q) for q in places))
     return found
 
 
@@ -394,6 +404,33 @@ def test_decontamination_matches_brute_force(spark, docs, rows):
     assert (50100, 9100) in want and (50101, 9100) not in want and any(v[2] for v in want.values())
 
 
+def test_a_changed_slot_costs_its_windows_only(spark):
+    """The largest consistent set of slots decides, whatever the alignment."""
+    item = "a farmer buys 3 crates of ripe apples at the old market in town and then he slowly carries all 3 crates home over the long stone bridge before the heavy rain begins to fall"
+    baker = "the old baker Anna gives some warm bread to all of the hungry children in town and then the very same baker Anna walks home"
+    texts = {
+        1: item.replace("all 3", "all 5"), 2: item.replace("3", "9"), 3: item.replace("slowly carries", "slowly and carries"), 4: item,
+        5: baker.replace("Anna", "Bella", 1).replace("hungry children", "hungry little children").replace("Anna", "Clara"), 6: baker.replace("Anna", "Bella"),
+    }
+    docs = spark.createDataFrame([(k, "We read that " + v, "en", "a", 0) for k, v in texts.items()], SCHEMA)
+    bench = spark.createDataFrame([(1, item), (2, baker)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated_documents(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 2)}
+    assert got[1, 1].coverage == pytest.approx(25 / 30, abs=0.04) and got[2, 1].reworded and not got[4, 1].reworded
+    low = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated_documents(docs, bench, threshold=0.5).collect()}
+    assert low[5, 2] < 0.75
+
+
+def test_one_row_of_an_id_survives_near_dedup(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, text), (2, text), (3, "other words that nothing else has in it"), (3, "another text of the same id as that one"), (4, ""), (4, ""), (None, text), (None, text), (5, "alone in the world of words here")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    kept = near_dup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert ids == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0), (True, 0)]
+
+
 def test_every_verbatim_benchmark_passage_is_found(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
