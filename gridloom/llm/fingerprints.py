@@ -1,11 +1,10 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A paragraph (what lies between line feeds, empty ones too) hashes to a wide
-vector: ``EXACT`` lanes of 60 bits from SHA-256, and ``2 * PACKED`` lanes that
+vector: ``EXACT`` lanes of 32 bits from SHA-256, and ``2 * PACKED`` lanes that
 count, over the paragraph's shingles of three words, how often a bit of the
 shingle's MD5 is set. A document's fingerprint is the sum of its paragraphs'
-vectors, the exact lanes modulo 2**60 and the counts modulo 2**32. So order
-does not matter, equal multisets of paragraphs have equal fingerprints, and a
+vectors, lane by lane modulo 2**32. So order does not matter, equal multisets of paragraphs have equal fingerprints, and a
 paragraph is inserted or deleted by adding or subtracting its vector
 (:func:`plus`, :func:`minus`). The lanes are no defence against texts made to
 collide.
@@ -27,8 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Lanes of the paragraphs' own hashes; longs of two 32-bit counters each; longs of counters from one half of an MD5.
-EXACT, PACKED, HALF = 8, 56, 28
-EXACT_MOD = 1 << 60
+EXACT, PACKED, HALF = 16, 56, 28
 PAIR = 0x0000000100000001
 LINE, GAP = "\n", r"[\x20\x09-\x0D]+"
 #: Range buckets for each shuffle partition, and at most.
@@ -53,9 +51,9 @@ def _shingles(words: str) -> Column:
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.size(words) - 1), at)).otherwise(F.array().cast("array<string>"))
 
 
-def _digits(text: Column, first: int) -> Column:
-    """Fifteen hexadecimal digits as a long."""
-    return F.conv(F.substring(text, first, 15), 16, 10).cast("long")
+def _digits(text: Column, first: int, n: int) -> Column:
+    """``n`` hexadecimal digits, 15 at most, as a long."""
+    return F.conv(F.substring(text, first, n), 16, 10).cast("long")
 
 
 def paragraph_vectors(rows: DataFrame, keys: list[str], paragraph: str = "paragraph") -> DataFrame:
@@ -71,12 +69,9 @@ def paragraph_vectors(rows: DataFrame, keys: list[str], paragraph: str = "paragr
     digest = F.when(F.col("whole"), F.concat(F.sha2(F.concat(F.lit("0:"), "s"), 256), F.sha2(F.concat(F.lit("1:"), "s"), 256))).otherwise(F.md5("s"))
     rows = rows.select(*keys, "whole", digest.alias("_d"))
     rows = rows.select(
-        *keys, "whole", "_d", F.when(~F.col("whole"), _digits(F.col("_d"), 1)).alias("_h0"), F.when(~F.col("whole"), _digits(F.col("_d"), 16)).alias("_h1")
+        *keys, "whole", "_d", F.when(~F.col("whole"), _digits(F.col("_d"), 1, 15)).alias("_h0"), F.when(~F.col("whole"), _digits(F.col("_d"), 16, 15)).alias("_h1")
     )
-    exact = [
-        F.pmod(F.coalesce(F.sum(F.when(F.col("whole"), _digits(F.col("_d"), 1 + 16 * k)).cast("decimal(20,0)")), F.lit(0)), F.lit(EXACT_MOD)).cast("long")
-        for k in range(EXACT)
-    ]
+    exact = [_low(F.sum(F.when(F.col("whole"), _digits(F.col("_d"), 1 + 8 * k, 8)))) for k in range(EXACT)]
     counts = [
         F.coalesce(F.sum(F.shiftrightunsigned(f"_h{k // HALF}", k % HALF).bitwiseAND(F.lit(PAIR))), F.lit(0).cast("long")).alias(f"_c{k}")
         for k in range(PACKED)
@@ -104,7 +99,7 @@ def _moved(a: Column, b: Column, sign: int) -> Column:
 
     return F.struct(
         (a["n"] + sign * b["n"]).alias("n"),
-        F.zip_with(a["exact"], b["exact"], lambda x, y: F.pmod(x + sign * y, F.lit(EXACT_MOD))).alias("exact"),
+        F.zip_with(a["exact"], b["exact"], lambda x, y: _low(x + sign * y)).alias("exact"),
         F.zip_with(a["counts"], b["counts"], lanes).alias("counts"),
     )
 
@@ -120,17 +115,17 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def to_text(fp: Column) -> Column:
-    """A fingerprint as 1,024 hexadecimal digits: number of shingles, exact lanes, counters."""
+    """A fingerprint as 1,032 hexadecimal digits: number of shingles, exact lanes, counters."""
     put = lambda n: lambda x: F.lower(F.lpad(F.hex(x), n, "0"))
-    return F.concat(put(8)(_low(fp["n"])), F.array_join(F.transform(fp["exact"], put(15)), ""), F.array_join(F.transform(fp["counts"], put(16)), ""))
+    return F.concat(put(8)(_low(fp["n"])), F.array_join(F.transform(fp["exact"], put(8)), ""), F.array_join(F.transform(fp["counts"], put(16)), ""))
 
 
 def from_text(text: Column) -> Column:
     """The inverse of :func:`to_text` for documents of fewer than 2**32 shingles."""
     number = lambda start, n: F.conv(F.substring(text, start, n), 16, 10).cast("long")
-    count = lambda k: F.shiftleft(number(129 + 16 * k, 8), 32).bitwiseOR(number(137 + 16 * k, 8))
+    count = lambda k: F.shiftleft(number(137 + 16 * k, 8), 32).bitwiseOR(number(145 + 16 * k, 8))
     fp = F.struct(
-        number(1, 8).alias("n"), F.array(*(number(9 + 15 * k, 15) for k in range(EXACT))).alias("exact"), F.array(*(count(k) for k in range(PACKED))).alias("counts")
+        number(1, 8).alias("n"), F.array(*(number(9 + 8 * k, 8) for k in range(EXACT))).alias("exact"), F.array(*(count(k) for k in range(PACKED))).alias("counts")
     )
     return F.when(text.isNotNull(), fp)
 
@@ -194,7 +189,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Texts are shuffled once: into ranges of the order, of which the first row is
     also sent to the range before. All that follows is summed where the ranges
-    lie. Null texts are empty; an empty table gives no rows; other columns are
+    lie; paragraphs that both texts share are hashed once. Null texts are empty; an empty table gives no rows; other columns are
     ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
@@ -211,16 +206,22 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.select("doc_id", "_t", "bucket", "guest", F.row_number().over(order).alias("row"), F.lead("_t").over(order).alias("_next"))
     chars = F.length("_t")
     third = F.floor(chars / 3).cast("int")
-    edited = F.concat(F.substring("_t", F.lit(1), chars - third), F.substring("_next", F.lit(1), third))
-    rows = rows.withColumn("n_chars", chars.cast("long")).withColumn("_e", F.when(F.col("guest") == 0, edited))
-    rows = rows.withColumn("edited_sha256", F.sha2("_e", 256))
-    kind = lambda e, t: F.struct(F.lit(e).alias("edited"), paragraphs(t).alias("ps"))
-    texts = F.when(F.col("guest") == 0, F.array(kind(0, F.col("_t")), kind(1, F.col("_e")))).otherwise(F.array(kind(0, F.col("_t"))))
+    mine = F.col("guest") == 0
+    rows = rows.withColumn("n_chars", chars.cast("long")).withColumn("_start", F.when(mine, F.substring("_t", F.lit(1), chars - third)).otherwise(F.col("_t")))
+    rows = rows.withColumn("_put", F.when(mine, F.substring("_next", F.lit(1), third)))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.concat("_start", "_put"), 256)).withColumn("_ps", paragraphs(F.col("_start")))
+    # what both texts share, and what each has from the paragraph of the first change on
+    open_ = F.element_at("_ps", -1)
+    shared = F.when(mine, F.slice("_ps", F.lit(1), F.size("_ps") - 1)).otherwise(F.col("_ps"))
+    kind = lambda k, ps: F.struct(F.lit(k).alias("part"), ps.alias("ps"))
+    own, put = paragraphs(F.concat(open_, F.substring("_t", chars - third + 1, third))), paragraphs(F.concat(open_, F.col("_put")))
+    texts = F.when(mine, F.array(kind(0, shared), kind(1, own), kind(2, put))).otherwise(F.array(kind(0, shared)))
     keys = ["bucket", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
-    rows = rows.select(*keys, F.inline(texts)).select(*keys, "edited", F.explode("ps").alias("paragraph"))
-    found = paragraph_vectors(rows, [*keys, "edited"])
-    mine = lambda e: F.max(F.when(F.col("edited") == e, F.col("fp")))
-    found = found.groupBy(*keys).agg(mine(0).alias("_f"), mine(1).alias("_g"))
+    rows = rows.select(*keys, F.inline(texts)).select(*keys, "part", F.explode("ps").alias("paragraph"))
+    found = paragraph_vectors(rows, [*keys, "part"])
+    found = found.groupBy(*keys).agg(*(F.max(F.when(F.col("part") == k, F.col("fp"))).alias(f"_p{k}") for k in range(3)))
+    with_shared = lambda k: F.coalesce(plus(F.col("_p0"), F.col(f"_p{k}")), f"_p{k}", "_p0")
+    found = found.withColumns({"_f": with_shared(1), "_g": with_shared(2)})
     found = found.withColumn("_n", F.lead("_f").over(W.partitionBy("bucket").orderBy("row"))).filter("guest = 0")
     found = found.withColumns({f"_s{x}": signs(F.col(f"_{x}")) for x in "fgn"})
     near = lambda x: likeness(F.col("_f"), F.col(f"_{x}"), F.col("_sf"), F.col(f"_s{x}"))
@@ -233,11 +234,11 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def fingerprint_sql() -> str:
     """The rows of :func:`edit_fingerprints` over ``documents`` in DuckDB's SQL."""
     hexed = lambda x, n: f"lpad(lower(to_hex({x})), {n}, '0')"
-    exact = [f"coalesce(sum(('0x' || substr(sha256('{k // 4}:' || p), {1 + 16 * (k % 4)}, 15))::bigint)::hugeint % {EXACT_MOD}::hugeint, 0)::bigint as e{k}" for k in range(EXACT)]
+    exact = [f"(sum(('0x' || substr(sha256('{k // 8}:' || p), {1 + 8 * (k % 8)}, 8))::bigint) % {1 << 32})::bigint as e{k}" for k in range(EXACT)]
     bit = lambda k, high: f"(h{k // HALF} >> {k % HALF + 32 * high}) & 1"
     lanes = [f"coalesce(sum({bit(k, high)}), 0)::bigint as {'lh'[high]}{k}" for k in range(PACKED) for high in (0, 1)]
     sign = ", ".join(f"(n - 2 * coalesce({x}{k}, 0))::double" for k in range(PACKED) for x in "lh")
-    text = " || ".join([hexed("n", 8), *(hexed(f"e{k}", 15) for k in range(EXACT)), *(hexed(f"coalesce({x}{k}, 0)", 8) for k in range(PACKED) for x in "hl")])
+    text = " || ".join([hexed("n", 8), *(hexed(f"e{k}", 8) for k in range(EXACT)), *(hexed(f"coalesce({x}{k}, 0)", 8) for k in range(PACKED) for x in "hl")])
     near = lambda x: f"""case when f.fp = {x}.fp then 1.0 else round(greatest(0.0, least(1.0, coalesce(
       list_dot_product(f.s, {x}.s) / nullif(sqrt(list_dot_product(f.s, f.s) * list_dot_product({x}.s, {x}.s)), 0), 0.0))), 9) end"""
     return f"""

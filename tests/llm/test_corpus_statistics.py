@@ -199,7 +199,7 @@ def _vector(text):
     exact, counts, n = [0] * fp.EXACT, [0] * (2 * fp.PACKED), 0
     for p in (text or "").split("\n"):
         digest = "".join(hashlib.sha256(f"{k}:{p}".encode()).hexdigest() for k in (0, 1))
-        exact = [(e + int(digest[16 * k : 16 * k + 15], 16)) % (1 << 60) for k, e in enumerate(exact)]
+        exact = [(e + int(digest[8 * k : 8 * k + 8], 16)) % (1 << 32) for k, e in enumerate(exact)]
         words = ["", "", *(w for w in re.split("[ \t-\r]+", p) if w)]
         for i in range(2, len(words)):
             h = hashlib.md5(" ".join(words[i - 2 : i + 1]).encode()).hexdigest()
@@ -237,7 +237,7 @@ def test_paragraphs_are_inserted_and_deleted(spark):
         fp.plus(F.col("2"), F.col("3")).alias("sum"), fp.minus(F.col("1"), F.col("2")).alias("rest"), fp.from_text(fp.to_text(F.col("1"))).alias("back"),
         F.length(fp.to_text(F.col("1"))).alias("digits"), fp.plus(F.col("1"), F.lit(None).cast("struct<n:long,exact:array<long>,counts:array<long>>")).alias("none"),
     ).first()
-    assert row["sum"] == f[1] and row["rest"] == f[3] and row["back"] == f[1] and row["digits"] == 1024 and row["none"] is None
+    assert row["sum"] == f[1] and row["rest"] == f[3] and row["back"] == f[1] and row["digits"] == 1032 and row["none"] is None
 
 
 def test_edited_texts_match_brute_force(spark):
@@ -254,7 +254,7 @@ def test_edited_texts_match_brute_force(spark):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         n, exact, counts = _vector(edited)
         swap = [x for k in range(0, len(counts), 2) for x in (counts[k + 1], counts[k])]
-        assert r.edited_fingerprint == f"{n:08x}" + "".join(f"{e:015x}" for e in exact) + "".join(f"{c:08x}" for c in swap)
+        assert r.edited_fingerprint == f"{n:08x}" + "".join(f"{e:08x}" for e in exact) + "".join(f"{c:08x}" for c in swap)
         for name, other in (("near_edited", edited), ("near_next", following)):
             (n0, e0, c0), (n1, e1, c1) = _vector(text), _vector(other)
             a, b = n0 - 2 * np.array(c0, float), n1 - 2 * np.array(c1, float)
