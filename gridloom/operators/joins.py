@@ -115,30 +115,81 @@ def trailing_window(rows: DataFrame, grid: DataFrame, date: str, days: int) -> D
     return r.join(g, "_m").filter((F.col(date) <= F.col("t")) & (F.datediff("t", date) < days)).drop("_m")
 
 
-def nearest(events: DataFrame, features: DataFrame, n: int) -> DataFrame:
-    """The ``n`` other assets nearest to an event's asset by (size, mom) on its bar; ties by name.
+#: Widths of grid cells in units of the features, coarsest first; -1 is the level of the whole bar. Assets up to which a bar is one cell.
+WIDTHS = (256.0, 64.0, 16.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625, 0.0078125)
+WHOLE, ONE_CELL = -1, 256
+
+
+def _cells(x: str, y: str) -> Column:
+    """The cell of each level that (x, y) lies in."""
+    at = lambda c, w: F.floor(F.col(c) / w).cast("long")
+    whole = F.struct(F.lit(WHOLE).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    fine = (F.struct(F.lit(k).alias("level"), at(x, w).alias("cx"), at(y, w).alias("cy")) for k, w in enumerate(WIDTHS))
+    return F.array(whole, *fine)
+
+
+def nearest(events: DataFrame, features: DataFrame, n: int, one_cell: int = ONE_CELL) -> DataFrame:
+    """The ``n`` other assets nearest to an event's asset by (size, mom) on its bar; distances to nine decimals, ties by name.
 
     Neighbours depend on bar and asset alone: they are found once per distinct
-    pair that an event names, among the assets of its bar, then joined to the events.
+    pair that an event names. Assets lie in grids of falling width. The finest
+    cell around an asset that holds more than ``n`` bounds the n-th distance;
+    the at most nine cells of at least that width around it then hold all that
+    can be as near. So an asset meets its surroundings and not its bar; a bar of
+    up to ``one_cell`` assets is a single cell. Assets without both features
+    neither have nor are neighbours.
     """
-    own = features.select("bar_no", F.col("asset").alias("ea"), F.col("size").alias("es"), F.col("mom").alias("em"))
+    f = features.select("bar_no", "asset", F.col("size").cast("double").alias("size"), F.col("mom").cast("double").alias("mom"))
+    f = f.filter("asset is not null and size is not null and mom is not null and not isnan(size) and not isnan(mom)")
+    f = f.withColumn("_few", F.count("*").over(W.partitionBy("bar_no")) <= one_cell)
+    cells = F.when(F.col("_few"), F.slice(_cells("size", "mom"), 1, 1)).otherwise(_cells("size", "mom"))
+    members = f.select("bar_no", "asset", "size", "mom", F.inline(cells))
+    held = members.groupBy("bar_no", "level", "cx", "cy").agg(F.count("*").alias("held")).filter((F.col("level") == WHOLE) | (F.col("held") > n))
     named = events.select("event_id", "bar_no", F.col("asset").alias("ea"))
-    c = named.select("bar_no", "ea").distinct().join(own, ["bar_no", "ea"]).join(features, "bar_no").filter("asset <> ea")
-    far = F.sqrt(F.pow(F.col("size") - F.col("es"), 2) + F.pow(F.col("mom") - F.col("em"), 2))
-    c = c.withColumn("distance", F.round(far, 9)).filter("distance is not null")
-    k = F.row_number().over(W.partitionBy("bar_no", "ea").orderBy("distance", "asset"))
-    near = c.withColumn("k", k).filter(F.col("k") <= n)
+    own = members.select("bar_no", F.col("asset").alias("ea"), F.col("size").alias("es"), F.col("mom").alias("em"), "level", "cx", "cy")
+    asked = named.select("bar_no", "ea").distinct().join(own, ["bar_no", "ea"]).join(held.drop("held"), ["bar_no", "level", "cx", "cy"])
+    asked = asked.groupBy("bar_no", "ea").agg(F.max(F.struct("level", "cx", "cy", "es", "em")).alias("c")).select("bar_no", "ea", "c.*")
+    others = members.select("bar_no", "level", "cx", "cy", "asset", "size", "mom")
+    rank = W.partitionBy("bar_no", "ea").orderBy("distance", "asset")
+
+    def met(q: DataFrame) -> DataFrame:
+        c = q.join(others, ["bar_no", "level", "cx", "cy"]).filter("asset <> ea")
+        far = F.sqrt(F.pow(F.col("size") - F.col("es"), 2) + F.pow(F.col("mom") - F.col("em"), 2))
+        c = c.withColumn("distance", F.round(far, 9)).withColumn("k", F.row_number().over(rank))
+        return c.filter(F.col("k") <= n)
+
+    first = met(asked)
+    keep = ["bar_no", "ea", "asset", "distance", "k"]
+    reach = first.filter(F.col("level") != WHOLE).groupBy("bar_no", "ea", "es", "em").agg((F.max("distance") + 2e-9).alias("reach"))
+    level = F.size(F.filter(F.lit(list(WIDTHS)), lambda w: w >= F.col("reach"))) - 1
+    reach = reach.withColumn("level", level)
+    width = F.get(F.lit(list(WIDTHS)), F.col("level"))
+    span = lambda c: F.when(F.col("level") == WHOLE, F.array(F.lit(0).cast("long"))).otherwise(
+        F.sequence(F.floor((F.col(c) - F.col("reach")) / width), F.floor((F.col(c) + F.col("reach")) / width))
+    )
+    around = reach.select("bar_no", "ea", "es", "em", "level", F.explode(span("es")).alias("cx"), "reach").withColumn("cy", F.explode(span("em")))
+    near = first.filter(F.col("level") == WHOLE).select(*keep).unionByName(met(around).select(*keep))
     return named.join(near, ["bar_no", "ea"]).select("event_id", "bar_no", F.col("ea").alias("event_asset"), "asset", "distance", "k")
 
 
+def _word_prefixes(name: str) -> Column:
+    """The name's first words, all but the whole."""
+    words = F.split(name, " ")
+    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def name_match(names: DataFrame, book: DataFrame) -> DataFrame:
-    """(name, id): exact normalised match, else a unique prefix match either way on the same first word.
+    """(name, id): exact normalised match, else the one book name that is a word prefix of the name or the other way round.
 
-    ``names``: name; ``book``: book_name, id.
+    ``names``: name; ``book``: book_name, id. Prefixes are keys of joins on
+    equality, the book's summed up before; names that share their first words
+    don't meet.
     """
     exact = names.join(book, F.col("name") == F.col("book_name")).select("name", "id", F.lit("exact").alias("how"))
-    left = names.join(exact, "name", "left_anti").withColumn("_w", F.split("name", " ")[0])
-    b = book.withColumn("_w", F.split("book_name", " ")[0])
-    near = left.join(b, "_w").filter(F.col("name").startswith(F.concat("book_name", F.lit(" "))) | F.col("book_name").startswith(F.concat("name", F.lit(" "))))
-    one = near.groupBy("name").agg(F.count_distinct("book_name").alias("k"), F.min("id").alias("id"), F.min("book_name").alias("bn"))
-    return exact.unionByName(one.filter("k = 1").select("name", "id", F.lit("prefix").alias("how")))
+    left = names.join(exact, "name", "left_anti").select("name").distinct()
+    one = book.filter("book_name is not null").groupBy("book_name").agg(F.min("id").alias("id"))
+    shorter = left.select("name", F.explode(_word_prefixes("name")).alias("book_name")).join(one, "book_name").select("name", F.lit(1).cast("long").alias("k"), "id")
+    longer = one.select(F.explode(_word_prefixes("book_name")).alias("name"), "id").groupBy("name").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    longer = left.join(longer, "name").select("name", "k", "id")
+    near = shorter.unionByName(longer).groupBy("name").agg(F.sum("k").alias("k"), F.min("id").alias("id"))
+    return exact.unionByName(near.filter("k = 1").select("name", "id", F.lit("prefix").alias("how")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,6 +142,33 @@ def graduation_hurdle(grid: DataFrame, target: float = 0.95, rounds: int = 60) -
     return g.withColumn("hurdle", sr * F.sqrt("periods")).drop("_base")
 
 
+#: Strategies of a block and splits of a product.
+PBO_BLOCK, PBO_TILE = 256, 2048
+
+
+def _split_sharpes(table: pa.Table, blocks: int, splits: np.ndarray):
+    """(rows of ``splits``, in-sample and out-of-sample Sharpe ratios as splits x strategies) in tiles, and the strategies; nan without rows on a side, 0 without variance."""
+    ids, at = np.unique(table["strategy_id"].to_numpy(zero_copy_only=False), return_inverse=True)
+    sums = np.zeros((3, blocks, len(ids)))
+    for k, name in enumerate(("n", "s", "q")):
+        sums[k, table["block"].to_numpy(), at] = table[name].to_numpy()
+    all_ = sums.sum(axis=1)
+
+    def tiles():
+        for lo in range(0, len(splits), PBO_TILE):
+            mask = (splits[lo : lo + PBO_TILE, None] >> np.arange(blocks) & 1).astype(float)
+            inside = np.stack([mask @ sums[k] for k in range(3)])
+            sharpe = []
+            for n, s, q in (inside, all_[:, None, :] - inside):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    var = (q - s * s / n) / (n - 1)
+                    sr = np.where((n > 1) & (var > 1e-18), s / n / np.sqrt(var), 0.0)
+                sharpe.append(np.where(n > 0, np.round(sr, 12), np.nan))
+            yield lo, *sharpe
+
+    return ids, tiles()
+
+
 def pbo(returns: DataFrame, blocks: int = 16) -> DataFrame:
     """Probability of backtest overfitting by combinatorially symmetric cross-validation, from block sums.
 
@@ -148,29 +176,63 @@ def pbo(returns: DataFrame, blocks: int = 16) -> DataFrame:
     splits, pbo (share of splits whose in-sample best ranks at or below the
     out-of-sample median), slope of its out-of-sample on in-sample Sharpe, and
     the share with a loss out of sample.
+
+    Strategies go in blocks of 256. A block's sums times the matrix of all
+    splits give its Sharpe ratios on both sides. The first pass yields each
+    split's best of the block, the second how many of the block are no better
+    out of sample than the best of all; a row per split and block each, however
+    many strategies. A strategy without rows on a side ranks last there.
     """
-    d = returns.filter("ret is not null")
+    d = returns.filter("ret is not null and strategy_id is not null")
     dates = d.select("dt").distinct()
     n = F.count("*").over(W.partitionBy())
     dates = dates.withColumn("block", F.floor((F.row_number().over(W.orderBy("dt")) - 1) * blocks / n).cast("int"))
     s = d.join(dates, "dt").groupBy("strategy_id", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    splits = returns.sparkSession.range(1 << blocks).filter(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"))
-    side = F.getbit("split", "block")
-    # the splits depend on the blocks alone: 65,536 numbers at most before the filter, at 16 blocks
-    j = s.crossJoin(F.broadcast(splits)).groupBy("split", "strategy_id", side.alias("side")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    j = j.withColumn("sr", F.when(var > 1e-18, F.col("s") / F.col("n") / F.sqrt(var)).otherwise(0.0))
-    pair = j.groupBy("split", "strategy_id").agg(
-        F.max(F.when(F.col("side") == 1, F.col("sr"))).alias("ins"), F.max(F.when(F.col("side") == 0, F.col("sr"))).alias("oos")
-    )
-    w = W.partitionBy("split")
-    pair = pair.withColumn("best", F.row_number().over(w.orderBy(F.round("ins", 12).desc(), "strategy_id")))
-    pair = pair.withColumn("rank", F.count("*").over(w.orderBy(F.round("oos", 12)))).withColumn("m", F.count("*").over(w))
-    top = pair.filter("best = 1").withColumn("omega", F.col("rank") / (F.col("m") + 1))
-    return top.agg(
+    s = s.persist()  # read by two passes, released below
+    try:
+        return _overfitting(s, blocks, returns.schema["strategy_id"].dataType.simpleString())
+    finally:
+        s.unpersist()
+
+
+def _overfitting(s: DataFrame, blocks: int, kind: str) -> DataFrame:
+    """:func:`pbo` from the sums (strategy_id, block, n, s, q), computed at once."""
+    count = s.select("strategy_id").distinct().count()
+    s = s.withColumn("part", F.pmod(F.xxhash64("strategy_id"), F.lit(max(1, -(-count // PBO_BLOCK)))))
+    splits = np.array([i for i in range(1 << blocks) if i.bit_count() == blocks // 2], dtype=np.int64)
+
+    def best(table: pa.Table) -> pa.Table:
+        ids, tiles = _split_sharpes(table, blocks, splits)
+        out = []
+        for lo, ins, oos in tiles:
+            k = np.where(np.isnan(ins), -np.inf, ins).argmax(axis=1)  # the first, and so least, strategy of the greatest
+            row = np.arange(len(ins))
+            out.append(pa.table({
+                "split": pa.array(splits[lo : lo + len(ins)]), "ins": pa.array(ins[row, k], mask=np.isnan(ins[row, k])),
+                "strategy_id": pa.array(ids).take(pa.array(k)), "oos": pa.array(oos[row, k], mask=np.isnan(oos[row, k])),
+            }))
+        return pa.concat_tables(out)
+
+    first = s.groupBy("part").applyInArrow(best, f"split long, ins double, strategy_id {kind}, oos double")
+    order = F.struct((-F.coalesce("ins", F.lit(float("-inf")))).alias("a"), "strategy_id", "ins", "oos")
+    top = first.groupBy("split").agg(F.min(order).alias("r")).select("split", "r.ins", "r.oos").orderBy("split").collect()  # a row per split: a number fixed by ``blocks``
+    # sums made anew may differ in their last bits: a strategy is not to lose to itself
+    limit = np.array([-np.inf if r.oos is None else r.oos + 1e-9 for r in top])
+
+    def beaten(table: pa.Table) -> pa.Table:
+        _, tiles = _split_sharpes(table, blocks, splits)
+        rank = [(np.where(np.isnan(oos), -np.inf, oos) <= limit[lo : lo + len(oos), None]).sum(axis=1) for lo, _, oos in tiles]
+        return pa.table({"split": pa.array(splits), "rank": pa.array(np.concatenate(rank).astype(np.int64))})
+
+    spark = s.sparkSession
+    rows = spark.createDataFrame([(r.split, r.ins, r.oos) for r in top], "split long, ins double, oos double")
+    ranks = s.groupBy("part").applyInArrow(beaten, "split long, rank long").groupBy("split").agg(F.sum("rank").alias("rank"))
+    top = rows.join(ranks, "split").withColumn("omega", F.col("rank") / F.lit(count + 1))
+    done = top.agg(
         F.count("*").alias("splits"), F.avg((F.col("omega") <= 0.5).cast("double")).alias("pbo"),
         F.regr_slope("oos", "ins").alias("slope"), F.avg((F.col("oos") < 0).cast("double")).alias("loss_prob"),
     )
+    return spark.createDataFrame(done.collect(), done.schema)  # one row
 
 
 def kelly(mean: Column, variance: Column) -> Column:

@@ -69,6 +69,19 @@ def tsv_owner(s, d):
     return ps.parse_owners(o.select(F.col("o_orderkey").alias("line_no"), _line(o, "o_custkey", F.concat(F.lit("Owner "), F.col("o_orderkey").cast("string")), rel).alias("line")))
 
 
+@query("tsv_owner_files", "select cast(o_custkey as varchar) as accession, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) as owner_seq, 'Owner ' || o_orderkey as owner, o_orderstatus = 'F' as is_officer, o_orderstatus in ('F', 'O') as is_director, o_orderstatus = 'P' as is_tenpct from orders")
+def tsv_owner_files(s, d):
+    """Owners written to text files in the order of their keys and read back: the order of lines is the files' own."""
+    from gridloom.plans.q_streams import _folder
+
+    o = table(s, d, "orders")
+    rel = F.when(F.col("o_orderstatus") == "F", "Officer,Director").when(F.col("o_orderstatus") == "O", "Director").otherwise("TenPercentOwner")
+    path = _folder(s, "owners")
+    lines = o.select("o_orderkey", _line(o, "o_custkey", F.concat(F.lit("Owner "), F.col("o_orderkey").cast("string")), rel).alias("line"))
+    lines.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("line").write.text(path)
+    return ps.read_owners(s, path)
+
+
 @query("tsv_trans", "select cast(l_orderkey as varchar) as accession, l_returnflag as code, l_linestatus as disposed, l_quantity as shares, case when l_discount > 0.02 then l_extendedprice end as price, cast(l_shipdate as date) as traded from lineitem")
 def tsv_trans(s, d):
     li = table(s, d, "lineitem")

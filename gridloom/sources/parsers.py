@@ -8,6 +8,7 @@ become null, lines that can't be rows are dropped or counted as stated.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed values: periodic filing forms
@@ -23,6 +24,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text files as rows with their file and ``line_no``, from 0 in each file's order, however files are split among tasks.
+
+    Each split counts its lines; what lies before a split in its file is added
+    to the place of a line in its split. Splits, not lines, go through a window.
+    """
+    d = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")
+    )
+    parts = d.groupBy("_path", "_start").agg(F.min("_at").alias("_least"), F.count("*").alias("_n"))
+    before = W.partitionBy("_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("_path").alias("_p"), F.col("_start").alias("_s"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+    d = d.join(parts, (F.col("_path") == F.col("_p")) & (F.col("_start") == F.col("_s")))
+    return d.select("line", F.element_at(F.split("_path", "/"), -1).alias("file"), (F.col("_at") + F.col("_shift")).alias("line_no"))
+
+
+def read_owners(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`parse_owners` of tab-separated files, an accession's owners in the order of their lines."""
+    return parse_owners(read_numbered_lines(spark, path).select("line", F.struct("file", "line_no").alias("line_no")))
+
+
 def parse_pipe_feed(lines: DataFrame) -> DataFrame:
     """Availability feed: symbol, rebate_rate, fee_rate, available, capped, ok. Comment and empty lines leave; short or malformed ones have ok false."""
     d = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("_c", F.split("line", r"\|"))
@@ -78,8 +100,6 @@ def parse_submissions(lines: DataFrame, amendments: bool = False) -> DataFrame:
 
 def parse_owners(lines: DataFrame) -> DataFrame:
     """accession, owner_seq (position in the file within the accession), owner, flags; lines carry ``line_no``."""
-    from pyspark.sql import Window as W
-
     d = parse_tsv(lines, ["accession", "owner", "relationship"])
     rel = F.lower("relationship")
     seq = F.row_number().over(W.partitionBy("accession").orderBy("line_no"))
@@ -181,8 +201,6 @@ def delist_hits(docs: DataFrame) -> DataFrame:
 
 def factor_section(docs: DataFrame) -> DataFrame:
     """(month_end, values…) of a sectioned factor file held whole in ``text``: the first run of YYYYMM lines after the header, percent to decimal."""
-    from pyspark.sql import Window as W
-
     d = docs.select("name", F.posexplode(F.split("text", r"\r?\n")).alias("i", "line"))
     w = W.partitionBy("name").orderBy("i")
     head = F.startswith(F.ltrim("line"), F.lit(",Mkt-RF"))
