@@ -116,14 +116,25 @@ def lost_lines(rows, min_docs=3):
             for b in itertools.combinations(range(4), 2):
                 leaves["two", n, t[0], b, part[b[0]], part[b[1]]].append(one)
     lost = collections.defaultdict(set)
-    for key, members in leaves.items():
-        head = min(members, key=lambda m: (m[0], m[2]))[3]
-        members = [m for m in members if 3 * sum(x == y for x, y in zip(m[3], head, strict=True)) >= 2 * len(head)]
-        ids = {m[0] for m in members}
-        if len(ids) >= (2 if key[0] == "whole" and len(key[1]) >= 50 else min_docs):
-            for i, text, k, _ in members:
-                if i > min(ids):
-                    lost[i, text].add(k)
+    level = leaves
+    for _ in range(line_templates.HEADS):
+        below = collections.defaultdict(list)
+        for key, members in level.items():
+            head = min(members, key=lambda m: (m[0], m[2]))[3]
+            same = []
+            for m in members:
+                other = [p for p, (x, y) in enumerate(zip(m[3], head, strict=True)) if x != y]
+                if 3 * (len(head) - len(other)) >= 2 * len(head):
+                    same.append(m)
+                else:
+                    for p in other[: line_templates.SPLITS]:
+                        below["part", key, p, m[3][p]].append(m)
+            ids = {m[0] for m in same}
+            if len(ids) >= (2 if key[0] == "whole" and len(key[1]) >= 50 else min_docs):
+                for i, text, k, _ in same:
+                    if i > min(ids):
+                        lost[i, text].add(k)
+        level = below
     return lost
 
 
@@ -169,6 +180,29 @@ def test_line_templates(spark):
     assert line_templates.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_an_odd_first_line_hides_no_template(spark):
+    frame = "alpha bravo carol delta {} foxtrot golf hotel india juliet {} lima mike november"
+    rows = [(k, frame.format(f"x{chr(97 + k)}", f"y{chr(97 + k)}"), "en", "a", 0) for k in range(1, 6)]
+    odd = (0, "alpha bravo carol delta one two three four five six seven lima mike november", "en", "a", 0)
+    alone = check_lines(spark.createDataFrame(rows, SCHEMA), rows)
+    behind = check_lines(spark.createDataFrame([odd, *rows], SCHEMA), [odd, *rows])
+    assert [alone[k] for k in range(2, 6)] == [""] * 4 and alone[1] == rows[0][1]
+    assert {k: behind[k] for k in alone} == alone and behind[0] == odd[1]
+    # a second odd line behind the first
+    worse = (0, "alpha bravo carol delta nine eight seven six five four three lima mike november", "en", "b", 0)
+    deep = check_lines(spark.createDataFrame([odd, worse, *rows], SCHEMA), [odd, worse, *rows])
+    assert {k: deep[k] for k in alone if k} == {k: alone[k] for k in alone if k}
+
+
+def test_many_dropped_lines_of_one_text(spark):
+    text = "\n".join(f"line of words number {'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]}" for k in range(5000))
+    rows = [(k, f"own start {'pqr'[k]} here\n{text}\nown end {'pqr'[k]} here", "en", "a", 0) for k in range(3)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].text == rows[0][1] and [(got[k].text, got[k].n_lines, got[k].n_dropped) for k in (1, 2)] == [
+        (f"own start {x} here\nown end {x} here", 5002, 5000) for x in "qr"
+    ]
+
+
 def test_line_templates_match_brute_force(spark, docs, rows):
     rng = np.random.default_rng(8)
     extra = []
