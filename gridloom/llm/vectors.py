@@ -160,14 +160,20 @@ def _links(classes: DataFrame, count: int, dim: int, cosine: float, kind: str) -
         _pack(shared, kind), "block long, cell int, least array<double>, ids array<long>, copies array<long>, v binary"
     )
     packed = materialize(packed, "blocks")
-    one = packed.select(F.col("block").alias("i"), F.col("cell").alias("ci"), F.col("least").alias("li"))
-    two = packed.select(F.col("block").alias("j"), F.col("cell").alias("cj"), F.col("least").alias("lj"))
     reach = float(np.sqrt(max(2 - 2 * cosine, 0))) + 1e-9
-    met = (F.col("i") <= F.col("j")) & (F.get("li", F.col("cj")) + F.get("lj", F.col("ci")) <= reach)
-    pairs = materialize(one.join(F.broadcast(two), met).select("i", "j"), "pairs")
+    # cells first, of which there are MAX_CELLS at most; then the blocks of cells that can meet, a number each, by pair of cells
+    sides = packed.select("block", "cell", F.posexplode("least").alias("other", "v"))
+    cells = materialize(sides.groupBy("cell", "other").agg(F.min("v").alias("v")), "cells")
+    back = cells.select(F.col("cell").alias("_other"), F.col("other").alias("_cell"), F.col("v").alias("_v"))
+    open_ = cells.join(back, (F.col("cell") == F.col("_cell")) & (F.col("other") == F.col("_other"))).filter(F.col("v") + F.col("_v") <= reach)
+    sides = materialize(sides.join(open_.select("cell", "other"), ["cell", "other"], "left_semi"), "sides")
+    one = sides.select(F.col("block").alias("i"), "cell", "other", "v")
+    two = sides.select(F.col("block").alias("j"), F.col("other").alias("_cell"), F.col("cell").alias("_other"), F.col("v").alias("_v"))
+    met = one.join(two, (F.col("cell") == F.col("_cell")) & (F.col("other") == F.col("_other")))
+    pairs = materialize(met.filter((F.col("i") <= F.col("j")) & (F.col("v") + F.col("_v") <= reach)).select("i", "j"), "pairs")
     packed = packed.drop("least")
-    left = packed.join(F.broadcast(pairs), packed.block == pairs.i).withColumn("side", F.lit(0))
-    right = packed.join(F.broadcast(pairs.filter("i < j")), F.col("block") == F.col("j")).withColumn("side", F.lit(1))
+    left = packed.join(pairs, F.col("block") == F.col("i")).withColumn("side", F.lit(0))
+    right = packed.join(pairs.filter("i < j"), F.col("block") == F.col("j")).withColumn("side", F.lit(1))
     return left.unionByName(right).drop("block").groupBy("i", "j").applyInArrow(_block_links(shared, kind, cosine), "id long, n long, root long")
 
 
