@@ -33,7 +33,7 @@ from gridloom.llm.bytetext import LOWER, mix
 from gridloom.llm.store import materialize, small_batches
 
 #: Bytes of text in a shard; extensions added up at a time; extensions in a list, at least.
-SHARD_BYTES, BUCKET_ENTRIES, LIST_ENTRIES = 16 << 20, 2_000_000, 8
+SHARD_BYTES, BUCKET_ENTRIES, LIST_ENTRIES = 8 << 20, 2_000_000, 8
 STOPS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 _STOP = re.compile(b"[" + re.escape(STOPS) + b"]")
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -59,10 +59,11 @@ def _sorted_bwt(text: np.ndarray, depth: int) -> np.ndarray:
     while True:
         following = np.roll(rank, -reach)
         key = rank * (int(following.max(initial=0)) + 1) + following
+        del rank, following
         order = np.argsort(key, kind="stable")
         reach *= 2
         if reach >= depth:
-            return text[order - 1]
+            return text[order - 1].astype(np.int32)
         steps = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
         rank = np.empty(len(text), np.int64)
         rank[order] = steps
@@ -76,15 +77,14 @@ class BidirectionalIndex:
     """
 
     def __init__(self, text: np.ndarray, depth: int) -> None:
-        text = text.astype(np.int64)
         self.size = np.bincount(text, minlength=1)
         self.first = np.cumsum(self.size) - self.size
         #: row of the suffix that follows, of each row of the forward order
-        self.following = np.argsort(_sorted_bwt(text, depth), kind="stable")
+        self.following = np.argsort(_sorted_bwt(text, depth), kind="stable").astype(np.int32)
         self.next_word = _sorted_bwt(text[::-1], depth)
         rows = np.argsort(self.next_word, kind="stable")
         #: row of the reverse order that a step by its next word leads to
-        self.step = np.empty(len(rows), np.int64)
+        self.step = np.empty(len(rows), np.int32)
         self.step[rows] = np.arange(len(rows))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,11 +101,12 @@ class BidirectionalIndex:
         phrase = np.repeat(np.arange(len(size)), size)
         row = np.arange(len(phrase)) - begin[phrase] + reverse[phrase]
         word = self.next_word[row]
-        key = phrase * len(self.size) + word
+        key = phrase * len(self.size) + word  # whole numbers of 64 bits, as phrase is
         order = np.argsort(key, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(key)))
         lead = order[edge]
+        del key, order
         phrase, word, found = phrase[lead], word[lead], row[lead]
         ahead = forward[phrase] + edge - begin[phrase]  # words that sort before, the stop first, fill the interval's start
         known = np.zeros(len(self.step), dtype=bool)
