@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.windows import by_asset, by_date, gated, ratio, trailing
 from gridloom.operators import books, panel, pnl, risk, signals, stats
+from gridloom.operators.quantiles import quantiles
 from gridloom.plans.q_books import _BT, _CARRY, _DECILE, _DISC, _MOM, _TXN_M, carry_rows, carry_scores, discount_scores, momentum_scores, month_grid
 from gridloom.plans.q_books import _BW, _PAIRS, _A, _with_beta
 from gridloom.plans.registry import query
@@ -144,8 +145,8 @@ def sector_map(s, d):
 def feed_snapshot(s, d):
     u = table(s, d, "supplier").filter("s_acctbal > 5000").select("s_suppkey")
     j = table(s, d, "lineitem").join(u, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    p = F.percentile("l_discount", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    x = j.agg(F.count("*").alias("rows_all"), F.count_distinct("l_suppkey").alias("names"), p.alias("p"), F.count("s_suppkey").alias("universe_rows"))
+    x = j.agg(F.count("*").alias("rows_all"), F.count_distinct("l_suppkey").alias("names"), F.count("s_suppkey").alias("universe_rows"))
+    x = x.crossJoin(quantiles(table(s, d, "lineitem"), "l_discount", (0.5, 0.9, 0.99)).select("p"))  # a row each
     return x.select("rows_all", "names", r(F.col("p")[0], "p50"), r(F.col("p")[1], "p90"), r(F.col("p")[2], "p99"), "universe_rows")
 
 
@@ -158,7 +159,7 @@ def ew_forward_baseline(s, d):
 @query("universe_filters", "with q as (select quantile_cont(c_acctbal, 0.9) as cut from customer where c_acctbal > 0) select c_custkey from customer, q where c_acctbal > 0 and c_acctbal < cut and c_mktsegment <> 'MACHINERY' and c_nationkey in (select n_nationkey from nation where n_regionkey <> 2)")
 def universe_filters(s, d):
     c = table(s, d, "customer").filter("c_acctbal > 0")
-    cut = c.agg(F.percentile("c_acctbal", F.lit(0.9)).alias("cut"))
+    cut = quantiles(c, "c_acctbal", (0.9,)).select(F.col("p")[0].alias("cut"))  # one row
     n = table(s, d, "nation").filter("n_regionkey <> 2")
     x = c.crossJoin(cut).filter("c_acctbal < cut and c_mktsegment <> 'MACHINERY'")
     return x.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey")
@@ -323,8 +324,7 @@ def size_book(s, d):
 
 @query("census_quantiles", "select c_mktsegment as bucket, count(*) as n, round(quantile_cont(c_acctbal, 0.1), 4) + 0.0 as p10, round(quantile_cont(c_acctbal, 0.5), 4) + 0.0 as p50, round(quantile_cont(c_acctbal, 0.9), 4) + 0.0 as p90 from customer group by 1")
 def census_quantiles(s, d):
-    p = F.percentile("c_acctbal", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    x = table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("bucket")).agg(F.count("*").alias("n"), p.alias("p"))
+    x = quantiles(table(s, d, "customer").withColumnRenamed("c_mktsegment", "bucket"), "c_acctbal", (0.1, 0.5, 0.9), ("bucket",))
     return x.select("bucket", "n", r(F.col("p")[0], "p10", 4), r(F.col("p")[1], "p50", 4), r(F.col("p")[2], "p90", 4))
 
 
@@ -467,8 +467,7 @@ def concept_coverage(s, d):
 def filing_lag(s, d):
     j = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     x = j.select(F.datediff("l_shipdate", "o_orderdate").alias("lag"), F.col("l_returnflag").alias("form")).filter("lag > 0 and lag < 400")
-    p = F.percentile("lag", F.array(F.lit(0.5), F.lit(0.9)))
-    return x.groupBy("form").agg(F.count("*").alias("n"), p.alias("p")).select("form", "n", r(F.col("p")[0], "median", 4), r(F.col("p")[1], "p90", 4))
+    return quantiles(x, "lag", (0.5, 0.9), ("form",)).select("form", "n", r(F.col("p")[0], "median", 4), r(F.col("p")[1], "p90", 4))
 
 
 @query("gate_pair", on_panel("w", f"""{_STR}, y as (select strategy_id, year(dt) as seed, {_SR} as m from st group by 1, 2), p as (select seed, max(case when strategy_id = 'carry_low' then m end) - max(case when strategy_id = 'market' then m end) as diff from y group by 1)
