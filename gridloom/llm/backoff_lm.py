@@ -14,8 +14,8 @@ are taken until there is an arc, and the weights add up.
 The model is as large as the corpus and is never gathered in one place. Texts
 are cut into blocks. A block asks for the counts of its distinct n-grams, one
 packed request per order and hash range; a range's task adds up the requests of
-all blocks and answers each; the block's task reads its text again with the
-answers. What moves is the texts once, compressed, and a few bytes per distinct
+all blocks and answers each; the block's task builds the states and arcs that
+its texts can use from the answers and reads them, carrying a state for each. What moves is the texts once, compressed, and a few bytes per distinct
 n-gram of a block. Words have 64-bit keys, longer n-grams ``SPARE_BITS`` more bits
 than the corpus needs to count its bytes: about one n-gram in 2**SPARE_BITS
 shares its key, whatever the size.
@@ -37,8 +37,8 @@ from gridloom.llm.store import materialize, small_batches
 ORDER = 3
 #: Prior mass m of the orders from 2 on; spare bits of n-gram keys.
 PRIOR, SPARE_BITS = (4.0, 4.0), 20
-#: Bytes of text a block, blocks a hash range.
-BLOCK_BYTES, BLOCKS_PER_RANGE = 4 << 20, 2
+#: Bytes of text a block, blocks a hash range at least and at most: the more blocks, the fewer ranges to a block. Tokens read in one go.
+BLOCK_BYTES, BLOCKS_PER_RANGE, MOST_BLOCKS_PER_RANGE, STRETCH = 4 << 20, 2, 16, 512
 _END, _BEGIN = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 
 
@@ -200,36 +200,116 @@ def _answers(requests: DataFrame, tasks: int) -> DataFrame:
     )
 
 
+class Automaton:
+    """The states and arcs that a block's texts can use.
+
+    States are the root (0), the begin of a text (1), the block's words and its
+    pairs of words, each known if training holds it. An arc leads from a state
+    by a word to the longest known context that ends there; a failure arc leads
+    to the state without its first word. Arcs are sorted by state and word.
+    """
+
+    def __init__(self, t: _Read, total: list[np.ndarray], tokens: int, vocabulary: int, sequences: int) -> None:
+        self.words = words = len(t.keys[0])
+        self.root = np.log10((total[0] + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
+        size = np.concatenate(([0.0, sequences], total[0], total[1]))
+        pair, self.known = 2 + words, size > 0
+        word, at = t.at[0], [t.at[1], t.at[2]]
+        # a token at which each n-gram ends
+        end = [np.zeros(len(k), np.int64) for k in t.keys]
+        for k in range(ORDER):
+            use = np.flatnonzero(t.at[k] >= 0)
+            end[k][t.at[k][use]] = use
+        longest = lambda state, shorter: np.where(self.known[state], state, np.where(self.known[shorter], shorter, 0))
+        prior = np.where(np.arange(len(size)) < pair, PRIOR[0], PRIOR[1])
+        self.fail = np.zeros(len(size), np.int64)
+        self.fail[pair:] = longest(2 + word[end[1]], 0)
+        self.fail_weight = np.log10(prior / (size + prior))
+        # arcs of two words: from the first, or the begin of a text
+        e = end[1]
+        source = np.where(t.place[e] == 0, 1, 2 + word[np.maximum(e - 1, 0)])
+        plain = self.root[word[e]]
+        seen = np.log10((total[1] + prior[source] * 10.0**plain) / (size[source] + prior[source]))
+        # what a word weighs from the shorter context, with or without an arc
+        lower = np.where(self.known[source], np.where(total[1] > 0, seen, self.fail_weight[source] + plain), plain)
+        two = np.flatnonzero((total[1] > 0) & self.known[source])
+        # arcs of three words: from a pair
+        e3 = end[2]
+        source3 = pair + at[0][np.maximum(e3 - 1, 0)]
+        own = at[0][e3]
+        seen3 = np.log10((total[2] + prior[source3] * 10.0 ** lower[own]) / (size[source3] + prior[source3])) if len(e3) else np.zeros(0)
+        three = np.flatnonzero((total[2] > 0) & self.known[source3]) if len(e3) else np.zeros(0, np.int64)
+        key = np.concatenate((source[two] * words + word[e[two]], source3[three] * words + word[e3[three]]))
+        weight = np.concatenate((seen[two], seen3[three]))
+        target = np.concatenate((pair + two, longest(pair + own[three], 2 + word[e3[three]])))
+        order = np.argsort(key)
+        self.key, self.weight, self.target = key[order], weight[order], target[order]
+        self._pair, self._longest = pair, longest
+
+    def start(self, t: _Read, first: np.ndarray) -> np.ndarray:
+        """The state before the given tokens: the longest known context."""
+        before = np.maximum(first - 1, 0)
+        inside = self._longest(self._pair + t.at[1][before], 2 + t.at[0][before])
+        return np.where(t.place[first] == 0, np.where(self.known[1], 1, 0), inside)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, state) after reading a word in each state: failure arcs until there is an arc, at the root for every word."""
+        weight, arc = np.zeros(len(state)), np.full(len(state), -1)
+        open_ = np.flatnonzero(state > 0) if len(self.key) else np.zeros(0, np.int64)
+        if not len(self.key):
+            while (state > 0).any():
+                weight, state = weight + np.where(state > 0, self.fail_weight[state], 0.0), self.fail[state]
+        state = state.copy()
+        while len(open_):
+            want = state[open_] * self.words + word[open_]
+            spot = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            hit = self.key[spot] == want
+            arc[open_[hit]] = spot[hit]
+            open_ = open_[~hit]
+            weight[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+            open_ = open_[state[open_] > 0]
+        found = arc >= 0
+        at_root = ~found
+        weight[found] += self.weight[arc[found]]
+        weight[at_root] += self.root[word[at_root]]
+        state[found] = self.target[arc[found]]
+        state[at_root] = np.where(self.known[2 + word[at_root]], 2 + word[at_root], 0)
+        return weight, state
+
+    def read(self, t: _Read) -> np.ndarray:
+        """Each token's weight: all texts are read left to right side by side, long ones in stretches that begin in their state."""
+        n = len(t.doc)
+        first = np.flatnonzero(t.place % STRETCH == 0)
+        length = np.diff(np.append(first, n))
+        order = np.argsort(-length, kind="stable")
+        first, length = first[order], length[order]
+        state, out, word = self.start(t, first), np.zeros(n), t.at[0]
+        for k in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -k, side="left"))  # those of more than k tokens
+            at = first[:live] + k
+            out[at], state[:live] = self.step(state[:live], word[at])
+        return out
+
+
 def _walk(tokens: int, vocabulary: int, sequences: int, width: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers, out = right.to_pylist(), []
         for r in left.to_pylist():
             t = _Read(r["train"], np.array(r["bounds"]), r["size"], r["data"], width)
-            count = []
+            total = []
             for kind in range(ORDER):
                 rows = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["range"])
-                total = np.concatenate([np.zeros(0, np.uint64), *(_unpack(a["totals"], a["n"], np.uint64) for a in rows)])
-                at = t.at[kind]
-                count.append(np.where(at >= 0, total[np.maximum(at, 0)] if len(total) else 0, 0).astype(np.float64))
-            docs = len(t.n_tokens)
-            root = np.log10((count[0] + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
-            # shortest context first: what a token weighs from the state of each order
-            weight = root
-            for kind in range(1, ORDER):
-                state = np.concatenate(([0.0], count[kind - 1][:-1]))  # the n-gram that ends before the token
-                state = np.where(t.place == kind - 1, sequences, state) if kind == 1 else np.where(t.place >= kind - 1, state, 0)
-                prior = PRIOR[kind - 1]
-                arc = np.log10((count[kind] + prior * 10.0**weight) / (state + prior))
-                failure = np.log10(prior / (state + prior)) + weight
-                weight = np.where(state == 0, weight, np.where(count[kind] > 0, arc, failure))
-            per = lambda x: np.bincount(t.doc, weights=x, minlength=docs)  # noqa: B023, E731
+                total.append(np.concatenate([np.zeros(0, np.uint64), *(_unpack(a["totals"], a["n"], np.uint64) for a in rows)]).astype(np.float64))
+            model = Automaton(t, total, tokens, vocabulary, sequences)
+            per = lambda x: np.bincount(t.doc, weights=x, minlength=len(t.n_tokens))  # noqa: B023, E731
             out.append(pa.table({
                 "doc_id": pa.array(r["ids"], pa.int64()),
                 "train": pa.array(r["train"], pa.bool_()),
                 "n_tokens": pa.array(t.n_tokens, pa.int64()),
-                "n_known": pa.array(per(count[0] > 0).astype(np.int64)),
-                "base_score": pa.array(per(root)),
-                "score": pa.array(per(weight)),
+                "n_known": pa.array(per(total[0][t.at[0]] > 0).astype(np.int64)),
+                "base_score": pa.array(per(model.root[t.at[0]])),
+                "score": pa.array(per(model.read(t))),
             }))
         return pa.concat_tables(out) if out else None
 
@@ -250,7 +330,8 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_col: str =
     blocks = materialize(text_blocks(docs, id_col, text_col, learn), "blocks")
     n_blocks, tokens, size = blocks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     sequences = blocks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
-    bits = max(4, int(np.ceil(np.log2(max(1, n_blocks / BLOCKS_PER_RANGE)))))
+    per_range = min(MOST_BLOCKS_PER_RANGE, max(BLOCKS_PER_RANGE, np.sqrt(n_blocks) / 8))
+    bits = max(4, int(np.ceil(np.log2(max(1, n_blocks / per_range)))))
     width = min(64, int(np.ceil(np.log2(size + 2 * n_blocks + 2))) + SPARE_BITS)
     answers = materialize(_answers(_requests(blocks, bits, width), ORDER * 2**bits), "answers")
     vocabulary = answers.filter("kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
