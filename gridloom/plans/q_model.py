@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.windows import by_asset, ratio
-from gridloom.operators import books, panel, stats
+from gridloom.operators import boosting, books, panel, stats
 from gridloom.plans.q_aggregates import ic_sql
 from gridloom.plans.q_books import _decile_sql
 from gridloom.plans.registry import query
@@ -117,19 +117,9 @@ def ridge_alpha_select(s, d):
 
 @query("walk_forward_gbt")
 def walk_forward_gbt(s, d):
-    """Boosted trees of depth 3 per window on all features, fitted on its training rows and scored on its test rows."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    x = VectorAssembler(inputCols=list(panel.FEATURES), outputCol="x").transform(stacked(s, d).withColumn("pos", F.col("bar_no") - 1)).cache()
-    trees = GBTRegressor(featuresCol="x", labelCol="label", maxDepth=3, maxIter=8, stepSize=0.1, seed=7)
-    out = None
-    for w in _windows(s, d).orderBy("window_id").collect():  # a row per window, not per date
-        test = x.filter((F.col("pos") >= w.test_lo) & (F.col("pos") < w.test_hi))
-        p = trees.fit(x.filter(F.col("pos") < w.train_end)).transform(test)
-        p = p.select(F.lit(w.window_id).alias("window_id"), "dt", "asset", r("prediction", "pred"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    """Boosted trees of depth 3, 200 rounds of rate 0.05 with L2, per window on all features, fitted on its training rows and scored on its test rows."""
+    p = stacked(s, d).withColumn("pos", F.col("bar_no") - 1)
+    return boosting.walk_forward_boosted(p, _windows(s, d), _XS, "label", boosting.Boosting()).select("window_id", "dt", "asset", r("pred"))
 
 
 _LIVE = f"""{_STACK}, ft as (select * from f1 where {' and '.join(f'{c} is not null' for c in panel.FEATURES)}),
