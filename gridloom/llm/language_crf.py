@@ -30,7 +30,8 @@ from gridloom.llm.store import small_batches
 
 DOCS_PER_LANGUAGE, SAMPLE_DOCS, SPAN, SEGMENT = 150, 9600, 3000, 128
 BITS, LEXICON_SIZE, EPOCHS, SEQUENCE = 15, 20_000, 40, 40
-CHUNK = 2 << 20
+#: Bytes of texts read at a time by up to 16 languages, fewer by more; weights of bytes held at a time.
+CHUNK, SCORES = 2 << 20, 1 << 23
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -100,14 +101,25 @@ def emissions(c: Chunk, m: Model) -> tuple[np.ndarray, np.ndarray]:
     grams, affixes, word, has = features(c)
     if len(word) == 0:
         return np.zeros((0, len(m.languages)), np.float32), has
-    per_byte = m.weight[grams[0]]
-    per_byte += m.weight[grams[1]]
-    score = np.add.reduceat(per_byte, c.start, axis=0)
-    for rows in affixes:
-        score += m.weight[rows]
-    if len(m.lexicon):
-        spot = np.minimum(np.searchsorted(m.lexicon, word), len(m.lexicon) - 1)
-        score += np.where((m.lexicon[spot] == word)[:, None], m.lexicon_weight[spot], 0)
+    k = len(m.languages)
+    score = np.empty((len(word), k), np.float32)
+    spot = np.minimum(np.searchsorted(m.lexicon, word), len(m.lexicon) - 1) if len(m.lexicon) else None
+    # stretches of words with SCORES weights of bytes at a time, one word at least: a row of weights has as many as there are languages
+    bound = np.append(c.start, len(c.data))
+    at = 0
+    while at < len(word):
+        to = max(at + 1, int(np.searchsorted(bound, bound[at] + max(1, SCORES // k), side="right")) - 1)
+        here = slice(bound[at], bound[to])
+        per_byte = m.weight[grams[0][here]]
+        per_byte += m.weight[grams[1][here]]
+        part = np.add.reduceat(per_byte, c.start[at:to] - bound[at], axis=0)
+        for rows in affixes:
+            part += m.weight[rows[at:to]]
+        if spot is not None:
+            own = spot[at:to]
+            part += np.where((m.lexicon[own] == word[at:to])[:, None], m.lexicon_weight[own], 0)
+        score[at:to] = part
+        at = to
     return np.where(has[:, None], score, np.float32(0)), has
 
 
@@ -162,9 +174,9 @@ def forward_backward(
         inner = np.ones(len(score), dtype=bool)
         inner[(np.cumsum(count) - 1)[count > 0]] = False
         i = np.flatnonzero(inner)
-        for part in np.array_split(i, max(1, len(i) // 50_000)):
-            pair = alpha[part][:, :, None] * a[None] * (e[part + 1] * beta[part + 1])[:, None, :]
-            expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        ahead = e[i + 1] * beta[i + 1]
+        whole = ((alpha[i] @ a) * ahead).sum(axis=1, keepdims=True)
+        expected = a * ((alpha[i] / whole).T @ ahead)
     return gamma, expected
 
 
@@ -301,7 +313,7 @@ def _plain(m: Model) -> Model:
 def _predict(m, batch: pa.RecordBatch, text: pa.Array, letter: pa.Array) -> tuple[pa.Array, pa.Array]:
     names = np.array([*m.languages, UNDETERMINED], dtype=object)
     best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-    for c in chunks(text, CHUNK):
+    for c in chunks(text, max(1 << 16, CHUNK * 16 // max(16, len(m.languages)))):
         best[c.first : c.first + c.rows], score[c.first : c.first + c.rows] = label_texts(c, m)
     there = letter.fill_null(False).to_numpy(zero_copy_only=False)
     best[~there], score[~there] = -1, 0

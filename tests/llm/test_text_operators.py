@@ -644,6 +644,24 @@ def test_forward_backward_of_long_rows_is_the_same_by_segments():
     assert got == pytest.approx(want) and pairs == pytest.approx(want_pairs) and single == pytest.approx(want, abs=1e-4)
 
 
+def test_many_languages_take_few_bytes_at_a_time(monkeypatch):
+    """Scores don't depend on how many bytes are weighed at a time; transitions are sums over pairs of words."""
+    rng = np.random.default_rng(0)
+    k = 200
+    weight = rng.standard_normal((2**language_crf.BITS + 1, k)).astype(np.float32)
+    weight[-1] = 0
+    c = next(chunks(pa.array(["some words of été here", None, "", "a", "1 2 3 x", "long " * 300])))
+    lexicon = np.unique(language_crf.features(c)[2][:3])
+    m = language_crf.Model([f"l{i}" for i in range(k)], weight, lexicon, rng.standard_normal((len(lexicon), k)).astype(np.float32), rng.standard_normal((k, k)) * 0.1, np.zeros(k))
+    whole, has = language_crf.emissions(c, m)
+    monkeypatch.setattr(language_crf, "SCORES", 1000)
+    few, has_too = language_crf.emissions(c, m)
+    assert np.allclose(whole, few, atol=1e-4) and (has == has_too).all() and whole.shape == (len(c.start), k)
+    count = c.word_counts()
+    gamma, pairs = language_crf.forward_backward(whole.astype(float) * 0.1, count, m, transitions=True)
+    assert np.allclose(gamma.sum(axis=1), 1) and pairs.sum() == pytest.approx(np.maximum(count - 1, 0).sum())
+
+
 def test_every_labelled_language_is_learned(spark):
     rows = [(k, f"wort{k % 70} mit{k % 70} sprache{k % 70}", f"l{k % 70}", "s", 1) for k in range(210)]
     sample = language_crf.training_sample(spark.createDataFrame(rows, SCHEMA))
