@@ -26,6 +26,8 @@ FUND_NAME = (
     r"select|holdings|investors?)\b"
 )
 TERM_NAME = r"(?i)\b(target[- ]?term|term (fund|trust)|20\d\d (target|term))\b"
+CIK_TAG = r"\s*\(CIK\s*\d+\)\s*$"
+TICKER_TAG = r"\s*\([A-Z0-9.\-, ]+\)\s*$"
 DISTRESS = (
     r"(?i)(bankrupt|chapter 11|chapter 7|deficienc|delinquen|noncompliance|non-compliance|minimum (bid|market)|going concern|fraud|receiver)"
 )
@@ -50,7 +52,7 @@ def normalize_name(c: Column) -> Column:
 
 def clean_entity_name(c: Column) -> Column:
     """Drop a trailing (CIK n), then a trailing (TICKER)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\(CIK\s*\d+\)\s*$", ""), r"\s*\([A-Z0-9, .\-]+\)\s*$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, CIK_TAG, ""), TICKER_TAG, ""))
 
 
 def classify_reason(c: Column) -> Column:
