@@ -48,10 +48,12 @@ def distinct_owner_counts(txn: DataFrame, grid: DataFrame, days: int) -> DataFra
 
 def net_cluster(txn: DataFrame, grid: DataFrame, days: int, buy: str = "R", sell: str = "A") -> DataFrame:
     """(t, ticker, buyers, sellers, net): distinct buyers less sellers in the trailing window."""
-    b = distinct_owner_counts(txn.filter(F.col("code") == buy), grid, days).withColumnRenamed("owners", "buyers")
-    s = distinct_owner_counts(txn.filter(F.col("code") == sell), grid, days).withColumnRenamed("owners", "sellers")
-    j = b.join(s, ["t", "ticker"], "full")
-    j = j.withColumns({"buyers": F.coalesce("buyers", F.lit(0)), "sellers": F.coalesce("sellers", F.lit(0))})
+    from gridloom.operators.joins import trailing_window
+
+    rows = txn.filter(F.col("code").isin(buy, sell)).select("owner", "ticker", "filed", "code").distinct()
+    w = trailing_window(rows, grid, "filed", days)
+    each = w.groupBy("t", "ticker", "owner").agg(F.bool_or(F.col("code") == buy).alias("_b"), F.bool_or(F.col("code") == sell).alias("_s"))
+    j = each.groupBy("t", "ticker").agg(F.count_if("_b").alias("buyers"), F.count_if("_s").alias("sellers"))
     return j.withColumn("net", F.col("buyers") - F.col("sellers"))
 
 
