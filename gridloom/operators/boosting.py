@@ -1,8 +1,8 @@
 """Gradient-boosted trees of all walk-forward windows at once, by histograms.
 
-Features are binned once and rows packed into blocks, which stay on the
-executors while the trees are fitted. A level of a round's trees is one job: each
-block adds up, per window and open node, the gradients and counts of every
+Features are binned once and rows packed into blocks, which are written to the
+shared folder: the plans of a fit's jobs start there, and are as short in the last
+round as in the first. A level of a round's trees is one job: each block adds up, per window and open node, the gradients and counts of every
 feature's bins; the blocks' sums meet by window, and the driver, which holds
 trees and sums but no rows, picks the splits. Every window is fitted by the same
 jobs; a row counts in all windows that train on it.
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.sinks import fresh_folder
+
 #: Rows of a block; rounds after which the blocks' predictions are brought up to date.
 BLOCK_ROWS, FRESH = 65_536, 20
 _NONE = -1
@@ -156,7 +158,8 @@ def fit(blocks: DataFrame, base: np.ndarray, k: int, s: Boosting) -> list:
             trees.append((feature, cut, value.reshape(windows, leaves)))
             fresh.append(trees[-1])
             if len(fresh) == FRESH:
-                before, now = now, now.mapInArrow(updated(list(fresh)), _BLOCK).persist()
+                # from the written blocks on, so that no plan holds the plans of earlier rounds
+                before, now = now, blocks.mapInArrow(updated(list(trees)), _BLOCK).persist()
                 now.count()
                 if before is not blocks:
                     before.unpersist()
@@ -207,11 +210,9 @@ def walk_forward_boosted(panel: DataFrame, windows: DataFrame, xs: list[str], y:
     total = np.cumsum([(per[w].s, per[w].n) if w in per else (0.0, 0) for w in range(len(ends))], axis=0)
     base = total[:, 0] / np.maximum(total[:, 1], 1)
     parts = max(1, -(-int(total[-1, 1]) // BLOCK_ROWS))
-    blocks = rows.repartition(parts).mapInArrow(_pack(len(xs), len(ends)), _BLOCK).persist()
-    try:
-        trees = fit(blocks, base, len(xs), s)
-    finally:
-        blocks.unpersist()
+    folder = fresh_folder(spark, "boosting")
+    rows.repartition(parts).mapInArrow(_pack(len(xs), len(ends)), _BLOCK).write.parquet(folder)
+    trees = fit(spark.read.schema(_BLOCK).parquet(folder), base, len(xs), s)
     first = 2**s.depth - 1
 
     @F.pandas_udf("double")

@@ -83,3 +83,23 @@ def test_boosting_of_a_constant_or_few_rows(spark):
     df = spark.createDataFrame(rows, "pos int, dt date, asset string, a double, y double")
     windows = spark.createDataFrame([(0, 4, 4, 6)], "window_id int, train_end int, test_lo int, test_hi int")
     assert [r.pred for r in walk_forward_boosted(df, windows, ["a"], "y", Boosting(rounds=2)).collect()] == [2.0, 2.0]
+
+
+def test_plans_of_later_rounds_are_not_longer(spark, monkeypatch):
+    """The plan of the panel and of earlier rounds' predictions is in no job of a fit; the driver would keep them all."""
+    monkeypatch.setattr(boosting, "FRESH", 2)
+    day = datetime.date(2020, 1, 1)
+    df = spark.createDataFrame([(i, day, f"A{i}", float(i % 5), float(i % 3)) for i in range(40)], "pos int, dt date, asset string, a double, y double")
+    seen, frame = [], type(df)
+    collect = frame.collect
+
+    def spy(self):
+        plan = self._jdf.queryExecution().logical().toString()
+        if "MapInArrow" in plan:
+            seen.append(plan)
+        return collect(self)
+
+    monkeypatch.setattr(frame, "collect", spy)
+    windows = spark.createDataFrame([(0, 30, 30, 40)], "window_id int, train_end int, test_lo int, test_hi int")
+    walk_forward_boosted(df, windows, ["a"], "y", Boosting(rounds=9, depth=2))
+    assert len(seen) == 18 and all(p.count("MapInArrow") <= 2 and "LogicalRDD" not in p for p in seen)
