@@ -101,3 +101,20 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert len(rows) == 4010 and all(r.line.split()[:2] == [r.file, str(r.line_no)] for r in rows)
+
+
+def test_interval_members_expand_once(spark):
+    """Overlapping, repeated and open intervals without a table of expanded rows that must be made distinct."""
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=i)
+    rng = np.random.default_rng(5)
+    iv = [(f"A{rng.integers(6)}", int(a), None if rng.random() < 0.4 else int(a + rng.integers(-2, 15))) for a in rng.integers(-5, 40, 60)]
+    iv += [("A0", 3, None), ("A0", 3, None), (None, 1, 4), ("A1", None, 9)]
+    rows = [(n, None if a is None else day(a), None if b is None else day(b)) for n, a, b in iv]
+    cal = [0, 2, 3, 7, 8, 21, 30, 31, 45]
+    got = joins.interval_members(spark.createDataFrame([(day(c),) for c in cal * 2], "dt date"), spark.createDataFrame(rows, "asset string, valid_from date, valid_to date"))
+    want = {(day(c), n) for c in cal for n, a, b in iv if a is not None and a <= c and (b is None or c < b)}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("explode(sequence(")]
+    assert "Aggregate" not in above.split("Generate")[0] and "Window" not in above.split("Join")[0]
