@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from gridloom.streaming import jobs
@@ -71,3 +72,46 @@ def test_late_and_incomplete_rows_leave(spark, tmp_path):
     got = _drain(spark, src, out, "1 day")
     # the loss of 900 came eight days after its time and the watermark
     assert got[1] == (3, 975.0, pytest.approx(950 / 1050 - 1), False, None) and got[2] == (1, 1001.0, 0.0, False, None)
+
+
+def test_a_book_is_read_once_for_all_intervals_that_a_batch_closes(spark, tmp_path):
+    """Rows of 40 days at once, some of them open: a row per settled interval."""
+    step = lambda d, k: (k, START + datetime.timedelta(days=d, hours=k), 10 * d + k, -1.0 if d % 3 else 2.0)
+    rows = [step(d, k) for d in range(40) for k in range(3)]
+    rows += [(0, START + datetime.timedelta(days=42, hours=1), 999, 0.0)]
+    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(src)
+    got = jobs.run_available(jobs.drawdown_switch(spark.readStream.schema(SCHEMA).parquet(src), 1000.0, -0.25, "1 day", "4 days"), out).collect()
+    assert sorted((r.book, r.n) for r in got) == [(k, n) for k in range(3) for n in range(1, 39)]
+    until = START + datetime.timedelta(days=38)
+    last = {r.book: (r.n, r.equity, r.worst, r.tripped, r.tripped_at) for r in sorted(got, key=lambda r: r.n)}
+    assert last == _settled(rows, 1000.0, -0.25, until)
+
+
+class _Cell:
+    """A state variable in memory; reads and writes are counted."""
+
+    def __init__(self):
+        self.held, self.reads, self.writes = None, 0, 0
+
+    def get(self):
+        self.reads += 1
+        return self.held
+
+    def update(self, value):
+        self.held, self.writes = value, self.writes + 1
+
+
+def test_state_is_read_once_for_all_intervals_of_a_batch():
+    day, cells = 86_400_000_000, []
+    handle = type("Handle", (), {"getValueState": lambda self, *_: cells.append(_Cell()) or cells[-1]})()
+    p = jobs._Drawdown(1000.0, -0.25)
+    p.init(handle)
+    (cell,) = cells  # no list of waiting rows and no timers
+    step = lambda days, gain: pd.DataFrame({"until": [(d + 1) * day for d in days], "us": [d * day + 5 for d in days], "id": days, "pnl": gain})
+    (out,) = p.handleInputRows((1,), iter([step([3, 2, 1], [-200.0, -100.0, 100.0]), step([0], [0.0])]), None)
+    assert out.n.tolist() == [1, 2, 3, 4] and out.equity.tolist() == [1000.0, 1100.0, 1000.0, 800.0]
+    assert out.tripped.tolist() == [False, False, False, True] and out.tripped_at[3] == pd.Timestamp(3 * day + 5, unit="us")
+    (out,) = p.handleInputRows((1,), iter([step([9], [900.0])]), None)
+    assert out.n.tolist() == [5] and out.tripped.tolist() == [True] and out.tripped_at[0] == pd.Timestamp(3 * day + 5, unit="us")
+    assert (cell.reads, cell.writes) == (2, 2)
