@@ -95,6 +95,22 @@ def event_pnl(windows: DataFrame, bps: float, bars: int) -> DataFrame:
     return windows.withColumn("_r", r).groupBy("dt").agg(F.avg("_r").alias("ret"), F.count("_r").alias("live")).filter("ret is not null")
 
 
+def sides_on_bars(events: DataFrame, returns: DataFrame, spans: dict[str, tuple[int, int]]) -> DataFrame:
+    """``returns`` (bar_no, asset, ...) with ``<span>_side`` and ``<span>_n`` per span (first, last): the sum of sides and the number of the asset's events that entered ``first`` to ``last`` bars before.
+
+    Events (bar_no, asset, side) are added up by asset and bar and meet the
+    returns in windows over the asset's bars; none is expanded over the bars it holds.
+    """
+    e = events.groupBy("asset", "bar_no").agg(F.sum("side").alias("_s"), F.count("*").alias("_n"))
+    both = returns.withColumn("_own", F.lit(True)).unionByName(e, allowMissingColumns=True)
+    by = W.partitionBy("asset").orderBy("bar_no")
+    cols = {}
+    for name, (first, last) in spans.items():
+        w = by.rangeBetween(-last, -first)
+        cols |= {f"{name}_side": F.coalesce(F.sum("_s").over(w), F.lit(0)), f"{name}_n": F.coalesce(F.sum("_n").over(w), F.lit(0))}
+    return both.withColumns(cols).filter("_own").drop("_own", "_s", "_n")
+
+
 def lagged_weights(weights: DataFrame, cal: DataFrame, lags: list[int]) -> DataFrame:
     """Each weight row on every entry lag: (lag, dt, asset, w)."""
     d = weights.join(cal, "dt") if "bar_no" not in weights.columns else weights

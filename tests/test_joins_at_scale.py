@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from gridloom.operators import joins, stats
+from gridloom.operators import joins, pnl, signals, stats
 from gridloom.sources import parsers as ps
 
 
@@ -118,3 +118,56 @@ def test_interval_members_expand_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("explode(sequence(")]
     assert "Aggregate" not in above.split("Generate")[0] and "Window" not in above.split("Join")[0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_and_labels_without_tables_of_owners_and_dates(spark):
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=int(i))
+    rng = np.random.default_rng(8)
+    rows = [(f"O{rng.integers(4)}", f"T{rng.integers(3)}", day(rng.integers(0, 1500)), day(0), "RAN"[rng.integers(3)]) for _ in range(400)]
+    rows = [(o, t, f, f - datetime.timedelta(days=int(rng.integers(0, 9))), c) for o, t, f, _, c in rows]
+    df = spark.createDataFrame(rows, "owner string, ticker string, filed date, traded date, code string")
+    grid = [day(i) for i in (0, 20, 21, 300, 330, 400, 1499)]
+    net = signals.net_cluster(df, spark.createDataFrame([(g,) for g in grid * 2], "dt date"), 90)
+    want = {}
+    for g in grid:
+        for o, t, f, _, c in rows:
+            if g - datetime.timedelta(days=90) < f <= g and c in "RA":
+                want.setdefault((g, t), (set(), set()))["RA".index(c)].add(o)
+    assert {(r.t, r.ticker): (r.buyers, r.sellers) for r in net.collect()} == {k: (len(b), len(s)) for k, (b, s) in want.items()}
+    assert "owner" not in _plan(net).split("Window")[0]  # an owner is counted where its filings are in order
+    label = signals.routine(df)
+    first = {}
+    for o, t, f, at, _ in rows:
+        key = (o, t, at.month, at.year)
+        first[key] = min(first.get(key, f), f)
+    since = {}
+    for (o, t, m, y), f in first.items():
+        run = [first.get((o, t, m, y + k)) for k in range(3)]
+        if all(run):
+            since[o, t] = min(since.get((o, t), max(run)), max(run))
+    got = sorted((r.owner, r.ticker, r.filed, r.traded, r.code, r.routine) for r in label.collect())
+    assert got == sorted((*r, r[2] > since.get(r[:2], datetime.date.max)) for r in rows) and any(g[-1] for g in got)
+    assert "Join" not in _plan(label)
+
+
+def test_latest_surprises_and_sides_are_not_expanded(spark):
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=int(i))
+    rng = np.random.default_rng(9)
+    rows = [(f"T{rng.integers(3)}", day(rng.integers(0, 500)), k, float(k)) for k in range(150)]
+    grid = [day(i) for i in range(-30, 600, 31)]
+    df = spark.createDataFrame(rows, "ticker string, ann_date date, o_orderkey long, sue double")
+    got = {(r.t, r.ticker): r.sue for r in signals.latest_surprise(df, spark.createDataFrame([(g,) for g in grid], "dt date"), 90).collect()}
+    want = {}
+    for t, a, k, v in sorted(rows, key=lambda r: r[1:3]):
+        want |= {(g, t): v for g in grid if g - datetime.timedelta(days=90) < a <= g}
+    assert got == want
+    events = [(int(rng.integers(1, 30)), f"T{rng.integers(3)}", int(rng.choice([-1, 1]))) for _ in range(200)]
+    bars = [(b, f"T{a}") for b in range(1, 31) for a in range(4)]
+    x = pnl.sides_on_bars(spark.createDataFrame(events, "bar_no int, asset string, side int"), spark.createDataFrame(bars, "bar_no int, asset string"), {"x": (2, 5)})
+    found = {(r.bar_no, r.asset): (r.x_side, r.x_n) for r in x.collect()}
+    held = {(b, a): [s for e, n, s in events if n == a and 2 <= b - e <= 5] for b, a in bars}
+    assert found == {k: (sum(v), len(v)) for k, v in held.items()} and "Join" not in _plan(x)
