@@ -198,19 +198,23 @@ def _sides(s, d):
 @query("pead_event_study", on_panel("s", f"""{_PEAD}, eb as (select o_orderkey, ticker, side, c.bar_no from sd asof join cal c on c.dt <= sd.ann_date), st as (select unnest(range(1, 5)) as step)
 select r.dt, round(avg(side * ret - case when step in (1, 4) then 0.001 else 0 end), 5) + 0.0 as ret, count(ret) as live from eb, st join rets r on r.bar_no = eb.bar_no + step and r.asset = eb.ticker group by r.dt having avg(side * ret) is not null"""))
 def pead_event_study(s, d):
-    x = returns(s, d, "s").select("dt", "bar_no", "asset", "ret")
-    e = joins.events_to_bars(_sides(s, d), panel.calendar(x), "ann_date", 0)
-    return pnl.event_pnl(joins.event_window(e, 4).join(x, ["bar_no", "asset"]), 10, 4).select("dt", r("ret", n=5), "live")
+    x = returns(s, d, "s").select("dt", "bar_no", "asset", "ret").filter("ret is not null")
+    e = joins.events_to_bars(_sides(s, d), panel.calendar(view(s, d, "s")), "ann_date", 0)
+    x = pnl.sides_on_bars(e.select("bar_no", "asset", "side"), x, {"held": (1, 4), "entered": (1, 1), "leaving": (4, 4)}).filter("held_n > 0")
+    total = F.sum(F.col("held_side") * F.col("ret") - (F.col("entered_n") + F.col("leaving_n")) * (10 / 10000))
+    return x.groupBy("dt").agg(r(total / F.sum("held_n"), "ret", 5), F.sum("held_n").alias("live"))
 
 
 @query("drift_vs_reaction", on_panel("s", f"""{_PEAD}, eb as (select o_orderkey, ticker, side, c.bar_no from sd asof join cal c on c.dt <= sd.ann_date), lg as (select unnest([0, 1, 2]) as lag), st as (select unnest(range(1, 5)) as step)
 select lag, count(ret) as n, round(avg(side * ret), 5) + 0.0 as mean from eb, lg, st join rets r on r.bar_no = eb.bar_no + lag + step and r.asset = eb.ticker where eb.bar_no + lag <= (select max(bar_no) from cal) group by lag"""))
 def drift_vs_reaction(s, d):
     x = returns(s, d, "s").select("dt", "bar_no", "asset", "ret")
-    e = joins.events_to_bars(_sides(s, d), panel.calendar(x), "ann_date", 0).withColumn("lag", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    e = e.withColumn("bar_no", F.col("bar_no") + F.col("lag"))
-    j = joins.event_window(e, 4).join(x, ["bar_no", "asset"])
-    return j.groupBy("lag").agg(F.count("ret").alias("n"), r(F.avg(F.col("side") * F.col("ret")), "mean", 5))
+    e = joins.events_to_bars(_sides(s, d), panel.calendar(view(s, d, "s")), "ann_date", 0)
+    x = pnl.sides_on_bars(e.select("bar_no", "asset", "side"), x, {f"lag{k}": (k + 1, k + 4) for k in range(3)})
+    lags = F.inline(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"lag{k}_side").alias("side"), F.col(f"lag{k}_n").alias("n")) for k in range(3))))
+    x = x.select("ret", lags).filter("n > 0")
+    n = F.coalesce(F.sum(F.when(F.col("ret").isNotNull(), F.col("n"))), F.lit(0))
+    return x.groupBy("lag").agg(n.alias("n"), r(F.try_divide(F.sum(F.col("side") * F.col("ret")), n), "mean", 5))
 
 
 _NAMES = """a as (select distinct upper(split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2)) as name from part),
