@@ -201,7 +201,8 @@ def _covered(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):  # a pair's windows take many times their Arrow size as Python objects
+                (r,) = batch.slice(at, 1).to_pylist()
                 places = consistent_windows([(w["item_pos"], w["pos"], w["item_slots"], w["slots"]) for w in r["windows"]])
                 if len(places) >= threshold * r["item_windows"] - 1e-9:
                     rows.append({

@@ -31,7 +31,7 @@ from gridloom.llm.store import small_batches
 DOCS_PER_LANGUAGE, SAMPLE_DOCS, SPAN, SEGMENT = 150, 9600, 3000, 128
 BITS, LEXICON_SIZE, EPOCHS, SEQUENCE = 15, 20_000, 40, 40
 #: Bytes of texts read at a time by up to 16 languages, fewer by more; weights of bytes held at a time.
-CHUNK, SCORES = 2 << 20, 1 << 23
+CHUNK, SCORES = 1 << 19, 1 << 21
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, dtype=bool)

@@ -694,3 +694,31 @@ def test_code_switched_words_are_labelled(spark, docs):
     gamma, _ = language_crf.forward_backward(e.astype(float), c.word_counts(), model)
     best = [model.languages[k] for k in gamma.argmax(axis=1)]
     assert sum(b == "de" for b in best[:40]) >= 34 and sum(b == "es" for b in best[40:]) >= 34
+
+
+def _peak_mb(rows):
+    import tracemalloc
+
+    tracemalloc.start()
+    for _ in rows:
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_a_batch_takes_bounded_memory_in_a_worker():
+    """Two workers share an executor with its JVM: chunks, not batches, bound what they hold."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array(["".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(2000)])
+    texts = [" ".join(rng.choice(vocabulary, 600)) for _ in range(1000)]
+    k = 4
+    model = language_crf.Model(list("abcd"), np.zeros(((1 << language_crf.BITS) + 1, k), np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32), np.zeros((k, k)), np.zeros(k))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * len(texts))], names=["t", "l"])
+    assert _peak_mb(iter(language_crf._predict(model, batch, batch.column(0), batch.column(1)) for _ in range(1))) < 60
+    # pairs of a document and an item with many windows
+    window = {"item_pos": 0, "pos": 0, "item_slots": [1, 2, 3, 4, 5], "slots": [6, 7, 8, 9, 10]}
+    rows = [{"id": i, "item_id": 0, "item_windows": 60, "windows": [window | {"item_pos": q, "pos": q} for q in range(60)]} for i in range(1000)]
+    pairs = pa.RecordBatch.from_pylist(rows)
+    del rows
+    assert _peak_mb(decontaminate._covered(0.8)(iter([pairs]))) < 10
