@@ -53,14 +53,35 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
+def _order(key: np.ndarray, limit: int) -> np.ndarray:
+    """Stable order of whole numbers from 0 below ``limit``: sorted with their places in their lowest bits where 64 have room, which NumPy does much faster."""
+    bits = max(1, len(key) - 1).bit_length()
+    if limit - 1 >= 1 << (64 - bits):
+        return np.argsort(key, kind="stable")
+    packed = key.astype(np.uint64)
+    packed <<= np.uint64(bits)
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << bits) - 1)
+    return packed.view(np.int64)
+
+
+def _pair_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Stable order by ``first``, then ``second``, whole numbers from 0."""
+    base = int(second.max(initial=0)) + 1
+    limit = (int(first.max(initial=0)) + 1) * base
+    return _order(first * base + second, limit) if limit < 1 << 63 else np.lexsort((second, first))
+
+
 def _sorted_bwt(text: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each position, positions ordered by ``depth`` symbols or more, the text read as a ring."""
     rank, reach = text, 1
     while True:
         following = np.roll(rank, -reach)
-        key = rank * (int(following.max(initial=0)) + 1) + following
+        base = int(following.max(initial=0)) + 1
+        key = rank * base + following
         del rank, following
-        order = np.argsort(key, kind="stable")
+        order = _order(key, base * base)
         reach *= 2
         if reach >= depth:
             return text[order - 1].astype(np.int32)
@@ -80,9 +101,9 @@ class BidirectionalIndex:
         self.size = np.bincount(text, minlength=1)
         self.first = np.cumsum(self.size) - self.size
         #: row of the suffix that follows, of each row of the forward order
-        self.following = np.argsort(_sorted_bwt(text, depth), kind="stable").astype(np.int32)
+        self.following = _order(_sorted_bwt(text, depth), len(self.size)).astype(np.int32)
         self.next_word = _sorted_bwt(text[::-1], depth)
-        rows = np.argsort(self.next_word, kind="stable")
+        rows = _order(self.next_word, len(self.size))
         #: row of the reverse order that a step by its next word leads to
         self.step = np.empty(len(rows), np.int32)
         self.step[rows] = np.arange(len(rows))
@@ -102,7 +123,7 @@ class BidirectionalIndex:
         row = np.arange(len(phrase)) - begin[phrase] + reverse[phrase]
         word = self.next_word[row]
         key = phrase * len(self.size) + word  # whole numbers of 64 bits, as phrase is
-        order = np.argsort(key, kind="stable")
+        order = _order(key, len(size) * len(self.size))
         edge = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(key)))
         lead = order[edge]
@@ -153,7 +174,11 @@ def _shard(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, pa.Array,
     words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw[kind == 0])])
     words = words.dictionary_encode()
     pair = words.indices.to_numpy().astype(np.int64) * len(names.dictionary) + lang
-    known, own, count = np.unique(pair, return_inverse=True, return_counts=True)
+    order = _order(pair, len(words.dictionary) * len(names.dictionary))
+    fresh = np.concatenate(([True], np.diff(pair[order]) != 0))
+    known, count = pair[order[fresh]], np.diff(np.append(np.flatnonzero(fresh), len(pair)))
+    own = np.empty(len(pair), np.int64)
+    own[order] = np.cumsum(fresh) - 1
     often = np.argsort(-count, kind="stable")  # small ids for frequent words pack well
     place = np.empty(len(known), np.int64)
     place[often] = np.arange(1, len(known) + 1)
@@ -198,7 +223,8 @@ def _listed(index: BidirectionalIndex, wid: np.ndarray, answers: dict[int, dict[
         phrase, word, *spans = index.extend(*spans)
         pid, last = ids[phrase], wid[word]
         bucket = (mix(pid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(last.astype(np.uint64)), now) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((last, pid, bucket))
+        order = _pair_order(pid, last)
+        order = order[_order(bucket[order], buckets)]
         edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(order) else np.zeros(0, np.int64)
         groups = zip(bucket[order[edge]].tolist(), np.split(order, edge[1:]) if len(order) else [], strict=True)
         if now == level:
@@ -262,7 +288,7 @@ def _summed(least: int):
 
     def bucket(number: int, rows: list) -> Iterator[pa.RecordBatch]:
         pids, wids, counts = (np.concatenate([unpack(r[k]) for r in rows]) for k in (1, 2, 3))
-        order = np.lexsort((wids, pids))
+        order = _pair_order(pids, wids)
         pids, wids = pids[order], wids[order]
         fresh = np.concatenate(([True], (np.diff(pids) != 0) | (np.diff(wids) != 0)))
         edge, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1

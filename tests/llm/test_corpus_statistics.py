@@ -56,6 +56,28 @@ def test_index_extensions_match_counting():
             want = collections.Counter({g: n for g, n in want.items() if len(g) > k and g[:k] in set(names) and g[1 : k + 1] in set(names)})
 
 
+def test_orders_are_stable_with_and_without_room_for_places():
+    rng = np.random.default_rng(4)
+    for most, size in ((1, 0), (1, 1), (3, 1000), (1 << 20, 5000), ((1 << 63) - 1, 5000)):
+        key = rng.integers(0, most, size)
+        key[: size // 2] = key[size - size // 2 :]
+        assert np.array_equal(phrases._order(key, most), np.argsort(key, kind="stable"))
+        for other in (1 << 10, 1 << 40):
+            second = rng.integers(0, other, size)
+            assert np.array_equal(phrases._pair_order(key, second), np.lexsort((second, key)))
+
+
+def test_an_index_sorts_no_keys_by_the_slow_way(monkeypatch):
+    """Two passes over a shard's text, its words and its extensions: each an order that fits 64 bits."""
+    text = np.append(np.random.default_rng(5).integers(0, 50_000, 1 << 20), 0)
+    text = np.unique(np.append(text, 0), return_inverse=True)[1]
+    slow, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: slow.append(len(a)) or argsort(a, *x, **y))
+    index = phrases.BidirectionalIndex(text, 4)
+    index.extend(*index.words())
+    assert slow == []
+
+
 def _brute(docs, longest, least, top, contained):
     f, n = collections.defaultdict(collections.Counter), collections.Counter()
     for _, text, lang in docs:
