@@ -163,7 +163,8 @@ def ownership_xml(docs: DataFrame) -> DataFrame:
     no other; so is a number or date that doesn't parse. Namespaces are ignored.
     Null, malformed and cut documents, and those without the table, give no rows.
     """
-    closed = F.rlike("xml", F.lit(r"</([^\s:>]+:)?ownershipDocument\s*>\s*$"))
+    # the last closing tag alone is looked at: a pattern over the text tries each of its tags
+    closed = F.rlike(F.substring_index("xml", "</", -1), F.lit(r"^([^\s:>]+:)?ownershipDocument\s*>\s*$"))
     d = docs.filter(closed).select("doc_id", F.from_xml(F.ltrim("xml"), _OWNERSHIP, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("d"))
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     owner = F.get("d.reportingOwner", F.lit(0))

@@ -69,3 +69,18 @@ def test_hits_without_an_id_or_name_are_skipped(spark):
     body = {"hits": {"hits": [hit(["0001234567", "9"], ["Some Fund  (ABC)  (CIK 0001234567)"]), hit([], ["x"]), hit(["1"], []), hit(None, None), {}]}}
     docs = spark.createDataFrame([(json.dumps(body),), ("{}",), ("junk",), (None,)], "json string")
     assert [tuple(r) for r in ps.delist_hits(docs).collect()] == [("1234567", "Some Fund", datetime.date(2024, 1, 5))]
+
+
+def test_ownership_documents_are_written_after_their_shuffle(spark):
+    from gridloom.plans.registry import QUERIES
+    from tests.conftest import SF
+
+    plan = QUERIES["form4_xml"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    head, _, below = plan.partition("Aggregate [")
+    assert "<nonDerivativeTransaction>" in head and "<nonDerivativeTransaction>" not in below
+
+
+def test_a_document_ends_with_its_own_tag(spark):
+    whole = _doc(ISSUER, _table(_txn("P", 1)))
+    ends = [whole + " \n" * 50, whole[:-1] + " \n>", whole + "<!-- x -->", whole + whole[-10:]]
+    assert [r.doc_id for r in _rows(spark, *ends)] == [0, 1]
