@@ -194,6 +194,81 @@ def test_an_odd_first_line_hides_no_template(spark):
     assert {k: deep[k] for k in alone if k} == {k: alone[k] for k in alone if k}
 
 
+def test_no_number_of_odd_lines_hides_a_template(spark):
+    def left(rows):
+        return {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    # fields in the first places of difference from the odd line: the fixed ones behind them hold the template together
+    frame = "alpha bravo carol delta echo {0}a {0}b {0}c {0}d kilo lima mike oscar papa"
+    rows = [(k, frame.format("vwxyz"[k - 1]), "en", "a", 0) for k in range(1, 6)]
+    odd = (0, "alpha bravo carol delta echo one two three four five six mike oscar papa", "en", "a", 0)
+    text = left([odd, *rows])
+    assert text[0] == odd[1] and text[1] == rows[0][1] and [text[k] for k in range(2, 6)] == [""] * 4
+    # six odd lines, each of another place besides the fields: one head after the other before the template's
+    words_of = [f"w{chr(97 + k)}" for k in range(25)]
+
+    def line(own, place=None):
+        w = [f"{own}{chr(97 + k)}" if 15 <= k < 23 else x for k, x in enumerate(words_of)]
+        if place is not None:
+            w[place] = f"{own}odd"
+        return " ".join(w)
+
+    odd = [(k, line(f"o{chr(97 + k)}", 9 + k), "en", "a", 0) for k in range(6)]
+    rows = [(k, line(f"r{chr(97 + k)}"), "en", "a", 0) for k in range(10, 15)]
+    text = left([*odd, *rows])
+    assert [text[k] for k in range(6)] == [x[1] for x in odd] and text[10] == rows[0][1] and [text[k] for k in range(11, 15)] == [""] * 4
+
+
+def lost_of_one_leaf(lines, least=3):
+    """{(id, line)} dropped of (id, line, tokens) that share one leaf: three heads and splits, then all pairs of what is in no template."""
+    agree = lambda x, y: 3 * sum(a == b for a, b in zip(x, y, strict=True)) >= 2 * len(x)
+    lost, held, level = set(), set(), {"": lines}
+    for tokens in {x[2] for x in lines}:  # exact copies
+        level["whole", tokens] = [x for x in lines if x[2] == tokens]
+    for _ in range(line_templates.HEADS):
+        below = collections.defaultdict(list)
+        for key, members in level.items():
+            head = min(members)[2]
+            same = [x for x in members if agree(x[2], head)]
+            if len({x[0] for x in same}) >= least:
+                held |= {x[:2] for x in same}
+                lost |= {x[:2] for x in same if x[0] > min(same)[0]}
+            for x in members:
+                if not agree(x[2], head):
+                    other = [p for p, (u, v) in enumerate(zip(x[2], head, strict=True)) if u != v]
+                    for p in other[: line_templates.SPLITS]:
+                        below[key, p, x[2][p]].append(x)
+        level = below
+    tree = set(lost)
+    rest = [x for x in lines if x[:2] not in held]
+    for x in rest:
+        docs = {y[0] for y in rest if agree(x[2], y[2])}
+        if len(docs) >= least and min(docs) < x[0]:
+            lost.add(x[:2])
+    return tree, lost
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_lines_in_no_template_meet_in_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(line_templates, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    # few words for each place; all lines share the leaf of their first block, and the others are of one word each for no two lines
+    made = []
+    for k in range(150):
+        w = [f"w{chr(97 + i)}" if i < 6 else f"x{chr(97 + i)}{chr(97 + int(rng.integers(4)))}" for i in range(16)]
+        w[10], w[15] = (f"own{chr(97 + k // 26)}{chr(97 + k % 26)}",) * 2
+        made.append(" ".join(w))
+    rows = [(k // 2 + 1, f"{made[k]}\n{made[k + 1]}", "en", "t", 1) for k in range(0, 150, 2)]
+    rows += rows[:40:3]  # repeated rows
+    lines = sorted({(i, k, tuple(x.split(" "))) for i, text, *_ in rows for k, x in enumerate(text.split("\n"))})
+    tree, want = lost_of_one_leaf(lines)
+    assert len(want) > len(tree) > 0
+    for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect():
+        left = [k for k in range(2) if (r.doc_id, k) not in want]
+        text = next(x[1] for x in rows if x[0] == r.doc_id).split("\n")
+        assert (r.text, r.n_dropped) == ("\n".join(text[k] for k in left), 2 - len(left)), r.doc_id
+
+
 def test_many_dropped_lines_of_one_text(spark):
     text = "\n".join(f"line of words number {'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]}" for k in range(5000))
     rows = [(k, f"own start {'pqr'[k]} here\n{text}\nown end {'pqr'[k]} here", "en", "a", 0) for k in range(3)]
