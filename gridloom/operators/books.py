@@ -49,6 +49,19 @@ def quantile_book(
     return on.join(days, "dt", "left_semi").select("dt", "bar_no", "asset").join(w, ["dt", "asset"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
 
 
+def threshold_book(scores: DataFrame, q: float) -> DataFrame:
+    """(dt, asset, w): 0.5 shared by scores at or above the date's interpolated 1 - q quantile, -0.5 by those at or below its q quantile.
+
+    A name on both thresholds is short. Dates under max(5, ceil(1/q)) names leave.
+    """
+    cuts = scores.groupBy("dt").agg(F.percentile("score", F.lit([q, 1 - q])).alias("p"), F.count("*").alias("n"))
+    cuts = cuts.filter(F.col("n") >= max(5, int(-(-1 // q)))).select("dt", F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
+    long, short = F.col("score") >= F.col("hi"), F.col("score") <= F.col("lo")
+    share = lambda side: F.lit(0.5) / F.count_if(side).over(by_date())
+    w = F.when(short, -share(short)).when(long, share(long)).otherwise(0.0)
+    return scores.join(F.broadcast(cuts), "dt").select("dt", "asset", w.alias("w"))
+
+
 def value_weighted_book(scores: DataFrame, q: float, score: str = "score", cap: str = "cap") -> DataFrame:
     """Cap-weighted sides of 0.5 each; non-positive caps drop out and the rest is renormalised."""
     r = _sides(scores, ("dt",), score).withColumn("k", F.floor(F.col("n") * q)).filter("k >= 2")

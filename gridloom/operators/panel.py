@@ -126,6 +126,12 @@ def resample_last(panel: DataFrame, period: Column, *values: str) -> DataFrame:
     return panel.groupBy("asset", period.alias("period")).agg(*at)
 
 
+def month_ends(panel: DataFrame) -> DataFrame:
+    """(dt): the last day of every month from the panel's first to its last, months without rows too."""
+    months = F.sequence(F.date_trunc("month", F.min("dt")).cast("date"), F.date_trunc("month", F.max("dt")).cast("date"), F.expr("interval 1 month"))
+    return panel.agg(months.alias("m")).select(F.explode("m").alias("m")).select(F.last_day("m").alias("dt"))
+
+
 def dedupe_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row per key by ``order``, deterministically."""
     n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))

@@ -387,3 +387,21 @@ def test_latest_book(spark):
     w = spark.createDataFrame([(1, "a", 0.1), (5, "a", 0.2), (9, "b", 0.3), (9, "a", 0.4)], "bar_no int, asset string, w double")
     book = lambda back: sorted((r.asset, r.w) for r in books.latest_book(w, back).collect())
     assert book(0) == [("a", 0.4), ("b", 0.3)] and book(1) == [("a", 0.2)] and book(3) == []
+
+
+def test_threshold_book_earns_the_next_month(spark):
+    from gridloom.plans.registry import ORACLE_SQL, QUERIES
+    from tests.conftest import SF
+    from tests.oracle import connect, spark_rows, sql_rows
+
+    one, two, few = (dt.date(2020, m, 29) for m in (2, 3, 4))
+    scores = [(one, a, float(k)) for k, a in enumerate("abcdefghijk")] + [(two, a, 1.0) for a in "abcde"] + [(few, a, float(ord(a))) for a in "abcd"]
+    w = books.threshold_book(spark.createDataFrame(scores, "dt date, asset string, score double"), 0.2)
+    got = {(r.dt, r.asset): r.w for r in w.collect()}
+    want = {(one, a): 0.5 / 3 if a in "ijk" else -0.5 / 3 if a in "abc" else 0.0 for a in "abcdefghijk"}  # 8 and 2 are the thresholds
+    assert got == pytest.approx(want | {(two, a): -0.1 for a in "abcde"})  # on both thresholds: short; four names are too few
+    gap = spark.createDataFrame([(dt.date(2020, 1, 31), "a"), (dt.date(2020, 4, 2), "a")], "dt date, asset string")
+    assert sorted(r.dt for r in panel.month_ends(gap).collect()) == [dt.date(2020, 1, 31), dt.date(2020, 2, 29), dt.date(2020, 3, 31), dt.date(2020, 4, 30)]
+    found = spark_rows(QUERIES["threshold_book_backtest"](spark, SF))
+    assert found == sql_rows(connect(SF), ORACLE_SQL["threshold_book_backtest"])
+    assert found[0] == ["cost", "dt", "gross", "net"] and any(net != 0 for *_, net in found[1])
